@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import matches
 from .jaccard_join import jaccard_join
 from .packing import pack
 
@@ -28,8 +30,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, contaminated, item_ids (comma-joined, ascending), similarity, first_word."""
+    found = matches(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_join("item_ids", ",").alias("item_ids"), "similarity", "first_word")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
+    "op6_decontamination": op6_decontamination,
     "op8_packing": op8_packing,
 }
 
