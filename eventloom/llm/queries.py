@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import matches
 from .jaccard_join import jaccard_join
+from . import pii
 from .packing import pack
 
 
@@ -36,10 +37,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.array_join("item_ids", ",").alias("item_ids"), "similarity", "first_word")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.spans(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_packing": op8_packing,
+    "op10_pii": op10_pii,
 }
 
 ORACLE_SQL: dict[str, str] = {
