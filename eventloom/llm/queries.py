@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import matches
 from .jaccard_join import jaccard_join
-from . import pii
+from . import pii, quality
 from .packing import pack
 
 
@@ -41,7 +41,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(_read(spark, sf_dir, "documents"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op4_jaccard_join": op4_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op8_packing": op8_packing,
