@@ -276,23 +276,19 @@ def _verify(k: int, num: int, den: int):
 
 
 def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, same) that link."""
+    """The pairs (a, b, same) that link. A text is sent once for each part of partners that it leads and each of its leaders."""
     open_ = pairs.where("not same").select("a", "b", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
-    need = open_.select(F.col("a").alias("nid")).union(open_.select("b")).distinct()
-    text = table.where("digest is not null").join(need, "nid", "left_semi").select("nid", F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
+    lead = open_.select(F.col("a").alias("nid"), "a", F.lit(None).cast("long").alias("b"), "salt").distinct()
+    roles = lead.unionByName(open_.select(F.col("b").alias("nid"), "a", "b", "salt"))
+    place = table.where("digest is not null").select("nid", F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
+    roles = roles.join(place, "nid").drop("nid")
     of = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    text = stored_texts(of.join(text, of.doc_id.eqNullSafe(F.col("want_id")) & (of.h == F.col("want_hash"))).select("nid", "text").dropDuplicates(["nid"]))
-    lead = open_.select("a", "salt").distinct().join(text.select(F.col("nid").alias("a"), "text"), "a").select("a", F.lit(None).cast("long").alias("b"), "text", "salt")
-    rest = open_.join(text.select(F.col("nid").alias("b"), "text"), "b").select("a", "b", "text", "salt")
-    rows = lead.unionByName(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    rows = of.join(roles, of.doc_id.eqNullSafe(F.col("want_id")) & (of.h == F.col("want_hash"))).select("a", "b", "text", "salt")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     found = rows.select("a", "b", "text").mapInArrow(_verify(k, num, den), "a long, b long")
     return pairs.where("same").select("a", "b").unionByName(found)
 
 
-def stored_texts(df: DataFrame) -> DataFrame:
-    return C.stored(df)
-
-
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text): components of the links den * overlap >= num * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -304,14 +300,19 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     schema = "key long, a long, b long, same boolean"
     tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
     found = C.stored(tree.repartition("key").mapInArrow(_candidates(num, den, True), schema))
-    tried = found.where("key is null").select("a", "b", "same").distinct()
+    pairs = C.stored(found.where("key is null").select("a", "b", "same").distinct())
+    tried = C.stored(pairs.groupBy("b").agg(F.min(F.struct(~F.col("same"), "a", "same")).alias("x")).select("x.a", "b", "x.same"))
     links = C.stored(_links(tried, table, docs, k, num, den))
     roots = C.stored(C.components(links))
-    loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    # what the first links leave open: pairs not tried, and pairs left out of trees, between different components
+    root_of = roots.select(F.col("node").alias("nid"), "root")
+    rest = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    rest = rest.join(root_of.toDF("a", "ra"), "a", "left").join(root_of.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "same")
+    loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(root_of, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     tree = loose.join(torn, "key", "left_semi").join(place, "nid")
     more = tree.repartition("key").mapInArrow(_candidates(num, den, False), schema).where("key is null").select("a", "b", "same").distinct()
-    more = C.stored(more.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    more = C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").unionByName(rest))
     if not more.isEmpty():
         roots = C.stored(C.components(links.unionByName(_links(more, table, docs, k, num, den))))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
