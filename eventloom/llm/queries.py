@@ -11,6 +11,7 @@ from .decontaminate import matches
 from .jaccard_join import jaccard_join
 from . import pii, quality
 from .packing import pack
+from .repeats import repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,9 +46,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
     "op8_packing": op8_packing,
     "op10_pii": op10_pii,
