@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .decontaminate import matches
 from .jaccard_join import jaccard_join
 from . import pii, quality
+from .neighbours import nearest
 from .packing import pack
 from .repeats import repeats
 
@@ -50,8 +51,14 @@ def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats(_read(spark, sf_dir, "documents"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_neighbours": op2_neighbours,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
