@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import matches
+from .html_text import main_texts
 from .jaccard_join import jaccard_join
 from . import pii, quality
 from .neighbours import nearest
@@ -56,9 +57,14 @@ def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(_read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_neighbours": op2_neighbours,
+    "op3_html_text": op3_html_text,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
