@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import digests, format_conversations
 from .decontaminate import matches
 from .html_text import main_texts
 from .jaccard_join import jaccard_join
@@ -61,6 +62,13 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(_read(spark, sf_dir, "pages"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return digests(format_conversations(rows, tokenizer_file("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_neighbours": op2_neighbours,
@@ -68,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_jaccard_join": op4_jaccard_join,
     "op5_repeats": op5_repeats,
     "op6_decontamination": op6_decontamination,
+    "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
     "op10_pii": op10_pii,
 }
