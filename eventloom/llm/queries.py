@@ -12,6 +12,7 @@ from .decontaminate import matches
 from .html_text import main_texts
 from .jaccard_join import jaccard_join
 from . import pii, quality
+from .language_id import languages
 from .neighbours import nearest
 from .packing import pack
 from .repeats import repeats
@@ -69,6 +70,10 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_conversations(rows, tokenizer_file("byte_bpe_50k.json")))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_neighbours": op2_neighbours,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_chat_format": op7_chat_format,
     "op8_packing": op8_packing,
+    "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
 }
 
