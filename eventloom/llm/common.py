@@ -168,3 +168,18 @@ def components(edges: DataFrame) -> DataFrame:
             break
         last = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+FILTER_WORDS = 1 << 17
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose hashed key (a long column) is among those of wanted(key), and a few others: a bitmap of at most
+    FILTER_WORDS rows is broadcast, so that a shuffle join behind it moves little. Never loses a row."""
+    bit = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(FILTER_WORDS * 64))
+    word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast({key}__bit as int))")
+    bits = wanted.select(key).withColumn("__word", word).withColumn(f"{key}__bit", F.pmod(bit, F.lit(64)))
+    bits = bits.groupBy("__word").agg(F.bit_or(mask).alias("__bits"))
+    rows = df.withColumn("__word", word).withColumn(f"{key}__bit", F.pmod(bit, F.lit(64)))
+    rows = rows.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(mask) != 0)
+    return rows.drop("__word", "__bits", f"{key}__bit")

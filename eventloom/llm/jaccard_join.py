@@ -2,8 +2,8 @@
 
 Every text becomes the set of its distinct k-word shingles. Shingles are hashed into GROUPS groups; the counts by group
 are a point. For two points the sum of the coordinates' minima bounds the overlap from above, and for an R-tree node the
-same sum with the node's coordinate maxima bounds the overlap with anything below it. Pairs that survive the bound are
-verified on their sets.
+same sum with the node's coordinate maxima bounds the overlap with anything below it. Pairs that survive are bounded again with
+about as many groups as shingles, and what survives that is verified on the sets.
 
 The R-trees are sharded: one for each key, where a text's keys are the first n - ceil(t n) + 1 of its shingles in one
 global order (any order is right; shingles that a bounded sample shows to be frequent come last, so that common passages
@@ -32,6 +32,8 @@ LEAF, FAN = 32, 8
 SAMPLE_DOCS, HOT_KEYS, HOT_SHARE = 4000, 1 << 16, 500
 #: Parts among which the pairs of one first member are dealt.
 SALTS = 16
+#: Shingles of a component of candidates that one task may hold.
+WHOLE = 8_000_000
 
 
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
@@ -49,8 +51,42 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64)).view(C.U64)
 
 
+def fine_counts(h: np.ndarray) -> bytes:
+    """Counts by about twice as many groups as there are shingles (a power of two, its exponent first)."""
+    bits = min(13, max(6, int(2 * len(h) - 1).bit_length()))
+    counts = np.bincount((C.mix(h) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    # a count that a byte can't hold: one group for all, whose bound is the smaller size
+    return bytes([bits]) + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else bytes([0])
+
+
+def fine_bound(a: bytes, b: bytes) -> float:
+    """The sum of coordinate minima at the coarser of two resolutions."""
+    if not a[0] or not b[0]:
+        return float("inf")
+    x, y = np.frombuffer(a, np.uint8, offset=1).astype(np.int32), np.frombuffer(b, np.uint8, offset=1).astype(np.int32)
+    while len(x) > len(y):
+        x = x[::2] + x[1::2]
+    while len(y) > len(x):
+        y = y[::2] + y[1::2]
+    return float(np.minimum(x, y).sum())
+
+
+def _refined(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, same) whose bound holds at the fine resolution."""
+
+    def run(batches):
+        for t in batches:
+            a, b, same, fa, fb, na, nb = (c.to_pylist() for c in t.columns)
+            ok = [s or (num + den) * fine_bound(x, y) >= num * (n + m) for s, x, y, n, m in zip(same, fa, fb, na, nb, strict=True)]
+            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok, pa.bool_())) for x in t.columns[:3]], ["a", "b", "same"])
+
+    fine = table.where("digest is not null").select("nid", "fine", "n")
+    rows = pairs.join(fine.toDF("a", "fa", "na"), "a").join(fine.toDF("b", "fb", "nb"), "b")
+    return rows.select("a", "b", "same", "fa", "fb", "na", "nb").mapInArrow(run, "a long, b long, same boolean")
+
+
 def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n and nid for each row; digest, prefix, scale and vec too where nid is new in its task."""
+    """doc_id, text_hash, n and nid for each row; digest, prefix, point (half the digest, scale, counts over scale) and fine too where nid is new in its task."""
 
     def run(batches):
         task, seen, count = TaskContext.get().partitionId() << 36, {}, 0
@@ -75,8 +111,9 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                         count, new[r] = count + 1, True
                     nid[r] = x
                 counts = np.bincount(d * GROUPS + (C.mix(h) >> C.U64(58)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
-                scale = np.maximum(1, -(-counts.max(1, initial=0) // 255))
+                scale = np.maximum(1, -(-counts.max(1, initial=0) // 255)).astype(np.uint32)
                 vec = (-(-counts // scale[:, None])).astype(np.uint8)
+                fine = [None if x is None or not new[r] else fine_counts(h[e - k_ : e]) for r, (x, e, k_) in enumerate(zip(nid, ends, n, strict=True))]
                 key = h >> C.U64(1)
                 if len(hot) and len(h):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -95,13 +132,13 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                         pa.array(nid, pa.int64()),
                         pa.array([None if x else digests[r].tobytes() for r, x in enumerate(none)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(key[take].view(np.int64))),
-                        pa.array(scale.astype(np.int32)),
-                        pa.array([None if x else vec[r].tobytes() for r, x in enumerate(none)], pa.binary()),
+                        pa.array([None if x else digests[r, :1].tobytes() + scale[r].tobytes() + vec[r].tobytes() for r, x in enumerate(none)], pa.binary()),
+                        pa.array(fine, pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "n", "nid", "digest", "prefix", "scale", "vec"],
+                    ["doc_id", "text_hash", "n", "nid", "digest", "prefix", "point", "fine"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, scale int, vec binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, point binary, fine binary")
 
 
 def _shared(batches):
@@ -188,9 +225,9 @@ def _candidates(num: int, den: int, first: bool):
             return
         nids, at, local = np.unique(t["nid"].to_numpy(), return_index=True, return_inverse=True)
         one = t.take(pa.array(at))
-        vec = np.frombuffer(b"".join(one["vec"].to_pylist()), np.uint8).reshape(-1, GROUPS)
-        p = Points(one["n"].to_numpy(), one["scale"].to_numpy().astype(np.int32), vec, num, den)
-        digest, root = one["digest"].to_pylist(), one["root"].to_numpy()
+        raw = np.frombuffer(b"".join(one["point"].to_pylist()), np.uint8).reshape(-1, 12 + GROUPS)
+        p = Points(one["n"].to_numpy(), raw[:, 8:12].copy().view(np.int32).ravel(), raw[:, 12:], num, den)
+        digest, root = raw[:, :8].copy().view(C.U64).ravel(), one["root"].to_numpy()
         key = t["key"].to_numpy()
         order = np.lexsort((local, p.n[local], key))
         key, local = key[order], local[order]
@@ -240,7 +277,7 @@ def _candidates(num: int, den: int, first: bool):
             tested += codes
         u = np.unique(np.concatenate(tested))
         a, b = u >> 32, u & 0xFFFFFFFF
-        same = np.array([digest[x] == digest[y] for x, y in zip(a, b, strict=True)], dtype=bool)
+        same = (digest[a] == digest[b]) & (p.n[a] == p.n[b])
         none = pa.nulls(len(loose), pa.int64())
         yield from C.batches_of(pa.table({"key": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(loose, pa.int64())]), "a": pa.concat_arrays([pa.array(nids[a], pa.int64()), none]), "b": pa.concat_arrays([pa.array(nids[b], pa.int64()), none]), "same": pa.concat_arrays([pa.array(same), pa.nulls(len(loose), pa.bool_())])}))
 
@@ -275,18 +312,74 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _texts(roles: DataFrame, table: DataFrame, docs: DataFrame) -> DataFrame:
+    """roles(nid, ...) with the text of each nid."""
+    place = table.where("digest is not null").select("nid", F.col("doc_id").alias("want_id"), "text_hash")
+    roles = C.stored(roles.join(place, "nid"))
+    of = C.likely(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", roles)
+    return of.join(roles, of.doc_id.eqNullSafe(roles.want_id) & (of.text_hash == roles.text_hash)).drop("doc_id", "want_id", "text_hash")
+
+
+def _verify_whole(k: int, num: int, den: int):
+    """Rows by root: first the texts of a component of candidates, then its pairs; gives links that join what they can."""
+
+    def run(batches):
+        now, sets, root = None, {}, {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                root[x] = x = root.setdefault(root[x], root[x])
+            return x
+
+        for batch in batches:
+            cols = [c.fill_null(-1).to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
+            owner, nid, a, b = cols
+            out_a, out_b = [], []
+            for i, data, offsets in C.text_blocks(batch.column(4)):
+                h, d = C.distinct_shingles(data, offsets, k)
+                ends = np.searchsorted(d, np.arange(len(offsets)))
+                for r in range(len(offsets) - 1):
+                    if owner[i + r] != now:
+                        now, sets, root = owner[i + r], {}, {}
+                    if nid[i + r] >= 0:
+                        sets[nid[i + r]] = h[ends[r] : ends[r + 1]].copy()
+                        continue
+                    x, y = a[i + r], b[i + r]
+                    if find(x) == find(y):
+                        continue
+                    s, t = sets[x], sets[y]
+                    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
+                    both = int((s[at] == t).sum())
+                    if (num + den) * both >= num * (len(s) + len(t)):
+                        root[find(x)] = find(y)
+                        out_a.append(x)
+                        out_b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, same) that link. A text is sent once for each part of partners that it leads and each of its leaders."""
-    open_ = pairs.where("not same").select("a", "b", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
-    lead = open_.select(F.col("a").alias("nid"), "a", F.lit(None).cast("long").alias("b"), "salt").distinct()
-    roles = lead.unionByName(open_.select(F.col("b").alias("nid"), "a", "b", "salt"))
-    place = table.where("digest is not null").select("nid", F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
-    roles = roles.join(place, "nid").drop("nid")
-    of = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    rows = of.join(roles, of.doc_id.eqNullSafe(F.col("want_id")) & (of.h == F.col("want_hash"))).select("a", "b", "text", "salt")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    found = rows.select("a", "b", "text").mapInArrow(_verify(k, num, den), "a long, b long")
-    return pairs.where("same").select("a", "b").unionByName(found)
+    """(a, b): links among the stored pairs (a, b, same), enough for the components that all of them make.
+
+    Pairs are dealt by the components they make as candidates, each text once; a component of more than WHOLE shingles is
+    dealt by first members, in parts."""
+    comp = C.components(pairs)
+    weight = comp.join(table.where("digest is not null").select(F.col("nid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"))
+    comp = C.stored(comp.join(weight, "root"))
+    open_ = C.stored(pairs.where("not same").join(comp.withColumnRenamed("node", "a"), "a"))
+    small, big = open_.where(F.col("weight") <= WHOLE), open_.where(F.col("weight") > WHOLE)
+    none = F.lit(None).cast("long")
+    texts = _texts(small.select(F.col("a").alias("nid"), "root").union(small.select("b", "root")).distinct(), table, docs)
+    rows = texts.select("root", "nid", none.alias("a"), none.alias("b"), "text").unionByName(small.select("root", none.alias("nid"), "a", "b", F.lit(None).cast("string").alias("text")))
+    rows = rows.repartition("root").sortWithinPartitions("root", F.col("a").asc_nulls_first(), "b")
+    found = rows.mapInArrow(_verify_whole(k, num, den), "a long, b long").unionByName(pairs.where("same").select("a", "b"))
+    if big.isEmpty():
+        return found
+    parts = big.select("a", "b", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
+    roles = parts.select(F.col("a").alias("nid"), "a", none.alias("b"), "salt").distinct().unionByName(parts.select(F.col("b").alias("nid"), "a", "b", "salt"))
+    rows = _texts(roles, table, docs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return found.unionByName(rows.select("a", "b", "text").mapInArrow(_verify(k, num, den), "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -296,23 +389,19 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     table = C.stored(points(docs, k, num, den, hot))
     new = table.where("digest is not null")
     keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(_shared, "key long, nid long"))
-    place = new.select("nid", "n", "digest", "scale", "vec")
+    place = new.select("nid", "n", "point")
     schema = "key long, a long, b long, same boolean"
     tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
     found = C.stored(tree.repartition("key").mapInArrow(_candidates(num, den, True), schema))
-    pairs = C.stored(found.where("key is null").select("a", "b", "same").distinct())
-    tried = C.stored(pairs.groupBy("b").agg(F.min(F.struct(~F.col("same"), "a", "same")).alias("x")).select("x.a", "b", "x.same"))
-    links = C.stored(_links(tried, table, docs, k, num, den))
+    pairs = C.stored(_refined(found.where("key is null").select("a", "b", "same").distinct(), table, num, den))
+    links = C.stored(_links(pairs, table, docs, k, num, den))
     roots = C.stored(C.components(links))
-    # what the first links leave open: pairs not tried, and pairs left out of trees, between different components
     root_of = roots.select(F.col("node").alias("nid"), "root")
-    rest = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = rest.join(root_of.toDF("a", "ra"), "a", "left").join(root_of.toDF("b", "rb"), "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b", "same")
     loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(root_of, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     tree = loose.join(torn, "key", "left_semi").join(place, "nid")
     more = tree.repartition("key").mapInArrow(_candidates(num, den, False), schema).where("key is null").select("a", "b", "same").distinct()
-    more = C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti").unionByName(rest))
+    more = C.stored(_refined(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), table, num, den))
     if not more.isEmpty():
         roots = C.stored(C.components(links.unionByName(_links(more, table, docs, k, num, den))))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
