@@ -3,7 +3,7 @@
 Every text becomes the set of its distinct k-word shingles. Shingles are hashed into GROUPS groups; the counts by group
 are a point. For two points the sum of the coordinates' minima bounds the overlap from above, and for an R-tree node the
 same sum with the node's coordinate maxima bounds the overlap with anything below it. Pairs that survive are bounded again with
-about as many groups as shingles, and what survives that is verified on the sets.
+more groups, in proportion to their shingles, and what survives that is verified on the sets.
 
 The R-trees are sharded: one for each key, where a text's keys are the first n - ceil(t n) + 1 of its shingles in one
 global order (any order is right; shingles that a bounded sample shows to be frequent come last, so that common passages
@@ -52,8 +52,8 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def fine_counts(h: np.ndarray) -> bytes:
-    """Counts by about twice as many groups as there are shingles (a power of two, its exponent first)."""
-    bits = min(13, max(6, int(2 * len(h) - 1).bit_length()))
+    """Counts by a half to one times as many groups as there are shingles (a power of two, its exponent first)."""
+    bits = min(13, max(6, int(len(h)).bit_length() - 1))
     counts = np.bincount((C.mix(h) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
     # a count that a byte can't hold: one group for all, whose bound is the smaller size
     return bytes([bits]) + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else bytes([0])
@@ -80,7 +80,8 @@ def _refined(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFram
             ok = [s or (num + den) * fine_bound(x, y) >= num * (n + m) for s, x, y, n, m in zip(same, fa, fb, na, nb, strict=True)]
             yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok, pa.bool_())) for x in t.columns[:3]], ["a", "b", "same"])
 
-    fine = table.where("digest is not null").select("nid", "fine", "n")
+    asked = pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))
+    fine = C.likely(table.where("digest is not null").select("nid", "fine", "n"), "nid", asked)
     rows = pairs.join(fine.toDF("a", "fa", "na"), "a").join(fine.toDF("b", "fb", "nb"), "b")
     return rows.select("a", "b", "same", "fa", "fb", "na", "nb").mapInArrow(run, "a long, b long, same boolean")
 
@@ -190,7 +191,7 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray) -> tuple[np.
             break
         fan = FAN
     out_a, out_b = [], []
-    for block in np.array_split(asking, len(asking) // 2048 + 1):
+    for block in np.array_split(asking, len(asking) * len(members) // 1_000_000 + 1):  # so many pairs at a time at most
         q, node = block, np.zeros(len(block), np.int64)
         for depth in range(len(levels) - 1, -1, -1):
             low, high, top, fan = levels[depth]
@@ -393,7 +394,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     schema = "key long, a long, b long, same boolean"
     tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
     found = C.stored(tree.repartition("key").mapInArrow(_candidates(num, den, True), schema))
-    pairs = C.stored(_refined(found.where("key is null").select("a", "b", "same").distinct(), table, num, den))
+    pairs = C.stored(_refined(C.stored(found.where("key is null").select("a", "b", "same").distinct()), table, num, den))
     links = C.stored(_links(pairs, table, docs, k, num, den))
     roots = C.stored(C.components(links))
     root_of = roots.select(F.col("node").alias("nid"), "root")
@@ -401,7 +402,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     tree = loose.join(torn, "key", "left_semi").join(place, "nid")
     more = tree.repartition("key").mapInArrow(_candidates(num, den, False), schema).where("key is null").select("a", "b", "same").distinct()
-    more = C.stored(_refined(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), table, num, den))
+    more = C.stored(_refined(C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), table, num, den))
     if not more.isEmpty():
         roots = C.stored(C.components(links.unionByName(_links(more, table, docs, k, num, den))))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
