@@ -120,7 +120,7 @@ def format_conversations(rows: DataFrame, path: str) -> DataFrame:
 
     rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     order = ["conv_id", "turn", "role", "text"]
-    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(run, SCHEMA)
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("conv_id", "role", "text").mapInArrow(C.tidy(run), SCHEMA)
 
 
 def read_turns(formatted: str) -> list[tuple[str, str]]:
@@ -168,4 +168,4 @@ def digests(fragments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*done, strict=True), kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
     rows = fragments.repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
-    return rows.select("conv_id", "formatted", "token_start", "token_end", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return rows.select("conv_id", "formatted", "token_start", "token_end", "loss_mask").mapInArrow(C.tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

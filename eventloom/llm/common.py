@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -136,8 +138,25 @@ def distinct_shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np
     return h[keep], d[keep]
 
 
-def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """f, giving memory that its arrays took back to the system after each task: workers are used again."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
+def modest(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts go to Python workers in batches of so many rows, unless the session already says how many."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
 
 
 def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:

@@ -202,7 +202,7 @@ def _one_pass(docs: DataFrame, block: list, k: int, least: Fraction, text_col: s
 
     found = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
     schema = T.StructType([*docs.schema.fields, T.StructField(f"__found{number}", T.ArrayType(found))])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(C.tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:

@@ -47,7 +47,7 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(C.distinct_shingles(data, offsets, k)[0].view(np.int64))], ["h"])
 
     least = max(4, min(total, SAMPLE_DOCS) // HOT_SHARE)
-    rows = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h").collect()
+    rows = sample.mapInArrow(C.tidy(run), "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64)).view(C.U64)
 
 
@@ -83,7 +83,7 @@ def _refined(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFram
     asked = pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))
     fine = C.likely(table.where("digest is not null").select("nid", "fine", "n"), "nid", asked)
     rows = pairs.join(fine.toDF("a", "fa", "na"), "a").join(fine.toDF("b", "fb", "nb"), "b")
-    return rows.select("a", "b", "same", "fa", "fb", "na", "nb").mapInArrow(run, "a long, b long, same boolean")
+    return rows.select("a", "b", "same", "fa", "fb", "na", "nb").mapInArrow(C.tidy(run), "a long, b long, same boolean")
 
 
 def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
@@ -139,7 +139,7 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                     ["doc_id", "text_hash", "n", "nid", "digest", "prefix", "point", "fine"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, point binary, fine binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(C.tidy(run), "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, point binary, fine binary")
 
 
 def _shared(batches):
@@ -177,8 +177,9 @@ class Points:
         return ok
 
 
-def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (asking, member), different, that the bound allows; found level by level in an R-tree packed over members."""
+def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
+    """Pairs (asking, member), different, that the bound allows, all of an asking point at once; found level by level in an
+    R-tree packed over members."""
     order = members[np.lexsort((p.vec[members, 0], p.n[members] // 4))]
     levels = []
     low, high, top = p.n[order], p.n[order], p.counts(order)
@@ -190,7 +191,6 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray) -> tuple[np.
         if len(low) == 1:
             break
         fan = FAN
-    out_a, out_b = [], []
     for block in np.array_split(asking, len(asking) * len(members) // 1_000_000 + 1):  # so many pairs at a time at most
         q, node = block, np.zeros(len(block), np.int64)
         for depth in range(len(levels) - 1, -1, -1):
@@ -207,18 +207,15 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray) -> tuple[np.
             node = (node[:, None] * fan + np.arange(fan)).ravel()
             q, node = q[node < below], node[node < below]
         member = order[node]
-        for x in np.array_split(np.arange(len(q)), len(q) // 200_000 + 1):
-            a, b = q[x], member[x]
-            ok = a != b
-            ok[ok] = p.fits(a[ok], b[ok])
-            out_a.append(a[ok])
-            out_b.append(b[ok])
-    return np.concatenate(out_a), np.concatenate(out_b)
+        ok = q != member
+        ok[ok] = p.fits(q[ok], member[ok])
+        yield q[ok], member[ok]
 
 
 def _candidates(num: int, den: int, first: bool):
-    """Pairs within each key's tree. first: members fitting the tree's smallest are tried against it only, and the key
-    is told when that leaves pairs out. Otherwise: all pairs of different components."""
+    """Pairs within each key's tree. first: for each member the first that the bound allows, members fitting the tree's
+    smallest being tried against it only; where that leaves pairs out, the key is told (loose). Otherwise: all pairs of
+    different components that also hold at the fine resolution."""
 
     def run(batches):
         t = C.whole(batches)
@@ -235,52 +232,63 @@ def _candidates(num: int, den: int, first: bool):
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
         lead = np.repeat(local[starts], sizes)
-        codes, loose = [], []
+        pairs, loose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
 
-        def put(a, b):
-            ok = a != b
-            if not first:
-                ok &= root[a] != root[b]
-            a, b = a[ok], b[ok]
-            codes.append(np.unique(np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)))
+        def code(a, b):
+            return np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)
+
+        def fits(a, b):
+            u, back = np.unique(code(a, b), return_inverse=True)
+            return p.fits(u >> 32, u & 0xFFFFFFFF)[back] if len(u) else np.zeros(0, bool)
 
         attached = np.zeros(len(key), bool)
         if first:
-            code = lead.astype(np.int64) << 32 | local
-            u, back = np.unique(code, return_inverse=True)
-            a, b = u >> 32, u & 0xFFFFFFFF
-            attached = (p.fits(a, b))[back]
-            inner = attached & (local != lead)
-            put(lead[inner], local[inner])
-            loose = np.unique(key[starts][np.add.reduceat(inner.astype(np.int64), starts) >= 2])
+            attached = fits(lead, local) & (lead != local)
+            pairs.append(np.unique(code(lead[attached], local[attached])))
+            loose.append(key[starts][np.add.reduceat(attached.astype(np.int64), starts) >= 2])
         for s in range(3 if first else 2, LEAF + 1):
-            rows = starts[sizes == s][:, None] + np.arange(s)
-            if not len(rows):
-                continue
-            i, j = np.triu_indices(s, 1)
-            a, b = rows[:, i].ravel(), rows[:, j].ravel()
-            open_ = ~(attached[a] & attached[b]) & (i > 0 if first else i >= 0)[None, :].repeat(len(rows), 0).ravel()
-            a, b = local[a[open_]], local[b[open_]]
-            put(a, b)
-        tested = []
-        u = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
-        a, b = u >> 32, u & 0xFFFFFFFF
-        ok = p.fits(a, b) if len(u) else np.zeros(0, bool)
-        tested.append(u[ok])
+            for rows in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // 1_000_000 + 1):
+                if not len(rows):
+                    continue
+                at = rows[:, None] + np.arange(s)
+                i, j = np.triu_indices(s, 1)
+                a, b = local[at[:, i]].ravel(), local[at[:, j]].ravel()
+                ok = (root[a] != root[b]) if not first else ~(attached[at[:, i]] & attached[at[:, j]]).ravel() & np.tile(i > 0, len(rows))
+                ok[ok] = fits(a[ok], b[ok])
+                if not first:
+                    pairs.append(np.unique(code(a[ok], b[ok])))
+                    continue
+                table = np.zeros((len(rows), s, s), bool)  # [group, j, i]: i comes first
+                table[np.repeat(np.arange(len(rows)), len(i)), np.tile(j, len(rows)), np.tile(i, len(rows))] = ok
+                g, j = np.nonzero(table.any(2))
+                pairs.append(np.unique(code(local[at[g, table[g, j].argmax(1)]], local[at[g, j]])))
+                loose.append(key[rows[(table.sum(2) + attached[at] >= 2).any(1)]])
         for g in np.flatnonzero(sizes > LEAF):
             rows = slice(starts[g], starts[g] + sizes[g])
             member = np.unique(local[rows])
             ask = np.unique(local[rows][~attached[rows]])
             if not first and len(np.unique(root[member])) < 2 or not len(ask):
                 continue
-            codes.clear()
-            put(*rtree_pairs(p, member, ask))
-            tested += codes
-        u = np.unique(np.concatenate(tested))
+            for a, b in rtree_pairs(p, member, ask):
+                ok = root[a] != root[b] if not first else np.ones(len(a), bool)
+                a, b = a[ok], b[ok]
+                if first and len(a):
+                    by = np.lexsort((b, a))
+                    a, b = a[by], b[by]
+                    new = np.concatenate([[True], a[1:] != a[:-1]])
+                    if not new.all():
+                        loose.append(key[starts[g] : starts[g] + 1])
+                    a, b = a[new], b[new]
+                pairs.append(np.unique(code(a, b)))
+        u, loose = np.unique(np.concatenate(pairs)), np.unique(np.concatenate(loose))
         a, b = u >> 32, u & 0xFFFFFFFF
         same = (digest[a] == digest[b]) & (p.n[a] == p.n[b])
+        if not first and len(u):
+            fine = one["fine"].to_pylist()
+            keep = same | np.array([(num + den) * fine_bound(fine[x], fine[y]) >= num * (p.n[x] + p.n[y]) for x, y in zip(a, b, strict=True)])
+            a, b, same = a[keep], b[keep], same[keep]
         none = pa.nulls(len(loose), pa.int64())
-        yield from C.batches_of(pa.table({"key": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(loose, pa.int64())]), "a": pa.concat_arrays([pa.array(nids[a], pa.int64()), none]), "b": pa.concat_arrays([pa.array(nids[b], pa.int64()), none]), "same": pa.concat_arrays([pa.array(same), pa.nulls(len(loose), pa.bool_())])}))
+        yield from C.batches_of(pa.table({"key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(loose, pa.int64())]), "a": pa.concat_arrays([pa.array(nids[a], pa.int64()), none]), "b": pa.concat_arrays([pa.array(nids[b], pa.int64()), none]), "same": pa.concat_arrays([pa.array(same), pa.nulls(len(loose), pa.bool_())])}))
 
     return run
 
@@ -374,13 +382,13 @@ def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int
     texts = _texts(small.select(F.col("a").alias("nid"), "root").union(small.select("b", "root")).distinct(), table, docs)
     rows = texts.select("root", "nid", none.alias("a"), none.alias("b"), "text").unionByName(small.select("root", none.alias("nid"), "a", "b", F.lit(None).cast("string").alias("text")))
     rows = rows.repartition("root").sortWithinPartitions("root", F.col("a").asc_nulls_first(), "b")
-    found = rows.mapInArrow(_verify_whole(k, num, den), "a long, b long").unionByName(pairs.where("same").select("a", "b"))
+    found = rows.mapInArrow(C.tidy(_verify_whole(k, num, den)), "a long, b long").unionByName(pairs.where("same").select("a", "b"))
     if big.isEmpty():
         return found
     parts = big.select("a", "b", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
     roles = parts.select(F.col("a").alias("nid"), "a", none.alias("b"), "salt").distinct().unionByName(parts.select(F.col("b").alias("nid"), "a", "b", "salt"))
     rows = _texts(roles, table, docs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return found.unionByName(rows.select("a", "b", "text").mapInArrow(_verify(k, num, den), "a long, b long"))
+    return found.unionByName(rows.select("a", "b", "text").mapInArrow(C.tidy(_verify(k, num, den)), "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -389,20 +397,20 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     hot = _frequent(docs.select("text"), k)
     table = C.stored(points(docs, k, num, den, hot))
     new = table.where("digest is not null")
-    keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(_shared, "key long, nid long"))
+    keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(C.tidy(_shared), "key long, nid long"))
     place = new.select("nid", "n", "point")
     schema = "key long, a long, b long, same boolean"
     tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
-    found = C.stored(tree.repartition("key").mapInArrow(_candidates(num, den, True), schema))
+    found = C.stored(tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, True)), schema))
     pairs = C.stored(_refined(C.stored(found.where("key is null").select("a", "b", "same").distinct()), table, num, den))
     links = C.stored(_links(pairs, table, docs, k, num, den))
     roots = C.stored(C.components(links))
     root_of = roots.select(F.col("node").alias("nid"), "root")
     loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(root_of, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    tree = loose.join(torn, "key", "left_semi").join(place, "nid")
-    more = tree.repartition("key").mapInArrow(_candidates(num, den, False), schema).where("key is null").select("a", "b", "same").distinct()
-    more = C.stored(_refined(C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti")), table, num, den))
+    tree = loose.join(torn, "key", "left_semi").join(new.select("nid", "n", "point", "fine"), "nid")
+    more = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
+    more = C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         roots = C.stored(C.components(links.unionByName(_links(more, table, docs, k, num, den))))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))

@@ -67,7 +67,7 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             at = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at])], ["lang", "gram", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    rows = sample.mapInArrow(C.tidy(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     out = np.full((len(langs), CLASSES**ORDER), ALPHA)
     lang, gram, n = rows["lang"].to_numpy(zero_copy_only=False), rows["gram"].to_numpy(), rows["n"].to_numpy()
     for k, name in enumerate(langs):
@@ -98,7 +98,7 @@ def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray, markup:
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), values], [*names, "evidence"])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, evidence array<double>")
+    return rows.mapInArrow(C.tidy(run), f"{schema}, evidence array<double>")
 
 
 def posterior(scores: Column) -> Column:

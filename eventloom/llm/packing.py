@@ -156,7 +156,7 @@ def encoded(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                     chunks += full
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, task long, doc_tokens long, rest int, rank long, chunk long, sums array<long>, tail binary")
+    return docs.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, task long, doc_tokens long, rest int, rank long, chunk long, sums array<long>, tail binary")
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("task", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.int32()), ("rank", pa.int64()), ("chunk", pa.int64()), ("sums", pa.list_(pa.int64())), ("tail", pa.binary())])
@@ -194,4 +194,4 @@ def pack(docs: DataFrame, path: str, window: int = WINDOW) -> DataFrame:
                 names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [[]] * 7)], names)
 
-    return joined.select("doc_id", "task", "doc_tokens", "rest", "rank", "chunk", "sums", "tail", "skip").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return joined.select("doc_id", "task", "doc_tokens", "rest", "rank", "chunk", "sums", "tail", "skip").mapInArrow(C.tidy(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

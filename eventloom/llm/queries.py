@@ -11,6 +11,7 @@ from .chat_format import digests, format_conversations
 from .decontaminate import matches
 from .html_text import main_texts
 from .jaccard_join import jaccard_join
+from .common import modest
 from . import pii, quality
 from .language_id import languages
 from .neighbours import nearest
@@ -19,6 +20,7 @@ from .repeats import repeats
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -306,15 +306,15 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tie": F.pmod(F.xxhash64("text"), F.lit(1 << 14))})
-    found = docs.select("doc", "tie", "text").mapInArrow(_collect(least, gram), ROW)
-    settled = C.stored(found.repartition("h").mapInArrow(_settle, ROW))
+    found = docs.select("doc", "tie", "text").mapInArrow(C.tidy(_collect(least, gram)), ROW)
+    settled = C.stored(found.repartition("h").mapInArrow(C.tidy(_settle), ROW))
     listed = settled.where("kind = 2").groupBy("doc", F.shiftright("place", _AT).alias("tie")).agg(F.collect_list(F.struct("h", "place", "clip")).alias("wanted"))
     open_ = docs.select("doc", "tie", "text").join(listed, ["doc", "tie"]).select("doc", "text", "wanted")
-    open_ = open_.mapInArrow(_contexts, "h long, doc long, place long, clip int, bytes binary")
-    more = C.stored(open_.repartition("h").mapInArrow(_transform(least), ROW))
+    open_ = open_.mapInArrow(C.tidy(_contexts), "h long, doc long, place long, clip int, bytes binary")
+    more = C.stored(open_.repartition("h").mapInArrow(C.tidy(_transform(least)), ROW))
     spans = settled.where("kind = 1").unionByName(more)
     place = F.col("place").bitwiseAND(F.lit((1 << _AT) - 1))
     spans = spans.groupBy("doc", F.shiftright("place", _AT).alias("tie")).agg(F.collect_list(F.struct(place.alias("start"), F.col("clip").alias("length"))).alias("spans"))
     rows = docs.join(spans, ["doc", "tie"], "left")
     copy = F.row_number().over(Window.partitionBy("doc", "tie").orderBy("text"))
-    return rows.withColumn("copy", copy).select("doc_id", "text", "spans", "copy").mapInArrow(_finish(least), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.withColumn("copy", copy).select("doc_id", "text", "spans", "copy").mapInArrow(C.tidy(_finish(least)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
