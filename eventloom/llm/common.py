@@ -32,7 +32,25 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that stored() wrote; nothing may read them any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._stored_at)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: Rows of a key table that a semi-join may broadcast.
+BROADCAST_KEYS = 2_000_000
+
+
+def having(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Semi-join on the columns of a stored table of keys: broadcast up to BROADCAST_KEYS rows, by shuffle beyond."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns, "left_semi")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -181,7 +199,8 @@ def components(edges: DataFrame) -> DataFrame:
         small_m = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_m, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(small_m.select("u", F.col("m").alias("v"))).distinct()
-        e = stored(small)
+        before, e = e, stored(small)
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if now == last:
             break

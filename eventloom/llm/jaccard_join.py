@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ SAMPLE_DOCS, HOT_KEYS, HOT_SHARE = 4000, 1 << 16, 500
 #: Parts among which the pairs of one first member are dealt.
 SALTS = 16
 #: Shingles of a component of candidates that one task may hold.
-WHOLE = 8_000_000
+WHOLE = 12_000_000
 
 
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
@@ -215,7 +216,7 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
 def _candidates(num: int, den: int, first: bool):
     """Pairs within each key's tree. first: for each member the first that the bound allows, members fitting the tree's
     smallest being tried against it only; where that leaves pairs out, the key is told (loose). Otherwise: all pairs of
-    different components that also hold at the fine resolution."""
+    different components that were not tried."""
 
     def run(batches):
         t = C.whole(batches)
@@ -284,8 +285,12 @@ def _candidates(num: int, den: int, first: bool):
         a, b = u >> 32, u & 0xFFFFFFFF
         same = (digest[a] == digest[b]) & (p.n[a] == p.n[b])
         if not first and len(u):
-            fine = one["fine"].to_pylist()
-            keep = same | np.array([(num + den) * fine_bound(fine[x], fine[y]) >= num * (p.n[x] + p.n[y]) for x, y in zip(a, b, strict=True)])
+            lists = one["tried"].combine_chunks()
+            member = pc.list_parent_indices(lists).to_numpy()
+            partner = lists.flatten().to_numpy()
+            place = np.minimum(np.searchsorted(nids, partner), len(nids) - 1)
+            here = nids[place] == partner
+            keep = ~np.isin(u, code(place[here], member[here]))
             a, b, same = a[keep], b[keep], same[keep]
         none = pa.nulls(len(loose), pa.int64())
         yield from C.batches_of(pa.table({"key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(loose, pa.int64())]), "a": pa.concat_arrays([pa.array(nids[a], pa.int64()), none]), "b": pa.concat_arrays([pa.array(nids[b], pa.int64()), none]), "same": pa.concat_arrays([pa.array(same), pa.nulls(len(loose), pa.bool_())])}))
@@ -368,6 +373,53 @@ def _verify_whole(k: int, num: int, den: int):
     return run
 
 
+def _join_torn(k: int, num: int, den: int):
+    """Rows by family: texts of a family with the components that links found so far make; gives links between different
+    components, enough to join all that link. A text is bounded against all texts of other components by fine counts, and
+    survivors are verified, the closest first."""
+    bits = 9
+
+    def solve(sets: list[np.ndarray], nids: list[int], roots: list[int]):
+        if len(set(roots)) < 2:
+            return
+        comp = np.unique(np.array(roots), return_inverse=True)[1]
+        n = np.array([len(s) for s in sets])
+        counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535) for s in sets]).astype(np.uint16)
+        for x in range(len(sets)):
+            others = np.flatnonzero((comp != comp[x]) & (num * np.maximum(n, n[x]) <= den * np.minimum(n, n[x])))
+            bounds = [np.minimum(counts[o], counts[x]).sum(1, dtype=np.int64) for o in np.array_split(others, len(others) // 4096 + 1)]
+            bound = np.concatenate(bounds)
+            ok = (num + den) * bound >= num * (n[others] + n[x])
+            others, bound = others[ok], bound[ok]
+            for y in others[np.argsort(-bound, kind="stable")]:
+                if comp[y] == comp[x]:
+                    continue
+                at = np.minimum(np.searchsorted(sets[x], sets[y]), n[x] - 1)
+                both = int((sets[x][at] == sets[y]).sum())
+                if (num + den) * both >= num * (n[x] + n[y]):
+                    comp[comp == comp[y]] = comp[x]
+                    yield nids[x], nids[y]
+
+    def run(batches):
+        now, sets, nids, roots, out = None, [], [], [], []
+        for b in batches:
+            family, nid, root = (c.to_numpy() for c in b.columns[:3])
+            for i, data, offsets in C.text_blocks(b.column(3)):
+                h, d = C.distinct_shingles(data, offsets, k)
+                ends = np.searchsorted(d, np.arange(len(offsets)))
+                for r in range(len(offsets) - 1):
+                    if family[i + r] != now:
+                        out += solve(sets, nids, roots)
+                        now, sets, nids, roots = family[i + r], [], [], []
+                    sets.append(h[ends[r] : ends[r + 1]].copy())
+                    nids.append(nid[i + r])
+                    roots.append(root[i + r])
+        out += solve(sets, nids, roots)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    return run
+
+
 def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(a, b): links among the stored pairs (a, b, same), enough for the components that all of them make.
 
@@ -402,17 +454,35 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     schema = "key long, a long, b long, same boolean"
     tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
     found = C.stored(tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, True)), schema))
-    pairs = C.stored(_refined(C.stored(found.where("key is null").select("a", "b", "same").distinct()), table, num, den))
+    once = C.stored(found.where("key is null").select("a", "b", "same").distinct())
+    pairs = C.stored(_refined(once, table, num, den))
     links = C.stored(_links(pairs, table, docs, k, num, den))
     roots = C.stored(C.components(links))
-    root_of = roots.select(F.col("node").alias("nid"), "root")
-    loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(root_of, "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    tree = loose.join(torn, "key", "left_semi").join(new.select("nid", "n", "point", "fine"), "nid")
-    more = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
-    more = C.stored(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = C.stored(C.components(links.unionByName(_links(more, table, docs, k, num, den))))
+    # trees that left pairs out, and that the links found leave in several components
+    loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("nid").alias("first")).where("x <> y").select("key", "first")
+    torn = C.stored(loose.join(torn, "key"))
+    family = C.components(torn.select(F.col("first").alias("a"), F.col("nid").alias("b"))).toDF("nid", "family")
+    family = torn.select("nid", "root").distinct().join(family, "nid").join(new.select("nid", "n"), "nid")
+    family = C.stored(family.join(family.groupBy("family").agg(F.sum("n").alias("weight")), "family"))
+    texts = _texts(family.where(F.col("weight") <= WHOLE).select("nid", "family", "root"), table, docs)
+    rows = texts.select("family", "nid", "root", "text").repartition("family").sortWithinPartitions("family", "nid")
+    more = C.stored(rows.mapInArrow(C.tidy(_join_torn(k, num, den)), "a long, b long"))
+    large = family.where(F.col("weight") > WHOLE).select("nid")
+    tried = once.groupBy(F.col("b").alias("nid")).agg(F.collect_list("a").alias("tried"))  # a few for each member of a tree
+    tree = torn.join(large, "nid", "left_semi").select("key", "nid", "root").join(place.join(tried, "nid", "left"), "nid")
+    rest = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
+    other = C.stored(rest.join(once.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = C.stored(_refined(other, table, num, den))
+    done = [keys, found, once, pairs, links, torn, family, more, other, rest]
+    if not (more.isEmpty() and rest.isEmpty()):
+        every = links.unionByName(more)
+        if not rest.isEmpty():
+            every = every.unionByName(_links(rest, table, docs, k, num, den))
+        done.append(roots)
+        roots = C.stored(C.components(every))
     rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    out = C.stored(rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
+    C.discard(*done, table, roots)
+    return out
