@@ -79,12 +79,14 @@ def search(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray,
     by = np.argsort(member, kind="stable")
     starts = np.searchsorted(member[by], np.arange(len(first) + 1))
     points = x[first]
-    forest = Forest(points, trees)
     columns = np.ascontiguousarray(points.T.astype(np.float64))
+    # one coordinate more makes all lengths equal: then the largest inner product has the smallest angle
+    squares = (columns**2).sum(axis=0)
+    forest = Forest(np.column_stack([points, np.sqrt(np.maximum(0, squares.max() - squares))]), trees)
     out = []
     rough, q32 = points.astype(np.float32), q.astype(np.float32)
-    size = np.sqrt((columns**2).sum(axis=0).max())
-    for i, found in enumerate(forest.candidates(q, max(least, int(share * len(points))))):
+    size = np.sqrt(squares.max())
+    for i, found in enumerate(forest.candidates(np.column_stack([q, np.zeros(len(q))]), max(least, int(share * len(points))))):
         if len(found) > k + 1:
             near = rough[found] @ q32[i]
             margin = 4e-7 * points.shape[1] * float(np.linalg.norm(q[i]) * size)
