@@ -4,7 +4,8 @@ Anchors shard the work. Of every LEAST-byte window, the GRAM-byte string with th
 have the same anchor at the same place, so repeats meet under their anchor's hash. An occurrence whose whole context (all
 windows that can contain the anchor) equals an earlier one's is a repeat altogether: those are settled by hashes of 64 bits
 of contexts, first in each task (before any shuffle, so a frequent passage makes one row a task), then under the anchor.
-Where different contexts stand under one anchor, one occurrence of each is taken to the transform: the contexts of a
+Where different contexts stand under one anchor and share a half of a window (as those that share a window do), one occurrence
+of each is taken to the transform: the contexts of a
 shuffle partition are laid end to end, and from their Burrows-Wheeler transform backward extension, breadth first, settles
 common prefixes by increasing length (a boundary between neighbours, extended by the byte before it, is a boundary one byte
 longer). It stops at LEAST: neighbours without a boundary share LEAST bytes. In each such interval all but the first
@@ -53,8 +54,11 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
-    """Of texts laid end to end: hash, context hash, text, place in it, context bytes before and after of each anchor."""
-    none = [np.zeros(0, C.U64)] * 2 + [np.zeros(0, np.int64)] * 4
+    """Of texts laid end to end: hash, context hash, halves, text, place in it, context bytes before and after of each anchor.
+
+    halves: 32 bits each of the hashes of the anchor with half of what a window has besides, before and after it; 0 where the
+    text ends within. Texts that share a window around the anchor share a half at least."""
+    none = [np.zeros(0, C.U64)] * 3 + [np.zeros(0, np.int64)] * 4
     n, width = len(data), least - gram + 1
     if n < least:
         return none
@@ -78,7 +82,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
     after = np.minimum(least, offsets[text + 1] - chosen)
     a, b = chosen - before, chosen + after
     context = C.mix((sums[b] - sums[a]) * inverse[a] + (before * 4096 + after).astype(C.U64) * C.U64(0xD6E8FEB86659FD93))
-    return h[chosen], context, text, chosen - offsets[text], before, after
+    half = (least - gram + 1) // 2
+    left, right = np.maximum(chosen - half, 0), np.minimum(chosen + gram + half, n)
+    left = np.where(before >= half, C.mix((sums[chosen + gram] - sums[left]) * inverse[left]) >> C.U64(32), C.U64(0))
+    right = np.where(after >= gram + half, C.mix((sums[right] - sums[chosen]) * inverse[chosen]) >> C.U64(32), C.U64(0))
+    return h[chosen], context, left << C.U64(32) | right, text, chosen - offsets[text], before, after
 
 
 def _firsts(h, context, doc, place):
@@ -107,29 +115,29 @@ def _spans(doc: np.ndarray, place: np.ndarray, length: np.ndarray):
     return doc[starts], place[starts], (reach[last] - base[starts] - at[starts])
 
 
-ROW = "kind int, h long, context long, doc long, place long, clip int"
+ROW = "kind int, h long, context long, halves long, doc long, place long, clip int"
 
 
-def _rows(kind, h, context, doc, place, clip) -> pa.Table:
-    cols = [np.full(len(doc), kind, np.int32), h.astype(C.U64).view(np.int64), context.astype(C.U64).view(np.int64), doc, place, clip.astype(np.int32)]
-    return pa.table(dict(zip(["kind", "h", "context", "doc", "place", "clip"], cols, strict=True)))
+def _rows(kind, h, context, halves, doc, place, clip) -> pa.Table:
+    cols = [np.full(len(doc), kind, np.int32), *(x.astype(C.U64).view(np.int64) for x in (h, context, halves)), doc, place, clip.astype(np.int32)]
+    return pa.table(dict(zip(["kind", "h", "context", "halves", "doc", "place", "clip"], cols, strict=True)))
 
 
 def _span_rows(doc, place, length) -> pa.Table:
     doc, place, length = _spans(doc, place, length)
-    return _rows(1, C.mix(doc.view(C.U64) ^ (place.view(C.U64) << C.U64(7))), np.zeros(len(doc)), doc, place, length)
+    return _rows(1, C.mix(doc.view(C.U64) ^ (place.view(C.U64) << C.U64(7))), np.zeros(len(doc)), np.zeros(len(doc)), doc, place, length)
 
 
 def _collect(least: int, gram: int):
     """kind 0: anchors, once for each context in a task's share; kind 1: spans that repeat within the share."""
 
     def flush(parts):
-        h, context, doc, place, clip = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, context, halves, doc, place, clip = (np.concatenate(x) for x in zip(*parts, strict=True))
         order, new = _firsts(h, context, doc, place)
-        h, context, doc, place, clip = (x[order] for x in (h, context, doc, place, clip))
+        h, context, halves, doc, place, clip = (x[order] for x in (h, context, halves, doc, place, clip))
         first = np.flatnonzero(new)[np.cumsum(new) - 1] if len(new) else new
         again = ~new & ((doc != doc[first]) | (place != place[first]))
-        yield from C.batches_of(_rows(0, h[new], context[new], doc[new], place[new], clip[new]))
+        yield from C.batches_of(_rows(0, h[new], context[new], halves[new], doc[new], place[new], clip[new]))
         yield from C.batches_of(_span_rows(doc[again], (place - clip // 4096)[again], (clip // 4096 + clip % 4096)[again]))
 
     def run(batches):
@@ -137,8 +145,8 @@ def _collect(least: int, gram: int):
         for b in batches:
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, data, offsets in C.text_blocks(b.column(2)):
-                h, context, text, place, before, after = anchors(data, offsets, least, gram)
-                parts.append((h, context, doc[i + text], (tie[i + text] << _AT) + place, before * 4096 + after))
+                h, context, halves, text, place, before, after = anchors(data, offsets, least, gram)
+                parts.append((h, context, halves, doc[i + text], (tie[i + text] << _AT) + place, before * 4096 + after))
                 count += len(h)
                 if count >= COMBINE:
                     yield from flush(parts)
@@ -158,43 +166,70 @@ def _settle(batches):
     kind = t["kind"].to_numpy()
     yield from C.batches_of(t.filter(pa.array(kind == 1)))
     t = t.filter(pa.array(kind == 0))
-    h, context, doc, place, clip = (t[c].to_numpy() for c in ("h", "context", "doc", "place", "clip"))
+    h, context, halves, doc, place, clip = (t[c].to_numpy() for c in ("h", "context", "halves", "doc", "place", "clip"))
     if not len(h):
         return
     order, new = _firsts(h.view(C.U64), context.view(C.U64), doc, place)
-    h, context, doc, place, clip = (x[order] for x in (h, context, doc, place, clip))
+    h, context, halves, doc, place, clip = (x[order] for x in (h, context, halves, doc, place, clip))
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     again = ~new & ((doc != doc[first]) | (place != place[first]))
     yield from C.batches_of(_span_rows(doc[again], (place - clip // 4096)[again], (clip // 4096 + clip % 4096)[again].astype(np.int64)))
-    starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    sizes = np.diff(np.append(starts, len(h)))
-    several = np.repeat(np.add.reduceat(new.astype(np.int64), starts) > 1, sizes) & new
-    yield from C.batches_of(_rows(2, h[several].view(C.U64), context[several].view(C.U64), doc[several], place[several], clip[several]))
-
-
-def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Suffixes of codes in order, by doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank, n, k = rank.astype(np.int64), len(codes), 1
+    h, context, halves, doc, place, clip = (x[new] for x in (h.view(C.U64), context.view(C.U64), halves.view(C.U64), doc, place, clip))
+    open_ = np.zeros(len(h), bool)
+    for half in (halves >> C.U64(32), halves & C.U64(0xFFFFFFFF)):  # contexts that share a half with another
+        by = np.lexsort((half, h))
+        same = (h[by][1:] == h[by][:-1]) & (half[by][1:] == half[by][:-1]) & (half[by][1:] != 0)
+        open_[by[1:][same]] = True
+        open_[by[:-1][same]] = True
+    yield from C.batches_of(_rows(2, *(x[open_] for x in (h, context, halves, doc, place, clip))))
+
+
+def suffix_order(codes: np.ndarray, separators: int) -> np.ndarray:
+    """Suffixes of codes in order. Codes below separators occur once each, ascending; others are bytes beyond them.
+
+    Seven symbols are sorted at once (a separator ends the comparison: those ties go by place); then lengths double, and only
+    suffixes still tied are sorted again."""
+    n, first = len(codes), 7
+    symbol = np.where(codes < separators, 0, codes - separators + 1)
+    key, alive = symbol.copy(), symbol > 0
+    for i in range(1, first):
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - i] = symbol[i:]
+        key = key << 9 | np.where(alive, ahead, 0)
+        alive &= ahead > 0
+    order = np.argsort(key, kind="stable")
+    s = key[order]
+    new = np.ones(n, bool)
+    new[1:] = (s[1:] != s[:-1]) | ~alive[order][1:]
+    rank = np.empty(n, np.int64)
+    k = first
+    slots, starts = np.arange(n), new
     while True:
-        key = rank * (n + 1)
-        key[:-k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        s = key[order]
-        new = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        if new[-1] == n - 1 or k >= n:
+        # a rank is the slot where its group starts
+        head = np.maximum.accumulate(np.where(starts, slots, -1))
+        rank[order[slots]] = head
+        tied = ~starts
+        tied[:-1] |= ~starts[1:]
+        slots, head = slots[tied], head[tied]
+        if not len(slots) or k >= n:
             return order
+        at = order[slots]
+        behind = np.where(at + k < n, rank[np.minimum(at + k, n - 1)] + 1, 0)
+        key = head * (n + 1) + behind
+        by = np.argsort(key, kind="stable")
+        order[slots] = at[by]
+        key = key[by]
+        starts = np.ones(len(key), bool)
+        starts[1:] = key[1:] != key[:-1]
         k *= 2
 
 
-def shared_prefixes(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def shared_prefixes(codes: np.ndarray, separators: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order, and whether each shares fewer than least codes with the one before it.
 
     Breadth-first backward extension: two neighbours of one first symbol are lcp + 1 apart from where the suffixes behind that
     symbol are lcp apart. Level by level, a boundary anywhere between those makes one here; levels end at least."""
-    order = suffix_order(codes)
+    order = suffix_order(codes, separators)
     n = len(order)
     place = np.empty(n + 1, np.int64)
     place[order] = np.arange(n)
@@ -226,7 +261,7 @@ def _transform(least: int):
         data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8).astype(np.int64) + len(raw)
         data[ends] = np.arange(len(raw))  # a separator of its own for each
         doc, place, clip = t["doc"].to_numpy(), t["place"].to_numpy(), t["clip"].to_numpy()
-        order, edge = shared_prefixes(data, least)
+        order, edge = shared_prefixes(data, len(raw), least)
         owner = np.repeat(np.arange(len(raw)), lengths + 1)
         inside = np.arange(len(data)) - np.repeat(ends - lengths, lengths + 1)
         group = np.cumsum(edge) - 1
