@@ -29,7 +29,7 @@ from . import common as C
 
 LEAST, GRAM = 100, 32
 #: Anchors that a task combines at a time, and bytes of contexts in one transform (a group of contexts is not cut).
-COMBINE, TRANSFORM_BYTES = 1 << 20, 2 << 20
+COMBINE, TRANSFORM_BYTES = 1 << 20, 1 << 18
 LAST = (1 << 63) - 1
 _AT = 40
 
