@@ -48,9 +48,14 @@ def discard(*tables: DataFrame) -> None:
 BROADCAST_KEYS = 2_000_000
 
 
+def sized(keys: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast where it has at most BROADCAST_KEYS rows; joins shuffle beyond."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
 def having(df: DataFrame, keys: DataFrame) -> DataFrame:
     """Semi-join on the columns of a stored table of keys: broadcast up to BROADCAST_KEYS rows, by shuffle beyond."""
-    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns, "left_semi")
+    return df.join(sized(keys), keys.columns, "left_semi")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

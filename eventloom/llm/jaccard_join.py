@@ -331,6 +331,7 @@ def _texts(roles: DataFrame, table: DataFrame, docs: DataFrame) -> DataFrame:
     place = table.where("digest is not null").select("nid", F.col("doc_id").alias("want_id"), "text_hash")
     roles = C.stored(roles.join(place, "nid"))
     of = C.likely(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", roles)
+    roles = C.sized(roles)
     return of.join(roles, of.doc_id.eqNullSafe(roles.want_id) & (of.text_hash == roles.text_hash)).drop("doc_id", "want_id", "text_hash")
 
 
@@ -428,7 +429,7 @@ def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int
     comp = C.components(pairs)
     weight = comp.join(table.where("digest is not null").select(F.col("nid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"))
     comp = C.stored(comp.join(weight, "root"))
-    open_ = C.stored(pairs.where("not same").join(comp.withColumnRenamed("node", "a"), "a"))
+    open_ = C.stored(pairs.where("not same").join(C.sized(comp.withColumnRenamed("node", "a")), "a"))
     small, big = open_.where(F.col("weight") <= WHOLE), open_.where(F.col("weight") > WHOLE)
     none = F.lit(None).cast("long")
     texts = _texts(small.select(F.col("a").alias("nid"), "root").union(small.select("b", "root")).distinct(), table, docs)
@@ -459,29 +460,30 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     links = C.stored(_links(pairs, table, docs, k, num, den))
     roots = C.stored(C.components(links))
     # trees that left pairs out, and that the links found leave in several components
-    loose = keys.join(found.where("key is not null").select("key"), "key", "left_semi").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    torn = loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("nid").alias("first")).where("x <> y").select("key", "first")
-    torn = C.stored(loose.join(torn, "key"))
+    told = C.stored(found.where("key is not null").select("key").distinct())
+    loose = C.having(keys, told).join(C.sized(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    split = C.stored(loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("nid").alias("first")).where("x <> y").select("key", "first"))
+    torn = C.stored(loose.join(C.sized(split), "key"))
     family = C.components(torn.select(F.col("first").alias("a"), F.col("nid").alias("b"))).toDF("nid", "family")
     family = torn.select("nid", "root").distinct().join(family, "nid").join(new.select("nid", "n"), "nid")
     family = C.stored(family.join(family.groupBy("family").agg(F.sum("n").alias("weight")), "family"))
     texts = _texts(family.where(F.col("weight") <= WHOLE).select("nid", "family", "root"), table, docs)
     rows = texts.select("family", "nid", "root", "text").repartition("family").sortWithinPartitions("family", "nid")
     more = C.stored(rows.mapInArrow(C.tidy(_join_torn(k, num, den)), "a long, b long"))
-    large = family.where(F.col("weight") > WHOLE).select("nid")
+    large = C.sized(family.where(F.col("weight") > WHOLE).select("nid"))
     tried = once.groupBy(F.col("b").alias("nid")).agg(F.collect_list("a").alias("tried"))  # a few for each member of a tree
     tree = torn.join(large, "nid", "left_semi").select("key", "nid", "root").join(place.join(tried, "nid", "left"), "nid")
     rest = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
     other = C.stored(rest.join(once.select("a", "b"), ["a", "b"], "left_anti"))
     rest = C.stored(_refined(other, table, num, den))
-    done = [keys, found, once, pairs, links, torn, family, more, other, rest]
+    done = [keys, found, once, pairs, links, told, split, torn, family, more, other, rest]
     if not (more.isEmpty() and rest.isEmpty()):
         every = links.unionByName(more)
         if not rest.isEmpty():
             every = every.unionByName(_links(rest, table, docs, k, num, den))
         done.append(roots)
         roots = C.stored(C.components(every))
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(C.sized(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = C.stored(rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
     C.discard(*done, table, roots)
