@@ -8,7 +8,8 @@ the pointwise mutual information log2(n_te N / (n_t n_e)) >= BITS. Disclosing te
 stand, outside base spans; sanitise() generalises every span to its kind's tag.
 
 Counts are hash aggregates with map-side combination; the list of disclosing terms is broadcast when it has at most
-BROADCAST_TERMS rows of at most TERM_CHARS characters, and joined by shuffle beyond.
+BROADCAST_TERMS rows of at most TERM_CHARS characters, and joined by shuffle beyond. So is the list of each text's
+disclosing terms, up to BROADCAST_BYTES; texts themselves then aren't shuffled.
 
 Null and empty texts have no spans; null and repeated ids are carried, a row each. Ties have no influence. Empty tables
 give no rows. Other columns are kept by sanitise() and ignored by spans().
@@ -23,7 +24,7 @@ from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, SUPPORT, SHARE, BITS = 60, 3, 0.5, 8.0
-TERM_CHARS, BROADCAST_TERMS = 64, 50_000
+TERM_CHARS, BROADCAST_TERMS, BROADCAST_BYTES = 64, 50_000, 32 << 20
 
 # The stated patterns, without backtracking into what can't match: the possessive forms and the guard on an email's first
 # character change no match and keep long runs linear.
@@ -128,8 +129,9 @@ def with_terms(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
     key = F.md5(F.col("text").cast("binary"))
     listed = F.broadcast(terms) if count <= BROADCAST_TERMS else terms
     words = docs.select(key.alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    of = words.join(listed, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    rows = with_spans.withColumn("text_key", key).join(of, "text_key", "left")
+    of = C.stored(words.join(listed, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
+    held = of.agg(F.sum(F.length("text_key") + F.length(F.array_join("terms", " ")) + 8 * F.size("terms"))).first()[0] or 0
+    rows = with_spans.withColumn("text_key", key).join(F.broadcast(of) if held <= BROADCAST_BYTES else of, "text_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))
     base = F.concat(*KINDS)
     free = F.filter(matches(F.col("text"), pattern), lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
