@@ -5,7 +5,7 @@ are a point. For two points the sum of the coordinates' minima bounds the overla
 same sum with the node's coordinate maxima bounds the overlap with anything below it. Pairs that survive are bounded again with
 more groups, in proportion to their shingles, and what survives that is verified on the sets.
 
-The R-trees are sharded: one for each key, where a text's keys are the first n - ceil(t n) + 1 of its shingles in one
+The R-trees are sharded: one for each set of texts that share a key, where a text's keys are the first n - ceil(t n) + 1 of its shingles in one
 global order (any order is right; shingles that a bounded sample shows to be frequent come last, so that common passages
 make no shards). Two texts of similarity t share such a key, so each qualifying pair meets in some tree. Copies with the
 same set collapse inside a task before anything is shuffled; in a tree, members that the bound puts with the tree's
@@ -143,19 +143,28 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(C.tidy(run), "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, point binary, fine binary")
 
 
-def _shared(batches):
-    """Of a partition's (key, nid): the rows whose key another nid has as well."""
+def _trees(batches):
+    """Of a partition's (key, nid): the rows whose key another nid has as well. The key gives way to a hash of all its
+    members, so that keys of the same members name one tree (a collision only makes a tree larger)."""
     t = C.whole(batches)
     if t is None:
         return
-    key = t["key"].to_numpy()
+    key, nid = t["key"].to_numpy(), t["nid"].to_numpy()
     order = np.argsort(key, kind="stable")
-    k = key[order]
-    same = k[1:] == k[:-1]
-    keep = np.zeros(len(k), bool)
-    keep[1:] |= same
-    keep[:-1] |= same
-    yield from C.batches_of(t.take(pa.array(order[keep])))
+    key, nid = key[order], nid[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    sizes = np.diff(np.append(starts, len(key)))
+    tree = C.mix(np.add.reduceat(C.mix(~nid.view(C.U64)), starts) + sizes.astype(C.U64))
+    several = np.flatnonzero(sizes > 1)
+    chosen = np.zeros(len(starts), bool)
+    chosen[several[np.unique(tree[several], return_index=True)[1]]] = True
+    keep = np.repeat(chosen, sizes)
+    yield from C.batches_of(pa.table({"key": np.repeat(tree, sizes)[keep].view(np.int64), "nid": nid[keep]}))
+
+
+def _once(members: DataFrame) -> DataFrame:
+    """Rows of (key, nid, ...) without repeats, dealt by nid as the join that follows needs them."""
+    return members.repartition("nid").dropDuplicates(["key", "nid"])
 
 
 class Points:
@@ -450,10 +459,10 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     hot = _frequent(docs.select("text"), k)
     table = C.stored(points(docs, k, num, den, hot))
     new = table.where("digest is not null")
-    keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(C.tidy(_shared), "key long, nid long"))
+    keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(C.tidy(_trees), "key long, nid long"))
     place = new.select("nid", "n", "point")
     schema = "key long, a long, b long, same boolean"
-    tree = keys.join(place, "nid").withColumn("root", F.col("nid"))
+    tree = _once(keys).join(place, "nid").withColumn("root", F.col("nid"))
     found = C.stored(tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, True)), schema))
     once = C.stored(found.where("key is null").select("a", "b", "same").distinct())
     pairs = C.stored(_refined(once, table, num, den))
@@ -472,7 +481,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
     more = C.stored(rows.mapInArrow(C.tidy(_join_torn(k, num, den)), "a long, b long"))
     large = C.sized(family.where(F.col("weight") > WHOLE).select("nid"))
     tried = once.groupBy(F.col("b").alias("nid")).agg(F.collect_list("a").alias("tried"))  # a few for each member of a tree
-    tree = torn.join(large, "nid", "left_semi").select("key", "nid", "root").join(place.join(tried, "nid", "left"), "nid")
+    tree = _once(torn.join(large, "nid", "left_semi").select("key", "nid", "root")).join(place.join(tried, "nid", "left"), "nid")
     rest = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
     other = C.stored(rest.join(once.select("a", "b"), ["a", "b"], "left_anti"))
     rest = C.stored(_refined(other, table, num, den))
