@@ -53,18 +53,23 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
 
 
 def fine_counts(h: np.ndarray) -> bytes:
-    """Counts by a half to one times as many groups as there are shingles (a power of two, its exponent first)."""
+    """Counts by a half to one times as many groups as there are shingles (a power of two, its exponent first), compressed:
+    small counts hold about two bits each, and these are what candidates send."""
     bits = min(13, max(6, int(len(h)).bit_length() - 1))
     counts = np.bincount((C.mix(h) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
     # a count that a byte can't hold: one group for all, whose bound is the smaller size
-    return bytes([bits]) + counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else bytes([0])
+    return bytes([bits]) + pa.Codec("zstd").compress(counts.astype(np.uint8).tobytes(), asbytes=True) if counts.max(initial=0) < 256 else bytes([0])
+
+
+def _counts_of(fine: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(fine[1:], 1 << fine[0], asbytes=True), np.uint8).astype(np.int32)
 
 
 def fine_bound(a: bytes, b: bytes) -> float:
     """The sum of coordinate minima at the coarser of two resolutions."""
     if not a[0] or not b[0]:
         return float("inf")
-    x, y = np.frombuffer(a, np.uint8, offset=1).astype(np.int32), np.frombuffer(b, np.uint8, offset=1).astype(np.int32)
+    x, y = _counts_of(a), _counts_of(b)
     while len(x) > len(y):
         x = x[::2] + x[1::2]
     while len(y) > len(x):
