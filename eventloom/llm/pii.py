@@ -2,13 +2,14 @@
 
 All of it is DataFrame functions. Base spans (email, ip, card, phone) come from patterns. The values found are the
 protected entities. For each word t near an entity e (within CONTEXT characters, whole words), the corpus tells how
-strongly t reveals e: n_te counts the different contexts that have both (copies of a context count once), n_e those of
-e, n_t all occurrences of t in the corpus, N all words. t is disclosing when n_te >= SUPPORT, n_te / n_t >= SHARE and
-the pointwise mutual information log2(n_te N / (n_t n_e)) >= BITS. Disclosing terms are spans of kind "term" wherever they
-stand, outside base spans; sanitise() generalises every span to its kind's tag.
+strongly t reveals e. All counts are of different texts (copies of a text count once): n_te have t near e, n_e have e, n_t
+have t anywhere; N is the sum of n_t. Every pair is scored, however rare: t is disclosing when n_te / (n_t + PRIOR) >=
+SHARE and the smoothed pointwise mutual information log2(n_te N / ((n_t + PRIOR) n_e)) >= BITS. So a word that stands in
+one text only, beside an entity, discloses it. Disclosing terms are spans of kind "term" wherever they stand, outside base
+spans; sanitise() generalises every span to its kind's tag.
 
 Counts are hash aggregates with map-side combination; the list of disclosing terms is broadcast when it has at most
-BROADCAST_TERMS rows of at most TERM_CHARS characters, and joined by shuffle beyond. So is the list of each text's
+BROADCAST_TERMS rows of at most TERM_CHARS characters, and joined by shuffle beyond, behind a bitmap of bounded size. So is the list of each text's
 disclosing terms, up to BROADCAST_BYTES; texts themselves then aren't shuffled.
 
 Null and empty texts have no spans; null and repeated ids are carried, a row each. Ties have no influence. Empty tables
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, SHARE, BITS = 60, 3, 0.5, 8.0
+CONTEXT, PRIOR, SHARE, BITS = 60, 1, 0.5, 8.0
 TERM_CHARS, BROADCAST_TERMS, BROADCAST_BYTES = 64, 50_000, 32 << 20
 
 # The stated patterns, without backtracking into what can't match: the possessive forms and the guard on an email's first
@@ -90,33 +91,46 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def contexts(docs: DataFrame) -> DataFrame:
-    """(entity, context): what stands around each base span of docs(text, the kinds' columns), without the spans themselves."""
+    """(text_key, entity, context): what stands around each base span of docs(text, the kinds' columns), without the spans themselves."""
     def kinded(k):
         return F.transform(F.col(k), lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     every = F.concat(*[kinded(k) for k in KINDS])
-    rows = docs.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("text", F.explode(every).alias("s"))
+    rows = docs.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("text", F.xxhash64("text").alias("text_key"), F.explode(every).alias("s"))
     start, end = F.col("s.start"), F.col("s.end")
     low = F.greatest(start - CONTEXT, F.lit(0))
     before = F.substring(F.col("text"), low + 1, start - low)
     before = F.when(low > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
     after = F.regexp_replace(F.substring(F.col("text"), end + 1, F.lit(CONTEXT)), r"\S*$", "")
-    return rows.select(F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.lower(F.concat(before, F.lit(" "), after)).alias("context"))
+    return rows.select("text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.lower(F.concat(before, F.lit(" "), after)).alias("context"))
 
 
 def disclosing(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
     """(term): see the module. with_spans: docs with the kinds' columns."""
     near = C.stored(contexts(with_spans).distinct())
-    pairs = near.select("entity", F.explode(F.array_distinct(F.regexp_extract_all("context", F.lit(WORD), F.lit(0)))).alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= SUPPORT)
-    pairs = C.stored(pairs.join(near.groupBy("entity").agg(F.count("*").alias("n_e")), "entity"))
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("term"))
-    corpus = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    corpus = C.stored(corpus)
+    entities = C.stored(near.select("entity", "text_key").distinct().groupBy("entity").agg(F.count("*").alias("n_e")))
+    pairs = near.select("text_key", "entity", F.explode(F.regexp_extract_all("context", F.lit(WORD), F.lit(0))).alias("term")).distinct()
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te")).join(C.sized(entities), "entity")
+    # entities with the same counts are scored alike: a common word is a few rows
+    pairs = C.stored(pairs.select("term", "n_te", "n_e").distinct())
+    corpus = C.stored(_distinct_texts(docs).groupBy("term").agg(F.round(F.sum("share")).cast("long").alias("n_t")))
     total = corpus.agg(F.sum("n_t").alias("total"))
     scored = pairs.join(corpus, "term").crossJoin(F.broadcast(total))
-    bits = F.log2(F.col("n_te") * F.col("total") / (F.col("n_t") * F.col("n_e")))
-    return scored.where((F.col("n_te") / F.col("n_t") >= SHARE) & (bits >= BITS)).select("term").distinct()
+    seen = F.col("n_t") + PRIOR
+    bits = F.log2(F.col("n_te") * F.col("total") / (seen * F.col("n_e")))
+    return scored.where((F.col("n_te") / seen >= SHARE) & (bits >= BITS)).select("term").distinct()
+
+
+def _distinct_texts(docs: DataFrame) -> DataFrame:
+    """(term, share): each text's different words; the shares of a text's copies add up to 1."""
+    key = F.xxhash64("text")
+    copies = C.stored(docs.groupBy(key.alias("copy_key")).agg(F.count("*").alias("copies")).where("copies > 1"))
+    rows = docs.join(C.sized(copies), key == F.col("copy_key"), "left").select("text", (1 / F.coalesce("copies", F.lit(1))).alias("share"))
+    return rows.select("share", F.explode(_words()).alias("term"))
+
+
+def _words() -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))
 
 
 def with_terms(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
@@ -127,9 +141,11 @@ def with_terms(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
     if not count:
         return with_spans.withColumn("term", none)
     key = F.md5(F.col("text").cast("binary"))
-    listed = F.broadcast(terms) if count <= BROADCAST_TERMS else terms
-    words = docs.select(key.alias("text_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    of = C.stored(words.join(listed, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
+    words = docs.select(key.alias("text_key"), F.explode(_words()).alias("term"))
+    if count > BROADCAST_TERMS:
+        hashed = F.xxhash64("term")
+        words = C.likely(words.withColumn("h", hashed), "h", terms.select(hashed.alias("h"))).drop("h")
+    of = C.stored(words.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
     held = of.agg(F.sum(F.length("text_key") + F.length(F.array_join("terms", " ")) + 8 * F.size("terms"))).first()[0] or 0
     rows = with_spans.withColumn("text_key", key).join(F.broadcast(of) if held <= BROADCAST_BYTES else of, "text_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))

@@ -132,6 +132,20 @@ def test_pii_terms_and_text(spark):
     assert clean[0]["text"] == rows[0][1] and clean[None]["text"] is None
 
 
+def test_pii_scores_rare_terms_on_distinct_texts(spark, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, " ".join(words(r, 60))) for i in range(200)] + [(300, "one qwenda writes to al@x.org here")]
+    # copies count once: vrunto is near bo@x.org in one text, elsewhere in none; plimsk is elsewhere in two texts
+    rows += [(400 + i, "two vrunto plimsk writes to bo@x.org here") for i in range(5)] + [(500, "plimsk alpha"), (501, "plimsk beta")]
+    want = {300: ["qwenda"], **{400 + i: ["vrunto"] for i in range(5)}}
+    for most in (pii.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(pii, "BROADCAST_TERMS", most)
+        got = {x["doc_id"]: x["spans"] for x in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        for d, text in rows:
+            terms = [text[int(a) : int(b)] for k, a, b in (x.split(":") for x in got[d].split(",") if x) if k == "term"]
+            assert [t for t in terms if t in ("qwenda", "vrunto", "plimsk")] == want.get(d, [])
+
+
 def test_quality_joins_agree(spark):
     r = random.Random(2)
     good = [(i, " ".join(words(r, 50)), "en") for i in range(40)]
