@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Each benchmark item has a SimHash of its words and a bag of word shingles (weights: counts). In a document, every window of
-an item's length that shares a shingle with some item of that length is a window in question (a window that shares none has
-similarity 0); its SimHash is looked up in a multi-index: the 64 bits are cut into RADIUS + 1 blocks, fingerprints that
-differ in at most RADIUS bits agree in one block at least, so looking up each block finds all fingerprints within the
-radius. Pairs within the radius are verified: the weighted Jaccard similarity of the two bags of shingles, exactly.
+Each benchmark item has a SimHash of its words and a bag of word shingles (weights: counts). A document's windows for an item
+are all runs of the item's number of words. An item is found where the weighted Jaccard
+similarity of the two bags of shingles, taken exactly, is at least the threshold; windows of other lengths are not tried.
+Two ways lead to a window. SimHash: windows that share a shingle with some item of that length are looked up in a
+multi-index: the 64 bits are cut into RADIUS + 1 blocks, fingerprints that differ in at most RADIUS bits agree in one block
+at least, so looking up each block finds all fingerprints within the radius. Counts: every window with as many
+shared shingles as the threshold needs at least, so nothing is lost beyond the radius.
 
 Items travel to the tasks in blocks of a bounded number of words (ITEM_BLOCK); a larger benchmark takes several passes
 over the documents, no other way. Documents are not shuffled.
@@ -46,7 +48,7 @@ class Items:
     def __init__(self, rows: list[tuple[int, str]], k: int, radius: int = RADIUS):
         self.k, self.radius = k, radius
         self.by_length: dict[int, list[int]] = {}
-        self.ids, self.bags, prints, keys, lengths = [], [], [], [], []
+        self.ids, self.bags, prints, keys, lengths, owners = [], [], [], [], [], []
         for item_id, text in rows:
             data = np.frombuffer((text or "").encode(), np.uint8)
             offsets = np.array([0, len(data)])
@@ -57,14 +59,18 @@ class Items:
             self.by_length.setdefault(len(words), []).append(len(self.ids))
             keys.append(np.unique(h))
             lengths.append(np.full(len(keys[-1]), len(words)))
+            owners.append(np.full(len(keys[-1]), len(self.ids)))
             self.ids.append(item_id)
             self.bags.append(h)
             prints.append(fingerprints(words, np.array([0]), len(words))[0])
         self.prints = np.array(prints, C.U64)
         self.keys = np.concatenate(keys) if keys else np.zeros(0, C.U64)
         self.lengths = np.concatenate(lengths) if keys else np.zeros(0, np.int64)
+        self.owners = np.concatenate(owners) if keys else np.zeros(0, np.int64)
+        self.sizes = np.zeros(len(self.ids), np.int64)
+        self.sizes[self.owners] = self.lengths
         order = np.argsort(self.keys, kind="stable")
-        self.keys, self.lengths = self.keys[order], self.lengths[order]
+        self.keys, self.lengths, self.owners = self.keys[order], self.lengths[order], self.owners[order]
         cuts = np.linspace(0, 64, radius + 2).astype(int)
         self.blocks = [(C.U64(a), C.U64((1 << int(b - a)) - 1)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         self.index = {}
@@ -102,6 +108,26 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> Fraction:
     return Fraction(both, len(a) + len(b) - both)
 
 
+def countable(hit: np.ndarray, item: np.ndarray, text: np.ndarray, bounds: np.ndarray, items: Items, least: Fraction):
+    """(item, first, end) of every window, in words, that has enough shared shingles for the least similarity.
+
+    hit, item: where a shingle of the item begins."""
+    num, den, k = least.numerator, least.denominator, items.k
+    code = text[hit] * len(items.ids) + item
+    order = np.lexsort((hit, code))
+    code, hit = code[order], hit[order]
+    group, at, n = np.unique(code, return_index=True, return_counts=True)
+    wanted = items.sizes[group % len(items.ids)] - k + 1
+    for g in np.flatnonzero((n * den >= num * wanted) & (wanted > 0)):
+        d, j = divmod(int(group[g]), len(items.ids))
+        own, low, high, size = hit[at[g] : at[g] + n[g]], int(bounds[d]), int(bounds[d + 1]), int(items.sizes[j])
+        start = np.arange(low, high - size + 1)
+        first, end = np.maximum(start, low), np.minimum(start + size, high)
+        both = np.searchsorted(own, end - k, "right") - np.searchsorted(own, first, "left")
+        for w in np.unique(np.stack([first, end], 1)[both * (num + den) >= num * (end - first - k + 1 + wanted[g])], axis=0):
+            yield j, int(w[0]), int(w[1])
+
+
 def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -> dict[int, dict[int, tuple[Fraction, int]]]:
     """{text: {item: (best similarity, first word of such a window)}} of texts laid end to end."""
     found: dict[int, dict[int, tuple[Fraction, int]]] = {}
@@ -123,11 +149,22 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -
         at = np.minimum(np.searchsorted(items.keys, grams), len(items.keys) - 1)
         hits = np.flatnonzero((items.keys[at] == grams) & (text[:m] == text[k - 1 :]))
     windows: dict[int, list[np.ndarray]] = {}
+
+    def verify(j: int, s: int, bag: np.ndarray) -> None:
+        if (x := weighted_jaccard(bag, items.bags[j])) >= least:
+            d = int(text[s])
+            mine, first = found.setdefault(d, {}), s - int(bounds[d])
+            if j not in mine or (x, -first) > (mine[j][0], -mine[j][1]):
+                mine[int(j)] = (x, first)
+
     if len(hits):
         low, high = np.searchsorted(items.keys, grams[hits], "left"), np.searchsorted(items.keys, grams[hits], "right")
         n = high - low
         hit = np.repeat(hits, n)
-        length = items.lengths[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        key = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        length = items.lengths[key]
+        for j, first, end in countable(hit, items.owners[key], text, bounds, items, least):
+            verify(j, first, grams[first : end - k + 1])
         for size in np.unique(length):
             if size < k:
                 continue
@@ -151,11 +188,7 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -
             for i, j in zip(w, item, strict=True):
                 s = int(part[i])
                 bag = grams[s : s + size - k + 1] if size >= k else C.mix(np.array([np.add.reduce(words[s : s + size] * weight[:size]) + C.U64(size)])) >> C.U64(1)
-                if (x := weighted_jaccard(bag, items.bags[j])) >= least:
-                    d = int(text[s])
-                    mine, first = found.setdefault(d, {}), s - int(bounds[d])
-                    if j not in mine or (x, -first) > (mine[j][0], -mine[j][1]):
-                        mine[int(j)] = (x, first)
+                verify(int(j), s, bag)
     return found
 
 

@@ -103,6 +103,22 @@ def test_decontaminate(spark, docs):
     assert decontaminate.decontaminate(docs, items.where("false")).count() == docs.count()
 
 
+def test_decontaminate_beyond_the_radius():
+    r, k, beyond = random.Random(12), 5, 0
+    for _ in range(1500):
+        item = words(r, r.randint(60, 120))
+        at, n = r.choice([0, r.randrange(len(item)), len(item) - 8]), r.randint(4, 8)
+        copy = [*item[:at], *words(r, len(item[at : at + n])), *item[at + n :]]
+        a, b = (collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (item, copy))
+        both = (a & b).total()
+        text = " ".join(["x", *copy, "y"]).encode()
+        index = decontaminate.Items([(1, " ".join(item)), (2, " ".join(copy))], k)
+        beyond += 5 * both >= 4 * (2 * a.total() - both) and int(np.bitwise_count(index.prints[0] ^ index.prints[1])) > decontaminate.RADIUS
+        got = decontaminate.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]), index, decontaminate.Fraction(4, 5))
+        assert (0 in got[0]) == (5 * both >= 4 * (2 * a.total() - both))
+    assert beyond
+
+
 def reference_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
