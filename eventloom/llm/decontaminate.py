@@ -1,11 +1,12 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Each benchmark item has a SimHash of its words and a bag of word shingles (weights: counts). A document's windows for an item
-are all runs of the item's number of words. An item is found where the weighted Jaccard
+are all runs of the item's number of words, cut at the text's ends: a shorter text is a window as a whole, and a run that
+begins before the text or ends behind it counts with the words it has. An item is found where the weighted Jaccard
 similarity of the two bags of shingles, taken exactly, is at least the threshold; windows of other lengths are not tried.
-Two ways lead to a window. SimHash: windows that share a shingle with some item of that length are looked up in a
+Two ways lead to a window. SimHash: uncut windows that share a shingle with some item of that length are looked up in a
 multi-index: the 64 bits are cut into RADIUS + 1 blocks, fingerprints that differ in at most RADIUS bits agree in one block
-at least, so looking up each block finds all fingerprints within the radius. Counts: every window with as many
+at least, so looking up each block finds all fingerprints within the radius. Counts: every window, cut or not, with as many
 shared shingles as the threshold needs at least, so nothing is lost beyond the radius.
 
 Items travel to the tasks in blocks of a bounded number of words (ITEM_BLOCK); a larger benchmark takes several passes
@@ -121,7 +122,7 @@ def countable(hit: np.ndarray, item: np.ndarray, text: np.ndarray, bounds: np.nd
     for g in np.flatnonzero((n * den >= num * wanted) & (wanted > 0)):
         d, j = divmod(int(group[g]), len(items.ids))
         own, low, high, size = hit[at[g] : at[g] + n[g]], int(bounds[d]), int(bounds[d + 1]), int(items.sizes[j])
-        start = np.arange(low, high - size + 1)
+        start = np.arange(low - (size - k), high - k + 1)
         first, end = np.maximum(start, low), np.minimum(start + size, high)
         both = np.searchsorted(own, end - k, "right") - np.searchsorted(own, first, "left")
         for w in np.unique(np.stack([first, end], 1)[both * (num + den) >= num * (end - first - k + 1 + wanted[g])], axis=0):

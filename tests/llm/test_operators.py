@@ -111,7 +111,7 @@ def test_decontaminate_beyond_the_radius():
         copy = [*item[:at], *words(r, len(item[at : at + n])), *item[at + n :]]
         a, b = (collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) for w in (item, copy))
         both = (a & b).total()
-        text = " ".join(["x", *copy, "y"]).encode()
+        text = " ".join([*["x"] * 60, *copy, *["y"] * 60]).encode()
         index = decontaminate.Items([(1, " ".join(item)), (2, " ".join(copy))], k)
         beyond += 5 * both >= 4 * (2 * a.total() - both) and int(np.bitwise_count(index.prints[0] ^ index.prints[1])) > decontaminate.RADIUS
         got = decontaminate.find(np.frombuffer(text, np.uint8), np.array([0, len(text)]), index, decontaminate.Fraction(4, 5))
@@ -119,6 +119,37 @@ def test_decontaminate_beyond_the_radius():
     assert beyond
 
 
+def test_decontaminate_brute_force(spark):
+    r, k = random.Random(12), 5
+    items = [(i, words(r, n)) for i, n in enumerate([5, 6, 12, 30, 60, 3])]
+    docs = [(0, items[3][1][:-1]), (1, items[4][1][3:])]
+    for i in range(300):
+        item = list(r.choice(items)[1])
+        at, n = r.randrange(len(item)), r.randint(0, 8)
+        item[at : at + n] = words(r, len(item[at : at + n]))
+        cut = item[r.choice([0, 0, 1, 4]) : len(item) - r.choice([0, 0, 1, 4])]
+        docs.append((10 + i, words(r, r.choice([0, 0, 3, 20])) + cut + words(r, r.choice([0, 0, 3, 20]))))
+    items.append((6, ["same"] * 20))
+    docs += [(400, ["same"] * 18), (401, ["same"] * 40), (402, ["x", *["same"] * 17, "y"])]
+
+    def bag(w):
+        return collections.Counter(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else collections.Counter([tuple(w)])
+
+    want = {}
+    for d, w in docs:
+        for i, item in items:
+            for s in range(1 - len(item), len(w)):
+                a, b = bag(w[max(s, 0) : s + len(item)]), bag(item)
+                both = (a & b).total()
+                if 5 * both >= 4 * (a.total() + b.total() - both):
+                    want.setdefault(d, set()).add(i)
+                    break
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {x[0]: set(x[1]) for x in decontaminate.matches(df, bench).where("size(item_ids) > 0").select("doc_id", "item_ids").collect()}
+    assert {0, 1, 400} <= want.keys() and got == want
+
+
 def reference_spans(t):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
