@@ -5,8 +5,9 @@ language (FIT_DOCS per language at most). A text's log-likelihood is tempered to
 follow one another are not independent. To it are added the logarithms of
 - the declared language's likelihood given each language: a table counted over all rows, by text posteriors,
 - the address suffix's likelihood, counted likewise,
-- the host's prior: its own counts, smoothed towards its parent domain's, those towards the suffix's, and those towards
-  all rows' (each level holds SMOOTHING rows' weight of the level above); a row's own share is taken out first.
+- the host's prior: its own counts, smoothed towards its parent domain's, and those towards all rows' (each level holds
+  SMOOTHING rows' weight of the level above).
+From the suffix's and the host's counts a row's own share is taken out first.
 Counts are grouped aggregates of posteriors, combined map-side, so a host with a third of all rows is a row a task; they
 come back to the rows by equi-joins.
 
@@ -121,27 +122,29 @@ def identify(rows: DataFrame, langs: list[str]) -> DataFrame:
     whole = sum(x or 0.0 for x in total) or 1.0
     base = [((x or 0.0) + FLOOR) / (whole + FLOOR * n) for x in total]
 
-    def likelihood(key: str) -> DataFrame:
-        """For each value of a key: log P(value | language) - log P(value), smoothed."""
-        t = sums(key)
-        size = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
-        cells = [F.log((F.col("sums")[k] + FLOOR * F.lit(base[k])) / ((size + FLOOR) * F.lit(base[k]))) for k in range(n)]
-        return t.select(F.col(key).alias(f"{key}_key"), F.array(*cells).alias(f"{key}_likelihood"))
+    def likelihood(counts: Column) -> Column:
+        """Of a value with such counts: log P(value | language) - log P(value), smoothed."""
+        size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+        return F.array(*[F.log((counts[k] + FLOOR * F.lit(base[k])) / ((size + FLOOR) * F.lit(base[k]))) for k in range(n)])
 
-    out = rows
-    for key in ("declared", "suffix"):
-        out = out.join(likelihood(key), F.col(key).eqNullSafe(F.col(f"{key}_key")), "left").drop(f"{key}_key")
+    declared = sums("declared").select(F.col("declared").alias("declared_key"), likelihood(F.col("sums")).alias("declared_likelihood"))
+    out = rows.join(declared, F.col("declared").eqNullSafe(F.col("declared_key")), "left").drop("declared_key")
     for key in ("suffix", "domain", "host"):
         own = sums(key).select(F.col(key).alias(f"{key}_key"), F.col("sums").alias(f"{key}_sums"))
         out = out.join(own, F.col(key).eqNullSafe(F.col(f"{key}_key")), "left").drop(f"{key}_key")
+    def others(key: str) -> Column:
+        return F.zip_with(f"{key}_sums", "p", lambda s, p: F.greatest(s - p, F.lit(0.0)))
+
+    out = out.withColumn("suffix_others", others("suffix"))
+    out = out.withColumn("suffix_likelihood", F.when(F.col("suffix").isNull(), F.array(*[F.lit(0.0)] * n)).otherwise(likelihood(F.col("suffix_others"))))
     prior = F.array(*[F.lit(x) for x in base])
-    for key in ("suffix", "domain", "host"):
+    for key in ("domain", "host"):
         # without the row itself, weighted with the level above
-        counts, above = F.zip_with(f"{key}_sums", "p", lambda s, p: F.greatest(s - p, F.lit(0.0))), prior
+        counts, above = others(key), prior
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         out = out.withColumn(f"{key}_prior", F.when(F.col(key).isNull(), above).otherwise(_smoothed(counts, above, size)))
         prior = F.col(f"{key}_prior")
-    cells = [F.col("evidence")[k] + F.log(F.col("host_prior")[k]) + F.col("declared_likelihood")[k] for k in range(n)]
+    cells = [F.col("evidence")[k] + F.log(F.col("host_prior")[k]) + F.col("declared_likelihood")[k] + F.col("suffix_likelihood")[k] for k in range(n)]
     out = out.withColumn("fused", posterior(F.array(*cells)))
     names = F.array(*[F.lit(x) for x in langs])
     best = F.array_max("fused")

@@ -299,3 +299,19 @@ def test_language_id(spark):
     by_page = {x["page_id"]: x["language"] for x in got if x["page_id"] is not None}
     assert len(got) == len(docs) + 1 + len(pages) and all(by_page[i] == lang for i, lang in enumerate(["en", "en", "de"] * 8))
     assert sum(x["language"] == d[2] for x in got if x["doc_id"] is not None for d in docs if d[0] == x["doc_id"]) == len(docs)
+
+
+def test_language_id_suffix(spark):
+    r = random.Random(8)
+    vocabulary = {"en": "the and with that from".split(), "de": "der und nicht einer schon".split()}
+
+    def text(lang):
+        return " ".join(r.choice(vocabulary[lang]) for _ in range(40))
+
+    docs = [(i, text(lang), lang, "s") for i, lang in enumerate(["en", "de"] * 30)]
+    pages = [(i, "http://mixed.test/", f"<p>{text(lang)}</p>") for i, lang in enumerate(["en", "de"] * 20)]
+    pages += [(100 + i, f"http://h{i}.{'test' if lang == 'de' else 'other'}/", f"<p>{text(lang)}</p>") for i, lang in enumerate(["en", "de"] * 40)] + [(900, "http://mixed.test/", "")]
+    got = language_id.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), spark.createDataFrame(pages, "page_id long, url string, html string"))
+    x = got.where("page_id = 900").first()
+    # the host has as many rows of either language; its suffix speaks for one
+    assert x["language"] == "de" and x["posterior"] > 0.65
