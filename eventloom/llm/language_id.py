@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 The text model is naive Bayes over 4-grams of character classes of the lower-cased text, fitted on a bounded sample of documents with a known
-language (FIT_DOCS per language at most). A text's log-likelihood is tempered to that of TEXT_GRAMS grams, as grams that
+language (FIT_DOCS per language at most). Every language that has labelled text is fitted; tables go to the texts in blocks
+of LANG_BLOCK languages, a pass over the texts for each block. A text's log-likelihood is tempered to that of TEXT_GRAMS grams, as grams that
 follow one another are not independent. To it are added the logarithms of
 - the declared language's likelihood given each language: a table counted over all rows, by text posteriors,
 - the address suffix's likelihood, counted likewise,
@@ -30,20 +31,22 @@ from pyspark.sql import functions as F
 from . import common as C
 from .quality import CLASSES, ORDER, grams
 
-FIT_DOCS, MAX_LANGS = 500, 16
+FIT_DOCS, LANG_BLOCK = 500, 16
 TEXT_GRAMS, ALPHA, SMOOTHING, FLOOR = 60.0, 0.05, 5.0, 0.5
 
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and, for each, the log-likelihood of every gram; from at most FIT_DOCS documents of each language."""
-    known = docs.where("lang is not null and lang <> '' and length(text) > 0")
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r[0] for r in counts)
-    if not langs:
-        return [], np.zeros((0, CLASSES**ORDER), np.float32)
+def labelled(docs: DataFrame) -> DataFrame:
+    return docs.where("lang is not null and lang <> '' and length(text) > 0")
+
+
+def fit(docs: DataFrame, counts: list) -> np.ndarray:
+    """For each (language, number of labelled documents), the log-likelihood of every gram; from at most FIT_DOCS documents
+    of each language."""
+    langs = [r[0] for r in counts]
+    known = labelled(docs).where(F.col("lang").isin(langs))
     share = {r[0]: min(1.0, 2 * FIT_DOCS / r[1]) for r in counts}
     least = F.lit(0.0)
     for lang, x in share.items():
@@ -73,33 +76,33 @@ def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     lang, gram, n = rows["lang"].to_numpy(zero_copy_only=False), rows["gram"].to_numpy(), rows["n"].to_numpy()
     for k, name in enumerate(langs):
         out[k, gram[lang == name]] += n[lang == name]
-    return langs, np.log(out / out.sum(1, keepdims=True)).astype(np.float32)
+    return np.log(out / out.sum(1, keepdims=True)).astype(np.float32)
 
 
-def text_evidence(rows: DataFrame, langs: list[str], table: np.ndarray, markup: bool) -> DataFrame:
-    """rows with evidence: array of tempered log-likelihoods by language, in place of the column text."""
+def text_evidence(rows: DataFrame, table: np.ndarray, markup: bool, name: str, last: bool) -> DataFrame:
+    """rows with the array name: tempered log-likelihoods by the table's languages; after the last pass without text."""
+    n_langs = len(table)
     shared = rows.sparkSession.sparkContext.broadcast(table)
-    names = [c for c in rows.columns if c != "text"]
+    names = [c for c in rows.columns if c != "text" or not last]
 
     def run(batches):
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
             if markup:
                 column = pa.array([html.unescape(MARKUP.sub(" ", x)) if x else x for x in column.to_pylist()], pa.string())
-            out = np.zeros((b.num_rows, len(langs)))
+            out = np.zeros((b.num_rows, n_langs))
             for i, codes, n in grams(pc.utf8_lower(column)):
                 some = np.flatnonzero(n)
                 if len(some):
                     starts = (np.cumsum(n) - n)[some]
-                    for k in range(len(langs)):
+                    for k in range(n_langs):
                         s = np.add.reduceat(shared.value[k][codes].astype(np.float64), starts)
                         out[i + some, k] = s * np.minimum(1.0, TEXT_GRAMS / n[some])
-            out -= out.max(1, keepdims=True)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, len(langs), dtype=np.int32)), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), values], [*names, "evidence"])
+            values = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, n_langs, dtype=np.int32)), pa.array(out.ravel()))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), values], [*names, name])
 
     schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names)
-    return rows.mapInArrow(C.tidy(run), f"{schema}, evidence array<double>")
+    return rows.mapInArrow(C.tidy(run), f"{schema}, {name} array<double>")
 
 
 def posterior(scores: Column) -> Column:
@@ -166,7 +169,9 @@ def languages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     """One row for each page and document: page_id or doc_id, language, posterior, text_language, declared, host.
 
     A document's declared language is its lang, its host its source."""
-    langs, table = fit(documents.select("doc_id", "lang", "text"))
+    texts = documents.select("doc_id", "lang", "text")
+    counts = sorted(labelled(texts).groupBy("lang").count().collect())
+    langs = [r[0] for r in counts]
     host, domain, suffix = address(F.col("url").cast("string"))
     declared = F.lower(F.regexp_extract("html", DECLARED, 1))
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.lit(None).cast("long").alias("doc_id"), F.when(F.length(declared) > 0, declared).alias("declared"), suffix.alias("suffix"), domain.alias("domain"), host.alias("host"), F.col("html").alias("text"))
@@ -175,5 +180,15 @@ def languages(documents: DataFrame, pages: DataFrame) -> DataFrame:
     if not langs:
         both = p.unionByName(d)
         return both.select("page_id", "doc_id", none.alias("language"), F.lit(None).cast("double").alias("posterior"), none.alias("text_language"), "declared", "host")
-    rows = text_evidence(p, langs, table, True).unionByName(text_evidence(d, langs, table, False))
+    parts, blocks = [p, d], [counts[i : i + LANG_BLOCK] for i in range(0, len(counts), LANG_BLOCK)]
+    for i, block in enumerate(blocks):
+        table, before = fit(texts, block), parts
+        parts = [text_evidence(x, table, markup, f"evidence{i}", i == len(blocks) - 1) for x, markup in zip(before, (True, False), strict=True)]
+        if len(blocks) > 1:  # a block's tables are done with before the next block's
+            parts = [C.stored(x) for x in parts]
+            if i:
+                C.discard(*before)
+    names = [f"evidence{i}" for i in range(len(blocks))]
+    raw = F.concat(*names)
+    rows = parts[0].unionByName(parts[1]).withColumn("evidence", F.transform(raw, lambda x: x - F.array_max(raw))).drop(*names)
     return identify(rows, langs).select("page_id", "doc_id", "language", "posterior", "text_language", "declared", "host")

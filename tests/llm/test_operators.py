@@ -315,3 +315,14 @@ def test_language_id_suffix(spark):
     x = got.where("page_id = 900").first()
     # the host has as many rows of either language; its suffix speaks for one
     assert x["language"] == "de" and x["posterior"] > 0.65
+
+
+def test_language_id_many_languages(spark):
+    r = random.Random(3)
+    names = [f"x{chr(97 + i)}" for i in range(18)]
+    vocabulary = {name: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for name in names}
+    docs = [(i, " ".join(r.choice(vocabulary[names[i % 18]]) for _ in range(30)), names[i % 18], "s") for i in range(72)]
+    pages = spark.createDataFrame([(1, "http://a.b/", f"<p>{docs[17][1]}</p>")], "page_id long, url string, html string")
+    got = language_id.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), pages).collect()
+    assert {x["doc_id"]: x["language"] for x in got if x["doc_id"] is not None} == {d[0]: d[2] for d in docs}
+    assert [x["language"] for x in got if x["page_id"] == 1] == [names[17]]
