@@ -6,8 +6,9 @@ probabilities come from joins of these count tables on (lang, context) and (lang
 have at most CLASSES ** ORDER grams, so a language's finished table has a proven size bound (10 MB as float32), and at
 most MAX_LANGS languages have tables (the rest share the pooled table ""), so the tables travel to the documents, which
 are not shuffled for scoring; score_by_joins() is the other way: sharded joins of the documents' gram counts.
-A document's perplexity is compared with its language's threshold: the quantile q of trusted text's perplexity there,
-times a slack.
+A document's perplexity is compared with its language's threshold: the quantile q of trusted text's perplexity there, each
+trusted text scored by a model of the other half of trusted text (halves by a hash of the text), as a model is surer of its
+own text than of any other. Where a half has no text, the full model scores.
 
 Nulls: a null or empty text has no perplexity and is rejected; a null, rare or unknown language uses the pooled table.
 Repeated rows and ids are scored each. Ties with the threshold are kept. Without trusted text every document that has
@@ -19,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,7 +29,7 @@ from . import common as C
 ORDER, CLASSES = 4, 40
 #: Languages with tables of their own: the most frequent in trusted text, of MIN_TEXTS texts at least.
 MAX_LANGS, MIN_TEXTS = 16, 5
-QUANTILE, SLACK = 0.99, 1.25
+QUANTILE = 0.99
 
 
 def _class_table() -> np.ndarray:
@@ -155,9 +156,17 @@ def trusted_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return C.stored(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct())
 
 
+def half() -> Column:
+    """0 or 1 by text, so copies are in the same half."""
+    return F.pmod(F.xxhash64("text"), F.lit(2))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of the trusted rows of docs(doc_id, lang, text) by labels(doc_id, quality, toxic); None without any."""
-    good = trusted_ids(docs, labels)
+    return _fit(docs, trusted_ids(docs, labels))
+
+
+def _fit(docs: DataFrame, good: DataFrame) -> Model | None:
     trusted = C.having(docs.where("length(text) > 0").select("doc_id", "lang", "text"), good)
     slim = C.having(docs.where("length(text) > 0").select("doc_id", "lang"), good)
     found = slim.groupBy("lang").count().where("lang is not null and lang <> ''").orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
@@ -213,17 +222,30 @@ def score_by_joins(docs: DataFrame, model: Model, key: str) -> DataFrame:
     return rows.groupBy("key").agg(F.exp(F.sum(-F.log(p) * F.col("n")) / F.sum("n")).alias("perplexity")).withColumnRenamed("key", key)
 
 
-def thresholds(scored: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK) -> dict[str, float]:
-    """model_lang -> threshold, of scored(doc_id, model_lang, perplexity)."""
-    rows = C.having(scored.where("perplexity is not null"), trusted_ids(scored, labels))
-    own = rows.groupBy("model_lang").agg(F.percentile_approx("perplexity", q, 10000).alias("x")).collect()
-    found = {r[0]: r[1] * slack for r in own}
+def held_out(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
+    """(model_lang, perplexity) of the trusted rows, each by a model of the other half."""
+    good = trusted_ids(docs, labels)
+    own = C.stored(C.having(docs.where("length(text) > 0").select("doc_id", "lang", "text"), good).withColumn("half", half()))
+    out = None
+    for i in (0, 1):
+        other = _fit(own.where(F.col("half") == 1 - i).drop("half"), good) or model
+        # a language too rare in a half is compared under the language it has in the full model
+        lang = F.when(F.col("lang").isin(model.langs), F.col("lang")).otherwise(F.lit(""))
+        part = score(own.where(F.col("half") == i).drop("half"), other).select(lang.alias("model_lang"), "perplexity")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def thresholds(rows: DataFrame, q: float = QUANTILE) -> dict[str, float]:
+    """model_lang -> threshold, of held_out()."""
+    own = rows.where("perplexity is not null").groupBy("model_lang").agg(F.percentile_approx("perplexity", q, 10000).alias("x")).collect()
+    found = {r[0]: r[1] for r in own}
     if "" not in found and found:
         found[""] = max(found.values())
     return found
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: float = SLACK) -> tuple[DataFrame, DataFrame]:
+def verdicts(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
     """docs with perplexity, threshold and keep; and the slim scored table."""
     docs = docs.drop("model_lang", "perplexity", "threshold", "keep")
     model = fit(docs, labels)
@@ -231,7 +253,7 @@ def verdicts(docs: DataFrame, labels: DataFrame, q: float = QUANTILE, slack: flo
         none = F.lit(None).cast("double")
         return docs.withColumns({"perplexity": none, "threshold": none, "keep": F.coalesce(F.length("text") > 0, F.lit(False))}), docs
     slim = C.stored(score(docs.select("doc_id", "lang", "text"), model).drop("text"))
-    limits = thresholds(slim, labels, q, slack)
+    limits = thresholds(held_out(docs.select("doc_id", "lang", "text"), labels, model), q)
 
     def judged(rows: DataFrame) -> DataFrame:
         limit = F.lit(None).cast("double")

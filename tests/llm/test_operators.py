@@ -210,6 +210,21 @@ def test_quality_joins_agree(spark):
     assert quality.keep(df, labels.where("false")).count() == 46
 
 
+def test_quality_threshold_is_the_held_out_quantile(spark):
+    r = random.Random(2)
+    good = [(i, " ".join(words(r, 50)), "en") for i in range(60)]
+    df = spark.createDataFrame([*good, (100, "q" * 30, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    halves = {x["doc_id"]: x["half"] for x in df.select("doc_id", quality.half().alias("half")).collect()}
+    held = []
+    for i in (0, 1):
+        ids = [d for d, _, _ in good if halves[d] == i]
+        model = quality.fit(df, labels.where(~F.col("doc_id").isin(ids)))
+        held += [x["perplexity"] for x in quality.score(df.where(F.col("doc_id").isin(ids)), model).collect()]
+    got = quality.classify(df, labels).where("doc_id = 0").first()["threshold"]
+    assert len(held) == 60 and abs(got - max(held)) < 1e-9
+
+
 def test_packing(spark, docs, rows):
     from tokenizers import Tokenizer
 
