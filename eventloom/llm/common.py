@@ -19,9 +19,12 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or one of our own where the setting is absent (tests)."""
+    """The folder named in spark.checkpoint.dir. Where it is unset, a local session gets one of its own (tests); a cluster
+    can't, as its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="checkpoints-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -44,17 +47,28 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Rows of a key table that a semi-join may broadcast.
-BROADCAST_KEYS = 2_000_000
+#: Bytes of a table (as rows of 8 bytes a number and the length of what is longer) that a join may broadcast.
+BROADCAST_BYTES = 32 << 20
+#: Stands for a null id where ids are compared by equality.
+NO_ID = -(1 << 63)
 
 
-def sized(keys: DataFrame) -> DataFrame:
-    """A stored table of keys, to be broadcast where it has at most BROADCAST_KEYS rows; joins shuffle beyond."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+def bytes_of(table: DataFrame) -> int:
+    """Counted, not estimated; for tables that were written."""
+    long = [F.length(f.name) if f.dataType.typeName() in ("string", "binary") else F.lit(0) for f in table.schema.fields]
+    width = F.lit(8 * (1 + len(table.columns)))
+    for x in long:
+        width = width + F.coalesce(x, F.lit(0))
+    return table.agg(F.sum(width.cast("long"))).first()[0] or 0
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast where it has at most BROADCAST_BYTES; joins shuffle beyond."""
+    return F.broadcast(table) if bytes_of(table) <= BROADCAST_BYTES else table
 
 
 def having(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Semi-join on the columns of a stored table of keys: broadcast up to BROADCAST_KEYS rows, by shuffle beyond."""
+    """Semi-join on the columns of a stored table of keys: broadcast up to BROADCAST_BYTES, by shuffle beyond."""
     return df.join(sized(keys), keys.columns, "left_semi")
 
 

@@ -1,16 +1,21 @@
 """N-gram Jaccard join on a count-vector R-tree.
 
-Every text becomes the set of its distinct k-word shingles. Shingles are hashed into GROUPS groups; the counts by group
-are a point. For two points the sum of the coordinates' minima bounds the overlap from above, and for an R-tree node the
-same sum with the node's coordinate maxima bounds the overlap with anything below it. Pairs that survive are bounded again with
-more groups, in proportion to their shingles, and what survives that is verified on the sets.
-
-The R-trees are sharded: one for each set of texts that share a key, where a text's keys are the first n - ceil(t n) + 1 of its shingles in one
-global order (any order is right; shingles that a bounded sample shows to be frequent come last, so that common passages
-make no shards). Two texts of similarity t share such a key, so each qualifying pair meets in some tree. Copies with the
-same set collapse inside a task before anything is shuffled; in a tree, members that the bound puts with the tree's
-smallest member are tried against it alone first, and against one another only where the first links left them in
-different components. Only component labels are wanted, so nothing is lost and no group is expanded into all its pairs.
+Every text becomes the set of its distinct k-word shingles, named by a 63-bit digest of the set, so copies are one member
+from the start. Shingles are hashed into GROUPS groups; the counts by group are a point. For two points the sum of the
+coordinates' minima bounds the overlap from above, and for an R-tree node the same sum with the node's coordinate maxima
+bounds the overlap with anything below it.
+
+The R-trees are sharded: one for each set of members that share a key, where a member's keys are the first
+n - ceil(t n) + 1 of its shingles in one global order (any order is right; shingles that a bounded sample shows to be
+frequent come last, so that common passages make no shards). Two texts of similarity t share such a key, so each qualifying
+pair meets in some tree. A tree gives the components of its bound's graph, as stars: rows in proportion to its members, not
+to its pairs. Components over all trees are families; each pair that qualifies lies in one family.
+
+A family of up to WHOLE weight is verified in one task on the sets themselves. A heavier one is dealt into shards by digest:
+each shard is verified; then one member of each component found goes to all shards of its family; then, as only a pair
+with a member outside the family's largest component can still be missing, the other members of such components go there.
+Pairs already in one component are never verified, so copies aren't expanded into pairs, and no link between components is
+lost.
 
 Nulls and empty texts: an empty set, linked with nothing. Null ids: a row each, never the smallest id. Repeated rows:
 kept, each a row. Ties have no influence. Empty tables give no rows. Other columns are ignored.
@@ -20,8 +25,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,10 @@ GROUPS = 64
 LEAF, FAN = 32, 8
 #: Documents, at most about, in the sample that finds frequent shingles, and how many of those are used at most.
 SAMPLE_DOCS, HOT_KEYS, HOT_SHARE = 4000, 1 << 16, 500
-#: Parts among which the pairs of one first member are dealt.
-SALTS = 16
-#: Shingles of a component of candidates that one task may hold.
-WHOLE = 12_000_000
+#: Weight (shingles, and MEMBER for each member) that one task verifies together.
+WHOLE, MEMBER = 6_000_000, 200
+#: Groups, as a power of two, of the counts that bound pairs within a family.
+FINE_BITS = 8
 
 
 def _frequent(texts: DataFrame, k: int) -> np.ndarray:
@@ -52,51 +55,11 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64)).view(C.U64)
 
 
-def fine_counts(h: np.ndarray) -> bytes:
-    """Counts by a half to one times as many groups as there are shingles (a power of two, its exponent first), compressed:
-    small counts hold about two bits each, and these are what candidates send."""
-    bits = min(13, max(6, int(len(h)).bit_length() - 1))
-    counts = np.bincount((C.mix(h) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits)
-    # a count that a byte can't hold: one group for all, whose bound is the smaller size
-    return bytes([bits]) + pa.Codec("zstd").compress(counts.astype(np.uint8).tobytes(), asbytes=True) if counts.max(initial=0) < 256 else bytes([0])
-
-
-def _counts_of(fine: bytes) -> np.ndarray:
-    return np.frombuffer(pa.Codec("zstd").decompress(fine[1:], 1 << fine[0], asbytes=True), np.uint8).astype(np.int32)
-
-
-def fine_bound(a: bytes, b: bytes) -> float:
-    """The sum of coordinate minima at the coarser of two resolutions."""
-    if not a[0] or not b[0]:
-        return float("inf")
-    x, y = _counts_of(a), _counts_of(b)
-    while len(x) > len(y):
-        x = x[::2] + x[1::2]
-    while len(y) > len(x):
-        y = y[::2] + y[1::2]
-    return float(np.minimum(x, y).sum())
-
-
-def _refined(pairs: DataFrame, table: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b, same) whose bound holds at the fine resolution."""
-
-    def run(batches):
-        for t in batches:
-            a, b, same, fa, fb, na, nb = (c.to_pylist() for c in t.columns)
-            ok = [s or (num + den) * fine_bound(x, y) >= num * (n + m) for s, x, y, n, m in zip(same, fa, fb, na, nb, strict=True)]
-            yield pa.RecordBatch.from_arrays([x.filter(pa.array(ok, pa.bool_())) for x in t.columns[:3]], ["a", "b", "same"])
-
-    asked = pairs.select(F.col("a").alias("nid")).union(pairs.select("b"))
-    fine = C.likely(table.where("digest is not null").select("nid", "fine", "n"), "nid", asked)
-    rows = pairs.join(fine.toDF("a", "fa", "na"), "a").join(fine.toDF("b", "fb", "nb"), "b")
-    return rows.select("a", "b", "same", "fa", "fb", "na", "nb").mapInArrow(C.tidy(run), "a long, b long, same boolean")
-
-
 def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n and nid for each row; digest, prefix, point (half the digest, scale, counts over scale) and fine too where nid is new in its task."""
+    """doc_id, text_hash, n and digest for each row; prefix and point (scale, counts over scale) too where the digest is new in its task."""
 
     def run(batches):
-        task, seen, count = TaskContext.get().partitionId() << 36, {}, 0
+        seen: set[int] = set()
         for batch in batches:
             ids, hashes = batch.column(0), batch.column(2)
             for i, data, offsets in C.text_blocks(batch.column(1)):
@@ -104,23 +67,18 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                 h, d = C.distinct_shingles(data, offsets, k)
                 n = np.bincount(d, minlength=m)
                 ends = np.cumsum(n)
-                sums = [np.zeros(m, C.U64), np.zeros(m, C.U64)]
+                digest = np.zeros(m, C.U64)
                 some = np.flatnonzero(n)
                 if len(h):
-                    for s, x in zip(sums, (C.mix(h), C.mix(~h)), strict=True):
-                        s[some] = np.add.reduceat(x, (ends - n)[some])
-                digests = np.column_stack([*sums, n.astype(C.U64)])
-                nid, new = [None] * m, np.zeros(m, bool)
+                    digest[some] = C.mix(np.add.reduceat(C.mix(h), (ends - n)[some]) + n[some].astype(C.U64)) >> C.U64(1)
+                new = np.zeros(m, bool)
                 for r in some:
-                    key = digests[r].tobytes()
-                    if (x := seen.get(key)) is None:
-                        x = seen[key] = task | count
-                        count, new[r] = count + 1, True
-                    nid[r] = x
+                    if (x := int(digest[r])) not in seen:
+                        seen.add(x)
+                        new[r] = True
                 counts = np.bincount(d * GROUPS + (C.mix(h) >> C.U64(58)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
                 scale = np.maximum(1, -(-counts.max(1, initial=0) // 255)).astype(np.uint32)
                 vec = (-(-counts // scale[:, None])).astype(np.uint8)
-                fine = [None if x is None or not new[r] else fine_counts(h[e - k_ : e]) for r, (x, e, k_) in enumerate(zip(nid, ends, n, strict=True))]
                 key = h >> C.U64(1)
                 if len(hot) and len(h):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -130,46 +88,55 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                 first = np.where(new, n - -(-num * n // den) + 1, 0)
                 take = rank < np.repeat(first, n)
                 offs = np.concatenate([[0], np.cumsum(first)]).astype(np.int32)
-                none = ~new
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(i, m),
                         hashes.slice(i, m),
                         pa.array(n),
-                        pa.array(nid, pa.int64()),
-                        pa.array([None if x else digests[r].tobytes() for r, x in enumerate(none)], pa.binary()),
+                        pa.array(digest.view(np.int64), mask=n == 0),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(key[take].view(np.int64))),
-                        pa.array([None if x else digests[r, :1].tobytes() + scale[r].tobytes() + vec[r].tobytes() for r, x in enumerate(none)], pa.binary()),
-                        pa.array(fine, pa.binary()),
+                        pa.array([scale[r].tobytes() + vec[r].tobytes() if x else None for r, x in enumerate(new)], pa.binary()),
                     ],
-                    ["doc_id", "text_hash", "n", "nid", "digest", "prefix", "point", "fine"],
+                    ["doc_id", "text_hash", "n", "digest", "prefix", "point"],
                 )
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(C.tidy(run), "doc_id long, text_hash long, n long, nid long, digest binary, prefix array<long>, point binary, fine binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(C.tidy(run), "doc_id long, text_hash long, n long, digest long, prefix array<long>, point binary")
 
 
 def _trees(batches):
-    """Of a partition's (key, nid): the rows whose key another nid has as well. The key gives way to a hash of all its
+    """Of a partition's (key, digest): the rows whose key another digest has as well. The key gives way to a hash of all its
     members, so that keys of the same members name one tree (a collision only makes a tree larger)."""
     t = C.whole(batches)
     if t is None:
         return
-    key, nid = t["key"].to_numpy(), t["nid"].to_numpy()
-    order = np.argsort(key, kind="stable")
-    key, nid = key[order], nid[order]
+    key, digest = t["key"].to_numpy(), t["digest"].to_numpy()
+    order = np.lexsort((digest, key))
+    key, digest = key[order], digest[order]
+    once = np.ones(len(key), bool)
+    once[1:] = (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])
+    key, digest = key[once], digest[once]
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     sizes = np.diff(np.append(starts, len(key)))
-    tree = C.mix(np.add.reduceat(C.mix(~nid.view(C.U64)), starts) + sizes.astype(C.U64))
+    tree = C.mix(np.add.reduceat(C.mix(~digest.view(C.U64)), starts) + sizes.astype(C.U64))
     several = np.flatnonzero(sizes > 1)
     chosen = np.zeros(len(starts), bool)
     chosen[several[np.unique(tree[several], return_index=True)[1]]] = True
     keep = np.repeat(chosen, sizes)
-    yield from C.batches_of(pa.table({"key": np.repeat(tree, sizes)[keep].view(np.int64), "nid": nid[keep]}))
+    yield from C.batches_of(pa.table({"key": np.repeat(tree, sizes)[keep].view(np.int64), "digest": digest[keep]}))
 
 
-def _once(members: DataFrame) -> DataFrame:
-    """Rows of (key, nid, ...) without repeats, dealt by nid as the join that follows needs them."""
-    return members.repartition("nid").dropDuplicates(["key", "nid"])
+def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label (each node's smallest known companion, a fixed point) after joining the nodes a with the nodes b."""
+    while True:
+        x, y = label[a], label[b]
+        open_ = x != y
+        if not open_.any():
+            return label
+        a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label = label[label]
 
 
 class Points:
@@ -227,278 +194,196 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
         yield q[ok], member[ok]
 
 
-def _candidates(num: int, den: int, first: bool):
-    """Pairs within each key's tree. first: for each member the first that the bound allows, members fitting the tree's
-    smallest being tried against it only; where that leaves pairs out, the key is told (loose). Otherwise: all pairs of
-    different components that were not tried."""
+def _stars(num: int, den: int):
+    """(a, b): each member of a tree with the smallest digest of its component in the graph of pairs that the bound allows."""
 
     def run(batches):
         t = C.whole(batches)
         if t is None:
             return
-        nids, at, local = np.unique(t["nid"].to_numpy(), return_index=True, return_inverse=True)
+        digests, at, local = np.unique(t["digest"].to_numpy(), return_index=True, return_inverse=True)
         one = t.take(pa.array(at))
-        raw = np.frombuffer(b"".join(one["point"].to_pylist()), np.uint8).reshape(-1, 12 + GROUPS)
-        p = Points(one["n"].to_numpy(), raw[:, 8:12].copy().view(np.int32).ravel(), raw[:, 12:], num, den)
-        digest, root = raw[:, :8].copy().view(C.U64).ravel(), one["root"].to_numpy()
+        raw = np.frombuffer(b"".join(one["point"].to_pylist()), np.uint8).reshape(-1, 4 + GROUPS)
+        p = Points(one["n"].to_numpy(), raw[:, :4].copy().view(np.int32).ravel(), raw[:, 4:], num, den)
         key = t["key"].to_numpy()
         order = np.lexsort((local, p.n[local], key))
         key, local = key[order], local[order]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        lead = np.repeat(local[starts], sizes)
-        pairs, loose = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-
-        def code(a, b):
-            return np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b)
+        lead_at = np.repeat(starts + sizes // 2, sizes)  # a member of middle size
 
         def fits(a, b):
-            u, back = np.unique(code(a, b), return_inverse=True)
+            u, back = np.unique(np.minimum(a, b).astype(np.int64) << 32 | np.maximum(a, b), return_inverse=True)
             return p.fits(u >> 32, u & 0xFFFFFFFF)[back] if len(u) else np.zeros(0, bool)
 
-        attached = np.zeros(len(key), bool)
-        if first:
-            attached = fits(lead, local) & (lead != local)
-            pairs.append(np.unique(code(lead[attached], local[attached])))
-            loose.append(key[starts][np.add.reduceat(attached.astype(np.int64), starts) >= 2])
-        for s in range(3 if first else 2, LEAF + 1):
-            for rows in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // 1_000_000 + 1):
-                if not len(rows):
-                    continue
-                at = rows[:, None] + np.arange(s)
+        rows = np.arange(len(key))
+        attached = fits(local[lead_at], local)
+        label = united(rows.copy(), rows[attached], lead_at[attached])
+        for s in range(3, LEAF + 1):
+            for some in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // 1_000_000 + 1):
                 i, j = np.triu_indices(s, 1)
-                a, b = local[at[:, i]].ravel(), local[at[:, j]].ravel()
-                ok = (root[a] != root[b]) if not first else ~(attached[at[:, i]] & attached[at[:, j]]).ravel() & np.tile(i > 0, len(rows))
-                ok[ok] = fits(a[ok], b[ok])
-                if not first:
-                    pairs.append(np.unique(code(a[ok], b[ok])))
-                    continue
-                table = np.zeros((len(rows), s, s), bool)  # [group, j, i]: i comes first
-                table[np.repeat(np.arange(len(rows)), len(i)), np.tile(j, len(rows)), np.tile(i, len(rows))] = ok
-                g, j = np.nonzero(table.any(2))
-                pairs.append(np.unique(code(local[at[g, table[g, j].argmax(1)]], local[at[g, j]])))
-                loose.append(key[rows[(table.sum(2) + attached[at] >= 2).any(1)]])
+                a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
+                ok = label[a] != label[b]
+                a, b = a[ok], b[ok]
+                ok = fits(local[a], local[b])
+                label = united(label, a[ok], b[ok])
         for g in np.flatnonzero(sizes > LEAF):
-            rows = slice(starts[g], starts[g] + sizes[g])
-            member = np.unique(local[rows])
-            ask = np.unique(local[rows][~attached[rows]])
-            if not first and len(np.unique(root[member])) < 2 or not len(ask):
+            own = slice(starts[g], starts[g] + sizes[g])
+            members = local[own]
+            ask = members[~attached[own]]
+            if not len(ask):
                 continue
-            for a, b in rtree_pairs(p, member, ask):
-                ok = root[a] != root[b] if not first else np.ones(len(a), bool)
-                a, b = a[ok], b[ok]
-                if first and len(a):
-                    by = np.lexsort((b, a))
-                    a, b = a[by], b[by]
-                    new = np.concatenate([[True], a[1:] != a[:-1]])
-                    if not new.all():
-                        loose.append(key[starts[g] : starts[g] + 1])
-                    a, b = a[new], b[new]
-                pairs.append(np.unique(code(a, b)))
-        u, loose = np.unique(np.concatenate(pairs)), np.unique(np.concatenate(loose))
-        a, b = u >> 32, u & 0xFFFFFFFF
-        same = (digest[a] == digest[b]) & (p.n[a] == p.n[b])
-        if not first and len(u):
-            lists = one["tried"].combine_chunks()
-            member = pc.list_parent_indices(lists).to_numpy()
-            partner = lists.flatten().to_numpy()
-            place = np.minimum(np.searchsorted(nids, partner), len(nids) - 1)
-            here = nids[place] == partner
-            keep = ~np.isin(u, code(place[here], member[here]))
-            a, b, same = a[keep], b[keep], same[keep]
-        none = pa.nulls(len(loose), pa.int64())
-        yield from C.batches_of(pa.table({"key": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(loose, pa.int64())]), "a": pa.concat_arrays([pa.array(nids[a], pa.int64()), none]), "b": pa.concat_arrays([pa.array(nids[b], pa.int64()), none]), "same": pa.concat_arrays([pa.array(same), pa.nulls(len(loose), pa.bool_())])}))
-
-    return run
-
-
-def _verify(k: int, num: int, den: int):
-    """Rows by (a, salt): first the text of a, then those of its partners; gives the pairs that link."""
-
-    def run(batches):
-        a_now, set_a = None, None
-        for batch in batches:
-            a, b = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            out_a, out_b = [], []
-            b_null = np.asarray(b.is_null())
-            bs = b.fill_null(0).to_numpy()
-            for i, data, offsets in C.text_blocks(batch.column(2)):
-                h, d = C.distinct_shingles(data, offsets, k)
-                ends = np.searchsorted(d, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    s = h[ends[r] : ends[r + 1]]
-                    if b_null[i + r]:
-                        a_now, set_a = a[i + r], s.copy()
-                    elif a[i + r] == a_now and len(s) and len(set_a):
-                        at = np.minimum(np.searchsorted(set_a, s), len(set_a) - 1)
-                        both = int((set_a[at] == s).sum())
-                        if (num + den) * both >= num * (len(s) + len(set_a)):
-                            out_a.append(a_now)
-                            out_b.append(bs[i + r])
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            by = np.argsort(members)
+            inner = np.unique(label[own], return_inverse=True)[1]
+            first = np.unique(inner, return_index=True)[1]
+            inner = first[inner]
+            for a, b in rtree_pairs(p, members, ask):
+                inner = united(inner, by[np.searchsorted(members[by], a)], by[np.searchsorted(members[by], b)])
+            label[own] = starts[g] + inner
+        least = np.full(len(key), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, digests[local])
+        a, b = digests[local], least[label]
+        ok = a != b
+        edges = np.unique(np.stack([a[ok], b[ok]], 1), axis=0)
+        yield from C.batches_of(pa.table({"a": edges[:, 0], "b": edges[:, 1]}))
 
     return run
 
 
-def _texts(roles: DataFrame, table: DataFrame, docs: DataFrame) -> DataFrame:
-    """roles(nid, ...) with the text of each nid."""
-    place = table.where("digest is not null").select("nid", F.col("doc_id").alias("want_id"), "text_hash")
-    roles = C.stored(roles.join(place, "nid"))
-    of = C.likely(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", roles)
-    roles = C.sized(roles)
-    return of.join(roles, of.doc_id.eqNullSafe(roles.want_id) & (of.text_hash == roles.text_hash)).drop("doc_id", "want_id", "text_hash")
+def links(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, num: int, den: int):
+    """Links (x, y) between members of different components, enough to join all that qualifying pairs with an asking member
+    join. A member is bounded against the others of other components, and what passes is verified, the closest first."""
+    if len(sets) < 2 or (roots == roots[0]).all():
+        return
+    comp = np.unique(roots, return_inverse=True)[1]
+    n = np.array([len(s) for s in sets])
+    counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - FINE_BITS)).astype(np.int64), minlength=1 << FINE_BITS), 65535) for s in sets]).astype(np.uint16)
+    order = np.argsort(n, kind="stable")
+    sorted_n, done = n[order], np.zeros(len(n), bool)
+    for x in np.roll(order, -(len(order) // 2))[asks[np.roll(order, -(len(order) // 2))]].tolist():  # from a member of middle size
+        low = np.searchsorted(sorted_n, -(-num * n[x] // den), "left")
+        high = np.searchsorted(sorted_n, den * n[x] // num, "right")
+        others = order[low:high]
+        others = others[(comp[others] != comp[x]) & ~done[others]]
+        done[x] = True  # others that ask have met x now
+        if not len(others):
+            continue
+        bound = np.concatenate([np.minimum(counts[o], counts[x]).sum(1, dtype=np.int64) for o in np.array_split(others, len(others) // 4096 + 1)])
+        ok = (num + den) * bound >= num * (n[others] + n[x])
+        others, bound = others[ok], bound[ok]
+        for y in others[np.argsort(-bound, kind="stable")].tolist():
+            if comp[y] == comp[x]:
+                continue
+            at = np.minimum(np.searchsorted(sets[x], sets[y]), n[x] - 1)
+            both = int((sets[x][at] == sets[y]).sum())
+            if (num + den) * both >= num * int(n[x] + n[y]):
+                comp[comp == comp[y]] = comp[x]
+                yield x, y
 
 
-def _verify_whole(k: int, num: int, den: int):
-    """Rows by root: first the texts of a component of candidates, then its pairs; gives links that join what they can."""
+def _verify(k: int, num: int, den: int):
+    """Rows (family, shard, digest, root, ask, text), sorted by the first three: links found within each (family, shard)."""
 
     def run(batches):
-        now, sets, root = None, {}, {}
+        now, sets, digests, roots, asks = None, [], [], [], []
 
-        def find(x):
-            while root.setdefault(x, x) != x:
-                root[x] = x = root.setdefault(root[x], root[x])
-            return x
+        def solved():
+            found = [(digests[x], digests[y]) for x, y in links(sets, np.array(roots), np.array(asks), num, den)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            cols = [c.fill_null(-1).to_numpy(zero_copy_only=False) for c in batch.columns[:4]]
-            owner, nid, a, b = cols
-            out_a, out_b = [], []
-            for i, data, offsets in C.text_blocks(batch.column(4)):
+            family, shard, digest, root, ask = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+            for i, data, offsets in C.text_blocks(batch.column(5)):
                 h, d = C.distinct_shingles(data, offsets, k)
                 ends = np.searchsorted(d, np.arange(len(offsets)))
                 for r in range(len(offsets) - 1):
-                    if owner[i + r] != now:
-                        now, sets, root = owner[i + r], {}, {}
-                    if nid[i + r] >= 0:
-                        sets[nid[i + r]] = h[ends[r] : ends[r + 1]].copy()
-                        continue
-                    x, y = a[i + r], b[i + r]
-                    if find(x) == find(y):
+                    at = (family[i + r], shard[i + r])
+                    if at != now:
+                        if len(sets) > 1:
+                            yield solved()
+                        now, sets, digests, roots, asks = at, [], [], [], []
+                    if digests and digests[-1] == digest[i + r]:  # a repeated row
+                        asks[-1] |= ask[i + r]
                         continue
-                    s, t = sets[x], sets[y]
-                    at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                    both = int((s[at] == t).sum())
-                    if (num + den) * both >= num * (len(s) + len(t)):
-                        root[find(x)] = find(y)
-                        out_a.append(x)
-                        out_b.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+                    sets.append(h[ends[r] : ends[r + 1]].copy())
+                    digests.append(digest[i + r])
+                    roots.append(root[i + r])
+                    asks.append(bool(ask[i + r]))
+        if len(sets) > 1:
+            yield solved()
 
     return run
 
 
-def _join_torn(k: int, num: int, den: int):
-    """Rows by family: texts of a family with the components that links found so far make; gives links between different
-    components, enough to join all that link. A text is bounded against all texts of other components by fine counts, and
-    survivors are verified, the closest first."""
-    bits = 9
+def _texts(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """members(..., want_id, text_hash), stored, with the text of each."""
+    of = C.likely(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), "text_hash", members)
+    # a null id is told apart by the text's hash alone, so that the join has equal keys throughout
+    of = of.withColumn("doc_id", F.coalesce("doc_id", F.lit(C.NO_ID)))
+    roles = C.sized(members).withColumnRenamed("want_id", "doc_id")
+    return of.join(roles, ["doc_id", "text_hash"]).drop("doc_id", "text_hash")
 
-    def solve(sets: list[np.ndarray], nids: list[int], roots: list[int]):
-        if len(set(roots)) < 2:
-            return
-        comp = np.unique(np.array(roots), return_inverse=True)[1]
-        n = np.array([len(s) for s in sets])
-        counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535) for s in sets]).astype(np.uint16)
-        for x in range(len(sets)):
-            others = np.flatnonzero((comp != comp[x]) & (num * np.maximum(n, n[x]) <= den * np.minimum(n, n[x])))
-            bounds = [np.minimum(counts[o], counts[x]).sum(1, dtype=np.int64) for o in np.array_split(others, len(others) // 4096 + 1)]
-            bound = np.concatenate(bounds)
-            ok = (num + den) * bound >= num * (n[others] + n[x])
-            others, bound = others[ok], bound[ok]
-            for y in others[np.argsort(-bound, kind="stable")]:
-                if comp[y] == comp[x]:
-                    continue
-                at = np.minimum(np.searchsorted(sets[x], sets[y]), n[x] - 1)
-                both = int((sets[x][at] == sets[y]).sum())
-                if (num + den) * both >= num * (n[x] + n[y]):
-                    comp[comp == comp[y]] = comp[x]
-                    yield nids[x], nids[y]
 
-    def run(batches):
-        now, sets, nids, roots, out = None, [], [], [], []
-        for b in batches:
-            family, nid, root = (c.to_numpy() for c in b.columns[:3])
-            for i, data, offsets in C.text_blocks(b.column(3)):
-                h, d = C.distinct_shingles(data, offsets, k)
-                ends = np.searchsorted(d, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    if family[i + r] != now:
-                        out += solve(sets, nids, roots)
-                        now, sets, nids, roots = family[i + r], [], [], []
-                    sets.append(h[ends[r] : ends[r + 1]].copy())
-                    nids.append(nid[i + r])
-                    roots.append(root[i + r])
-        out += solve(sets, nids, roots)
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+def _solved(members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links (a, b), stored, among members(family, shard, digest, root, ask, want_id, text_hash)."""
+    rows = _texts(members, docs).select("family", "shard", "digest", "root", "ask", "text")
+    rows = rows.repartition("family", "shard").sortWithinPartitions("family", "shard", "digest")
+    return C.stored(rows.mapInArrow(C.tidy(_verify(k, num, den)), "a long, b long"))
 
-    return run
+
+def _rooted(members: DataFrame, links_: DataFrame) -> DataFrame:
+    """members with the root of their component by the links."""
+    roots = C.components(links_).toDF("digest", "__root")
+    return members.drop("root").join(roots, "digest", "left").withColumn("root", F.coalesce("__root", "digest")).drop("__root")
 
 
-def _links(pairs: DataFrame, table: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """(a, b): links among the stored pairs (a, b, same), enough for the components that all of them make.
-
-    Pairs are dealt by the components they make as candidates, each text once; a component of more than WHOLE shingles is
-    dealt by first members, in parts."""
-    comp = C.components(pairs)
-    weight = comp.join(table.where("digest is not null").select(F.col("nid").alias("node"), "n"), "node").groupBy("root").agg(F.sum("n").alias("weight"))
-    comp = C.stored(comp.join(weight, "root"))
-    open_ = C.stored(pairs.where("not same").join(C.sized(comp.withColumnRenamed("node", "a")), "a"))
-    small, big = open_.where(F.col("weight") <= WHOLE), open_.where(F.col("weight") > WHOLE)
-    none = F.lit(None).cast("long")
-    texts = _texts(small.select(F.col("a").alias("nid"), "root").union(small.select("b", "root")).distinct(), table, docs)
-    rows = texts.select("root", "nid", none.alias("a"), none.alias("b"), "text").unionByName(small.select("root", none.alias("nid"), "a", "b", F.lit(None).cast("string").alias("text")))
-    rows = rows.repartition("root").sortWithinPartitions("root", F.col("a").asc_nulls_first(), "b")
-    found = rows.mapInArrow(C.tidy(_verify_whole(k, num, den)), "a long, b long").unionByName(pairs.where("same").select("a", "b"))
-    if big.isEmpty():
-        return found
-    parts = big.select("a", "b", F.pmod(F.hash("b"), F.lit(SALTS)).alias("salt"))
-    roles = parts.select(F.col("a").alias("nid"), "a", none.alias("b"), "salt").distinct().unionByName(parts.select(F.col("b").alias("nid"), "a", "b", "salt"))
-    rows = _texts(roles, table, docs).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return found.unionByName(rows.select("a", "b", "text").mapInArrow(C.tidy(_verify(k, num, den)), "a long, b long"))
+def _heavy(members: DataFrame, first: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """The links that the shards of heavy families miss. members: of families of several shards; first: links within shards."""
+    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
+    cols = ["family", "shard", "digest", "root", "ask", "want_id", "text_hash"]
+    first = C.stored(first.join(members.select(F.col("digest").alias("a")), "a", "left_semi"))
+    ours = C.stored(_rooted(members, first))
+    one = F.col("digest") == F.col("root")  # a component is within a shard: its smallest member speaks for it
+    guests = ours.where(one).select("*", F.col("shard").alias("home")).drop("shard").select("*", shards).where("shard <> home")
+    every = ours.withColumn("ask", F.lit(False)).select(*cols).unionByName(guests.withColumn("ask", F.lit(True)).select(*cols))
+    found = _solved(C.stored(every), docs, k, num, den)
+    joined = C.stored(_rooted(ours.withColumn("__spoke", one), first.unionByName(found)))
+    sizes = joined.groupBy("family", "root").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("family").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+    rest = joined.join(main, "family").where("root <> main and not __spoke").select("*", F.col("shard").alias("home")).drop("shard").select("*", shards).where("shard <> home")
+    asked = C.stored(joined.withColumn("ask", F.lit(False)).select(*cols).unionByName(rest.withColumn("ask", F.lit(True)).select(*cols)))
+    return C.stored(found.unionByName(_solved(asked, docs, k, num, den)))
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs(doc_id, text): components of the links den * overlap >= num * union."""
+    return labelled(docs, k, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def labelled(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
+    """jaccard_join() with text_hash (of the text, null without) and root, which names a row's component by its texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = _frequent(docs.select("text"), k)
     table = C.stored(points(docs, k, num, den, hot))
-    new = table.where("digest is not null")
-    keys = C.stored(new.select(F.explode("prefix").alias("key"), "nid").repartition("key").mapInArrow(C.tidy(_trees), "key long, nid long"))
-    place = new.select("nid", "n", "point")
-    schema = "key long, a long, b long, same boolean"
-    tree = _once(keys).join(place, "nid").withColumn("root", F.col("nid"))
-    found = C.stored(tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, True)), schema))
-    once = C.stored(found.where("key is null").select("a", "b", "same").distinct())
-    pairs = C.stored(_refined(once, table, num, den))
-    links = C.stored(_links(pairs, table, docs, k, num, den))
-    roots = C.stored(C.components(links))
-    # trees that left pairs out, and that the links found leave in several components
-    told = C.stored(found.where("key is not null").select("key").distinct())
-    loose = C.having(keys, told).join(C.sized(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    split = C.stored(loose.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("nid").alias("first")).where("x <> y").select("key", "first"))
-    torn = C.stored(loose.join(C.sized(split), "key"))
-    family = C.components(torn.select(F.col("first").alias("a"), F.col("nid").alias("b"))).toDF("nid", "family")
-    family = torn.select("nid", "root").distinct().join(family, "nid").join(new.select("nid", "n"), "nid")
-    family = C.stored(family.join(family.groupBy("family").agg(F.sum("n").alias("weight")), "family"))
-    texts = _texts(family.where(F.col("weight") <= WHOLE).select("nid", "family", "root"), table, docs)
-    rows = texts.select("family", "nid", "root", "text").repartition("family").sortWithinPartitions("family", "nid")
-    more = C.stored(rows.mapInArrow(C.tidy(_join_torn(k, num, den)), "a long, b long"))
-    large = C.sized(family.where(F.col("weight") > WHOLE).select("nid"))
-    tried = once.groupBy(F.col("b").alias("nid")).agg(F.collect_list("a").alias("tried"))  # a few for each member of a tree
-    tree = _once(torn.join(large, "nid", "left_semi").select("key", "nid", "root")).join(place.join(tried, "nid", "left"), "nid")
-    rest = tree.repartition("key").mapInArrow(C.tidy(_candidates(num, den, False)), schema).where("key is null").select("a", "b", "same").distinct()
-    other = C.stored(rest.join(once.select("a", "b"), ["a", "b"], "left_anti"))
-    rest = C.stored(_refined(other, table, num, den))
-    done = [keys, found, once, pairs, links, told, split, torn, family, more, other, rest]
-    if not (more.isEmpty() and rest.isEmpty()):
-        every = links.unionByName(more)
-        if not rest.isEmpty():
-            every = every.unionByName(_links(rest, table, docs, k, num, den))
-        done.append(roots)
-        roots = C.stored(C.components(every))
-    rows = table.select("doc_id", F.col("n").alias("n_shingles"), "nid").join(C.sized(roots.withColumnRenamed("node", "nid")), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+    new = table.where("point is not null")
+    keys = C.stored(new.select(F.explode("prefix").alias("key"), "digest").repartition("key").mapInArrow(C.tidy(_trees), "key long, digest long"))
+    place = new.groupBy("digest").agg(F.first("n").alias("n"), F.first("point").alias("point"))
+    tree = keys.repartition("digest").dropDuplicates(["key", "digest"]).join(place, "digest")
+    stars = C.stored(tree.repartition("key").mapInArrow(C.tidy(_stars(num, den)), "a long, b long").distinct())
+    C.discard(keys)
+    family = C.components(stars).toDF("digest", "family")
+    text = table.where("digest is not null").groupBy("digest").agg(F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(C.NO_ID)).alias("want_id"), "n")).alias("x"))
+    family = C.stored(text.join(C.sized(C.stored(family)), "digest").select("digest", "family", "x.*"))
+    weight = family.groupBy("family").agg(F.ceil(F.sum(F.col("n") + MEMBER) / F.lit(WHOLE)).alias("shards"))
+    members = family.join(weight, "family").withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")))
+    members = C.stored(members.select("family", "shard", "shards", "digest", F.col("digest").alias("root"), F.lit(True).alias("ask"), "want_id", "text_hash"))
+    found = _solved(members, docs, k, num, den)
+    several = members.where("shards > 1")
+    if not several.isEmpty():
+        found = C.stored(found.unionByName(_heavy(several, found, docs, k, num, den)))
+    roots = C.stored(C.components(found).toDF("digest", "root"))
+    rows = table.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "digest").join(C.sized(roots), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     least = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = C.stored(rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id")))
-    C.discard(*done, table, roots)
+    out = C.stored(rows.join(least, "root", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), "text_hash", "root"))
+    C.discard(table, stars, family, members, found, roots)
     return out

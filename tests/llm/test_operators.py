@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventloom.llm import chat_format, decontaminate, html_text, language_id, neighbours, packing, pii, quality, repeats
-from eventloom.llm.jaccard_join import jaccard_join
+from eventloom.llm import chat_format, decontaminate, html_text, jaccard_join, language_id, neighbours, packing, pii, quality, repeats
 from eventloom.llm.queries import tokenizer_file
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, nid long, key string"
@@ -44,9 +43,7 @@ def shingle_set(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
-def test_jaccard_join(docs, rows, k, num):
-    sets = {d: shingle_set(t, k) for d, t, *_ in rows}
+def brute_components(sets, num):
     root = {d: d for d in sets}
 
     def find(x):
@@ -60,13 +57,44 @@ def test_jaccard_join(docs, rows, k, num):
             if a < b and both and 100 * both >= num * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
-    got = {r[0]: (r[1], r[2]) for r in jaccard_join(docs, k, num, 100).collect()}
-    assert got.pop(None) == (1, find(next(d for d, t, *_ in rows if t == "one")))
-    assert got == {d: (len(s), find(d)) for d, s in sets.items()}
+    return {d: find(d) for d in sets}
+
+
+@pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80)])
+def test_jaccard_join(docs, rows, k, num):
+    sets = {d: shingle_set(t, k) for d, t, *_ in rows}
+    root = brute_components(sets, num)
+    got = {r[0]: (r[1], r[2]) for r in jaccard_join.jaccard_join(docs, k, num, 100).collect()}
+    assert got.pop(None) == (1, root[next(d for d, t, *_ in rows if t == "one")])
+    assert got == {d: (len(s), root[d]) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("whole", "leaf", "fine"), [(6_000_000, 32, 8), (6_000_000, 3, 2), (3000, 3, 8), (700, 32, 4), (1, 3, 8)])
+def test_jaccard_join_in_shards(spark, monkeypatch, whole, leaf, fine):
+    """Families of near copies about the threshold, dealt into shards of every size, and chains whose ends don't link."""
+    r, texts = random.Random(31), []
+    for _ in range(3):
+        base = words(r, 60)
+        for _ in range(45):
+            c = list(base)
+            for _ in range(r.choice([0, 1, 1, 2, 3])):
+                c[r.randrange(len(c))] = r.choice(["x", "y", "changed"])
+            texts.append(" ".join(c))
+    chain = words(r, 90)
+    for i in range(30):
+        chain[3 * i] = f"new{i}"
+        texts.append(" ".join(chain))
+    monkeypatch.setattr(jaccard_join, "WHOLE", whole)
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    monkeypatch.setattr(jaccard_join, "FINE_BITS", fine)
+    want = brute_components({i: shingle_set(t, 4) for i, t in enumerate(texts)}, 85)
+    assert 3 < len(set(want.values())) < 140
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert {x[0]: x[2] for x in jaccard_join.jaccard_join(df).collect()} == want
 
 
 def test_jaccard_join_empty(docs):
-    assert jaccard_join(docs.where("false")).count() == 0
+    assert jaccard_join.jaccard_join(docs.where("false")).count() == 0
 
 
 def test_repeats(docs, rows):
