@@ -29,15 +29,59 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .quality import CLASSES, ORDER, grams
 
 FIT_DOCS, LANG_BLOCK = 500, 16
+ORDER, CLASSES = 4, 40
 TEXT_GRAMS, ALPHA, SMOOTHING, FLOOR = 60.0, 0.05, 5.0, 0.5
 
 MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
 DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
 
 
+def _class_table() -> np.ndarray:
+    t = np.zeros(0x3000, np.int32)
+    for cp in range(len(t)):
+        ch = chr(cp)
+        if ch.isspace():
+            t[cp] = 0
+        elif "a" <= ch <= "z":
+            t[cp] = cp - 96
+        elif ch.isdigit():
+            t[cp] = 35
+        elif ch.isupper():
+            t[cp] = 33 if cp < 128 else 34
+        elif cp >= 128 and ch.isalpha():
+            t[cp] = 27 + cp % 6
+        elif ch in ".,":
+            t[cp] = 36
+        elif ch in "'\"-()’“”«»":
+            t[cp] = 37
+        elif ch in "!?¡¿":
+            t[cp] = 38
+        else:
+            t[cp] = 39
+    return t
+
+
+_TABLE = _class_table()
+
+
+def grams(column: pa.Array):
+    """(first row, gram codes, how many of each row) by blocks; a text is preceded by ORDER - 1 blanks."""
+    lengths = pc.fill_null(pc.utf8_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for i, data, offsets in C.text_blocks(column):
+        n = lengths[i : i + len(offsets) - 1]
+        cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        cls = np.where(cps < len(_TABLE), _TABLE[np.minimum(cps, len(_TABLE) - 1)], 27 + (cps % 6).astype(np.int32))
+        at = np.arange(len(cps)) + np.repeat((np.arange(len(n)) + 1) * (ORDER - 1), n)
+        padded = np.zeros(len(cps) + len(n) * (ORDER - 1), np.int32)
+        padded[at] = cls
+        codes = np.zeros(len(cps), np.int32)
+        for back in range(ORDER - 1, -1, -1):
+            codes = codes * CLASSES + padded[at - back]
+        yield i, codes, n
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     return docs.where("lang is not null and lang <> '' and length(text) > 0")
 

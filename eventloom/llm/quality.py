@@ -1,22 +1,30 @@
-"""Quality classifier: interpolated modified Kneser-Ney over character classes, trained on trusted text.
-
-Trusted rows (quality 1, not toxic) give n-gram counts for each language: each task sums up its own texts, and hash
-aggregation over (lang, gram) shards the sums. Discounts, context totals, continuation counts and the interpolated
-probabilities come from joins of these count tables on (lang, context) and (lang, suffix). ORDER classes out of CLASSES
-have at most CLASSES ** ORDER grams, so a language's finished table has a proven size bound (10 MB as float32), and at
-most MAX_LANGS languages have tables (the rest share the pooled table ""), so the tables travel to the documents, which
-are not shuffled for scoring; score_by_joins() is the other way: sharded joins of the documents' gram counts.
+"""Quality classifier: interpolated modified Kneser-Ney over character n-grams, trained on trusted text.
+
+Trusted rows (quality 1, not toxic) give counts of ORDER-grams of code points, as they stand, for each language: each task
+sums up its own texts, and hash aggregation over (label, gram) shards the sums. Discounts, context totals, continuation
+counts and the interpolated probabilities come from joins of these count tables on (label, context) and (label, suffix).
+The tables grow with the trusted text and are never gathered in one place.
+
+Documents are scored by a sharded join too. Each task asks for the different grams of its own texts (once for each, however
+often they stand there), the asked grams are joined with the model's table, and the answers meet the texts in their block:
+a number of file splits of about BLOCK_BYTES of text together. Texts travel to their block once, compressed.
+
 A document's perplexity is compared with its language's threshold: the quantile q of trusted text's perplexity there, each
 trusted text scored by a model of the other half of trusted text (halves by a hash of the text), as a model is surer of its
-own text than of any other. Where a half has no text, the full model scores.
-
-Nulls: a null or empty text has no perplexity and is rejected; a null, rare or unknown language uses the pooled table.
-Repeated rows and ids are scored each. Ties with the threshold are kept. Without trusted text every document that has
-text is kept (there is no threshold). Empty tables give no rows. Other columns are kept by keep().
+own text than of any other. Where the other half has no text, the full model scores. A language has a model of its own when
+both halves have text in it; every other row uses the model of all languages together, named "", whose threshold is the
+highest of all where no trusted row uses it.
+
+Nulls: a null or empty text has no perplexity and is rejected; a null or unknown language uses the model "". Repeated rows
+and ids are scored each. Ties with the threshold are kept. Where counts are too few for a discount (all rows the same) it is
+half its count. Without trusted text every document that has text is kept (there is no threshold). Empty tables give no
+rows. Other columns, whatever their names, are kept by keep().
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -26,218 +34,363 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-ORDER, CLASSES = 4, 40
-#: Languages with tables of their own: the most frequent in trusted text, of MIN_TEXTS texts at least.
-MAX_LANGS, MIN_TEXTS = 16, 5
-QUANTILE = 0.99
-
-
-def _class_table() -> np.ndarray:
-    t = np.zeros(0x3000, np.int32)
-    for cp in range(len(t)):
-        ch = chr(cp)
-        if ch.isspace():
-            t[cp] = 0
-        elif "a" <= ch <= "z":
-            t[cp] = cp - 96
-        elif ch.isdigit():
-            t[cp] = 35
-        elif ch.isupper():
-            t[cp] = 33 if cp < 128 else 34
-        elif cp >= 128 and ch.isalpha():
-            t[cp] = 27 + cp % 6
-        elif ch in ".,":
-            t[cp] = 36
-        elif ch in "'\"-()’“”«»":
-            t[cp] = 37
-        elif ch in "!?¡¿":
-            t[cp] = 38
-        else:
-            t[cp] = 39
-    return t
+ORDER, QUANTILE = 5, 0.97
+BLOCK_BYTES = 64 << 20
+#: Different grams that a task holds for a label before it gives them away.
+HELD = 1 << 21
+#: Stands before a text's first character.
+PAD = 2
+
+_WEIGHT = C.mix(np.arange(1, ORDER + 1, dtype=C.U64) * C.U64(0xA24BAED4963EE407)) | C.U64(1)
+
+
+def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: code points with ORDER - 1 pads before each text, where each character stands in them, and
+    each text's number of characters."""
+    cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+    first = (data & 0xC0) != 0x80
+    n = np.diff(np.concatenate([[0], np.cumsum(first)])[offsets])
+    at = np.arange(len(cps)) + np.repeat((np.arange(len(n)) + 1) * (ORDER - 1), n)
+    out = np.full(len(cps) + len(n) * (ORDER - 1), PAD, np.uint32)
+    out[at] = np.where(cps == 0, 0xFFFD, cps)
+    return out, at, n
+
+
+def sums(codes: np.ndarray, at: np.ndarray, k: int, behind: int = 0) -> np.ndarray:
+    """Hash sums of the k code points that end at (or behind places before) each place."""
+    out = np.zeros(len(at), C.U64)
+    for j in range(k):
+        out += (codes[at - j - behind].astype(C.U64) + C.U64(1)) * _WEIGHT[j]
+    return out
+
+
+def keys(label: str, order: int, hashed: np.ndarray) -> np.ndarray:
+    """63-bit names of grams of a label. Order 0 is what an unknown character has."""
+    seed = int.from_bytes(hashlib.blake2b(f"{order}:{label}".encode(), digest_size=8).digest(), "little")
+    return C.mix(hashed ^ C.U64(seed)) >> C.U64(1)
 
 
-_TABLE = _class_table()
+def half() -> Column:
+    """0 or 1 by text, so copies are in the same half."""
+    return F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")
 
 
-def grams(column: pa.Array):
-    """(first row, gram codes, how many of each row) by blocks; a text is preceded by ORDER - 1 blanks."""
-    lengths = pc.fill_null(pc.utf8_length(column.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for i, data, offsets in C.text_blocks(column):
-        n = lengths[i : i + len(offsets) - 1]
-        cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
-        cls = np.where(cps < len(_TABLE), _TABLE[np.minimum(cps, len(_TABLE) - 1)], 27 + (cps % 6).astype(np.int32))
-        at = np.arange(len(cps)) + np.repeat((np.arange(len(n)) + 1) * (ORDER - 1), n)
-        padded = np.zeros(len(cps) + len(n) * (ORDER - 1), np.int32)
-        padded[at] = cls
-        codes = np.zeros(len(cps), np.int32)
-        for back in range(ORDER - 1, -1, -1):
-            codes = codes * CLASSES + padded[at - back]
-        yield i, codes, n
+def trusted_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    kind = docs.schema["doc_id"].dataType
+    return C.stored(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct())
 
 
-def count_grams(texts: DataFrame, langs: list[str]) -> DataFrame:
-    """(lang, gram, n) of texts(lang, text), the pooled language "" too."""
+def count_grams(texts: DataFrame) -> DataFrame:
+    """(label, gram, n) of trusted texts(model_lang, half, text). Labels: "f:" and a language for the full model, "0:" and
+    "1:" for the model that scores that half, trained on the other; with no language behind them, for all together."""
 
     def run(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[tuple[str, int], list] = {}
+
+        def flush(name, parts):
+            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
+            grams = np.concatenate([p[1] for p in parts])[at]
+            n = np.zeros(len(u), np.int64)
+            for p in parts:
+                n[np.searchsorted(u, p[0])] += p[2]
+            for i in range(0, len(u), 50_000):
+                text = np.ascontiguousarray(grams[i : i + 50_000]).view(f"<U{ORDER}").ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(text), pa.string()), pa.array(np.full(len(text), name[1], np.int32)), pa.array(text.tolist(), pa.string()), pa.array(n[i : i + 50_000])], ["lang", "half", "gram", "n"])
+
         for b in batches:
-            lang = b.column(0).to_pylist()
-            for i, codes, n in grams(b.column(1)):
+            lang, halves = b.column(0).to_pylist(), b.column(1).to_numpy()
+            for i, data, offsets in C.text_blocks(b.column(2)):
+                codes, at, n = padded(data, offsets)
                 owner = np.repeat(np.arange(len(n)), n)
-                names = lang[i : i + len(n)]
-                for name in set(names) & set(langs):
-                    mine = np.array([x == name for x in names])
-                    s = sums.setdefault(name, np.zeros(CLASSES**ORDER, np.int64))
-                    at, count = np.unique(codes[mine[owner]], return_counts=True)
-                    s[at] += count
-                rest = np.array([x not in langs for x in names])
-                if rest.any():
-                    s = sums.setdefault("", np.zeros(CLASSES**ORDER, np.int64))
-                    at, count = np.unique(codes[rest[owner]], return_counts=True)
-                    s[at] += count
-        for name, s in sums.items():
-            at = np.flatnonzero(s)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(s[at])], ["lang", "gram", "n"])
-
-    parts = C.stored(texts.select("lang", "text").mapInArrow(C.tidy(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    pooled = parts.groupBy("gram").agg(F.sum("n").alias("n")).select(F.lit("").alias("lang"), "gram", "n")
-    return parts.where("lang <> ''").unionByName(pooled)
+                names = list(zip(lang[i : i + len(n)], halves[i : i + len(n)].tolist(), strict=True))
+                for name in set(names):
+                    place = at[np.array([x == name for x in names])[owner]]
+                    if not len(place):
+                        continue
+                    u, first, count = np.unique(sums(codes, place, ORDER), return_index=True, return_counts=True)
+                    grams = codes[place[first][:, None] + np.arange(1 - ORDER, 1)]
+                    parts = held.setdefault(name, [])
+                    parts.append((u, grams, count))
+                    if sum(len(p[0]) for p in parts) > HELD:
+                        yield from flush(name, held.pop(name))
+        for name, parts in held.items():
+            yield from flush(name, parts)
+
+    parts = texts.select("model_lang", "half", "text").mapInArrow(C.tidy(run), "lang string, half int, gram string, n long")
+    other = (1 - F.col("half")).cast("string")
+    own = F.array(F.concat(F.lit("f:"), "lang"), F.concat(other, F.lit(":"), F.col("lang")))
+    pooled = F.array(F.lit("f:"), F.concat(other, F.lit(":")))
+    labels = F.when(F.col("lang") == "", pooled).otherwise(F.concat(own, pooled))
+    sums_ = parts.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
+    return sums_.select(F.explode(labels).alias("label"), "gram", "n").groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
 def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (lang, gram, p) of the grams seen and (lang, ctx, gamma) of the contexts seen."""
+    """For each order from 1: (label, gram, p) of the grams seen and (label, ctx, gamma) of the contexts seen; stored.
+    counts: stored (label, gram of ORDER characters, n). An unknown character's p is that of order 1's gram ""."""
     by_order = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = by_order[k + 1].groupBy("lang", F.pmod("gram", F.lit(CLASSES**k)).cast("int").alias("gram")).agg(F.count("*").alias("n"))
+        by_order[k] = C.stored(by_order[k + 1].groupBy("label", F.substring("gram", -k, k).alias("gram")).agg(F.count("*").alias("n")))
     out: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, ORDER + 1):
-        c = by_order[k].withColumn("ctx", F.floor(F.col("gram") / CLASSES).cast("int"))
-        of = c.groupBy("lang").agg(*[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
-        y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-        d = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.col(f"n{i + 1}") / F.when(F.col(f"n{i}") > 0, F.col(f"n{i}")), F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
-        discounts = F.broadcast(of.select("lang", *d))
-        c = c.join(discounts, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = c.groupBy("lang", "ctx").agg(F.sum("n").alias("total"), F.sum("d").alias("held"))
-        ctx = ctx.select("lang", "ctx", "total", (F.col("held") / F.col("total")).alias("gamma"))
-        c = c.join(ctx, ["lang", "ctx"])
+        c = by_order[k].withColumn("ctx", F.substring("gram", 1, k - 1))
+        of = c.groupBy("label").agg(F.count("*").alias("kinds"), *[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
+        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
+        d = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
+        c = c.join(of.select("label", "kinds", *d), "label").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
+        ctx = c.groupBy("label", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"), F.max("kinds").alias("kinds"))
         own = (F.col("n") - F.col("d")) / F.col("total")
         if k == 1:
-            p = c.select("lang", "gram", (own + F.col("gamma") / CLASSES).alias("p"))
+            unknown = F.col("gamma") / (F.col("kinds") + 1)
+            p = c.drop("kinds").join(ctx.drop("ctx"), "label").select("label", "gram", (own + unknown).alias("p")).unionByName(ctx.select("label", F.lit("").alias("gram"), unknown.alias("p")))
         else:
-            lower = out[-1][0].select("lang", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = c.withColumn("suffix", F.pmod("gram", F.lit(CLASSES ** (k - 1))).cast("int")).join(lower, ["lang", "suffix"]).select("lang", "gram", (own + F.col("gamma") * F.col("q")).alias("p"))
-        out.append((C.stored(p), C.stored(ctx.select("lang", "ctx", "gamma"))))
+            lower = out[-1][0].select("label", F.col("gram").alias("suffix"), F.col("p").alias("q"))
+            p = c.join(ctx.drop("kinds"), ["label", "ctx"]).withColumn("suffix", F.substring("gram", -(k - 1), k - 1)).join(lower, ["label", "suffix"]).select("label", "gram", (own + F.col("gamma") * F.col("q")).alias("p"))
+        out.append((C.stored(p), C.stored(ctx.select("label", "ctx", "gamma"))))
+    C.discard(*[by_order[k] for k in range(1, ORDER)])
     return out
 
 
-def dense(tables: list[tuple[DataFrame, DataFrame]], lang: str) -> np.ndarray:
-    """-log p of every gram of a language: at most CLASSES ** ORDER numbers."""
-    below = np.full(1, 1.0 / CLASSES)
+def _named(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(key, logp, loggamma), stored: a gram's own probability, and its weight as a context; null where it has none."""
+
+    def run(batches):
+        for b in batches:
+            label, text = b.column(0).to_pylist(), b.column(1).to_pylist()
+            out = np.zeros(len(label), C.U64)
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, (x, g) in enumerate(zip(label, text, strict=True)):
+                groups.setdefault((x, len(g)), []).append(i)
+            for (x, k), at in groups.items():
+                codes = np.frombuffer("".join(text[i] for i in at).encode("utf-32-le"), np.uint32)
+                out[at] = keys(x, k, sums(codes, np.arange(len(at)) * k + k - 1, k))
+            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), b.column(2), b.column(3)], ["key", "logp", "loggamma"])
+
+    none, rows = F.lit(None).cast("float"), None
     for k, (p, gamma) in enumerate(tables, 1):
-        g, q = p.where(F.col("lang") == lang).select("gram", "p").toArrow(), gamma.where(F.col("lang") == lang).select("ctx", "gamma").toArrow()
-        weight = np.ones(CLASSES ** (k - 1))
-        weight[q["ctx"].to_numpy()] = q["gamma"].to_numpy()
-        full = np.repeat(weight, CLASSES) * np.tile(below, CLASSES)
-        full[g["gram"].to_numpy()] = g["p"].to_numpy()
-        below = full
-    return -np.log(below).astype(np.float32)
+        part = p.select("label", "gram", F.log("p").cast("float").alias("logp"), none.alias("loggamma"))
+        if k > 1:
+            part = part.unionByName(gamma.select("label", F.col("ctx").alias("gram"), none.alias("logp"), F.log("gamma").cast("float").alias("loggamma")))
+        rows = part if rows is None else rows.unionByName(part)
+    named = rows.mapInArrow(C.tidy(run), "key long, logp float, loggamma float")
+    return C.stored(named.groupBy("key").agg(F.max("logp").alias("logp"), F.max("loggamma").alias("loggamma")))
 
 
 class Model:
-    """Tables by language, finished."""
-
-    def __init__(self, langs: list[str], tables: list[tuple[DataFrame, DataFrame]]):
-        self.langs, self.tables = langs, tables
+    """table: (key, logp, loggamma); langs: (lang) of those with models of their own; trusted: ids."""
 
+    def __init__(self, langs: DataFrame, table: DataFrame, trusted: DataFrame):
+        self.langs, self.table, self.trusted = langs, table, trusted
 
-def trusted_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    kind = docs.schema["doc_id"].dataType
-    return C.stored(labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast(kind).alias("doc_id")).distinct())
+    def discard(self) -> None:
+        C.discard(self.langs, self.table, self.trusted)
 
 
-def half() -> Column:
-    """0 or 1 by text, so copies are in the same half."""
-    return F.pmod(F.xxhash64("text"), F.lit(2))
+def _labelled(docs: DataFrame, langs: DataFrame) -> DataFrame:
+    own = C.sized(langs).withColumn("__own", F.col("lang"))
+    return docs.join(own, "lang", "left").withColumn("model_lang", F.coalesce("__own", F.lit(""))).drop("__own")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model of the trusted rows of docs(doc_id, lang, text) by labels(doc_id, quality, toxic); None without any."""
-    return _fit(docs, trusted_ids(docs, labels))
-
-
-def _fit(docs: DataFrame, good: DataFrame) -> Model | None:
-    trusted = C.having(docs.where("length(text) > 0").select("doc_id", "lang", "text"), good)
-    slim = C.having(docs.where("length(text) > 0").select("doc_id", "lang"), good)
-    found = slim.groupBy("lang").count().where("lang is not null and lang <> ''").orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = [r[0] for r in found if r[1] >= MIN_TEXTS]
-    counts = C.stored(count_grams(trusted, langs))
-    return None if counts.isEmpty() else Model(langs, kneser_ney(counts))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with model_lang and perplexity (null without text)."""
-    sc = docs.sparkSession.sparkContext
-    tables = sc.broadcast({lang: dense(model.tables, lang) for lang in [*model.langs, ""]})
-    langs = set(model.langs)
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    good = trusted_ids(docs, labels)
+    trusted = C.having(docs.where("length(text) > 0"), good).withColumn("half", half())
+    langs = C.stored(trusted.where("lang <> ''").groupBy("lang").agg(F.count_distinct("half").alias("halves")).where("halves = 2").select("lang"))
+    counts = C.stored(count_grams(_labelled(trusted, langs)))
+    if counts.isEmpty():
+        C.discard(good, langs, counts)
+        return None
+    tables = kneser_ney(counts)
+    model = Model(langs, _named(tables), good)
+    C.discard(counts, *[t for pair in tables for t in pair])
+    return model
+
+
+def _placed(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, lang, text, ...) with model_lang, __half (of a trusted row), __split and __block."""
+    held = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = F.lit(1 + held // BLOCK_BYTES)
+    split = F.xxhash64(F.input_file_name(), F.input_file_block_start())
+    content = F.xxhash64("doc_id", "lang", "text")
+    docs = docs.withColumn("__split", F.when(F.input_file_name() == "", F.lit(0)).otherwise(split)).withColumn("__block", F.pmod(F.when(F.col("__split") == 0, content).otherwise(F.col("__split")), blocks))
+    mark = C.sized(model.trusted).withColumn("__trusted", F.lit(True))
+    docs = docs.join(mark, "doc_id", "left").withColumn("__half", F.when(F.col("__trusted"), half())).drop("__trusted")
+    return _labelled(docs, model.langs)
+
+
+def _label_groups(lang: list, halves: list):
+    """(label, rows) of a batch's rows: each row under its full model, a trusted one under the other half's as well."""
+    groups: dict[str, list[int]] = {}
+    for i, (x, h) in enumerate(zip(lang, halves, strict=True)):
+        groups.setdefault(f"f:{x}", []).append(i)
+        if h is not None:
+            groups.setdefault(f"{h}:{x}", []).append(i)
+    return groups.items()
+
+
+def _asks(placed: DataFrame) -> DataFrame:
+    """(block, key, mark): the grams, of every order, of each block's texts, once a task or more; and its file splits (mark)."""
 
     def run(batches):
+        held: dict[tuple[int, str], list] = {}
+        marks: set[tuple[int, int]] = set()
+
+        def flush(name, parts):
+            block, label = name
+            _, first = np.unique(np.concatenate([p[ORDER] for p in parts]), return_index=True)
+            for k in range(ORDER + 1):
+                own = np.unique(keys(label, k, np.concatenate([p[k] for p in parts])[first])) if k else keys(label, 0, np.zeros(1, C.U64))
+                yield from C.batches_of(pa.table({"block": np.full(len(own), block), "key": own.view(np.int64), "mark": np.zeros(len(own), bool)}))
+            pads = np.full(ORDER, PAD, np.uint32)  # contexts that stand before a text
+            own = np.concatenate([keys(label, k, sums(pads, np.array([ORDER - 1]), k)) for k in range(1, ORDER)])
+            yield from C.batches_of(pa.table({"block": np.full(len(own), block), "key": own.view(np.int64), "mark": np.zeros(len(own), bool)}))
+
         for b in batches:
-            lang = [x if x in langs else "" for x in b.column(b.schema.get_field_index("lang")).to_pylist()]
-            out = np.full(b.num_rows, np.nan)
-            for i, codes, n in grams(b.column(b.schema.get_field_index("text"))):
+            lang, halves, split, block = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()
+            for pair in set(zip(block.tolist(), split.tolist(), strict=True)) - marks:
+                marks.add(pair)
+                yield from C.batches_of(pa.table({"block": [pair[0]], "key": [pair[1]], "mark": [True]}))
+            for i, data, offsets in C.text_blocks(b.column(4)):
+                codes, at, n = padded(data, offsets)
                 owner = np.repeat(np.arange(len(n)), n)
-                cost = np.zeros(len(codes))
-                names = lang[i : i + len(n)]
-                for name in set(names):
-                    mine = np.array([x == name for x in names])[owner]
-                    cost[mine] = tables.value[name][codes[mine]]
-                some = np.flatnonzero(n)
-                if len(some):
-                    out[i + some] = np.exp(np.add.reduceat(cost, (np.cumsum(n) - n)[some]) / n[some])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(out, from_pandas=True)], [*b.schema.names, "model_lang", "perplexity"])
+                for own in np.unique(block[i : i + len(n)]).tolist():
+                    here = block[i : i + len(n)] == own
+                    rows = np.flatnonzero(here)
+                    for label, some in _label_groups([lang[i + r] for r in rows], [halves[i + r] for r in rows]):
+                        mine = np.zeros(len(n), bool)
+                        mine[rows[some]] = True
+                        place = at[mine[owner]]
+                        if not len(place):
+                            continue
+                        u, first = np.unique(sums(codes, place, ORDER), return_index=True)
+                        parts = held.setdefault((own, label), [])
+                        parts.append([None, *[sums(codes, place[first], k) for k in range(1, ORDER)], u])
+                        if sum(len(p[ORDER]) for p in parts) > HELD:
+                            yield from flush((own, label), held.pop((own, label)))
+        for name, parts in held.items():
+            yield from flush(name, parts)
+
+    return placed.select("model_lang", "__half", "__split", "__block", "text").mapInArrow(C.tidy(run), "block long, key long, mark boolean")
+
+
+def _packed(placed: DataFrame) -> DataFrame:
+    """(block, blob): rows as compressed Arrow streams of about C.BLOCK_BYTES of text."""
 
-    return docs.mapInArrow(C.tidy(run), T.StructType([*docs.schema.fields, T.StructField("model_lang", T.StringType()), T.StructField("perplexity", T.DoubleType())]))
-
-
-def score_by_joins(docs: DataFrame, model: Model, key: str) -> DataFrame:
-    """(key, perplexity) as score() gives, by joins of the documents' gram counts with the sharded tables."""
-    langs = model.langs
+    def run(batches):
+        for b in batches:
+            block = b.column(b.schema.get_field_index("__block")).to_numpy()
+            size = np.asarray(pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0)).astype(np.int64)
+            for own in np.unique(block):
+                rows = np.flatnonzero(block == own)
+                for some in np.split(rows, np.flatnonzero(np.diff(np.cumsum(size[rows]) // C.BLOCK_BYTES)) + 1):
+                    part, sink = b.take(pa.array(some)), pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                        w.write_batch(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([int(own)]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "blob"])
+
+    return placed.mapInArrow(C.tidy(run), "block long, blob binary")
+
+
+class Answers:
+    """What a block has been told: keys in order, with log p and log gamma."""
+
+    def __init__(self, parts: list):
+        key, p, g = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        self.key, self.p, self.g = key[order], p[order], g[order]
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there)"""
+        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return at, self.key[at] == key
+
+    def costs(self, codes: np.ndarray, at: np.ndarray, label: str) -> np.ndarray:
+        """log p of the character at each place; nan where the label has no model."""
+        out, weight, left = np.full(len(at), np.nan), np.zeros(len(at)), np.arange(len(at))
+        for k in range(ORDER, 0, -1):
+            place, there = self.find(keys(label, k, sums(codes, at[left], k)))
+            there &= ~np.isnan(self.p[place])
+            out[left[there]] = weight[left[there]] + self.p[place[there]]
+            left = left[~there]
+            if not len(left):
+                return out
+            if k > 1:
+                place, there = self.find(keys(label, k - 1, sums(codes, at[left], k - 1, 1)))
+                there &= ~np.isnan(self.g[place])
+                weight[left[there]] += self.g[place[there]]
+        place, there = self.find(keys(label, 0, np.zeros(1, C.U64)))
+        if there[0]:
+            out[left] = weight[left] + self.p[place[0]]
+        return out
+
+
+def _scored(columns: list[str]):
+    """Rows (block, key, logp, loggamma, blob) by block, answers before blobs: the blobs' rows with their perplexities."""
 
     def run(batches):
+        now, parts, answers = None, [], None
         for b in batches:
-            lang = [x if x in langs else "" for x in b.column(1).to_pylist()]
-            for i, codes, n in grams(b.column(2)):
-                code, count = np.unique(np.repeat(np.arange(len(n)), n) * CLASSES**ORDER + codes, return_counts=True)
-                row = code // CLASSES**ORDER
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + row)), pa.array([lang[i + r] for r in row], pa.string()), pa.array(code % CLASSES**ORDER, pa.int32()), pa.array(count)], ["key", "lang", "gram", "n"])
-
-    rows = docs.select(key, "lang", "text").mapInArrow(C.tidy(run), f"key {docs.schema[key].dataType.simpleString()}, lang string, gram int, n long")
-    p = F.lit(1.0 / CLASSES)
-    for k, (grams_k, gamma) in enumerate(model.tables, 1):
-        part = F.pmod("gram", F.lit(CLASSES**k)).cast("int")
-        rows = rows.withColumn("part", part).withColumn("ctx", F.floor(F.col("part") / CLASSES).cast("int"))
-        rows = rows.join(grams_k.select("lang", F.col("gram").alias("part"), F.col("p").alias(f"p{k}")), ["lang", "part"], "left").join(gamma.select("lang", "ctx", F.col("gamma").alias(f"g{k}")), ["lang", "ctx"], "left").drop("part", "ctx")
-        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"g{k}"), F.lit(1.0)) * p)
-    return rows.groupBy("key").agg(F.exp(F.sum(-F.log(p) * F.col("n")) / F.sum("n")).alias("perplexity")).withColumnRenamed("key", key)
-
-
-def held_out(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
-    """(model_lang, perplexity) of the trusted rows, each by a model of the other half."""
-    good = trusted_ids(docs, labels)
-    own = C.stored(C.having(docs.where("length(text) > 0").select("doc_id", "lang", "text"), good).withColumn("half", half()))
-    out = None
-    for i in (0, 1):
-        other = _fit(own.where(F.col("half") == 1 - i).drop("half"), good) or model
-        # a language too rare in a half is compared under the language it has in the full model
-        lang = F.when(F.col("lang").isin(model.langs), F.col("lang")).otherwise(F.lit(""))
-        part = score(own.where(F.col("half") == i).drop("half"), other).select(lang.alias("model_lang"), "perplexity")
-        out = part if out is None else out.unionByName(part)
-    return out
+            blocks, blobs = b.column(0).to_numpy(), b.column(4)
+            told = np.asarray(blobs.is_null())
+            cuts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (told[1:] != told[:-1]), [True]]))
+            for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if blocks[a] != now:
+                    now, parts, answers = blocks[a], [], None
+                if told[a]:
+                    parts.append((b.column(1).slice(a, e - a).to_numpy(), *(b.column(c).slice(a, e - a).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (2, 3))))
+                    continue
+                if answers is None:
+                    answers, parts = Answers(parts), []
+                for blob in blobs.slice(a, e - a):
+                    yield from one(answers, pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks())
+
+    def one(answers, table):
+        lang, halves = table["model_lang"].to_pylist(), table["__half"].to_pylist()
+        if not answers.find(np.unique(table["__split"].to_numpy()))[1].all():
+            raise RuntimeError("a file split was cut differently when it was read again")
+        out = np.full((2, table.num_rows), np.nan)
+        for i, data, offsets in C.text_blocks(table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]):
+            codes, at, n = padded(data, offsets)
+            owner = np.repeat(np.arange(len(n)), n)
+            for label, some in _label_groups(lang[i : i + len(n)], halves[i : i + len(n)]):
+                mine = np.zeros(len(n), bool)
+                mine[some] = True
+                mine &= n > 0
+                place = at[mine[owner]]
+                if not len(place):
+                    continue
+                _, first, back = np.unique(sums(codes, place, ORDER), return_index=True, return_inverse=True)
+                cost = answers.costs(codes, place[first], label)[back]
+                size = n[mine]
+                out[int(label[0] != "f"), i + np.flatnonzero(mine)] = np.exp(-np.add.reduceat(cost, np.cumsum(size) - size) / size)
+        found = table.select(columns).append_column("perplexity", pa.array(out[0], from_pandas=True)).append_column("held_out", pa.array(out[1], from_pandas=True))
+        yield from found.to_batches()
+
+    return run
+
+
+def _perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, lang, text, ...) with model_lang, perplexity and held_out (a trusted row's, by the other half's model)."""
+    placed = _placed(docs, model)
+    asked = _asks(placed).distinct()
+    none = F.lit(None)
+    told = asked.join(model.table, "key", "left").where("mark or logp is not null or loggamma is not null")
+    marks = told.select("block", "key", "logp", "loggamma", none.cast("binary").alias("blob"))
+    rows = marks.unionByName(_packed(placed).select("block", none.cast("long").alias("key"), none.cast("float").alias("logp"), none.cast("float").alias("loggamma"), "blob"))
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("blob").isNotNull())
+    kinds = [f for f in placed.schema.fields if not f.name.startswith("__")]
+    schema = T.StructType([*kinds, T.StructField("perplexity", T.DoubleType()), T.StructField("held_out", T.DoubleType())])
+    return rows.mapInArrow(C.tidy(_scored([f.name for f in kinds])), schema)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """docs(doc_id, lang, text) with model_lang and perplexity (null without text)."""
+    return _perplexities(docs, model).drop("held_out")
 
 
 def thresholds(rows: DataFrame, q: float = QUANTILE) -> dict[str, float]:
-    """model_lang -> threshold, of held_out()."""
+    """model_lang -> threshold, of trusted rows(model_lang, perplexity): a row for each language."""
     own = rows.where("perplexity is not null").groupBy("model_lang").agg(F.percentile_approx("perplexity", q, 10000).alias("x")).collect()
     found = {r[0]: r[1] for r in own}
     if "" not in found and found:
@@ -245,31 +398,33 @@ def thresholds(rows: DataFrame, q: float = QUANTILE) -> dict[str, float]:
     return found
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, q: float = QUANTILE) -> tuple[DataFrame, DataFrame]:
-    """docs with perplexity, threshold and keep; and the slim scored table."""
-    docs = docs.drop("model_lang", "perplexity", "threshold", "keep")
+def verdicts(docs: DataFrame, labels: DataFrame, columns: list[str], q: float = QUANTILE) -> DataFrame:
+    """columns (of docs, computed from doc_id, lang and text), perplexity, threshold and keep for each row of docs."""
+    docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     model = fit(docs, labels)
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.withColumns({"perplexity": none, "threshold": none, "keep": F.coalesce(F.length("text") > 0, F.lit(False))}), docs
-    slim = C.stored(score(docs.select("doc_id", "lang", "text"), model).drop("text"))
-    limits = thresholds(held_out(docs.select("doc_id", "lang", "text"), labels, model), q)
-
-    def judged(rows: DataFrame) -> DataFrame:
-        limit = F.lit(None).cast("double")
-        for name, x in limits.items():
-            limit = F.when(F.col("model_lang") == name, F.lit(x)).otherwise(limit)
-        return rows.withColumn("threshold", limit).withColumn("keep", F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False)))
-
-    return judged(score(docs, model)), judged(slim)
+        return docs.select("*", none.alias("perplexity"), none.alias("threshold"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("keep")).selectExpr(*columns, "perplexity", "threshold", "keep")
+    # a trusted row is told by its text's having a held-out score, or no other half to have it from
+    rows = C.stored(_perplexities(docs, model).join(C.sized(model.trusted).withColumn("trusted", F.lit(True)), "doc_id", "left").selectExpr(*columns, "model_lang", "perplexity", "held_out", "trusted"))
+    limits = thresholds(rows.where("trusted").select("model_lang", F.coalesce("held_out", "perplexity").alias("perplexity")), q)
+    model.discard()
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("model_lang")) if limits else F.lit(None).cast("double")
+    rows = rows.withColumn("threshold", limit)
+    return rows.withColumn("keep", F.coalesce(F.col("perplexity") <= F.coalesce("threshold", F.lit(float("inf"))), F.lit(False))).drop("model_lang", "held_out", "trusted")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, perplexity, threshold, keep for each row of docs(doc_id, lang, text)."""
-    full, slim = verdicts(docs.select("doc_id", "lang", "text"), labels)
-    return (slim if "keep" in slim.columns else full).select("doc_id", "lang", "perplexity", "threshold", "keep")
+    return verdicts(docs, labels, ["doc_id", "lang"]).select("doc_id", "lang", "perplexity", "threshold", "keep")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept; same columns."""
-    return verdicts(docs, labels)[0].where("keep").select(*docs.columns)
+    """The rows of docs that are kept; same columns. A verdict follows from language and text alone, so rejected ones are
+    taken out by two hashes of these; the texts that stay aren't shuffled while the hashes are few enough to broadcast."""
+    lang = "coalesce(lang, '')"
+    bad = verdicts(docs, labels, [f"xxhash64({lang}, text) as h1", f"hash({lang}, text, 1) as h2"]).where("not keep").select("h1", "h2").distinct()
+    bad = C.sized(C.stored(bad))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = inner.select("__row", F.expr(f"xxhash64({lang}, text)").alias("h1"), F.expr(f"hash({lang}, text, 1)").alias("h2"))
+    return rows.join(bad, ["h1", "h2"], "left_anti").select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

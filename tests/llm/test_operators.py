@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -221,36 +222,90 @@ def test_pii_scores_rare_terms_on_distinct_texts(spark, monkeypatch):
             assert [t for t in terms if t in ("qwenda", "vrunto", "plimsk")] == want.get(d, [])
 
 
-def test_quality_joins_agree(spark):
+def brute_kneser_ney(texts, order=quality.ORDER):
+    """(cost of a text's characters, independent of the operator): dictionaries of raw and continuation counts."""
+    pad = chr(quality.PAD) * (order - 1)
+    counts = {order: collections.Counter(g for t in texts for x in [pad + t] for g in (x[i : i + order] for i in range(len(x) - order + 1)))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    held, total, cut = {}, {}, {}
+    for k, c in counts.items():
+        n = collections.Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] + 2 * n[2] else None
+        cut[k] = [0] + [min(i - 0.05, max(0.05, i - (i + 1) * y * n[i + 1] / n[i] if y is not None and n[i] else 0.5 * i)) for i in (1, 2, 3)]
+        for g, x in c.items():
+            total[g[:-1]] = total.get(g[:-1], 0) + x
+            held[g[:-1]] = held.get(g[:-1], 0) + cut[k][min(x, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / (len(counts[1]) + 1)
+        ctx = g[:-1]
+        if ctx not in total:
+            return p(g[1:])
+        x = counts[len(g)][g]
+        return ((x - cut[len(g)][min(x, 3)]) if x else 0) / total[ctx] + held[ctx] / total[ctx] * p(g[1:])
+
+    def perplexity(t):
+        x = pad + t
+        return math.exp(-sum(math.log(p(x[i : i + order])) for i in range(len(t))) / len(t)) if t else None
+
+    return perplexity, p, counts[1]
+
+
+def test_quality_against_brute_force(spark, tmp_path):
+    """Perplexities, thresholds and verdicts, from memory and from files, against dictionaries."""
     r = random.Random(2)
-    good = [(i, " ".join(words(r, 50)), "en") for i in range(40)]
+    en = [(i, " ".join(words(r, 40)), "en") for i in range(40)]
+    fr = [(50 + i, " ".join(r.choice("écla bîen çava où 😀z".split()) for _ in range(30)), "fr") for i in range(12)]
     bad = [(100 + i, "".join(r.choice("#$%&*!|") for _ in range(200)), "en") for i in range(5)]
-    df = spark.createDataFrame([*good, *bad, (200, None, "en"), (201, "", None), (202, good[0][1], None)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(100, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    odd = [(200, None, "en"), (201, "", None), (202, en[0][1], None), (203, "a\0b", "xx"), (204, en[1][1], "xx"), (204, en[1][1], "xx"), (None, en[2][1], "en"), (300, "only one text", "rare")]
+    rows = [*en, *fr, *bad, *odd]
+    labels = [(i, 1, 0) for i in [*range(30), *range(50, 60), 300]] + [(100, 0, 0), (None, 1, 0), (35, 1, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    df.write.parquet(f"{tmp_path}/docs")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    halves = {x["text"]: x["half"] for x in df.select("text", quality.half().alias("half")).collect()}
+    good = {i for i, q, t in labels if i is not None and (q, t) == (1, 0)}
+    own = {x for x in ("en", "fr", "rare") if len({halves[t] for i, t, lang in rows if i in good and lang == x}) == 2}
+    assert own == {"en", "fr"}
+
+    def name(lang):
+        return lang if lang in own else ""
+
+    def model(lang, half=None):
+        return brute_kneser_ney([t for i, t, x in rows if i in good and (lang == "" or x == lang) and half != halves[t]])
+
+    full = {x: model(x) for x in ("", "en", "fr")}
+    held = collections.defaultdict(list)
+    for i, t, lang in rows:
+        if i in good:
+            held[name(lang)].append(model(name(lang), halves[t])[0](t))
+    limit = {x: sorted(v)[math.ceil(quality.QUANTILE * len(v)) - 1] for x, v in held.items()}
+    for p, chars in (full["en"][1:], full["fr"][1:]):
+        for ctx in ("", "e", "al", "alph"):
+            assert abs(sum(p(ctx + c) for c in chars) + p(ctx + "\u4e00") - 1) < 1e-9
+    want = []
+    for i, t, lang in rows:
+        x = full[name(lang)][0]((t or "").replace("\0", "\ufffd"))
+        want.append((i, lang, x and round(x, 3), x is not None and x <= limit[name(lang)] + 1e-6))
+    for docs in (df, spark.read.parquet(f"{tmp_path}/docs")):
+        got = quality.classify(docs, marks).collect()
+        assert sorted(map(str, want)) == sorted(str((x["doc_id"], x["lang"], x["perplexity"] and round(x["perplexity"], 3), x["keep"])) for x in got)
+        assert {x["lang"]: x["threshold"] for x in got if x["lang"] in own} == pytest.approx({x: limit[x] for x in own}, rel=1e-5)
+        clash = docs.withColumns({"keep": F.lit("mine"), "perplexity": F.lit(1), "half": F.lit(2), "model_lang": F.lit("m"), "h1": F.lit(0)})
+        left = quality.keep(clash, marks)
+        assert left.columns == clash.columns and {x["keep"] for x in left.select("keep").distinct().collect()} == {"mine"}
+        assert sorted(str(x["doc_id"]) for x in left.collect()) == sorted(str(i) for i, _, _, ok in want if ok)
+
+
+def test_quality_degenerate(spark):
+    df = spark.createDataFrame([(i, "same same", "en") for i in range(8)] + [(9, "other", None), (10, None, None)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
     got = {x["doc_id"]: x["keep"] for x in quality.classify(df, labels).collect()}
-    assert all(got[i] for i in range(40)) and not any(got[100 + i] for i in range(5)) and not got[200] and not got[201] and got[202]
-    model = quality.fit(df, labels)
-    a = {x["doc_id"]: x["perplexity"] for x in quality.score(df, model).where("perplexity is not null").collect()}
-    b = {x["doc_id"]: x["perplexity"] for x in quality.score_by_joins(df, model, "doc_id").collect()}
-    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-3 * a[k] for k in a)
-    table = np.exp(-quality.dense(model.tables, "en").astype(float)).reshape(-1, quality.CLASSES).sum(1)
-    assert np.allclose(table, 1, atol=1e-4)
-    assert quality.keep(df, labels.where("false")).count() == 46
-
-
-def test_quality_threshold_is_the_held_out_quantile(spark):
-    r = random.Random(2)
-    good = [(i, " ".join(words(r, 50)), "en") for i in range(60)]
-    df = spark.createDataFrame([*good, (100, "q" * 30, "en")], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
-    halves = {x["doc_id"]: x["half"] for x in df.select("doc_id", quality.half().alias("half")).collect()}
-    held = []
-    for i in (0, 1):
-        ids = [d for d, _, _ in good if halves[d] == i]
-        model = quality.fit(df, labels.where(~F.col("doc_id").isin(ids)))
-        held += [x["perplexity"] for x in quality.score(df.where(F.col("doc_id").isin(ids)), model).collect()]
-    got = quality.classify(df, labels).where("doc_id = 0").first()["threshold"]
-    assert len(held) == 60 and abs(got - max(held)) < 1e-9
+    assert all(got[i] for i in range(8)) and not got[9] and not got[10]
+    assert quality.classify(df, labels.where("false")).where("keep").count() == 9 and quality.keep(df, labels.where("false")).count() == 9
+    assert quality.classify(df.where("false"), labels).count() == 0 and quality.keep(df.where("false"), labels).count() == 0
 
 
 def test_packing(spark, docs, rows):
