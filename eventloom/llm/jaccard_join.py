@@ -1,9 +1,10 @@
 """N-gram Jaccard join on a count-vector R-tree.
 
 Every text becomes the set of its distinct k-word shingles, named by a 63-bit digest of the set, so copies are one member
-from the start. Shingles are hashed into GROUPS groups; the counts by group are a point. For two points the sum of the
-coordinates' minima bounds the overlap from above, and for an R-tree node the same sum with the node's coordinate maxima
-bounds the overlap with anything below it.
+from the start. Shingles are hashed into GROUPS groups, or more where a text is long (about PER_GROUP in each); the counts
+by group are a point. For two points the sum of the coordinates' minima, at the coarser of their resolutions, bounds the
+overlap from above, and for an R-tree node the same sum with the node's coordinate maxima bounds the overlap with anything
+below it.
 
 The R-trees are sharded: one for each set of members that share a key, where a member's keys are the first
 n - ceil(t n) + 1 of its shingles in one global order (any order is right; shingles that a bounded sample shows to be
@@ -11,9 +12,10 @@ frequent come last, so that common passages make no shards). Two texts of simila
 pair meets in some tree. A tree gives the components of its bound's graph, as stars: rows in proportion to its members, not
 to its pairs. Components over all trees are families; each pair that qualifies lies in one family.
 
-A family of up to WHOLE weight is verified in one task on the sets themselves. A heavier one is dealt into shards by digest:
-each shard is verified; then one member of each component found goes to all shards of its family; then, as only a pair
-with a member outside the family's largest component can still be missing, the other members of such components go there.
+A family of up to WHOLE weight is verified in one task on the sets themselves. A heavier one is dealt into shards, by bands
+of size (texts that link are in one band or in neighbouring ones) and by digest: each shard is verified; then one member of
+each component found goes to the other shards of its band and the neighbouring ones; then, as only a pair with a member
+outside the family's largest component can still be missing, the other members of such components go there.
 Pairs already in one component are never verified, so copies aren't expanded into pairs, and no link between components is
 lost.
 
@@ -23,6 +25,8 @@ kept, each a row. Ties have no influence. Empty tables give no rows. Other colum
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-GROUPS = 64
+GROUPS, PER_GROUP = 64, 20
 LEAF, FAN = 32, 8
 #: Documents, at most about, in the sample that finds frequent shingles, and how many of those are used at most.
 SAMPLE_DOCS, HOT_KEYS, HOT_SHARE = 4000, 1 << 16, 500
@@ -55,8 +59,18 @@ def _frequent(texts: DataFrame, k: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64)).view(C.U64)
 
 
+def point(h: np.ndarray) -> bytes:
+    """Counts of shingles by their leading bits, behind the number of bytes of each."""
+    groups = GROUPS
+    while groups * PER_GROUP < len(h) and groups < 1 << 16:
+        groups *= 2
+    counts = np.bincount((C.mix(h) >> C.U64(64 - (groups.bit_length() - 1))).astype(np.int64), minlength=groups)
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
 def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n and digest for each row; prefix and point (scale, counts over scale) too where the digest is new in its task."""
+    """doc_id, text_hash, n and digest for each row; prefix and point too where the digest is new in its task."""
 
     def run(batches):
         seen: set[int] = set()
@@ -76,9 +90,6 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                     if (x := int(digest[r])) not in seen:
                         seen.add(x)
                         new[r] = True
-                counts = np.bincount(d * GROUPS + (C.mix(h) >> C.U64(58)).astype(np.int64), minlength=m * GROUPS).reshape(m, GROUPS)
-                scale = np.maximum(1, -(-counts.max(1, initial=0) // 255)).astype(np.uint32)
-                vec = (-(-counts // scale[:, None])).astype(np.uint8)
                 key = h >> C.U64(1)
                 if len(hot) and len(h):
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -95,7 +106,7 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
                         pa.array(n),
                         pa.array(digest.view(np.int64), mask=n == 0),
                         pa.ListArray.from_arrays(pa.array(offs), pa.array(key[take].view(np.int64))),
-                        pa.array([scale[r].tobytes() + vec[r].tobytes() if x else None for r, x in enumerate(new)], pa.binary()),
+                        pa.array([point(h[ends[r] - n[r] : ends[r]]) if x else None for r, x in enumerate(new)], pa.binary()),
                     ],
                     ["doc_id", "text_hash", "n", "digest", "prefix", "point"],
                 )
@@ -140,24 +151,46 @@ def united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Points:
-    """Texts of a task as points: sizes and counts by group."""
-
-    def __init__(self, n, scale, vec, num, den):
-        self.n, self.scale, self.vec, self.num, self.den = n, scale, vec, num, den
+    """Texts of a task as points: sizes, and counts by group at each text's own resolution and at that of GROUPS."""
+
+    def __init__(self, n: np.ndarray, points: list[bytes], num: int, den: int):
+        self.n, self.num, self.den = n, num, den
+        self.own = [np.frombuffer(x, f"<u{x[0]}", offset=1) for x in points]
+        self.size = np.array([len(x) for x in self.own], np.int64)
+        self.vec = self._matrix(np.arange(len(n)), GROUPS)
+        self.finer: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def _matrix(self, rows: np.ndarray, size: int) -> np.ndarray:
+        out = np.zeros((len(rows), size), np.int32)
+        for have in np.unique(self.size[rows]):
+            some = np.flatnonzero(self.size[rows] == have)
+            out[some] = np.stack([self.own[i] for i in rows[some]]).reshape(len(some), size, -1).sum(2)
+        return out
 
     def counts(self, i: np.ndarray) -> np.ndarray:
-        return self.vec[i].astype(np.int32) * self.scale[i, None]
+        return self.vec[i]
 
     def fits(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether sizes and the sum of coordinate minima allow similarity num / den."""
         na, nb = self.n[a], self.n[b]
         ok = self.num * np.maximum(na, nb) <= self.den * np.minimum(na, nb)
-        at = np.flatnonzero(ok)
-        for x in np.array_split(at, len(at) // 50_000 + 1):
-            bound = np.minimum(self.counts(a[x]), self.counts(b[x])).sum(1)
-            ok[x] = (self.num + self.den) * bound >= self.num * (na[x] + nb[x])
+        self._bounded(ok, a, b, self.vec, a, b, np.flatnonzero(ok))
+        finest = np.minimum(self.size[a], self.size[b])
+        for size in np.unique(finest[ok & (finest > GROUPS)]).tolist():
+            if size not in self.finer:
+                rows = np.flatnonzero(self.size >= size)
+                at = np.zeros(len(self.n), np.int64)
+                at[rows] = np.arange(len(rows))
+                self.finer[size] = at, self._matrix(rows, size)
+            at, vec = self.finer[size]
+            self._bounded(ok, a, b, vec, at[a], at[b], np.flatnonzero(ok & (finest == size)))
         return ok
 
+    def _bounded(self, ok, a, b, vec, ra, rb, at) -> None:
+        for x in np.array_split(at, len(at) * vec.shape[1] // 3_000_000 + 1):
+            bound = np.minimum(vec[ra[x]], vec[rb[x]]).sum(1)
+            ok[x] = (self.num + self.den) * bound >= self.num * (self.n[a[x]] + self.n[b[x]])
+
 
 def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
     """Pairs (asking, member), different, that the bound allows, all of an asking point at once; found level by level in an
@@ -203,8 +236,7 @@ def _stars(num: int, den: int):
             return
         digests, at, local = np.unique(t["digest"].to_numpy(), return_index=True, return_inverse=True)
         one = t.take(pa.array(at))
-        raw = np.frombuffer(b"".join(one["point"].to_pylist()), np.uint8).reshape(-1, 4 + GROUPS)
-        p = Points(one["n"].to_numpy(), raw[:, :4].copy().view(np.int32).ravel(), raw[:, 4:], num, den)
+        p = Points(one["n"].to_numpy(), one["point"].to_pylist(), num, den)
         key = t["key"].to_numpy()
         order = np.lexsort((local, p.n[local], key))
         key, local = key[order], local[order]
@@ -339,20 +371,26 @@ def _rooted(members: DataFrame, links_: DataFrame) -> DataFrame:
 
 def _heavy(members: DataFrame, first: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The links that the shards of heavy families miss. members: of families of several shards; first: links within shards."""
-    shards = F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).alias("shard")
     cols = ["family", "shard", "digest", "root", "ask", "want_id", "text_hash"]
+    shards = C.stored(members.select("family", F.col("band").alias("near"), "shard").distinct())
+
+    def visiting(guests: DataFrame) -> DataFrame:
+        near = guests.withColumn("home", F.col("shard")).drop("shard").withColumn("near", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        return near.join(shards, ["family", "near"]).where("shard <> home").withColumn("ask", F.lit(True)).select(*cols)
+
+    def residents(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("ask", F.lit(False)).select(*cols)
+
     first = C.stored(first.join(members.select(F.col("digest").alias("a")), "a", "left_semi"))
     ours = C.stored(_rooted(members, first))
-    one = F.col("digest") == F.col("root")  # a component is within a shard: its smallest member speaks for it
-    guests = ours.where(one).select("*", F.col("shard").alias("home")).drop("shard").select("*", shards).where("shard <> home")
-    every = ours.withColumn("ask", F.lit(False)).select(*cols).unionByName(guests.withColumn("ask", F.lit(True)).select(*cols))
-    found = _solved(C.stored(every), docs, k, num, den)
-    joined = C.stored(_rooted(ours.withColumn("__spoke", one), first.unionByName(found)))
+    spoke = F.col("digest") == F.col("root")  # a component is within a shard: its smallest member speaks for it
+    found = _solved(C.stored(residents(ours).unionByName(visiting(ours.where(spoke)))), docs, k, num, den)
+    joined = C.stored(_rooted(ours.withColumn("__spoke", spoke), first.unionByName(found)))
     sizes = joined.groupBy("family", "root").agg(F.count("*").alias("size"))
     main = sizes.groupBy("family").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-    rest = joined.join(main, "family").where("root <> main and not __spoke").select("*", F.col("shard").alias("home")).drop("shard").select("*", shards).where("shard <> home")
-    asked = C.stored(joined.withColumn("ask", F.lit(False)).select(*cols).unionByName(rest.withColumn("ask", F.lit(True)).select(*cols)))
-    return C.stored(found.unionByName(_solved(asked, docs, k, num, den)))
+    rest = joined.join(main, "family").where("root <> main and not __spoke").drop("main", "__spoke")
+    more = _solved(C.stored(residents(joined).unionByName(visiting(rest))), docs, k, num, den)
+    return C.stored(found.unionByName(more))
 
 
 def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -374,11 +412,16 @@ def labelled(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> Data
     family = C.components(stars).toDF("digest", "family")
     text = table.where("digest is not null").groupBy("digest").agg(F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(C.NO_ID)).alias("want_id"), "n")).alias("x"))
     family = C.stored(text.join(C.sized(C.stored(family)), "digest").select("digest", "family", "x.*"))
-    weight = family.groupBy("family").agg(F.ceil(F.sum(F.col("n") + MEMBER) / F.lit(WHOLE)).alias("shards"))
-    members = family.join(weight, "family").withColumn("shard", F.pmod(F.xxhash64("digest"), F.col("shards")))
-    members = C.stored(members.select("family", "shard", "shards", "digest", F.col("digest").alias("root"), F.lit(True).alias("ask"), "want_id", "text_hash"))
+    weight = F.sum(F.col("n") + MEMBER)
+    heavy = family.groupBy("family").agg((weight > WHOLE).alias("heavy"))
+    band = F.when(F.col("heavy"), F.floor(F.log("n") / F.lit(math.log(den / num) * (1 + 1e-9)))).otherwise(F.lit(0))
+    family = C.stored(family.join(heavy, "family").withColumn("band", band))
+    parts = family.groupBy("family", "band").agg(F.ceil(weight / F.lit(WHOLE)).alias("parts"))
+    shard = F.col("band") * F.lit(1 << 32) + F.pmod(F.xxhash64("digest"), F.col("parts"))
+    members = family.join(parts, ["family", "band"]).withColumn("shard", F.when(F.col("heavy"), shard).otherwise(F.lit(0).cast("long")))
+    members = C.stored(members.select("family", "heavy", "band", "shard", "digest", F.col("digest").alias("root"), F.lit(True).alias("ask"), "want_id", "text_hash"))
     found = _solved(members, docs, k, num, den)
-    several = members.where("shards > 1")
+    several = members.where("heavy")
     if not several.isEmpty():
         found = C.stored(found.unionByName(_heavy(several, found, docs, k, num, den)))
     roots = C.stored(C.components(found).toDF("digest", "root"))
