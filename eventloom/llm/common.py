@@ -37,6 +37,8 @@ def stored(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scratch is not None:
+        _scratch.append(out)
     return out
 
 
@@ -47,6 +49,31 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+#: Tables written within the scratch() that is open, and those of the last one.
+_scratch: list[DataFrame] | None = None
+_last: list[DataFrame] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that were written within the scratch() before this one. For steps whose results are written
+    before the next step begins; tables written outside of a scratch() stay."""
+    global _scratch
+    discard(*_last)
+    _last.clear()
+    _scratch = []
+    try:
+        yield
+    finally:
+        _last.extend(_scratch)
+        _scratch = None
+
+
+def keep_last() -> None:
+    """The tables of the last scratch() stay."""
+    _last.clear()
+
+
 #: Bytes of a table (as rows of 8 bytes a number and the length of what is longer) that a join may broadcast.
 BROADCAST_BYTES = 32 << 20
 #: Stands for a null id where ids are compared by equality.
