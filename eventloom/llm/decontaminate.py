@@ -9,12 +9,16 @@ multi-index: the 64 bits are cut into RADIUS + 1 blocks, fingerprints that diffe
 at least, so looking up each block finds all fingerprints within the radius. Counts: every window, cut or not, with as many
 shared shingles as the threshold needs at least, so nothing is lost beyond the radius.
 
-Items travel to the tasks in blocks of a bounded number of words (ITEM_BLOCK); a larger benchmark takes several passes
-over the documents, no other way. Documents are not shuffled.
+A benchmark of up to ITEM_BYTES is broadcast, indexed, and documents are not shuffled. A larger one stays distributed: a
+pair that qualifies shares one of the item's first n - ceil(t n) + 1 shingles, in the order of how many items have them, so
+an equi-join of these with the documents' shingles gives the candidates; each text meets its candidates' texts in one task
+and is searched by the same code. Nothing is lost either way.
 
 Null or empty texts match nothing; items without words are left out; an item of fewer words than a shingle is one shingle.
-Null and repeated ids are carried as they are; a document's row stays one row. Ties: items are listed by id. An empty
-benchmark leaves every document clean; empty documents give no rows. Other columns of the documents are kept.
+Null and repeated ids are carried as they are; a document's row stays one row. Ties: items are listed by id, an id as often
+as it has different texts that are found. An empty benchmark leaves every document clean; empty documents give no rows.
+matches() replaces columns of the names it adds and keeps the others; decontaminate() keeps all columns. Memory follows the
+length of a text, not the product with an item's length or with the items that share a shingle.
 """
 
 from __future__ import annotations
@@ -23,14 +27,15 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common as C
 
 RADIUS = 12
-ITEM_BLOCK = 1 << 20
+#: Bytes of benchmark text that are broadcast, and hits of shared shingles that are looked at together.
+ITEM_BYTES, HITS = 8 << 20, 4_000_000
 
 
 def fingerprints(words: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
@@ -47,7 +52,8 @@ class Items:
     """A block of benchmark items, indexed."""
 
     def __init__(self, rows: list[tuple[int, str]], k: int, radius: int = RADIUS):
-        self.k, self.radius = k, radius
+        self.k, self.radius, self.rows = k, radius, rows
+        self._parts: list[Items] | None = None
         self.by_length: dict[int, list[int]] = {}
         self.ids, self.bags, prints, keys, lengths, owners = [], [], [], [], [], []
         for item_id, text in rows:
@@ -79,6 +85,13 @@ class Items:
             x = self.prints[items]
             self.index[length] = [self._sorted((x >> a) & m, np.array(items)) for a, m in self.blocks]
 
+    def parts(self) -> list[Items]:
+        """Two indexes of half of the items each."""
+        if self._parts is None:
+            half = len(self.rows) // 2
+            self._parts = [Items(x, self.k, self.radius) for x in (self.rows[:half], self.rows[half:])]
+        return self._parts
+
     @staticmethod
     def _sorted(values, items):
         order = np.argsort(values, kind="stable")
@@ -149,14 +162,23 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -
     if m > 0:
         at = np.minimum(np.searchsorted(items.keys, grams), len(items.keys) - 1)
         hits = np.flatnonzero((items.keys[at] == grams) & (text[:m] == text[k - 1 :]))
+    if len(hits) and len(items.rows) > 1:
+        n = np.searchsorted(items.keys, grams[hits], "right") - np.searchsorted(items.keys, grams[hits], "left")
+        if n.sum() > HITS:
+            half = len(items.parts()[0].ids)
+            for shift, part in zip((0, half), items.parts(), strict=True):
+                for d, got in find(data, offsets, part, least).items():
+                    found.setdefault(d, {}).update({j + shift: x for j, x in got.items()})
+            return {d: got for d, got in found.items() if got}
     windows: dict[int, list[np.ndarray]] = {}
 
-    def verify(j: int, s: int, bag: np.ndarray) -> None:
-        if (x := weighted_jaccard(bag, items.bags[j])) >= least:
-            d = int(text[s])
-            mine, first = found.setdefault(d, {}), s - int(bounds[d])
-            if j not in mine or (x, -first) > (mine[j][0], -mine[j][1]):
-                mine[int(j)] = (x, first)
+    def verify(j: int, s: int, bag) -> None:
+        d = int(text[s])
+        mine, first = found.setdefault(d, {}), s - int(bounds[d])
+        if j in mine and mine[j][0] == 1 and mine[j][1] <= first:
+            return
+        if (x := weighted_jaccard(bag(), items.bags[j])) >= least and (j not in mine or (x, -first) > (mine[j][0], -mine[j][1])):
+            mine[int(j)] = (x, first)
 
     if len(hits):
         low, high = np.searchsorted(items.keys, grams[hits], "left"), np.searchsorted(items.keys, grams[hits], "right")
@@ -165,15 +187,17 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -
         key = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
         length = items.lengths[key]
         for j, first, end in countable(hit, items.owners[key], text, bounds, items, least):
-            verify(j, first, grams[first : end - k + 1])
+            verify(j, first, lambda a=first, e=end: grams[a : e - k + 1])
         for size in np.unique(length):
             if size < k:
                 continue
             h = np.unique(hit[length == size])
-            starts = np.unique((h[:, None] - np.arange(size - k + 1)).ravel())
-            starts = starts[(starts >= 0) & (starts + size <= len(words))]
+            reach = np.zeros(len(words) + 1, np.int64)  # windows that hold a hit: runs of starts up to each
+            np.add.at(reach, np.maximum(h - (size - k), 0), 1)
+            np.add.at(reach, h + 1, -1)
+            starts = np.flatnonzero(np.cumsum(reach)[:-1] > 0)
+            starts = starts[starts + size <= len(words)]
             starts = starts[text[starts] == text[starts + size - 1]]
-            starts = starts[np.isin(text[starts], text[h])]
             windows.setdefault(int(size), []).append(starts)
     for size in items.by_length:
         if size < k and len(words) >= size:  # an item shorter than a shingle: every window of its length
@@ -188,57 +212,136 @@ def find(data: np.ndarray, offsets: np.ndarray, items: Items, least: Fraction) -
             w, item = items.near(prints, size)
             for i, j in zip(w, item, strict=True):
                 s = int(part[i])
-                bag = grams[s : s + size - k + 1] if size >= k else C.mix(np.array([np.add.reduce(words[s : s + size] * weight[:size]) + C.U64(size)])) >> C.U64(1)
-                verify(int(j), s, bag)
-    return found
+                verify(int(j), s, (lambda a=s, n=size: grams[a : a + n - k + 1]) if size >= k else (lambda a=s, n=size: short_gram(words[a : a + n], weight)))
+    return {d: got for d, got in found.items() if got}
 
 
-def item_blocks(benchmark: DataFrame):
-    """Items in blocks of at most ITEM_BLOCK bytes and one item."""
-    block, size = [], 0
-    for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null").orderBy("item_id", "text").toLocalIterator():
-        block.append((r[0], r[1]))
-        size += len(r[1])
-        if size >= ITEM_BLOCK:
-            yield block
-            block, size = [], 0
-    yield block
+def short_gram(words: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The one shingle of a sequence of fewer words than a shingle."""
+    return C.mix(np.array([np.add.reduce(words * weight[: len(words)]) + C.U64(len(words))])) >> C.U64(1)
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with item_ids (array of the benchmark items found, ascending), similarity (the highest) and first_word (where
-    that window starts); empty and null where there is none."""
-    names, count = [c for c in docs.columns if c not in ("item_ids", "similarity", "first_word")], 0
-    docs = docs.select(*names)
-    for block in item_blocks(benchmark):
-        docs = _one_pass(docs, block, k, least, text_col, count)
-        count += 1
-    parts = [F.col(f"__found{i}") for i in range(count)]
-    all_ = F.flatten(F.array(*parts)) if count > 1 else parts[0]
-    best = F.array_max(F.transform(all_, lambda x: F.struct(x["similarity"].alias("s"), (-x["first_word"]).alias("w"))))
-    return docs.select(*names, F.array_sort(F.transform(all_, lambda x: x["item_id"])).alias("item_ids"), best["s"].alias("similarity"), (-best["w"]).alias("first_word"))
+FOUND = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())]))
+FOUND_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
+
 
+def _rows(found: dict, items: Items, n: int) -> list:
+    out: list = [[] for _ in range(n)]
+    for d, got in found.items():
+        out[d] = [{"item_id": items.ids[j], "similarity": float(x), "first_word": w} for j, (x, w) in got.items()]
+    return out
 
-def _one_pass(docs: DataFrame, block: list, k: int, least: Fraction, text_col: str, number: int) -> DataFrame:
-    items: list = []
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int64())]))
+
+def _broadcast(texts: DataFrame, items: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """texts(..., __text) and found; the items are at most ITEM_BYTES."""
+    rows = [(r[0], r[1]) for r in items.orderBy("item_id", "text").collect()]
+    shared, names = texts.sparkSession.sparkContext.broadcast(rows), texts.columns
 
     def run(batches):
-        if not items:
-            items.append(Items(block, k))
+        index = None
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index(text_col))
-            rows: list = [[] for _ in range(batch.num_rows)]
-            for i, data, offsets in C.text_blocks(column):
-                for d, got in find(data, offsets, items[0], least).items():
-                    rows[i + d] = [{"item_id": items[0].ids[j], "similarity": float(x), "first_word": w} for j, (x, w) in got.items()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], [*batch.schema.names, f"__found{number}"])
+            index = index or Items(shared.value, k)
+            column, out = batch.column(names.index("__text")), []
+            for _, data, offsets in C.text_blocks(column):
+                out += _rows(find(data, offsets, index, least), index, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, FOUND_KIND)], [*names, "found"])
+
+    return texts.mapInArrow(C.tidy(run), T.StructType([*texts.schema.fields, T.StructField("found", FOUND)]))
+
 
-    found = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("similarity", T.DoubleType()), T.StructField("first_word", T.LongType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"__found{number}", T.ArrayType(found))])
-    return docs.mapInArrow(C.tidy(run), schema)
+def _grams(k: int, sizes: list[int]):
+    """The different shingles of each (id, text): (id, key); of items shorter than a shingle, their lengths' too."""
+
+    def run(batches):
+        weight = C.powers(max(k, 2), C.U64(0xD6E8FEB86659FD93))
+        for b in batches:
+            for i, data, offsets in C.text_blocks(b.column(1)):
+                h, d = C.distinct_shingles(data, offsets, k)
+                keys, owner = [h], [d]
+                if sizes:
+                    words, text, _ = C.word_hashes(data, offsets)
+                    for size in sizes:
+                        m = len(words) - size + 1
+                        if m > 0:
+                            sums = np.full(m, C.U64(size))
+                            for j in range(size):
+                                sums += words[j : j + m] * weight[j]
+                            inside = text[:m] == text[size - 1 :]
+                            keys.append((C.mix(sums) >> C.U64(1))[inside])
+                            owner.append(text[:m][inside])
+                pairs = np.unique(np.stack([np.concatenate(owner).astype(np.int64), np.concatenate(keys).view(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + pairs[:, 0])), pa.array(pairs[:, 1])], ["id", "key"])
+
+    return run
+
+
+def _item_keys(items: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """(item, key, n, rank, size): the shingles of items(item, text), the rarest among items first."""
+
+    def run(batches):
+        for b in batches:
+            for i, data, offsets in C.text_blocks(b.column(1)):
+                h, d = C.shingles(data, offsets, k)
+                size = np.bincount(C.word_hashes(data, offsets)[1], minlength=len(offsets) - 1)
+                pairs, n = np.unique(np.stack([d.astype(np.int64), h.view(np.int64)], 1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(i + pairs[:, 0])), pa.array(pairs[:, 1]), pa.array(n), pa.array(size[pairs[:, 0]])], ["item", "key", "n", "words"])
+
+    keys = C.stored(items.select("item", "text").mapInArrow(C.tidy(run), "item long, key long, n long, words long"))
+    rare = keys.groupBy("key").agg(F.count("*").alias("items"))
+    order = Window.partitionBy("item").orderBy("items", "key").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("n").over(Window.partitionBy("item"))
+    ranked = keys.join(rare, "key").withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).withColumn("total", total)
+    # what is left out weighs less than a window must share
+    return ranked.where(F.lit(least.denominator) * (F.col("total") - F.col("before")) >= F.lit(least.numerator) * F.col("total")).select("item", "key", "words")
+
+
+def _joined(texts: DataFrame, items: DataFrame, k: int, least: Fraction) -> DataFrame:
+    """texts(..., __text) and found, by an equi-join of shingles."""
+    items = C.stored(items.withColumn("item", F.monotonically_increasing_id()))
+    keys = C.stored(_item_keys(items, k, least))
+    sizes = sorted(r[0] for r in keys.where(F.col("words") < k).select("words").distinct().collect())
+    name = F.struct(F.xxhash64("__text").alias("a"), F.hash("__text", F.lit(1)).alias("b"))
+    own = texts.where("length(__text) > 0").select(name.alias("id"), "__text")
+    asked = own.mapInArrow(C.tidy(_grams(k, sizes)), "id struct<a:long,b:int>, key long")
+    pairs = C.stored(C.likely(asked, "key", keys).join(keys, "key").select("id", "item").distinct())
+    one = own.join(pairs.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    none = F.lit(None)
+    rows = one.select("id", none.cast("long").alias("item_id"), F.col("__text").alias("text")).unionByName(pairs.join(items, "item").select("id", "item_id", "text").withColumn("item", F.lit(True)), allowMissingColumns=True)
+    rows = rows.repartition("id").sortWithinPartitions("id", F.col("item").asc_nulls_last(), "item_id", "text").select("id", "item", "item_id", "text")
+
+    def run(batches):
+        now, some = None, []
+        for b in batches:
+            out_id, out = [], []
+            for i, (key, item, item_id, text) in enumerate(zip(*(c.to_pylist() for c in b.columns), strict=True)):
+                if key != now:
+                    now, some = key, []
+                if item:
+                    some.append((item_id, text))
+                    continue
+                index, raw = Items(some, k), text.encode()
+                out_id.append(key)
+                out += _rows(find(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), index, least), index, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(out_id, pa.struct([("a", pa.int64()), ("b", pa.int32())])), pa.array(out, FOUND_KIND)], ["id", "found"])
+
+    found = rows.mapInArrow(C.tidy(run), T.StructType([T.StructField("id", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.IntegerType())])), T.StructField("found", FOUND)]))
+    found = C.stored(found.where("size(found) > 0").withColumnRenamed("id", "__id"))
+    return texts.join(found, name == F.col("__id"), "left").drop("__id").withColumn("found", F.coalesce("found", F.array().cast(FOUND)))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with item_ids (array of the benchmark items found, ascending), similarity (the highest) and first_word (where
+    that window starts); empty and null where there is none."""
+    names = [c for c in docs.columns if c not in ("item_ids", "similarity", "first_word")]
+    texts = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{text_col}`").cast("string").alias("__text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("length(text) > 0").distinct()
+    held = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = (_broadcast if held <= ITEM_BYTES else _joined)(texts, items, k, least)
+    best = F.array_max(F.transform("found", lambda x: F.struct(x["similarity"].alias("s"), (-x["first_word"]).alias("w"))))
+    return rows.select(*[F.col("__row").getField(c).alias(c) for c in names], F.array_sort(F.transform("found", lambda x: x["item_id"])).alias("item_ids"), best["s"].alias("similarity"), (-best["w"]).alias("first_word"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, k: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
     """docs without the rows in which a benchmark item is found; same columns."""
-    return matches(docs, benchmark, k, least).where(F.size("item_ids") == 0).select(*docs.columns)
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return matches(inner, benchmark, k, least).where(F.size("item_ids") == 0).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -148,7 +148,7 @@ def test_decontaminate_beyond_the_radius():
     assert beyond
 
 
-def test_decontaminate_brute_force(spark):
+def test_decontaminate_brute_force(spark, monkeypatch):
     r, k = random.Random(12), 5
     items = [(i, words(r, n)) for i, n in enumerate([5, 6, 12, 30, 60, 3])]
     docs = [(0, items[3][1][:-1]), (1, items[4][1][3:])]
@@ -175,8 +175,25 @@ def test_decontaminate_brute_force(spark):
                     break
     df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
-    got = {x[0]: set(x[1]) for x in decontaminate.matches(df, bench).where("size(item_ids) > 0").select("doc_id", "item_ids").collect()}
-    assert {0, 1, 400} <= want.keys() and got == want
+    assert {0, 1, 400} <= want.keys()
+    for most, hits in ((decontaminate.ITEM_BYTES, decontaminate.HITS), (decontaminate.ITEM_BYTES, 3), (0, decontaminate.HITS)):  # broadcast, in halves, by joins
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        got = {x[0]: set(x[1]) for x in decontaminate.matches(df, bench).where("size(item_ids) > 0").select("doc_id", "item_ids").collect()}
+        assert got == want
+
+
+def test_decontaminate_long_and_clashing(spark, monkeypatch):
+    r = random.Random(3)
+    item = words(r, 3000)
+    rows = [(1, " ".join([*["pad"] * 50_000, *item, *item]), 0.25, "x"), (2, "clean", 0.5, None), (2, None, None, "y"), (None, " ".join(item[1:]), 1.0, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, similarity double, __found0 string")
+    bench = spark.createDataFrame([(1, " ".join(item)), (1, " ".join(item)), (2, " ")], "item_id long, text string")
+    for most in (decontaminate.ITEM_BYTES, 0):
+        monkeypatch.setattr(decontaminate, "ITEM_BYTES", most)
+        assert sorted(map(str, map(tuple, decontaminate.decontaminate(df, bench).collect()))) == sorted(map(str, rows[1:3]))
+        got = {x["doc_id"]: x for x in decontaminate.matches(df, bench).collect()}
+        assert list(got[1]["item_ids"]) == [1] and got[1]["similarity"] == 1 and got[1]["first_word"] == 50_000 and got[1]["__found0"] == "x"
 
 
 def reference_spans(t):
