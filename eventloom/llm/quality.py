@@ -1,9 +1,10 @@
 """Quality classifier: interpolated modified Kneser-Ney over character n-grams, trained on trusted text.
 
-Trusted rows (quality 1, not toxic) give counts of ORDER-grams of code points, as they stand, for each language: each task
-sums up its own texts, and hash aggregation over (label, gram) shards the sums. Discounts, context totals, continuation
-counts and the interpolated probabilities come from joins of these count tables on (label, context) and (label, suffix).
-The tables grow with the trusted text and are never gathered in one place.
+Trusted rows (quality 1, not toxic) give counts of ORDER-grams of characters, as they stand, for each language and half of
+the trusted text: each task sums up its own texts, and hash aggregation over (lang, gram) shards the sums. Discounts, context
+totals, continuation counts and the interpolated probabilities come from joins of these count tables on (lang, context) and
+(lang, suffix). The tables grow with the trusted text and are never gathered in one place. A gram is its characters' 16-bit
+codes in a long, the last one lowest (characters beyond 16 bits share the private codes).
 
 Documents are scored by a sharded join too. Each task asks for the different grams of its own texts (once for each, however
 often they stand there), the asked grams are joined with the model's table, and the answers meet the texts in their block:
@@ -23,9 +24,8 @@ rows. Other columns, whatever their names, are kept by keep().
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -34,40 +34,43 @@ from pyspark.sql import types as T
 
 from . import common as C
 
-ORDER, QUANTILE = 5, 0.97
+ORDER, QUANTILE = 4, 0.97
 BLOCK_BYTES = 64 << 20
-#: Different grams that a task holds for a label before it gives them away.
+#: Different grams that a task holds for a language before it gives them away.
 HELD = 1 << 21
 #: Stands before a text's first character.
 PAD = 2
-
-_WEIGHT = C.mix(np.arange(1, ORDER + 1, dtype=C.U64) * C.U64(0xA24BAED4963EE407)) | C.U64(1)
+#: All trusted text; its half 1, which scores half 0; its half 0, which scores half 1.
+MODELS = ("f", "0", "1")
 
 
 def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: code points with ORDER - 1 pads before each text, where each character stands in them, and
+    """Of texts laid end to end: 16-bit codes with ORDER - 1 pads before each text, where each character stands in them, and
     each text's number of characters."""
     cps = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
     first = (data & 0xC0) != 0x80
     n = np.diff(np.concatenate([[0], np.cumsum(first)])[offsets])
     at = np.arange(len(cps)) + np.repeat((np.arange(len(n)) + 1) * (ORDER - 1), n)
-    out = np.full(len(cps) + len(n) * (ORDER - 1), PAD, np.uint32)
-    out[at] = np.where(cps == 0, 0xFFFD, cps)
+    out = np.full(len(cps) + len(n) * (ORDER - 1), PAD, C.U64)
+    out[at] = np.where(cps == 0, 0xFFFD, np.where(cps > 0xFFFF, 0xE000 + cps % 0x1900, cps))
     return out, at, n
 
 
-def sums(codes: np.ndarray, at: np.ndarray, k: int, behind: int = 0) -> np.ndarray:
-    """Hash sums of the k code points that end at (or behind places before) each place."""
+def grams(codes: np.ndarray, at: np.ndarray, k: int, behind: int = 0) -> np.ndarray:
+    """The grams of k codes that end at (or behind places before) each place."""
     out = np.zeros(len(at), C.U64)
     for j in range(k):
-        out += (codes[at - j - behind].astype(C.U64) + C.U64(1)) * _WEIGHT[j]
+        out |= codes[at - j - behind] << C.U64(16 * j)
     return out
 
 
-def keys(label: str, order: int, hashed: np.ndarray) -> np.ndarray:
-    """63-bit names of grams of a label. Order 0 is what an unknown character has."""
-    seed = int.from_bytes(hashlib.blake2b(f"{order}:{label}".encode(), digest_size=8).digest(), "little")
-    return C.mix(hashed ^ C.U64(seed)) >> C.U64(1)
+def _merged(parts: list) -> list:
+    """One part of several parts (grams, counts)."""
+    u = np.unique(np.concatenate([p[0] for p in parts]))
+    n = np.zeros(len(u), np.int64)
+    for g, x in parts:
+        n[np.searchsorted(u, g)] += x
+    return [(u, n)]
 
 
 def half() -> Column:
@@ -81,114 +84,99 @@ def trusted_ids(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count_grams(texts: DataFrame) -> DataFrame:
-    """(label, gram, n) of trusted texts(model_lang, half, text). Labels: "f:" and a language for the full model, "0:" and
-    "1:" for the model that scores that half, trained on the other; with no language behind them, for all together."""
+    """(lang, gram, n0, n1) of trusted texts(lang_id, half, text): counts in each half; language 0 is all of them together."""
 
     def run(batches):
-        held: dict[tuple[str, int], list] = {}
-
-        def flush(name, parts):
-            u, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True)
-            grams = np.concatenate([p[1] for p in parts])[at]
-            n = np.zeros(len(u), np.int64)
-            for p in parts:
-                n[np.searchsorted(u, p[0])] += p[2]
-            for i in range(0, len(u), 50_000):
-                text = np.ascontiguousarray(grams[i : i + 50_000]).view(f"<U{ORDER}").ravel()
-                yield pa.RecordBatch.from_arrays([pa.array([name[0]] * len(text), pa.string()), pa.array(np.full(len(text), name[1], np.int32)), pa.array(text.tolist(), pa.string()), pa.array(n[i : i + 50_000])], ["lang", "half", "gram", "n"])
+        held: dict[tuple[int, int], list] = {}
+
+        def flush(name, part):
+            cols = [np.full(len(part[0]), name[0], np.int32), part[0].view(np.int64), *(part[1] if name[1] == h else np.zeros(len(part[1]), np.int64) for h in (0, 1))]
+            yield from C.batches_of(pa.table(dict(zip(["lang", "gram", "n0", "n1"], cols, strict=True))))
 
         for b in batches:
-            lang, halves = b.column(0).to_pylist(), b.column(1).to_numpy()
+            lang, halves = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, data, offsets in C.text_blocks(b.column(2)):
                 codes, at, n = padded(data, offsets)
-                owner = np.repeat(np.arange(len(n)), n)
-                names = list(zip(lang[i : i + len(n)], halves[i : i + len(n)].tolist(), strict=True))
-                for name in set(names):
-                    place = at[np.array([x == name for x in names])[owner]]
-                    if not len(place):
-                        continue
-                    u, first, count = np.unique(sums(codes, place, ORDER), return_index=True, return_counts=True)
-                    grams = codes[place[first][:, None] + np.arange(1 - ORDER, 1)]
-                    parts = held.setdefault(name, [])
-                    parts.append((u, grams, count))
+                name = (lang[i : i + len(n)] * 2 + halves[i : i + len(n)]).astype(np.int64)
+                owner = np.repeat(name, n)
+                for x in np.unique(owner).tolist():
+                    parts = held.setdefault((x // 2, x % 2), [])
+                    parts.append(np.unique(grams(codes, at[owner == x], ORDER), return_counts=True))
                     if sum(len(p[0]) for p in parts) > HELD:
-                        yield from flush(name, held.pop(name))
+                        parts[:] = _merged(parts)
+                        if len(parts[0][0]) > HELD // 2:
+                            yield from flush((x // 2, x % 2), held.pop((x // 2, x % 2))[0])
         for name, parts in held.items():
-            yield from flush(name, parts)
+            yield from flush(name, _merged(parts)[0])
 
-    parts = texts.select("model_lang", "half", "text").mapInArrow(C.tidy(run), "lang string, half int, gram string, n long")
-    other = (1 - F.col("half")).cast("string")
-    own = F.array(F.concat(F.lit("f:"), "lang"), F.concat(other, F.lit(":"), F.col("lang")))
-    pooled = F.array(F.lit("f:"), F.concat(other, F.lit(":")))
-    labels = F.when(F.col("lang") == "", pooled).otherwise(F.concat(own, pooled))
-    sums_ = parts.groupBy("lang", "half", "gram").agg(F.sum("n").alias("n"))
-    return sums_.select(F.explode(labels).alias("label"), "gram", "n").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    parts = texts.select("lang_id", "half", "text").mapInArrow(C.tidy(run), "lang int, gram long, n0 long, n1 long")
+    sums = [F.sum("n0").alias("n0"), F.sum("n1").alias("n1")]
+    both = F.when(F.col("lang") == 0, F.array("lang")).otherwise(F.array(F.col("lang"), F.lit(0)))
+    return parts.groupBy("lang", "gram").agg(*sums).select(F.explode(both).alias("lang"), "gram", "n0", "n1").groupBy("lang", "gram").agg(*sums)
 
 
-def kneser_ney(counts: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (label, gram, p) of the grams seen and (label, ctx, gamma) of the contexts seen; stored.
-    counts: stored (label, gram of ORDER characters, n). An unknown character's p is that of order 1's gram ""."""
-    by_order = {ORDER: counts}
+def _low(c: Column, k: int) -> Column:
+    """The last k characters of a gram."""
+    return c.bitwiseAND(F.lit((1 << (16 * k)) - 1)) if k else F.lit(0).cast("long")
+
+
+def kneser_ney(counts: DataFrame) -> list[DataFrame]:
+    """For each order from 1, stored: (lang, gram, p_m for each model m, null where the model hasn't seen it, and g_m: as a
+    context of the order below, what it leaves to shorter grams). counts: stored (lang, gram of ORDER characters, n0, n1).
+    Order 1's context is gram 0, with an unknown character's p."""
+    by_order = {ORDER: counts.select("lang", "gram", (F.col("n0") + F.col("n1")).alias("n_f"), F.col("n1").alias("n_0"), F.col("n0").alias("n_1"))}
     for k in range(ORDER - 1, 0, -1):
-        by_order[k] = C.stored(by_order[k + 1].groupBy("label", F.substring("gram", -k, k).alias("gram")).agg(F.count("*").alias("n")))
-    out: list[tuple[DataFrame, DataFrame]] = []
+        by_order[k] = C.stored(by_order[k + 1].groupBy("lang", _low(F.col("gram"), k).alias("gram")).agg(*[F.count_if(F.col(f"n_{m}") > 0).alias(f"n_{m}") for m in MODELS]))
+    out: list[DataFrame] = []
     for k in range(1, ORDER + 1):
-        c = by_order[k].withColumn("ctx", F.substring("gram", 1, k - 1))
-        of = c.groupBy("label").agg(F.count("*").alias("kinds"), *[F.count(F.when(F.col("n") == i, 1)).cast("double").alias(f"n{i}") for i in range(1, 5)])
-        y = F.try_divide("n1", F.col("n1") + 2 * F.col("n2"))
-        d = [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"n{i + 1}", f"n{i}"), F.lit(0.5 * i)))).alias(f"d{i}") for i in (1, 2, 3)]
-        c = c.join(of.select("label", "kinds", *d), "label").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        ctx = c.groupBy("label", "ctx").agg(F.sum("n").alias("total"), (F.sum("d") / F.sum("n")).alias("gamma"), F.max("kinds").alias("kinds"))
-        own = (F.col("n") - F.col("d")) / F.col("total")
+        c = by_order[k].withColumn("ctx", F.shiftrightunsigned("gram", 16))
+        of = c.groupBy("lang").agg(*[x for m in MODELS for x in (F.count_if(F.col(f"n_{m}") > 0).alias(f"kinds_{m}"), *(F.count_if(F.col(f"n_{m}") == i).cast("double").alias(f"{m}{i}") for i in range(1, 5)))])
+        cuts = []
+        for m in MODELS:
+            y = F.try_divide(f"{m}1", F.col(f"{m}1") + 2 * F.col(f"{m}2"))
+            cuts += [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"{m}{i + 1}", f"{m}{i}"), F.lit(0.5 * i)))).alias(f"d_{m}{i}") for i in (1, 2, 3)]
+        c = c.join(of.select("lang", *[f"kinds_{m}" for m in MODELS], *cuts), "lang")
+        c = c.withColumns({f"d_{m}": F.when(F.col(f"n_{m}") == 0, 0.0).when(F.col(f"n_{m}") == 1, F.col(f"d_{m}1")).when(F.col(f"n_{m}") == 2, F.col(f"d_{m}2")).otherwise(F.col(f"d_{m}3")) for m in MODELS})
+        ctx = c.groupBy("lang", "ctx").agg(*[x for m in MODELS for x in (F.sum(f"n_{m}").alias(f"total_{m}"), F.try_divide(F.sum(f"d_{m}"), F.sum(f"n_{m}")).alias(f"g_{m}"), F.max(f"kinds_{m}").alias(f"kinds_{m}"))])
+        own = {m: (F.col(f"n_{m}") - F.col(f"d_{m}")) / F.col(f"total_{m}") for m in MODELS}
+        c = c.drop(*[f"kinds_{m}" for m in MODELS]).join(ctx, ["lang", "ctx"])
         if k == 1:
-            unknown = F.col("gamma") / (F.col("kinds") + 1)
-            p = c.drop("kinds").join(ctx.drop("ctx"), "label").select("label", "gram", (own + unknown).alias("p")).unionByName(ctx.select("label", F.lit("").alias("gram"), unknown.alias("p")))
+            below = {m: F.lit(1.0) / (F.col(f"kinds_{m}") + 1) for m in MODELS}
         else:
-            lower = out[-1][0].select("label", F.col("gram").alias("suffix"), F.col("p").alias("q"))
-            p = c.join(ctx.drop("kinds"), ["label", "ctx"]).withColumn("suffix", F.substring("gram", -(k - 1), k - 1)).join(lower, ["label", "suffix"]).select("label", "gram", (own + F.col("gamma") * F.col("q")).alias("p"))
-        out.append((C.stored(p), C.stored(ctx.select("label", "ctx", "gamma"))))
+            lower = out[-1].select("lang", F.col("gram").alias("suffix"), *[F.col(f"p_{m}").alias(f"q_{m}") for m in MODELS])
+            c = c.withColumn("suffix", _low(F.col("gram"), k - 1)).join(lower, ["lang", "suffix"])
+            below = {m: F.col(f"q_{m}") for m in MODELS}
+        p = c.select("lang", "gram", *[F.when(F.col(f"n_{m}") > 0, own[m] + F.col(f"g_{m}") * below[m]).alias(f"p_{m}") for m in MODELS], *[F.lit(None).cast("double").alias(f"g_{m}") for m in MODELS])
+        unknown = [(F.col(f"g_{m}") / (F.col(f"kinds_{m}") + 1) if k == 1 else F.lit(None).cast("double")).alias(f"p_{m}") for m in MODELS]
+        out.append(C.stored(p.unionByName(ctx.select("lang", F.col("ctx").alias("gram"), *unknown, *[f"g_{m}" for m in MODELS]))))
     C.discard(*[by_order[k] for k in range(1, ORDER)])
     return out
 
 
-def _named(tables: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(key, logp, loggamma), stored: a gram's own probability, and its weight as a context; null where it has none."""
-
-    def run(batches):
-        for b in batches:
-            label, text = b.column(0).to_pylist(), b.column(1).to_pylist()
-            out = np.zeros(len(label), C.U64)
-            groups: dict[tuple[str, int], list[int]] = {}
-            for i, (x, g) in enumerate(zip(label, text, strict=True)):
-                groups.setdefault((x, len(g)), []).append(i)
-            for (x, k), at in groups.items():
-                codes = np.frombuffer("".join(text[i] for i in at).encode("utf-32-le"), np.uint32)
-                out[at] = keys(x, k, sums(codes, np.arange(len(at)) * k + k - 1, k))
-            yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64)), b.column(2), b.column(3)], ["key", "logp", "loggamma"])
-
-    none, rows = F.lit(None).cast("float"), None
-    for k, (p, gamma) in enumerate(tables, 1):
-        part = p.select("label", "gram", F.log("p").cast("float").alias("logp"), none.alias("loggamma"))
-        if k > 1:
-            part = part.unionByName(gamma.select("label", F.col("ctx").alias("gram"), none.alias("logp"), F.log("gamma").cast("float").alias("loggamma")))
-        rows = part if rows is None else rows.unionByName(part)
-    named = rows.mapInArrow(C.tidy(run), "key long, logp float, loggamma float")
-    return C.stored(named.groupBy("key").agg(F.max("logp").alias("logp"), F.max("loggamma").alias("loggamma")))
+def _table(orders: list[DataFrame]) -> DataFrame:
+    """(lang, gram, logarithms of p_m and g_m), stored."""
+    rows = orders[0]
+    for x in orders[1:]:
+        rows = rows.unionByName(x)
+    cols = [f"{x}_{m}" for m in MODELS for x in "pg"]
+    return C.stored(rows.groupBy("lang", "gram").agg(*[F.log(F.max(x)).cast("float").alias(x) for x in cols]))
 
 
 class Model:
-    """table: (key, logp, loggamma); langs: (lang) of those with models of their own; trusted: ids."""
+    """table: (lang, gram, ...); langs: names of those with models of their own, numbered from 1; trusted: ids."""
 
-    def __init__(self, langs: DataFrame, table: DataFrame, trusted: DataFrame):
+    def __init__(self, langs: list[str], table: DataFrame, trusted: DataFrame):
         self.langs, self.table, self.trusted = langs, table, trusted
 
     def discard(self) -> None:
-        C.discard(self.langs, self.table, self.trusted)
+        C.discard(self.table, self.trusted)
 
 
-def _labelled(docs: DataFrame, langs: DataFrame) -> DataFrame:
-    own = C.sized(langs).withColumn("__own", F.col("lang"))
-    return docs.join(own, "lang", "left").withColumn("model_lang", F.coalesce("__own", F.lit(""))).drop("__own")
+def _numbered(docs: DataFrame, langs: list[str]) -> DataFrame:
+    """docs with model_lang and lang_id; the list is as long as there are languages."""
+    own = docs.sparkSession.createDataFrame([(x, i + 1) for i, x in enumerate(langs)], "lang string, __id int")
+    rows = docs.join(F.broadcast(own), "lang", "left")
+    return rows.withColumns({"model_lang": F.when(F.col("__id").isNotNull(), F.col("lang")).otherwise(F.lit("")), "lang_id": F.coalesce("__id", F.lit(0))}).drop("__id")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -196,14 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     good = trusted_ids(docs, labels)
     trusted = C.having(docs.where("length(text) > 0"), good).withColumn("half", half())
-    langs = C.stored(trusted.where("lang <> ''").groupBy("lang").agg(F.count_distinct("half").alias("halves")).where("halves = 2").select("lang"))
-    counts = C.stored(count_grams(_labelled(trusted, langs)))
+    found = trusted.where("lang <> ''").groupBy("lang").agg(F.count_distinct("half").alias("halves")).where("halves = 2").select("lang").collect()
+    langs = sorted(r[0] for r in found)
+    counts = C.stored(count_grams(_numbered(trusted, langs)))
     if counts.isEmpty():
-        C.discard(good, langs, counts)
+        C.discard(good, counts)
         return None
-    tables = kneser_ney(counts)
-    model = Model(langs, _named(tables), good)
-    C.discard(counts, *[t for pair in tables for t in pair])
+    orders = kneser_ney(counts)
+    model = Model(langs, _table(orders), good)
+    C.discard(counts, *orders)
     return model
 
 
@@ -216,62 +205,45 @@ def _placed(docs: DataFrame, model: Model) -> DataFrame:
     docs = docs.withColumn("__split", F.when(F.input_file_name() == "", F.lit(0)).otherwise(split)).withColumn("__block", F.pmod(F.when(F.col("__split") == 0, content).otherwise(F.col("__split")), blocks))
     mark = C.sized(model.trusted).withColumn("__trusted", F.lit(True))
     docs = docs.join(mark, "doc_id", "left").withColumn("__half", F.when(F.col("__trusted"), half())).drop("__trusted")
-    return _labelled(docs, model.langs)
-
-
-def _label_groups(lang: list, halves: list):
-    """(label, rows) of a batch's rows: each row under its full model, a trusted one under the other half's as well."""
-    groups: dict[str, list[int]] = {}
-    for i, (x, h) in enumerate(zip(lang, halves, strict=True)):
-        groups.setdefault(f"f:{x}", []).append(i)
-        if h is not None:
-            groups.setdefault(f"{h}:{x}", []).append(i)
-    return groups.items()
+    return _numbered(docs, model.langs)
 
 
 def _asks(placed: DataFrame) -> DataFrame:
-    """(block, key, mark): the grams, of every order, of each block's texts, once a task or more; and its file splits (mark)."""
+    """(block, lang, gram): the grams, of every order, of each block's texts, once a task or more; and its file splits, as
+    grams of language -1."""
 
     def run(batches):
-        held: dict[tuple[int, str], list] = {}
+        held: dict[tuple[int, int], list] = {}
         marks: set[tuple[int, int]] = set()
 
-        def flush(name, parts):
-            block, label = name
-            _, first = np.unique(np.concatenate([p[ORDER] for p in parts]), return_index=True)
-            for k in range(ORDER + 1):
-                own = np.unique(keys(label, k, np.concatenate([p[k] for p in parts])[first])) if k else keys(label, 0, np.zeros(1, C.U64))
-                yield from C.batches_of(pa.table({"block": np.full(len(own), block), "key": own.view(np.int64), "mark": np.zeros(len(own), bool)}))
-            pads = np.full(ORDER, PAD, np.uint32)  # contexts that stand before a text
-            own = np.concatenate([keys(label, k, sums(pads, np.array([ORDER - 1]), k)) for k in range(1, ORDER)])
-            yield from C.batches_of(pa.table({"block": np.full(len(own), block), "key": own.view(np.int64), "mark": np.zeros(len(own), bool)}))
+        def table(block, lang, gram):
+            yield from C.batches_of(pa.table({"block": np.full(len(gram), block), "lang": np.full(len(gram), lang, np.int32), "gram": gram}))
+
+        def flush(name, u):
+            for k in range(ORDER + 1):  # order 0: an unknown character's
+                yield from table(*name, np.unique(u & C.U64((1 << (16 * k)) - 1)).view(np.int64))
+            pads = np.array([sum(PAD << (16 * j) for j in range(k)) for k in range(1, ORDER)], np.int64)  # contexts that stand before a text
+            yield from table(*name, pads)
 
         for b in batches:
-            lang, halves, split, block = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()
+            lang, split, block = (b.column(c).to_numpy() for c in range(3))
             for pair in set(zip(block.tolist(), split.tolist(), strict=True)) - marks:
                 marks.add(pair)
-                yield from C.batches_of(pa.table({"block": [pair[0]], "key": [pair[1]], "mark": [True]}))
-            for i, data, offsets in C.text_blocks(b.column(4)):
+                yield from table(pair[0], -1, np.array([pair[1]]))
+            for i, data, offsets in C.text_blocks(b.column(3)):
                 codes, at, n = padded(data, offsets)
-                owner = np.repeat(np.arange(len(n)), n)
-                for own in np.unique(block[i : i + len(n)]).tolist():
-                    here = block[i : i + len(n)] == own
-                    rows = np.flatnonzero(here)
-                    for label, some in _label_groups([lang[i + r] for r in rows], [halves[i + r] for r in rows]):
-                        mine = np.zeros(len(n), bool)
-                        mine[rows[some]] = True
-                        place = at[mine[owner]]
-                        if not len(place):
-                            continue
-                        u, first = np.unique(sums(codes, place, ORDER), return_index=True)
-                        parts = held.setdefault((own, label), [])
-                        parts.append([None, *[sums(codes, place[first], k) for k in range(1, ORDER)], u])
-                        if sum(len(p[ORDER]) for p in parts) > HELD:
-                            yield from flush((own, label), held.pop((own, label)))
+                here, langs = np.repeat(block[i : i + len(n)], n), np.repeat(lang[i : i + len(n)], n)
+                for name in set(zip(block[i : i + len(n)][n > 0].tolist(), lang[i : i + len(n)][n > 0].tolist(), strict=True)):
+                    parts = held.setdefault(name, [])
+                    parts.append(np.unique(grams(codes, at[(here == name[0]) & (langs == name[1])], ORDER)))
+                    if sum(len(p) for p in parts) > HELD:
+                        parts[:] = [np.unique(np.concatenate(parts))]
+                        if len(parts[0]) > HELD // 2:
+                            yield from flush(name, held.pop(name)[0])
         for name, parts in held.items():
-            yield from flush(name, parts)
+            yield from flush(name, np.unique(np.concatenate(parts)))
 
-    return placed.select("model_lang", "__half", "__split", "__block", "text").mapInArrow(C.tidy(run), "block long, key long, mark boolean")
+    return placed.select("lang_id", "__split", "__block", "text").mapInArrow(C.tidy(run), "block long, lang int, gram long")
 
 
 def _packed(placed: DataFrame) -> DataFrame:
@@ -293,77 +265,72 @@ def _packed(placed: DataFrame) -> DataFrame:
 
 
 class Answers:
-    """What a block has been told: keys in order, with log p and log gamma."""
+    """What a block has been told: by language, its grams' log p and log g for each model."""
 
     def __init__(self, parts: list):
-        key, p, g = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(key, kind="stable")
-        self.key, self.p, self.g = key[order], p[order], g[order]
-
-    def find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, whether it is there)"""
-        at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return at, self.key[at] == key
+        lang, gram, *self.values = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.place = {x: (at := np.flatnonzero(lang == x), pd.Index(gram[at])) for x in np.unique(lang).tolist()}
+
+    def find(self, lang: int, gram: np.ndarray, column: int) -> np.ndarray:
+        """The values of a column; nan where there is none."""
+        at, index = self.place.get(lang, (np.zeros(0, np.int64), pd.Index([], dtype=np.int64)))
+        found, out = index.get_indexer(gram.view(np.int64)), np.full(len(gram), np.nan)
+        out[found >= 0] = self.values[column][at[found[found >= 0]]]
+        return out
 
-    def costs(self, codes: np.ndarray, at: np.ndarray, label: str) -> np.ndarray:
-        """log p of the character at each place; nan where the label has no model."""
+    def costs(self, codes: np.ndarray, at: np.ndarray, lang: int, model: int) -> np.ndarray:
+        """log p of the character at each place; nan where the model has no text."""
         out, weight, left = np.full(len(at), np.nan), np.zeros(len(at)), np.arange(len(at))
-        for k in range(ORDER, 0, -1):
-            place, there = self.find(keys(label, k, sums(codes, at[left], k)))
-            there &= ~np.isnan(self.p[place])
-            out[left[there]] = weight[left[there]] + self.p[place[there]]
-            left = left[~there]
+        for k in range(ORDER, -1, -1):
+            p = self.find(lang, grams(codes, at[left], k), 2 * model)
+            seen = ~np.isnan(p)
+            out[left[seen]] = weight[left[seen]] + p[seen]
+            left = left[~seen]
             if not len(left):
-                return out
-            if k > 1:
-                place, there = self.find(keys(label, k - 1, sums(codes, at[left], k - 1, 1)))
-                there &= ~np.isnan(self.g[place])
-                weight[left[there]] += self.g[place[there]]
-        place, there = self.find(keys(label, 0, np.zeros(1, C.U64)))
-        if there[0]:
-            out[left] = weight[left] + self.p[place[0]]
+                break
+            if k > 1:  # order 1's unknown characters have their weight within
+                weight[left] += np.nan_to_num(self.find(lang, grams(codes, at[left], k - 1, 1), 2 * model + 1))
         return out
 
 
 def _scored(columns: list[str]):
-    """Rows (block, key, logp, loggamma, blob) by block, answers before blobs: the blobs' rows with their perplexities."""
+    """Rows (block, lang, gram, values, blob) by block, answers before blobs: the blobs' rows with their perplexities."""
 
     def run(batches):
         now, parts, answers = None, [], None
         for b in batches:
-            blocks, blobs = b.column(0).to_numpy(), b.column(4)
+            blocks, blobs = b.column(0).to_numpy(), b.column(b.num_columns - 1)
             told = np.asarray(blobs.is_null())
             cuts = np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (told[1:] != told[:-1]), [True]]))
             for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if blocks[a] != now:
                     now, parts, answers = blocks[a], [], None
+                some = b.slice(a, e - a)
                 if told[a]:
-                    parts.append((b.column(1).slice(a, e - a).to_numpy(), *(b.column(c).slice(a, e - a).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in (2, 3))))
+                    parts.append([some.column(1).to_numpy(), some.column(2).to_numpy(), *(some.column(c).to_numpy(zero_copy_only=False).astype(np.float32) for c in range(3, b.num_columns - 1))])
                     continue
                 if answers is None:
-                    answers, parts = Answers(parts), []
-                for blob in blobs.slice(a, e - a):
+                    answers, parts = Answers(parts or [[np.zeros(0, np.int64)] * (b.num_columns - 2)]), []
+                for blob in some.column(b.num_columns - 1):
                     yield from one(answers, pa.ipc.open_stream(blob.as_buffer()).read_all().combine_chunks())
 
     def one(answers, table):
-        lang, halves = table["model_lang"].to_pylist(), table["__half"].to_pylist()
-        if not answers.find(np.unique(table["__split"].to_numpy()))[1].all():
+        lang, halves = table["lang_id"].to_numpy(), table["__half"].fill_null(-1).to_numpy()
+        marks = answers.place.get(-1, (None, pd.Index([], dtype=np.int64)))[1]
+        if (marks.get_indexer(np.unique(table["__split"].to_numpy())) < 0).any():
             raise RuntimeError("a file split was cut differently when it was read again")
         out = np.full((2, table.num_rows), np.nan)
         for i, data, offsets in C.text_blocks(table["text"].combine_chunks() if isinstance(table["text"], pa.ChunkedArray) else table["text"]):
             codes, at, n = padded(data, offsets)
-            owner = np.repeat(np.arange(len(n)), n)
-            for label, some in _label_groups(lang[i : i + len(n)], halves[i : i + len(n)]):
-                mine = np.zeros(len(n), bool)
-                mine[some] = True
-                mine &= n > 0
-                place = at[mine[owner]]
-                if not len(place):
-                    continue
-                _, first, back = np.unique(sums(codes, place, ORDER), return_index=True, return_inverse=True)
-                cost = answers.costs(codes, place[first], label)[back]
-                size = n[mine]
-                out[int(label[0] != "f"), i + np.flatnonzero(mine)] = np.exp(-np.add.reduceat(cost, np.cumsum(size) - size) / size)
+            own, half_ = lang[i : i + len(n)], halves[i : i + len(n)]
+            for x in np.unique(own[n > 0]).tolist():
+                for model, rows in ((0, own == x), (1, (own == x) & (half_ == 0)), (2, (own == x) & (half_ == 1))):
+                    mine = rows & (n > 0)
+                    if not mine.any():
+                        continue
+                    cost = answers.costs(codes, at[np.repeat(mine, n)], x, model)
+                    size = n[mine]
+                    out[int(model > 0), i + np.flatnonzero(mine)] = np.exp(-np.add.reduceat(cost, np.cumsum(size) - size) / size)
         found = table.select(columns).append_column("perplexity", pa.array(out[0], from_pandas=True)).append_column("held_out", pa.array(out[1], from_pandas=True))
         yield from found.to_batches()
 
@@ -373,13 +340,12 @@ def _scored(columns: list[str]):
 def _perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, lang, text, ...) with model_lang, perplexity and held_out (a trusted row's, by the other half's model)."""
     placed = _placed(docs, model)
-    asked = _asks(placed).distinct()
-    none = F.lit(None)
-    told = asked.join(model.table, "key", "left").where("mark or logp is not null or loggamma is not null")
-    marks = told.select("block", "key", "logp", "loggamma", none.cast("binary").alias("blob"))
-    rows = marks.unionByName(_packed(placed).select("block", none.cast("long").alias("key"), none.cast("float").alias("logp"), none.cast("float").alias("loggamma"), "blob"))
+    none, cols = F.lit(None), [f"{x}_{m}" for m in MODELS for x in "pg"]
+    asked = _asks(placed).distinct().join(model.table, ["lang", "gram"], "left").where("lang = -1 or " + " or ".join(f"{x} is not null" for x in cols))
+    told = asked.select("block", "lang", "gram", *cols, none.cast("binary").alias("blob"))
+    rows = told.unionByName(_packed(placed).select("block", none.cast("int").alias("lang"), none.cast("long").alias("gram"), *[none.cast("float").alias(x) for x in cols], "blob"))
     rows = rows.repartition("block").sortWithinPartitions("block", F.col("blob").isNotNull())
-    kinds = [f for f in placed.schema.fields if not f.name.startswith("__")]
+    kinds = [f for f in placed.schema.fields if f.name != "lang_id" and not f.name.startswith("__")]
     schema = T.StructType([*kinds, T.StructField("perplexity", T.DoubleType()), T.StructField("held_out", T.DoubleType())])
     return rows.mapInArrow(C.tidy(_scored([f.name for f in kinds])), schema)
 
