@@ -53,9 +53,10 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 where a norm is 0."""
+    """0 where a norm is 0; vectors of different lengths are an error."""
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
+    unequal = F.raise_error(F.lit("vectors of different dimensions")).cast("double")
+    return F.when(F.size(a) != F.size(b), unequal).when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -68,3 +69,49 @@ def edit_similarity(a: Column, b: Column) -> Column:
     """1 - Levenshtein distance / longer length; 0 where either is empty."""
     longest = F.greatest(F.length(a), F.length(b))
     return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0.0)).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
+def is_document(text: Column, least: int = 3) -> Column:
+    """Whether a text is there, not blank, and has so many words at least."""
+    return F.coalesce(F.size(F.filter(F.split(trimmed(text), f"{WHITE}+"), lambda x: F.length(x) > 0)) >= least, F.lit(False))
+
+
+def char_jaccard(a: Column, b: Column) -> Column:
+    """Of two strings as sets of characters; 0 where both are empty."""
+    x, y = (F.filter(F.array_distinct(F.split(c, "")), lambda v: F.length(v) > 0) for c in (a, b))
+    union = F.size(F.array_union(x, y))
+    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+
+
+def query_string(text: Column) -> Column:
+    """A URL's query string as a map, decoded."""
+    return F.transform_values(F.str_to_map(text, F.lit("&"), F.lit("=")), lambda k, v: F.url_decode(F.coalesce(v, F.lit(""))))
+
+
+def day_number(day: Column) -> Column:
+    """YYYYMMDD."""
+    return F.date_format(day, "yyyyMMdd")
+
+
+def day_range(start: Column, end: Column, as_of: Column, days: int = 14) -> tuple[Column, Column]:
+    """start and end, by default as_of and so many days later."""
+    low = F.coalesce(start, as_of)
+    return low, F.coalesce(end, F.date_add(as_of, days))
+
+
+def mapped(m: Column, key: Column, default: Column) -> Column:
+    return F.coalesce(F.try_element_at(m, key), default)
+
+
+def json_in(text: Column) -> Column:
+    """What stands between the first and the last brace."""
+    return F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def braces_escaped(text: Column) -> Column:
+    """For templates in which a brace opens a variable."""
+    return F.replace(F.replace(text, F.lit("{"), F.lit("{{")), F.lit("}"), F.lit("}}"))
+
+
+def prefixed_id(prefix: str, number: Column) -> Column:
+    return F.concat(F.lit(prefix), number.cast("string"))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import edit_similarity, trimmed
-
-DAMPING = 0.85
+from . import graphs
 
 
 def sentences(text: Column, kind: str = "a") -> Column:
@@ -34,67 +35,18 @@ def tokens(text: Column, most: int | None = 10) -> Column:
     return words if most is None else F.slice(words, 1, most)
 
 
-def token_rows(docs: DataFrame, key: str, words: Column) -> DataFrame:
-    """key, pos, word (lower case)."""
-    return docs.select(key, F.posexplode(words).alias("pos", "surface")).select(key, "pos", F.lower("surface").alias("word"))
-
-
-def forward_pairs(rows: DataFrame, key: str, window: int = 2) -> DataFrame:
-    """key, a, b, n: undirected counts of different words at most window apart."""
-    w = Window.partitionBy(key).orderBy("pos")
-    rows = rows.withColumn("ahead", F.array(*[F.lead("word", i).over(w) for i in range(1, window + 1)]))
-    pairs = rows.select(key, "word", F.explode("ahead").alias("other")).where("other is not null and other <> word")
-    return pairs.select(key, F.least("word", "other").alias("a"), F.greatest("word", "other").alias("b")).groupBy(key, "a", "b").agg(F.count("*").alias("n"))
+def forward_pairs(docs: DataFrame, key: str, words: Column, window: int = 2) -> DataFrame:
+    """key, a, b, n: undirected counts of different words (an array in the text's order) at most window apart."""
+    rows = docs.select(key, words.alias("w"))
+    ahead = [F.arrays_zip(F.col("w").alias("x"), F.slice("w", d + 1, F.greatest(F.size("w") - d, F.lit(0))).alias("y")) for d in range(1, window + 1)]
+    pairs = rows.select(key, F.explode(F.flatten(F.array(*ahead))).alias("p")).where("p.y is not null and p.x <> p.y")
+    return pairs.select(key, F.least("p.x", "p.y").alias("a"), F.greatest("p.x", "p.y").alias("b")).groupBy(key, "a", "b").agg(F.count("*").alias("n"))
 
 
 def page_rank(weights: np.ndarray, rounds: int = 50, tolerance: float = 1e-4) -> np.ndarray:
-    """Unnormalised: s = 0.15 + 0.85 sum of s_j w_ji / out_j, all at once, from 1, until no score moves by the tolerance."""
-    out = weights.sum(axis=1)
-    share = np.divide(weights, out[:, None], out=np.zeros_like(weights, dtype=float), where=out[:, None] > 0)
-    s = np.ones(len(weights))
-    for _ in range(rounds):
-        new = (1 - DAMPING) + DAMPING * (share.T @ s)
-        moved = np.abs(new - s).max(initial=0.0)
-        s = new
-        if moved < tolerance:
-            break
-    return s
-
-
-def set_overlaps(sets: Sequence[set]) -> np.ndarray:
-    """Jaccard of each pair of different sets, by an incidence matrix."""
-    vocabulary = {w: i for i, w in enumerate(sorted(set().union(*sets)))} if sets else {}
-    m = np.zeros((len(sets), len(vocabulary)), np.float32)
-    for i, s in enumerate(sets):
-        m[i, [vocabulary[w] for w in s]] = 1
-    both, size = m @ m.T, m.sum(1)
-    union = size[:, None] + size[None, :] - both
-    out = np.divide(both, union, out=np.zeros_like(both), where=union > 0).astype(float)
-    np.fill_diagonal(out, 0)
-    return out
-
-
-def rank_sentences(docs: DataFrame, key: str, text: str, share: float = 0.4, most: int = 10) -> DataFrame:
-    """TextRank: key, ord (place in the text), sentence, score of the best ceil(share n), at most so many; fewer than two
-    sentences: the first five with score 1."""
-    rows = docs.select(key, sentences(F.col(text)).alias("s"))
-    rows = rows.select(key, "s", F.transform("s", lambda x: tokens(x)).alias("t"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k, s, t in zip(b[key], b["s"], b["t"], strict=True):
-                kept = [i for i in range(len(s)) if len(t[i])]
-                if len(kept) < 2:
-                    out += [(k, i, x, 1.0) for i, x in enumerate(s[:5])]
-                    continue
-                scores = page_rank(set_overlaps([set(t[i]) for i in kept]))
-                n = min(most, int(np.ceil(share * len(kept))))
-                best = sorted(np.lexsort((np.arange(len(kept)), -np.round(scores, 9)))[:n])
-                out += [(k, kept[i], s[kept[i]], float(scores[i])) for i in best]
-            yield pd.DataFrame(out, columns=[key, "ord", "sentence", "score"])
-
-    return rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, ord int, sentence string, score double")
+    """PageRank of a dense weight matrix (row: from)."""
+    source, target = np.nonzero(weights)
+    return graphs.page_rank(len(weights), source, target, np.asarray(weights, float)[source, target], rounds, tolerance)
 
 
 def rank_words(docs: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
@@ -118,14 +70,7 @@ def rank_words(docs: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
                 ok = a != c
                 pair, weight = np.unique(np.concatenate([a[ok] * v + c[ok], c[ok] * v + a[ok]]), return_counts=True)
                 src, dst = pair // v, pair % v
-                total = np.bincount(src, weight, v)
-                s = np.ones(v)
-                for _ in range(30):
-                    new = (1 - DAMPING) + DAMPING * np.bincount(dst, s[src] * weight / total[src], v)
-                    moved = np.abs(new - s).max()
-                    s = new
-                    if moved < 1e-4:
-                        break
+                s = graphs.page_rank(v, src, dst, weight.astype(float), 30)
                 words = list(index)
                 best = np.lexsort((np.arange(v), -np.round(s, 9)))[:n]
                 out += [(k, r + 1, words[i], float(s[i])) for r, i in enumerate(best)]
@@ -134,18 +79,27 @@ def rank_words(docs: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
     return rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, rank int, word string, score double")
 
 
-def chunk_tfidf(rows: DataFrame, key: str, size: int = 15, n: int = 20) -> DataFrame:
+def chunk_tfidf(docs: DataFrame, key: str, text: str, size: int = 15, n: int = 20) -> DataFrame:
     """TF-IDF of words over chunks of so many words of a text (three at least): tf is the count, idf 1 + ln(N / (1 + df)).
-    Of each chunk the ten best; a word's score is its best; key, rank, word, score of the n best."""
-    chunks = rows.withColumn("chunk", F.floor(F.col("pos") / size))
-    chunks = chunks.withColumn("len", F.count("*").over(Window.partitionBy(key, "chunk"))).where("len >= 3")
-    tf = chunks.groupBy(key, "chunk", "word").agg(F.count("*").alias("tf"))
-    total = chunks.groupBy(key).agg(F.count_distinct("chunk").alias("chunks"))
-    tf = tf.withColumn("df", F.count("*").over(Window.partitionBy(key, "word"))).join(total, key)
-    tf = tf.withColumn("s", F.round(F.col("tf") * (1 + F.log(F.col("chunks") / (1 + F.col("df")))), 9))
-    best = tf.withColumn("r", F.row_number().over(Window.partitionBy(key, "chunk").orderBy(F.desc("s"), "word"))).where("r <= 10")
-    words = best.groupBy(key, "word").agg(F.max("s").alias("score"))
-    return words.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "word"))).where(F.col("rank") <= n).select(key, "rank", "word", "score")
+    Of each chunk the ten best; a word's score is its best; key, rank, word, score of the n best. No shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b["t"], strict=True):
+                chunks = [x for x in ([] if t is None else (t[i : i + size] for i in range(0, len(t), size))) if len(x) >= 3]
+                counts = [Counter(x.tolist()) for x in chunks]
+                df = Counter(w for c in counts for w in c)
+                best: dict[str, float] = {}
+                for c in counts:
+                    scored = sorted((-round(tf * (1 + math.log(len(chunks) / (1 + df[w]))), 9), w) for w, tf in c.items())
+                    for s, w in scored[:10]:
+                        best[w] = max(best.get(w, -math.inf), -s)
+                out += [(k, r + 1, w, s) for r, (w, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n])]
+            yield pd.DataFrame(out, columns=[key, "rank", "word", "score"])
+
+    rows = docs.select(key, F.transform(tokens(F.col(text), None), F.lower).alias("t"))
+    return rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, rank int, word string, score double")
 
 
 def keep_first(items: Column, alike, n: int | None = None) -> Column:
@@ -168,3 +122,30 @@ def matched_keywords(text: Column, words: Sequence[str]) -> Column:
 def decay(rank: Column, step: float = 0.1, least: float = 0.1) -> Column:
     """Score of a place (from 1) in a list."""
     return F.greatest(F.lit(least), 1 - step * (rank - 1))
+
+
+def sentence_pairs(docs: DataFrame, key: str, text: str, kind: str = "a") -> DataFrame:
+    """key, i, j, sim: Jaccard of the token sets of all ordered pairs of a text's sentences that share a token (i, j: places
+    among its sentences)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for k, t in zip(b[key], b["t"], strict=True):
+                i, j, sim = graphs.overlaps([set(x) for x in t]) if t is not None else ([], [], [])
+                yield pd.DataFrame({key: [k] * len(i), "i": i, "j": j, "sim": sim})
+
+    rows = docs.select(key, F.transform(sentences(F.col(text), kind), lambda x: tokens(x)).alias("t"))
+    return rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, i int, j int, sim double")
+
+
+def word_runs(docs: DataFrame, key: str, words: Column, longest: int = 4) -> DataFrame:
+    """key, n, run, first, times: runs of 1 to longest words, where each stands first (from 0), and how often."""
+    rows = docs.select(key, words.alias("w")).where("size(w) > 0")
+
+    def of(n):
+        starts = F.sequence(F.lit(1), F.size("w") - (n - 1))
+        runs = F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice("w", i, n), " ").alias("run"), (i - 1).alias("p")))
+        return F.when(F.size("w") >= n, runs).otherwise(F.slice(runs, 1, 0) if n == 1 else F.array().cast("array<struct<n:int,run:string,p:int>>"))
+
+    runs = rows.select(key, F.explode(F.concat(*[of(n) for n in range(1, longest + 1)])).alias("x"))
+    return runs.groupBy(key, F.col("x.n").alias("n"), F.col("x.run").alias("run")).agg(F.min("x.p").alias("first"), F.count("*").alias("times"))

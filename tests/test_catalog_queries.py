@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from eventloom.plans.catalog_queries import ORACLE_SQL, QUERIES
+from eventloom.plans import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 
