@@ -84,7 +84,121 @@ def first_rows(events: DataFrame, n: int, *order: Column) -> DataFrame:
     return events.orderBy(*order).limit(n)
 
 
-def distinct_ordered(lists: DataFrame, key: str, query: str, rank: str) -> DataFrame:
-    """Ordered union of ranked lists: each key at its first place, numbered anew."""
-    first = lists.groupBy(key).agg(F.min(F.struct(query, rank)).alias("at"))
-    return first.withColumn("ord", F.row_number().over(Window.orderBy("at", key))).select(key, "ord")
+def distinct_ordered(lists: DataFrame, user: str, key: str, query: str, rank: str) -> DataFrame:
+    """user, key, ord: the ordered union of a user's ranked lists, each key at its first place, numbered anew."""
+    first = lists.groupBy(user, key).agg(F.min(F.struct(query, rank)).alias("at"))
+    return first.withColumn("ord", F.row_number().over(Window.partitionBy(user).orderBy("at", key))).select(user, key, "ord")
+
+
+def all_nested(parents: DataFrame, key: str, children: DataFrame, foreign: str, lists: dict[str, Column]) -> DataFrame:
+    """nested() of several lists that come with the same child rows: one grouping. A null item is left out."""
+    grouped = children.groupBy(F.col(foreign).alias(key)).agg(*[F.array_sort(F.collect_list(c)).alias(name) for name, c in lists.items()])
+    out = parents.join(grouped, key, "left")
+    return out.withColumns({name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name in lists})
+
+
+def with_children(parents: DataFrame, key: str, children: dict[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:
+    """nested() for each name: (rows, their foreign key, their columns)."""
+    for name, (rows, foreign, columns) in children.items():
+        parents = nested(parents, key, rows, foreign, name, *columns)
+    return parents
+
+
+def by_key(rows: DataFrame, **keys) -> DataFrame:
+    """The row of a primary or unique key: all conditions hold; one row at most."""
+    for name, value in keys.items():
+        rows = rows.where(F.col(name) == F.lit(value))
+    return rows.limit(1)
+
+
+def first_match(rows: DataFrame, condition: Column, *order: Column) -> DataFrame:
+    """The first row for which a condition holds, in a stated order."""
+    return rows.where(condition).orderBy(*order).limit(1)
+
+
+def place_filter(events: DataFrame, place: str | None, form: str, location: str, online: str = "ONLINE") -> DataFrame:
+    """None: all; "online" in any case: events of that form; else events whose location contains the place."""
+    if not place:
+        return events
+    return events.where(F.col(form) == online) if place.lower() == "online" else events.where(any_has([F.col(location)], place))
+
+
+# Words by which a place or an address counts as online.
+ONLINE_PLACE, ONLINE_ADDRESS = ["オンライン", "online", "teams", "zoom"], ["オンライン", "online"]
+
+
+def reachable(place: Column, address: Column, prefecture: str | None) -> Column:
+    """Whether an event is online, by its place or address, or its place or address contains a prefecture."""
+    both = F.concat_ws(" ", F.coalesce(place, F.lit("")), F.coalesce(address, F.lit("")))
+    found = F.lit(False)
+    for w in ONLINE_ADDRESS:
+        found = found | any_has([both], w)
+    for w in ONLINE_PLACE:
+        found = found | any_has([place], w)
+    return found | both.contains(prefecture) if prefecture else found
+
+
+def nearby(location: Column, place: str | None) -> Column:
+    """Whether a found event suits a user's place: none given, contained in the location, or held online."""
+    if not place:
+        return F.lit(True)
+    found = F.coalesce(location.contains(place), F.lit(False))
+    for w in ("オンライン", "online", "zoom", "teams"):
+        found = found | any_has([location], w)
+    return found
+
+
+def key_record(row: dict[str, Column]) -> list[Column]:
+    """id, title, detail (from the description), and the three key lists, empty where missing."""
+    lists = [F.coalesce(row[c], F.array().cast("array<string>")).alias(c) for c in ("keywords", "keyPhrases", "keySentences")]
+    return [row["id"].alias("id"), row["title"].alias("title"), row["description"].alias("detail"), *lists]
+
+
+def page_content(title: Column, url: Column, summary: Column) -> Column:
+    """The text that an event is indexed as."""
+    empty = F.lit("")
+    return F.concat(F.lit("タイトル: "), title, F.lit("\n詳細URL: "), F.coalesce(url, empty), F.lit("\n概要: "), F.coalesce(summary, empty))
+
+
+def full_place(venue: Column, address: Column) -> Column:
+    """Venue, and the address in brackets where there is one."""
+    there = F.length(F.coalesce(address, F.lit(""))) > 0
+    return F.concat(F.coalesce(venue, F.lit("")), F.when(there, F.concat(F.lit(" ("), address, F.lit(")"))).otherwise(F.lit("")))
+
+
+def candidate_line(number: Column, title: Column, text: Column, day: Column, venue: Column, address: Column, most: int = 200) -> Column:
+    """One event as a prompt shows it: so many characters of its text, its day, and its venue, address or online."""
+    place = F.coalesce(F.nullif(venue, F.lit("")), F.nullif(address, F.lit("")), F.lit("オンライン"))
+    short = F.concat(F.substring(F.coalesce(text, F.lit("")), 1, most), F.lit("..."))
+    return F.concat(number.cast("string"), F.lit(". "), title, F.lit(" | "), short, F.lit(" | "), F.date_format(day, "yyyy-MM-dd"), F.lit(" | "), place)
+
+
+def spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Rows of left with right's columns over them: right wins where it has the key, even with null."""
+    marked_ = right.withColumn("__there", F.lit(True))
+    both = left.alias("l").join(marked_.alias("r"), key, "left")
+    names = [*left.columns, *[c for c in right.columns if c not in left.columns]]
+    cells = [F.col(key) if c == key else F.when(F.col("r.__there"), F.col(f"r.`{c}`")).otherwise(F.col(f"l.`{c}`")).alias(c) if c in left.columns and c in right.columns else F.col(f"{'l' if c in left.columns else 'r'}.`{c}`").alias(c) for c in names]
+    return both.select(*cells)
+
+
+def enriched(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Found ids with their full rows; ids without a row go."""
+    return found.join(rows, key)
+
+
+def with_reasons(candidates: DataFrame, answers: DataFrame, key: str) -> DataFrame:
+    """Candidates that a selection names, with its reason; other ids in it go."""
+    return candidates.join(answers.select(key, "reason"), key)
+
+
+def page(rows: DataFrame, start: int, count: int, *order: Column) -> DataFrame:
+    """count rows from place start (from 0) of an ordered table."""
+    return rows.orderBy(*order).offset(start).limit(count)
+
+
+def ranked_or_few(rows: DataFrame, score: Column, matched: Column, key: str, most: int = 10) -> DataFrame:
+    """The most best rows by score; where there are no more than that, all of them with score 1 and nothing matched."""
+    if len(rows.limit(most + 1).take(most + 1)) <= most:
+        return rows.select("*", F.lit(1).alias("score"), F.array().cast("array<string>").alias("matched"))
+    return rows.select("*", score.alias("score"), matched.alias("matched")).orderBy(F.desc("score"), key).limit(most)

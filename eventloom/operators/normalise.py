@@ -90,3 +90,35 @@ def page_text(html: Column) -> Column:
     for tag in ("script", "style", "nav", "header", "footer"):
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
     return strip_html(out)
+
+
+# Codes of the prefectures, in the order in which they are tried.
+CODES = (
+    "東京 tokyo 大阪 osaka 京都 kyoto 兵庫 hyogo 福岡 fukuoka 北海道 hokkaido 愛知 aichi 神奈川 kanagawa 埼玉 saitama 千葉 chiba 静岡 shizuoka 広島 hiroshima "
+    "宮城 miyagi 沖縄 okinawa 茨城 ibaraki 栃木 tochigi 群馬 gunma 新潟 niigata 富山 toyama 石川 ishikawa 福井 fukui 山梨 yamanashi 長野 nagano 岐阜 gifu "
+    "三重 mie 滋賀 shiga 奈良 nara 和歌山 wakayama 鳥取 tottori 島根 shimane 岡山 okayama 山口 yamaguchi 徳島 tokushima 香川 kagawa 愛媛 ehime 高知 kochi "
+    "佐賀 saga 長崎 nagasaki 熊本 kumamoto 大分 oita 宮崎 miyazaki 鹿児島 kagoshima 青森 aomori 岩手 iwate 秋田 akita 山形 yamagata 福島 fukushima"
+).split()
+
+
+def prefecture_code(place: Column, default: str = "online") -> Column:
+    """The code of the first prefecture of the list that a place contains."""
+    return first_match(place, [(code, [name]) for name, code in zip(CODES[::2], CODES[1::2], strict=True)], default)
+
+
+def api_event(zone: str = "Asia/Tokyo", organisation: str | None = None, override: Column | None = None) -> list[Column]:
+    """Columns of an event from an API record (id, title, catch, description, url, started_at, ended_at, place, address, tags).
+
+    Times of day are those of a zone. override: a place that wins over the one found."""
+    started, ended = (F.to_timestamp(F.col(c)) for c in ("started_at", "ended_at"))
+    venue = F.coalesce(F.nullif(F.col("place"), F.lit("")), F.lit("未定"))
+    where = location(F.concat_ws(" ", venue, F.coalesce("address", F.lit(""))), online=[*ONLINE_WORDS, "virtual"])
+    where = F.when(where == "online", F.lit("オンライン")).otherwise(where)
+    return [
+        F.concat(F.lit("connpass_"), F.col("id").cast("string")).alias("id"), "title",
+        F.coalesce(F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("catch"), F.lit("")), F.lit("")).alias("description"),
+        started.alias("eventDate"), F.date_format(F.from_utc_timestamp(started, zone), "HH:mm").alias("startTime"), F.date_format(F.from_utc_timestamp(ended, zone), "HH:mm").alias("endTime"),
+        venue.alias("venue"), F.nullif(F.col("address"), F.lit("")).alias("address"), (F.coalesce(F.nullif(override, F.lit("")), where) if override is not None else where).alias("location"),
+        F.col("url").alias("detailUrl"), F.lit(organisation).cast("string").alias("organizationId"), event_format(F.coalesce("place", F.lit(""))).alias("format"),
+        F.lit("FOR_EVERYONE").alias("difficulty"), F.lit(0).alias("price"), event_type(F.col("title"), F.col("tags")).alias("eventType"),
+    ]

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import edit_similarity, trimmed
@@ -149,3 +149,17 @@ def word_runs(docs: DataFrame, key: str, words: Column, longest: int = 4) -> Dat
 
     runs = rows.select(key, F.explode(F.concat(*[of(n) for n in range(1, longest + 1)])).alias("x"))
     return runs.groupBy(key, F.col("x.n").alias("n"), F.col("x.run").alias("run")).agg(F.min("x.p").alias("first"), F.count("*").alias("times"))
+
+
+def foreign_words(words: Column) -> Column:
+    """Words that aren't ASCII letters and digits only. It drops every word of a Latin script, so it is never a default."""
+    return F.filter(words, lambda x: ~x.rlike("^[a-zA-Z0-9]+$"))
+
+
+def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """rows with place (from 1) in their group's order, linear (1 - earlier share) and place_weight (1.2 in the first and last
+    three tenths)."""
+    w = Window.partitionBy(key)
+    rows = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
+    share = (F.col("place") - 1) / F.col("__n")
+    return rows.withColumns({"linear": 1 - share, "place_weight": F.when((share <= 0.3) | (share >= 0.7), 1.2).otherwise(1.0)}).drop("__n")

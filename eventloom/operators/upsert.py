@@ -44,3 +44,66 @@ def valid_split(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
     """Valid rows, and the quarantine."""
     ok = F.coalesce(valid, F.lit(False))
     return rows.where(ok), rows.where(~ok)
+
+
+def inserted(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of new with is_new: whether insert_if_absent would add them (of equal keys the first does)."""
+    order = [F.col(c) for c in new.columns]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    there = table.select(*keys).distinct().withColumn("__there", F.lit(True))
+    return new.withColumn("__first", first).join(there, list(keys), "left").select(*new.columns, (F.col("__first") & F.col("__there").isNull()).alias("is_new"))
+
+
+def save_counts(table: DataFrame, new: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
+    """fetched, saved, errors, duplicates of an ingest: rows that aren't valid are errors, known or repeated ones neither."""
+    good, bad = valid_split(new, valid)
+    marked = inserted(table, good, keys)
+    counts = marked.agg(F.count("*").alias("good"), F.count_if("is_new").alias("saved"))
+    return counts.crossJoin(bad.agg(F.count("*").alias("errors"))).select((F.col("good") + F.col("errors")).alias("fetched"), "saved", "errors", (F.col("good") - F.col("saved")).alias("duplicates"))
+
+
+def delete_one(table: DataFrame, **keys) -> DataFrame:
+    """The table without the row of a composite key; an error where it isn't there."""
+    hit = F.lit(True)
+    for name, value in keys.items():
+        hit = hit & (F.col(name) == F.lit(value))
+    if table.where(hit).isEmpty():
+        raise KeyError(f"no row of {keys}")
+    return table.where(~F.coalesce(hit, F.lit(False)))
+
+
+def delete_count(table: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The table without the rows of a condition, and how many those are (deleted; 0 is fine)."""
+    return table.where(~F.coalesce(condition, F.lit(False))), table.agg(F.count_if(F.coalesce(condition, F.lit(False))).alias("deleted"))
+
+
+def update_supplied(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """New state: of the rows in new only what it supplies (not null) changes; rows it lacks stay; it adds none."""
+    names = [c for c in new.columns if c != key]
+    both = table.join(new.select(key, *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
+    return both.select(*[F.coalesce(f"__{c}", F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
+
+
+def with_dimension(rows: DataFrame, name: str, dimension: DataFrame, blank: str = "Unknown Company") -> tuple[DataFrame, DataFrame]:
+    """The dimension(id, name) with the names of rows that it lacks (ids from a hash of the name; blank and null ones share a
+    name), and rows with their dimension_id."""
+    shown = F.when(F.length(F.trim(F.coalesce(name, F.lit("")))) > 0, F.trim(F.col(name))).otherwise(F.lit(blank))
+    asked = rows.withColumn("__name", shown)
+    new = asked.select(F.col("__name").alias("name")).distinct().join(dimension.select("name"), "name", "left_anti")
+    every = dimension.select("id", "name").unionByName(new.select(F.concat(F.lit("org_"), F.hex(F.xxhash64("name"))).alias("id"), "name"))
+    return every, asked.join(every.select(F.col("id").alias("dimension_id"), F.col("name").alias("__name")), "__name").drop("__name")
+
+
+def orphans(children: DataFrame, foreign: str, parents: DataFrame, key: str) -> DataFrame:
+    """Audit of a foreign key: children whose parent isn't there; a null refers to none."""
+    return children.where(F.col(foreign).isNotNull()).join(parents.select(F.col(key).alias(foreign)), foreign, "left_anti")
+
+
+def split_nested(events: DataFrame, key: str, lists: Sequence[str]) -> dict[str, DataFrame]:
+    """An insert with nested children as rows of each child table: id (deterministic), key, ord, and the child's fields."""
+    out = {}
+    for name in lists:
+        x = events.select(key, F.posexplode(name).alias("ord", "x"))
+        fields = ["x.*"] if "struct" in events.schema[name].dataType.elementType.typeName() else [F.col("x").alias("name")]
+        out[name] = x.select(F.concat(F.lit(f"{name}_"), F.hex(F.xxhash64(key, "ord"))).alias("id"), key, "ord", *fields)
+    return out

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import cosine
@@ -12,16 +14,20 @@ RRF_K, HYBRID_SHARE = 60, 0.5
 QUERY_ROWS = 10_000
 
 
-def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
-    """query_id, id, sim of queries(query_id, q) against corpus(id, v). A query set of up to QUERY_ROWS rows is broadcast;
-    a larger one is met in blocks by a join on a block number."""
+def against(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
+    """Each row of a stated query set with each row of the corpus. Up to QUERY_ROWS queries are broadcast; a larger set is met
+    in blocks, by a join on a block number (key: a column of queries that tells its rows apart)."""
     n = queries.count()
     if n <= QUERY_ROWS:
-        both = corpus.crossJoin(F.broadcast(queries))
-    else:
-        blocks = -(-n // QUERY_ROWS)
-        q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-        both = corpus.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "block").drop("block")
+        return corpus.crossJoin(F.broadcast(queries))
+    blocks = -(-n // QUERY_ROWS)
+    q = queries.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
+    return corpus.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "__block").drop("__block")
+
+
+def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
+    """query_id, id, ..., sim of queries(query_id, q, ...) against corpus(id, v, ...)."""
+    both = against(queries, corpus, "query_id")
     return both.withColumn("sim", cosine(F.col("v"), F.col("q"))).drop("v", "q")
 
 
@@ -47,18 +53,60 @@ def fused(lists: DataFrame, *keys: str, method: str = "rrf", k: int = RRF_K, sha
     return lists.groupBy(*keys).agg(F.sum(part).alias("score"))
 
 
-def mean_of_two(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """(a + b) / 2 by key, 0 where one is missing."""
-    both = a.select(key, F.col("sim").alias("sa")).join(b.select(key, F.col("sim").alias("sb")), key, "full_outer")
-    return both.select(key, ((F.coalesce("sa", F.lit(0.0)) + F.coalesce("sb", F.lit(0.0))) / 2).alias("mean_sim"))
+def mean_of_two(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """(a + b) / 2 by keys, 0 where one is missing."""
+    both = a.select(*keys, F.col("sim").alias("sa")).join(b.select(*keys, F.col("sim").alias("sb")), list(keys), "full_outer")
+    return both.select(*keys, ((F.coalesce("sa", F.lit(0.0)) + F.coalesce("sb", F.lit(0.0))) / 2).alias("mean_sim"))
 
 
-def recommend(a: DataFrame, b: DataFrame, key: str, threshold: float = 0.35, n: int = 5, method: str = "weighted") -> DataFrame:
-    """Two similarity lists(key, sim), floored at 0 and ranked, fused; mean similarity at least the threshold; the best n."""
+def recommend(phrases: DataFrame, sentences: DataFrame, tag: str, key: str, threshold: float = 0.35, n: int = 5, methods: Sequence[str] = ("weighted",), mode: str = "concat") -> DataFrame:
+    """tag, key, label, score, mean_sim: for each tag (all tags in one job) its two similarity lists (tag, key, sim), floored
+    at 0 and ranked, are fused by each method; mean similarity at least the threshold; the best n."""
     def listed(x):
-        x = x.select(F.col(key), F.greatest(F.lit(0.0), F.col("sim")).alias("sim"))
-        return x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("sim"), key)))
+        return ranked(x.select(tag, key, F.greatest(F.lit(0.0), F.col("sim")).alias("sim")), tag, "sim", key)
+
+    a, b = listed(phrases), listed(sentences)
+    mean, out = mean_of_two(a, b, tag, key).where(F.col("mean_sim") >= threshold), None
+    for method in methods:
+        best = top(fused(a.unionByName(b), tag, key, method=method).join(mean, [tag, key]), tag, "score", key, n)
+        best = best.select(tag, key, F.lit(f"[mode:{mode}][fuse:{method}]").alias("label"), "score", "mean_sim")
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
+def rerank(sentences: DataFrame, keywords: DataFrame, tag: str, key: str, k: int = RRF_K) -> DataFrame:
+    """tag, key, score: reciprocal ranks of the best sentence similarity and of the mean keyword similarity of each event,
+    summed; an event without sentences or keywords counts as 0 there. Rows: (tag, key, sim), sim null for none."""
+    def rank(x, f):
+        return ranked(x.groupBy(tag, key).agg(F.greatest(F.lit(0.0), F.coalesce(f("sim"), F.lit(0.0))).alias("sim")), tag, "sim", key)
+
+    return fused(rank(sentences, F.max).unionByName(rank(keywords, F.avg)), tag, key, k=k)
+
+
+def retrieve(rows: DataFrame, query: str, key: str, k: int = 50, least: float = 0.8, near: Column | None = None) -> DataFrame:
+    """query, key, sim, rank: the k nearest of each query, then those of at least so much, then those near (a condition)."""
+    found = top(rows, query, "sim", key, k).where(F.col("sim") >= least)
+    return found if near is None else found.where(near)
+
+
+def joined_keywords(words: Column) -> Column:
+    """The text that an event's keywords are embedded as; null where it is blank."""
+    text = F.trim(F.array_join(words, " "))
+    return F.when(F.length(text) > 0, text)
+
+
+def similarity_to(tag: Column, text: Column, embed: Callable[[Column], Column]) -> Column:
+    """Cosine of two texts' embeddings, floored at 0; 0 where the text is blank."""
+    sim = F.greatest(F.lit(0.0), cosine(embed(tag), embed(text)))
+    return F.when(F.length(F.trim(F.coalesce(text, F.lit("")))) > 0, sim).otherwise(0.0)
+
 
-    a, b = listed(a), listed(b)
-    out = fused(a.unionByName(b), key, method=method).join(mean_of_two(a, b, key), key)
-    return out.where(F.col("mean_sim") >= threshold).orderBy(F.desc("score"), key).limit(n)
+def interest(events: DataFrame, key: str, words: str, tag: Column, embed: Callable[[Column], Column], mode: str = "concat", pool: str = "max") -> DataFrame:
+    """key, sim of events(key, words: array): of the words as one text (concat; blank: 0), or pooled over the words
+    (per_keyword; none: 0)."""
+    if mode == "concat":
+        text = joined_keywords(F.col(words))
+        return events.select(key, similarity_to(tag, text, embed).alias("sim"))
+    sims = F.transform(words, lambda w: cosine(embed(tag), embed(w)))
+    best = F.array_max(sims) if pool == "max" else F.aggregate(sims, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(sims), F.lit(1))
+    return events.select(key, F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))).alias("sim"))

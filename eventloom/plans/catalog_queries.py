@@ -96,18 +96,23 @@ def array_overlap(spark, d):
     SELECT l_orderkey, count(*) AS n, string_agg(l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS s, count(p_brand) AS b, count(s_name) AS p
     FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1) k ON l_orderkey = o_orderkey""")
 def event_nested_counts(spark, d):
-    lines = read(spark, d, "lineitem")
-    rows = read(spark, d, "orders").select("o_orderkey", "o_custkey")
-    rows = catalog.nested(rows, "o_orderkey", lines, "l_orderkey", "skills", "l_linenumber", "l_returnflag")
-    parts = lines.join(read(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    rows = catalog.nested(rows, "o_orderkey", parts, "l_orderkey", "categories", "l_linenumber", "p_brand")
-    speakers = lines.join(read(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    rows = catalog.nested(rows, "o_orderkey", speakers, "l_orderkey", "speakers", "l_linenumber", "s_name")
     org = read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("organisation"))
-    rows = rows.join(org, "o_custkey", "left")
+    rows = nested_events(spark, d, read(spark, d, "orders").select("o_orderkey", "o_custkey")).join(org, "o_custkey", "left")
     return rows.select("o_orderkey", "organisation", F.size("skills").alias("n_skills"), F.array_join("skills.l_returnflag", ",").alias("skills"), F.size("categories").alias("n_categories"), F.size("speakers").alias("n_speakers"))
 
 
+def nested_events(spark, d, events: DataFrame) -> DataFrame:
+    """Events with skills, categories, speakers and goals, which all come with one scan of their rows."""
+    lines = read(spark, d, "lineitem").join(read(spark, d, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"), "left")
+    lines = lines.join(read(spark, d, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+
+    def item(c):
+        return F.when(F.col(c).isNotNull(), F.struct("l_linenumber", c))
+
+    lists = {"skills": F.struct("l_linenumber", "l_returnflag"), "categories": item("p_brand"), "speakers": item("s_name"), "goals": F.struct("l_linenumber", "l_linestatus")}
+    return catalog.all_nested(events, "o_orderkey", lines, "l_orderkey", lists)
+
+
 @query("""SELECT user_id, event_id, ts AS created_at, o_totalprice AS price, c_name AS organisation FROM events JOIN orders ON o_orderkey = event_id
   LEFT JOIN customer ON c_custkey = o_custkey WHERE event_type = 'click'""")
 def bookmarks_by_user(spark, d):
@@ -249,13 +254,14 @@ def minmax_norm(spark, d):
 
 DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 COS = f"{DOT} / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])))"
-SIMS = f"s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, {COS} AS sim FROM embeddings a, embeddings b WHERE a.vec_id IN (0, 1, 2))"
+SIMS = f"s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, b.label, a.label AS user, {COS} AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)"
 
 
-def similarities(spark, d, ids=(0, 1, 2)) -> DataFrame:
+def similarities(spark, d, rest: int = 0) -> DataFrame:
+    """Queries: the vectors whose id leaves rest by 20, against all. A query's user is its label."""
     rows = read(spark, d, "embeddings")
-    q = rows.where(F.col("vec_id").isin(*ids)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return vectors.scored(q, rows.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))).select("query_id", "id", "label", "sim")
+    q = rows.where(F.col("vec_id") % 20 == rest).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("user"))
+    return vectors.scored(q, rows.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))).select("query_id", "id", "label", "user", "sim")
 
 
 @query(f"WITH {SIMS} SELECT query_id, id, r::INT AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s) WHERE r <= 50")
@@ -296,18 +302,22 @@ def rrf_hybrid(spark, d):
     return _fused(spark, d, "hybrid")
 
 
-@query(f"""WITH {SIMS}, f AS (SELECT query_id, id, greatest(0, sim) AS sim FROM s WHERE query_id IN (0, 1)), l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM f)
-  SELECT id, round(sum(sim / (60 + r)), 6) AS score, round(sum(sim) / 2, 6) AS mean_sim FROM l GROUP BY 1 HAVING sum(sim) / 2 >= 0.2 ORDER BY sum(sim / (60 + r)) DESC, id LIMIT 5""")
+@query(f"""WITH p AS (SELECT a.vec_id AS tag, b.vec_id AS id, greatest(0, {COS}) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0), q AS (SELECT a.vec_id - 1 AS tag, b.vec_id AS id, greatest(0, {COS}) AS sim FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 1),
+  l AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY sim DESC, id) AS r FROM p UNION ALL SELECT *, row_number() OVER (PARTITION BY tag ORDER BY sim DESC, id) AS r FROM q),
+  f AS (SELECT tag, id, unnest([sum(1.0::DOUBLE / (60 + r)), sum(sim / (60 + r)), sum(0.5::DOUBLE * sim + 0.5::DOUBLE / (60 + r))]) AS score, unnest(['rrf', 'weighted', 'hybrid']) AS m, sum(sim) / 2 AS mean_sim FROM l GROUP BY 1, 2 HAVING sum(sim) / 2 >= 0.2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY tag, m ORDER BY score DESC, id) AS r FROM f) SELECT tag, id, concat('[mode:concat][fuse:', m, ']') AS label, round(score, 6) AS score, round(mean_sim, 6) AS mean_sim FROM o WHERE r <= 5""")
 def keydata_recommend(spark, d):
-    s = similarities(spark, d, (0, 1))
-    rows = vectors.recommend(s.where("query_id = 0").select("id", "sim"), s.where("query_id = 1").select("id", "sim"), "id", threshold=0.2)
-    return rows.select("id", r6(F.col("score")).alias("score"), r6(F.col("mean_sim")).alias("mean_sim"))
+    def of(rest):
+        return similarities(spark, d, rest).select((F.col("query_id") - rest).alias("tag"), "id", "sim")
+
+    rows = vectors.recommend(of(0), of(1), "tag", "id", threshold=0.2, methods=("rrf", "weighted", "hybrid"))
+    return rows.select("tag", "id", "label", r6(F.col("score")).alias("score"), r6(F.col("mean_sim")).alias("mean_sim"))
 
 
-@query(f"""WITH {SIMS}, l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s), t AS (SELECT * FROM l WHERE r <= 10),
-  m AS (SELECT id, min(query_id * 1000 + r) AS o FROM t GROUP BY 1) SELECT id, row_number() OVER (ORDER BY o, id)::INT AS ord FROM m""")
+@query(f"""WITH {SIMS}, l AS (SELECT query_id, id, user, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s), t AS (SELECT * FROM l WHERE r <= 10),
+  m AS (SELECT user, id, min(query_id * 1000 + r) AS o FROM t GROUP BY 1, 2) SELECT user, id, row_number() OVER (PARTITION BY user ORDER BY o, id)::INT AS ord FROM m""")
 def ordered_union_distinct(spark, d):
-    return catalog.distinct_ordered(vectors.top(similarities(spark, d), "query_id", "sim", "id", 10), "id", "query_id", "rank")
+    return catalog.distinct_ordered(vectors.top(similarities(spark, d), "query_id", "sim", "id", 10), "user", "id", "query_id", "rank")
 
 
 # text
@@ -435,7 +445,3 @@ def json_extract(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json(body, "k int")["k"].alias("k"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN role = 'system' THEN 'recommend' WHEN role = 'assistant' THEN 'bookmarks' WHEN contains(lower(text), 'the') THEN 'remind' ELSE 'free_text' END AS route FROM conversations""")
-def webhook_route(spark, d):
-    route = F.when(F.col("role") == "system", "recommend").when(F.col("role") == "assistant", "bookmarks").when(S.has(F.col("text"), "the"), "remind").otherwise("free_text")
-    return read(spark, d, "conversations").select("conv_id", "turn", route.alias("route"))

@@ -1 +1 @@
-
+"""Where events and pages come from."""

@@ -1 +1 @@
-
+"""Streams of the catalogue."""
