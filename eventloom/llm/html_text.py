@@ -7,8 +7,17 @@ joined by smoothness edges that weaken with their distance in the tree. The mini
 content blocks are the text. Blocks whose score outweighs all their edges keep their sign in some minimum cut, so they are
 contracted into the terminals first and max-flow runs on the rest.
 
-Null html: an empty text. Repeated rows and ids: a row each. Pages are handled whole, one by one, at any length. Empty
-tables give no rows. Other columns are ignored by main_texts().
+Names count by whole class tokens ("sidebar", "post-comments", but not "with-sidebar", "tag-news" or "post-header"). What
+stands round the article can't condemn it: a form, or an element that is named like boilerplate, is neutral when it holds
+most of the text of article and main elements, or, on a page without those, most of all text. Nav, footer and aside always
+count, and so do reader comments.
+
+Broken markup: an end tag that never comes doesn't take the rest of the page away (but for script and style, as in
+browsers); empty svg, math, iframe and object elements may close themselves; a link ends with the block it began in.
+
+Null html: an empty text. Repeated rows and ids: a row each. Pages are handled whole, one by one, at any length, in time
+proportional to it (steps in the tree beyond FAR count as FAR). Empty tables give no rows. Other columns are ignored by
+main_texts().
 """
 
 from __future__ import annotations
@@ -23,7 +32,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^<]+|<)", re.S)
+LOOSE = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)([^<>]*)>()")
 NAMES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 # Kinds of HTML elements, and words that class and id names use for them.
@@ -34,43 +44,97 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
-GOOD = re.compile(r"(?:^|[\W_])(?:article|content|entry|story|post|main|body|text)(?:$|[\W_])", re.I)
+#: These are outside whatever they hold.
+ALWAYS = frozenset("nav footer aside menu dialog".split())
+COMMENTS = re.compile(r"comments?|commentlist|replies|reply|disqus")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+GOOD = frozenset("article content entry story post main body text".split())
 BAD = re.compile(
-    r"(?:^|[\W_])(?:ads?|advert\w*|sponsor\w*|banner|promo\w*|side-?bar|comments?|comment-?list|replies|reply|disqus|cookies?|consent|gdpr|notice|alert|menu|nav\w*|breadcrumbs?|footer|header|masthead|related|recommended|share|social|popup|modal|overlay|newsletter|subscribe|signup|login|search|widget|tags?|pagination|pager|legal|copyright|disclaimer|complementary|contentinfo|navigation)(?:$|[\W_])",
-    re.I,
+    r"ads?|advert\w*|sponsor\w*|banners?|promo\w*|sidebar|side|comments?|commentlist|replies|reply|disqus|cookies?|consent|gdpr|notices?|alerts?|menu|nav\w*|breadcrumbs?|footer|header|masthead|related|recommended|share|sharing|social|popup|modal|overlay|newsletter|subscribe|signup|login|search|widgets?|tags?|tagcloud|pagination|pager|legal|copyright|disclaimer|complementary|contentinfo|navigation"
 )
+NEGATED = frozenset("no not with without has have hide hidden show is layout page body".split())
+TAXONOMY = frozenset("tag category type status format post author hentry".split())
+OF_ARTICLE = frozenset("post entry article content story main text".split())
+TOP = frozenset("header masthead".split())
 CLOSES_P = BLOCK - {"html", "head", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+EMPTY = frozenset("svg math iframe object".split())
+
+ADJACENT, SIBLING, FAR = 1.0, 0.8, 64
 
-ADJACENT, SIBLING = 1.0, 0.8
+
+def names_kind(names: str, tag: str) -> tuple[bool, bool, bool]:
+    """(like boilerplate, like an article, like comments) of class, id and role names, token by token."""
+    bad = good = remarks = False
+    for token in names.lower().split():
+        parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"side-?bar", "sidebar", token)) if x]
+        if not parts or parts[0] in NEGATED and len(parts) > 1:
+            continue
+        hits = [x for x in (parts[0], parts[-1]) if BAD.fullmatch(x)]
+        if len(parts) > 1 and parts[0] in TAXONOMY and parts[0] != "post" and parts[-1] not in ("cloud", "list", "links", "widget"):
+            hits = []
+        if parts[0] in OF_ARTICLE or tag in HEADINGS:  # a heading of the article, not the page's
+            hits = [x for x in hits if x not in TOP]
+        if tag in ("article", "main"):
+            hits = [x for x in hits if x.startswith(("comment", "repl"))] if parts[-1] not in ("open", "closed") else []
+        bad, remarks = bad or bool(hits), remarks or any(COMMENTS.fullmatch(x) for x in hits)
+        good = good or parts[0] in GOOD or parts[-1] in GOOD
+    return bad, good, remarks
 
 
 class Node:
-    __slots__ = ("tag", "parent", "depth", "bias", "outside", "article")
+    __slots__ = ("tag", "parent", "depth", "block", "bad", "good", "remarks", "article", "chars", "core", "bias")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.bias, self.outside, self.article = (parent.bias, parent.outside, parent.article) if parent else (0.0, False, False)
-        if tag in ("article", "main"):
-            self.bias, self.article = self.bias + 3.0, True
-        elif tag in OUTSIDE or tag == "header" and not self.article:
-            self.bias, self.outside = self.bias - 8.0, True
+        self.block: Node = self if tag in BLOCK or parent is None else parent.block
+        self.bad = self.good = self.remarks = False
         if attributes and "=" in attributes and tag not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
             if names:
-                if BAD.search(names):
-                    self.bias, self.outside = self.bias - 8.0, True
-                elif GOOD.search(names):
-                    self.bias += 1.5
+                self.bad, self.good, self.remarks = names_kind(names, tag)
+        self.article = tag in ("article", "main") and not self.bad or bool(parent and parent.article)
+        #: Characters of text in it, and those of them in article and main elements; what it adds up to for its text.
+        self.chars, self.core, self.bias = 0, 0, 0.0
+
+    def own(self, total: int, core: int) -> float:
+        """What this element by itself adds to the bias of what is in it."""
+        if self.tag in ALWAYS or self.remarks:
+            return -8.0
+        if self.bad or self.tag in OUTSIDE or self.tag == "header" and not self.article:
+            around = self.core * 2 > core if core else self.chars * 2 > total
+            return 0.0 if around and self.tag not in ("article", "main") else -8.0
+        return (3.0 if self.tag in ("article", "main") else 0.0) + (1.5 if self.good else 0.0)
+
+
+def set_biases(found: list[Block]) -> None:
+    """Counts each element's text and sums biases up from the root."""
+    seen: dict[int, Node] = {}
+    for b in found:
+        b.node.chars += len(b.text)
+        x: Node | None = b.node
+        while x is not None and id(x) not in seen:
+            seen[id(x)] = x
+            x = x.parent
+    ordered = sorted(seen.values(), key=lambda x: -x.depth)
+    for x in ordered:
+        if x.tag in ("article", "main") and not x.bad:
+            x.core = x.chars
+        if x.parent is not None:
+            x.parent.chars += x.chars
+            x.parent.core += x.core
+    if ordered:
+        root = ordered[-1]
+        for x in reversed(ordered):
+            x.bias = (x.parent.bias if x.parent is not None else 0.0) + x.own(root.chars, root.core)
 
 
 class Block:
     __slots__ = ("text", "node", "links", "cost")
 
     def __init__(self, text: str, node: Node, links: int):
-        self.text, self.node, self.links = text, node, links
-        self.cost = score(self)
+        self.text, self.node, self.links, self.cost = text, node, links, 0.0
 
 
 def score(b: Block) -> float:
@@ -91,82 +155,110 @@ def score(b: Block) -> float:
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks with their places in the tree; script, style and the like are dropped with what is in them."""
+    """Text blocks with their places in the tree, scored; script, style and the like are dropped with what is in them."""
     root = Node("#root", None, "")
-    stack, out, parts, links, in_link = [root], [], [], 0, 0
-    skip: str | None = None
-    dropped = 0
+    stack, out, parts, links, in_link = [root], [], [], 0, False
+    opened: dict[str, int] = {}
+    dropped, last_gt = 0, page.rfind(">")
+    last_close: dict[str, int] = {}
+
+    def closes_after(tag: str, at: int) -> bool:
+        if tag not in last_close:
+            last = -1
+            for m in re.finditer(rf"</{tag}(?![A-Za-z0-9:-])", page, re.I):
+                last = m.start()
+            last_close[tag] = last
+        return last_close[tag] >= at
 
     def flush():
         nonlocal links
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack[-1] if stack[-1].tag in BLOCK or stack[-1] is root else next(x for x in reversed(stack) if x.tag in BLOCK or x is root), links))
+                out.append(Block(text, stack[-1].block, links))
             parts.clear()
         links = 0
 
+    def cut(i: int) -> None:
+        """Closes the elements from place i on."""
+        nonlocal dropped
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+            dropped -= x.tag in DROPPED
+        del stack[i:]
+
+    def say(text: str) -> None:
+        nonlocal links
+        if not dropped:
+            text = html.unescape(text) if "&" in text else text
+            parts.append(text)
+            links += len(text) if in_link else 0
+
     at, end = 0, len(page)
     while at < end:
-        if skip:
-            found = re.compile(rf"</{skip}\s*>?", re.I).search(page, at)
-            at = found.end() if found else end
-            skip = None
-            continue
-        m = TOKEN.match(page, at)
-        if m is None:  # a tag that never ends
+        if at > last_gt:  # no tag ends behind this: what looks like one goes with the rest
+            cutoff = re.compile(r"<(?=[A-Za-z/!?])").search(page, at)
+            say(page[at : cutoff.start() if cutoff else end])
             break
+        m = TOKEN.match(page, at)
+        if m[4] == "<" and (loose := LOOSE.match(page, at)):  # an attribute's quotation never ends
+            m = loose
         at = m.end()
-        if m[4] is not None:
-            if not dropped:
-                text = html.unescape(m[4]) if "&" in m[4] else m[4]
-                parts.append(text)
-                if in_link:
-                    links += len(text)
+        if m[4]:
+            say(m[4])
             continue
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag == "a":
-                in_link = max(0, in_link - 1)
+            if tag == "a" or tag in BLOCK:
+                in_link = False
             if tag in BLOCK:
                 flush()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    for x in stack[i:]:
-                        dropped -= x.tag in DROPPED
-                    del stack[i:]
-                    break
+            if opened.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                cut(i)
             continue
         if tag in BLOCK:
             flush()
         if tag == "br":
-            parts.append(" ")
-        if tag in VOID:
+            say(" ")
+        if tag in VOID or tag in EMPTY and m[3].rstrip().endswith("/"):
             continue
         if tag in RAW:
-            skip = tag
-            if tag in BLOCK:
-                parts.clear()
+            if closes_after(tag, at):
+                at = re.compile(rf"</{tag}(?![A-Za-z0-9:-])[^>]*>?", re.I).search(page, at).end()
+            elif tag in ("script", "style"):
+                break
             continue
         if m[3].endswith("/") and tag not in BLOCK:
             continue
         if tag == "a":
-            in_link += 1
-        closed = SELF_CLOSING.get(tag)
-        if closed or tag in CLOSES_P:
+            in_link = True
+        closed = SELF_CLOSING.get(tag, ())
+        if (tag in CLOSES_P and opened.get("p")) or any(opened.get(x) for x in closed):
             for i in range(len(stack) - 1, 0, -1):
                 t = stack[i].tag
-                if t == "p" or closed and t in closed:
-                    del stack[i:]
+                if t == "p" or t in closed:
+                    cut(i)
                     break
                 if t in BLOCK:
                     break
+        if tag in DROPPED and not closes_after(tag, at) and tag != "head":
+            continue
         node = Node(tag, stack[-1], m[3])
+        opened[tag] = opened.get(tag, 0) + 1
         dropped += tag in DROPPED
+        if tag == "body" and opened.get("head"):  # a head that was never closed ends here
+            cut(next(i for i, x in enumerate(stack) if x.tag == "head"))
+            node = Node(tag, stack[-1], m[3])
         stack.append(node)
     flush()
+    set_biases(out)
+    for b in out:
+        b.cost = score(b)
     return out
 
 
@@ -176,7 +268,7 @@ def edges(found: list[Block]) -> list[tuple[int, int, float]]:
     for i, b in enumerate(found):
         if i:
             a, c, steps = found[i - 1].node, b.node, 0
-            while a is not c and a is not None and c is not None:
+            while a is not c and a is not None and c is not None and steps < FAR:
                 if a.depth >= c.depth:
                     a = a.parent
                 else:

@@ -388,6 +388,58 @@ def test_main_text(spark):
     assert {x["page_id"]: x["text"] for x in html_text.main_texts(df).collect()} == {1: "A & B\nSome text goes on here.\nMore.", 2: "", 3: ""}
 
 
+ONE, TWO = "First paragraph of the article, which has some length to it.", "Second paragraph of the article, and that is long enough too."
+A, B, SPAM = f"<p>{ONE}</p>", f"<p>{TWO}</p>", "<p>Hot stuff that you will want to read at once, really.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<article>{A}<svg class="i"/>{B}</article>', f"<article>{A}<iframe src=x />{B}</article>", f"<article>{A}<noscript>{B}</article>", f"<article><p>{ONE}<button>Go{B}</article>",
+        f"<article>{A}<p><select><option>a{B}</article>", f"<form><article>{A}{B}</article></form>", f"<form><h1>T</h1>{A}{B}</form>", f'<article class="post tag-news category-legal has-header">{A}{B}</article>',
+        f'<div class="wrapper no-sidebar">{A}{B}</div>', f'<div class="page with-sidebar"><article>{A}{B}</article><div class="sidebar">{SPAM}</div></div>', f"<article>{A}<p><a href=x>link{B}</article>",
+        f'<article>{A}<img alt="x>{B}</article>', f"<head><title>x</title><body>{A}{B}", f"<article>{A}{B}</article><div class='related'><article>{SPAM}</article><article>{SPAM}</article></div>",
+        f"<article>{A}{B}</article><div id='comments'>{SPAM * 9}</div>", f"<main>{A}{B}</main><section><article class='comment'>{SPAM * 9}</article></section>", f"<div id='post-comments'>{SPAM}</div><main>{A}{B}</main>",
+        f"<div class='cookie-banner'>{SPAM}</div><article>{A}{B}</article><footer>{SPAM}</footer>", f"<div class='ad'>{SPAM}</div><div>{A}{B}</div><aside>{SPAM}</aside>", f"<article>{A}{B}</article><script>if (a</script><style>{SPAM}",
+    ],
+)
+def test_main_text_of_broken_and_crowded_pages(page):
+    got = html_text.main_text(page).split("\n")
+    assert [x for x in got if x in (ONE, TWO) or ONE in x or TWO in x] and "Hot stuff" not in "".join(got) and ONE in "\n".join(got) and TWO in "\n".join(got)
+
+
+def test_main_text_keeps_headings_of_the_article():
+    assert html_text.main_text(f'<header>Site</header><article><h1 class="post-header">Heading here</h1>{A}</article>') == f"Heading here\n{ONE}"
+
+
+def test_main_text_in_linear_time():
+    import time
+
+    for bad in ("<scriptx" * 60_000, '<a "' * 250_000, '<a "' * 250_000 + ">", "<b>" * 100_000 + "<p></p>" * 100_000, "<div>" * 100_000 + "x", "<i>" * 100_000 + "</b>" * 100_000, "<!--" * 200_000, "&" * 1_000_000, "<" * 1_000_000, "<select>" * 100_000):
+        began = time.time()
+        html_text.main_text(bad)
+        assert time.time() - began < 5
+
+
+def test_page_labelling_is_the_least_cost_one():
+    """Whole pages: the text is that of a labelling whose cost no other labelling of the same blocks beats."""
+    r = random.Random(11)
+    parts = [A, B, SPAM, "<ul><li><a href=x>go</a><li>x</ul>", "<h2>Short</h2>", "<div class=ad>Buy now</div>", "<p>tiny", "<td>cell</td>", "text alone that stands here", "<blockquote>Quoted words, at some length.</blockquote>"]
+    for _ in range(60):
+        page = "".join(r.choice(["<article>", "<div>", "</div>", ""]) + r.choice(parts) for _ in range(r.randint(1, 9)))
+        found = html_text.blocks(page)
+        pairs, cost = html_text.edges(found), [b.cost for b in found]
+
+        def energy(side, cost=cost, pairs=pairs):
+            return sum(max(0, -c) if s else max(0, c) for c, s in zip(cost, side)) + sum(w for a, b, w in pairs if side[a] != side[b])
+
+        sides = [[bool(m >> i & 1) for i in range(len(cost))] for m in range(1 << len(cost))] if len(cost) <= 11 else []
+        if sides:
+            best = min(map(energy, sides))
+            texts = {"\n".join(b.text for b, s in zip(found, side) if s) for side in sides if energy(side) <= best + 1e-9}
+            assert html_text.main_text(page) in texts
+
+
 def test_neighbours(spark):
     g = np.random.default_rng(1)
     x = g.standard_normal((400, 16))
