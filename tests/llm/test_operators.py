@@ -496,3 +496,43 @@ def test_language_id_many_languages(spark):
     got = language_id.languages(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"), pages).collect()
     assert {x["doc_id"]: x["language"] for x in got if x["doc_id"] is not None} == {d[0]: d[2] for d in docs}
     assert [x["language"] for x in got if x["page_id"] == 1] == [names[17]]
+
+
+def exact_nearest(rows, queries, k):
+    out = {}
+    for q, v in queries:
+        score = [(-sum((a * b for a, b in zip(x, v)), 0.0), i) for i, x in rows if i != q and len(x) == len(v)]
+        out[q] = [i for _, i in sorted(set(score))[:k]]
+    return out
+
+
+def test_neighbours_in_shards_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "SHARD_ROWS", 150)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    g = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in g.standard_normal(12)]) for i in range(500)] + [(1000 + i, [float(v) for v in g.standard_normal(5)]) for i in range(30)]
+    rows += [(7, rows[7][1])] * 20 + [(2000, [1e200] + [0.0] * 11), (2001, [1e200, 1e199] + [0.0] * 10), (2002, [-3e199] + [1.0] * 11)]
+    df = spark.createDataFrame([(i, v, "x", True) for i, v in rows], "vec_id long, embedding array<double>, shard string, asks boolean")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    once = list(dict(rows).items())
+    want = exact_nearest(once, [x for x in once if x[0] % 20 == 0], 20)
+    assert got.keys() == want.keys()
+    assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.98 * sum(map(len, want.values()))
+    assert got[2000][:1] == [2001] or set(got[2000][:2]) <= {2001, *want[2000][:3]}
+    assert neighbours.nearest(df.where("false"), df).count() == 0 and neighbours.nearest(df, df.where("false")).count() == 0
+
+
+def test_neighbours_prune(spark):
+    """A shard's share that is scored, and the recall with it, on directions without structure."""
+    g = np.random.default_rng(4)
+    x = g.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    shard = neighbours.Shard(np.arange(6000), x, neighbours.TREES, neighbours.CANDIDATES, neighbours.SHARE)
+    ids, near, _ = shard.ask(np.arange(0, 6000, 60), x[::60], 20)
+    s = x[::60] @ x.T
+    s[np.arange(100), np.arange(0, 6000, 60)] = -np.inf
+    top = np.argsort(-s, axis=1)[:, :20]
+    hits = sum(len(set(near[ids == 60 * i]) & set(top[i])) for i in range(100))
+    assert hits >= 0.92 * 2000 and shard.scored <= 0.5 * 6000 * 100
