@@ -9,8 +9,9 @@ one text only, beside an entity, discloses it. Disclosing terms are spans of kin
 spans; sanitise() generalises every span to its kind's tag.
 
 Counts are hash aggregates with map-side combination; the list of disclosing terms is broadcast when it has at most
-BROADCAST_TERMS rows of at most TERM_CHARS characters, and joined by shuffle beyond, behind a bitmap of bounded size. So is the list of each text's
-disclosing terms, up to BROADCAST_BYTES; texts themselves then aren't shuffled.
+BROADCAST_TERMS rows and BROADCAST_BYTES, and joined by shuffle beyond, behind a bitmap of bounded size. So is the list of
+each text's disclosing terms, up to BROADCAST_BYTES; texts themselves then aren't shuffled. A word is a run of three letters
+or more, however long.
 
 Null and empty texts have no spans; null and repeated ids are carried, a row each. Ties have no influence. Empty tables
 give no rows. Other columns are kept by sanitise() and ignored by spans().
@@ -25,7 +26,7 @@ from . import common as C
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT, PRIOR, SHARE, BITS = 60, 1, 0.5, 8.0
-TERM_CHARS, BROADCAST_TERMS, BROADCAST_BYTES = 64, 50_000, 32 << 20
+BROADCAST_TERMS, BROADCAST_BYTES = 50_000, 32 << 20
 
 # The stated patterns, without backtracking into what can't match: the possessive forms and the guard on an email's first
 # character change no match and keep long runs linear.
@@ -33,7 +34,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]{13,}"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-WORD = r"\p{L}{3,64}"
+WORD = r"\p{L}{3,}+"
 
 
 def matches(text: Column, pattern: Column | str) -> Column:
@@ -142,10 +143,11 @@ def with_terms(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
         return with_spans.withColumn("term", none)
     key = F.md5(F.col("text").cast("binary"))
     words = docs.select(key.alias("text_key"), F.explode(_words()).alias("term"))
-    if count > BROADCAST_TERMS:
+    few = count <= BROADCAST_TERMS and C.bytes_of(terms) <= BROADCAST_BYTES
+    if not few:
         hashed = F.xxhash64("term")
         words = C.likely(words.withColumn("h", hashed), "h", terms.select(hashed.alias("h"))).drop("h")
-    of = C.stored(words.join(F.broadcast(terms) if count <= BROADCAST_TERMS else terms, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
+    of = C.stored(words.join(F.broadcast(terms) if few else terms, "term").groupBy("text_key").agg(F.collect_set("term").alias("terms")))
     held = of.agg(F.sum(F.length("text_key") + F.length(F.array_join("terms", " ")) + 8 * F.size("terms"))).first()[0] or 0
     rows = with_spans.withColumn("text_key", key).join(F.broadcast(of) if held <= BROADCAST_BYTES else of, "text_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))
