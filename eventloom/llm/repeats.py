@@ -12,7 +12,7 @@ longer). It stops at LEAST: neighbours without a boundary share LEAST bytes. In
 occurrence are removed.
 
 Nulls: a null text is empty; a null doc_id comes after all others and stays null. Repeated rows (same id and text): the
-first keeps its bytes, the others are repeats of it. Rows of one id with different texts go by a hash of the text. Texts
+first keeps its bytes, the others are repeats of it. Rows of one id with different texts go by a 32-bit hash of the text. Texts
 shorter than LEAST bytes are kept. Empty tables give no rows. Other columns are ignored.
 """
 
@@ -31,7 +31,8 @@ LEAST, GRAM = 100, 32
 #: Anchors that a task combines at a time, and bytes of contexts in one transform (a group of contexts is not cut).
 COMBINE, TRANSFORM_BYTES = 1 << 20, 1 << 18
 LAST = (1 << 63) - 1
-_AT = 40
+#: Bits of a place within a text; above them stand 32 bits of the text's hash, which tell texts of one id apart.
+_AT = 31
 
 _cache: dict[str, np.ndarray] = {}
 
@@ -340,7 +341,7 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tie": F.pmod(F.xxhash64("text"), F.lit(1 << 14))})
+    docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tie": F.pmod(F.xxhash64("text"), F.lit(1 << 32))})
     found = docs.select("doc", "tie", "text").mapInArrow(C.tidy(_collect(least, gram)), ROW)
     settled = C.stored(found.repartition("h").mapInArrow(C.tidy(_settle), ROW))
     listed = settled.where("kind = 2").groupBy("doc", F.shiftright("place", _AT).alias("tie")).agg(F.collect_list(F.struct("h", "place", "clip")).alias("wanted"))
