@@ -174,11 +174,14 @@ def identify(rows: DataFrame, langs: list[str]) -> DataFrame:
         size = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
         return F.array(*[F.log((counts[k] + FLOOR * F.lit(base[k])) / ((size + FLOOR) * F.lit(base[k]))) for k in range(n)])
 
-    declared = sums("declared").select(F.col("declared").alias("declared_key"), likelihood(F.col("sums")).alias("declared_likelihood"))
-    out = rows.join(declared, F.col("declared").eqNullSafe(F.col("declared_key")), "left").drop("declared_key")
+    value = F.coalesce("declared", F.lit("\0"))  # no declaration is a value
+    declared = sums("declared").select(value.alias("declared_key"), likelihood(F.col("sums")).alias("declared_likelihood"))
+    out = rows.join(declared, value == F.col("declared_key"), "left").drop("declared_key")
+    nowhere = F.concat(F.lit("\0"), F.pmod(F.xxhash64("page_id", "doc_id"), F.lit(1 << 16)))  # rows without a key match nothing, and don't meet
     for key in ("suffix", "domain", "host"):
-        own = sums(key).select(F.col(key).alias(f"{key}_key"), F.col("sums").alias(f"{key}_sums"))
-        out = out.join(own, F.col(key).eqNullSafe(F.col(f"{key}_key")), "left").drop(f"{key}_key")
+        own = sums(key).where(F.col(key).isNotNull()).select(F.col(key).alias(f"{key}_key"), F.col("sums").alias(f"{key}_sums"))
+        out = out.join(own, F.coalesce(key, nowhere) == F.col(f"{key}_key"), "left").drop(f"{key}_key")
+
     def others(key: str) -> Column:
         return F.zip_with(f"{key}_sums", "p", lambda s, p: F.greatest(s - p, F.lit(0.0)))
 
