@@ -128,6 +128,7 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
     for k in range(ORDER - 1, 0, -1):
         by_order[k] = C.stored(by_order[k + 1].groupBy("lang", _low(F.col("gram"), k).alias("gram")).agg(*[F.count_if(F.col(f"n_{m}") > 0).alias(f"n_{m}") for m in MODELS]))
     out: list[DataFrame] = []
+    done = [by_order[k] for k in range(1, ORDER)]
     for k in range(1, ORDER + 1):
         c = by_order[k].withColumn("ctx", F.shiftrightunsigned("gram", 16))
         of = c.groupBy("lang").agg(*[x for m in MODELS for x in (F.count_if(F.col(f"n_{m}") > 0).alias(f"kinds_{m}"), *(F.count_if(F.col(f"n_{m}") == i).cast("double").alias(f"{m}{i}") for i in range(1, 5)))])
@@ -135,7 +136,9 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
         for m in MODELS:
             y = F.try_divide(f"{m}1", F.col(f"{m}1") + 2 * F.col(f"{m}2"))
             cuts += [F.greatest(F.lit(0.05), F.least(F.lit(i - 0.05), F.coalesce(i - (i + 1) * y * F.try_divide(f"{m}{i + 1}", f"{m}{i}"), F.lit(0.5 * i)))).alias(f"d_{m}{i}") for i in (1, 2, 3)]
-        c = c.join(of.select("lang", *[f"kinds_{m}" for m in MODELS], *cuts), "lang")
+        of = C.stored(of.select("lang", *[f"kinds_{m}" for m in MODELS], *cuts))  # a row for each language
+        done.append(of)
+        c = c.join(C.sized(of), "lang")
         c = c.withColumns({f"d_{m}": F.when(F.col(f"n_{m}") == 0, 0.0).when(F.col(f"n_{m}") == 1, F.col(f"d_{m}1")).when(F.col(f"n_{m}") == 2, F.col(f"d_{m}2")).otherwise(F.col(f"d_{m}3")) for m in MODELS})
         ctx = c.groupBy("lang", "ctx").agg(*[x for m in MODELS for x in (F.sum(f"n_{m}").alias(f"total_{m}"), F.try_divide(F.sum(f"d_{m}"), F.sum(f"n_{m}")).alias(f"g_{m}"), F.max(f"kinds_{m}").alias(f"kinds_{m}"))])
         own = {m: (F.col(f"n_{m}") - F.col(f"d_{m}")) / F.col(f"total_{m}") for m in MODELS}
@@ -149,7 +152,7 @@ def kneser_ney(counts: DataFrame) -> list[DataFrame]:
         p = c.select("lang", "gram", *[F.when(F.col(f"n_{m}") > 0, own[m] + F.col(f"g_{m}") * below[m]).alias(f"p_{m}") for m in MODELS], *[F.lit(None).cast("double").alias(f"g_{m}") for m in MODELS])
         unknown = [(F.col(f"g_{m}") / (F.col(f"kinds_{m}") + 1) if k == 1 else F.lit(None).cast("double")).alias(f"p_{m}") for m in MODELS]
         out.append(C.stored(p.unionByName(ctx.select("lang", F.col("ctx").alias("gram"), *unknown, *[f"g_{m}" for m in MODELS]))))
-    C.discard(*[by_order[k] for k in range(1, ORDER)])
+    C.discard(*done)
     return out
 
 
