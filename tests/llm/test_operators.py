@@ -319,6 +319,20 @@ def test_quality_against_brute_force(spark, tmp_path):
         assert sorted(str(x["doc_id"]) for x in left.collect()) == sorted(str(i) for i, _, _, ok in want if ok)
 
 
+def test_pii_long_words_are_whole(spark):
+    # a longer run doesn't count as its last fifty letters, so the word stands in one text only
+    rows = [(1, f"write {'q' * 50} to jo@x.org now"), (2, "q" * 114 + " alone")] + [(10 + i, " ".join(words(random.Random(i), 30))) for i in range(60)]
+    got = {x["doc_id"]: x for x in pii.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "term:6:56" in got[1]["spans"] and got[2]["spans"] == ""
+
+
+def test_repeats_of_one_id_with_several_texts(spark):
+    texts = [hashlib.sha512(str(i).encode()).hexdigest() * 2 for i in range(40)]
+    rows = [(1, t) for t in texts] + [(2, texts[3] + "x"), (None, texts[4]), (None, None)]
+    got = collections.Counter((x["doc_id"], x["n_bytes"], x["n_removed"] > 0) for x in repeats.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got[(2, 257, True)] == 1 and got[(None, 256, True)] == 1 and got[(None, 0, False)] == 1 and sum(v for k, v in got.items() if k[0] == 1) == 40
+
+
 def test_quality_degenerate(spark):
     df = spark.createDataFrame([(i, "same same", "en") for i in range(8)] + [(9, "other", None), (10, None, None)], "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
@@ -487,6 +501,86 @@ def test_language_id_suffix(spark):
     assert x["language"] == "de" and x["posterior"] > 0.65
 
 
+def test_language_id_against_brute_force(spark):
+    """Text likelihoods, declared, suffix and host evidence, each row's own share taken out, by dictionaries."""
+    r = random.Random(21)
+    vocabulary = {"en": "the and with that from".split(), "de": "der und nicht einer schon".split(), "fr": "les une avec dans pour".split()}
+    langs = sorted(vocabulary)
+
+    def text(lang, n):
+        return " ".join(r.choice(vocabulary[lang]) for _ in range(n))
+
+    docs = [(i, text(x, r.randint(3, 30)), x if i % 4 else None, r.choice(["a", "b", None])) for i, x in enumerate(langs * 12)] + [(90, None, "de", "a"), (91, "", None, None)]
+    hosts = ["http://one.example.test/p", "https://two.example.test", "http://other.fr/x", "nowhere", None]
+    pages = [(i, r.choice(hosts), f'<html lang="{r.choice(langs)}"><p>{text(x, r.randint(1, 12))}</p>' if i % 3 else f"<p>{text(x, 2)}</p>") for i, x in enumerate(langs * 10)]
+    grams = collections.defaultdict(collections.Counter)
+
+    def codes(t):
+        t = t.lower()
+        cls = [int(language_id._TABLE[ord(c)]) for c in t]
+        x = [0] * (language_id.ORDER - 1) + cls
+        return [tuple(x[i : i + language_id.ORDER]) for i in range(len(cls))]
+
+    for _, t, x, _ in docs:
+        if x and t:
+            grams[x].update(codes(t))
+    cells = language_id.CLASSES**language_id.ORDER * language_id.ALPHA
+
+    def softmax(v):
+        e = [math.exp(a - max(v)) for a in v]
+        return [a / sum(e) for a in e]
+
+    rows = []
+    for i, t, x, source in docs:
+        rows.append({"id": ("doc", i), "text": t or "", "declared": x, "host": source, "domain": None, "suffix": None})
+    for i, url, page in pages:
+        host = re.match(r"[a-z]+://([^/]+)", url or "")
+        host = host and host[1]
+        lang = re.match(r'<html lang="(..)', page)
+        rows.append({"id": ("page", i), "text": re.sub("<[^>]*>", " ", page), "declared": lang and lang[1], "host": host, "domain": host and ".".join(host.split(".")[-2:]), "suffix": host and host.split(".")[-1]})
+    for x in rows:
+        found = codes(x["text"])
+        part = [sum(math.log((grams[k][g] + language_id.ALPHA) / (grams[k].total() + cells)) for g in found) * (min(1, language_id.TEXT_GRAMS / len(found)) if found else 0) for k in langs]
+        x["evidence"] = [a - max(part) for a in part]
+        x["p"] = softmax(part)
+    total = [sum(x["p"][k] for x in rows) for k in range(3)]
+    floor = language_id.FLOOR
+    base = [(a + floor) / (sum(total) + 3 * floor) for a in total]
+
+    def count(key, value, but=None):
+        return [max(0, sum(x["p"][k] for x in rows if x[key] == value) - (but["p"][k] if but else 0)) for k in range(3)]
+
+    def likelihood(c):
+        return [math.log((c[k] + floor * base[k]) / ((sum(c) + floor) * base[k])) for k in range(3)]
+
+    want = {}
+    for x in rows:
+        prior = base
+        for key in ("domain", "host"):
+            if x[key] is not None:
+                c = count(key, x[key], x)
+                prior = [(c[k] + language_id.SMOOTHING * prior[k]) / (sum(c) + language_id.SMOOTHING) for k in range(3)]
+        said = likelihood(count("declared", x["declared"]))
+        tail = likelihood(count("suffix", x["suffix"], x)) if x["suffix"] is not None else [0] * 3
+        post = softmax([x["evidence"][k] + math.log(prior[k]) + said[k] + tail[k] for k in range(3)])
+        want[x["id"]] = (langs[post.index(max(post))], max(post))
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").repartition(3)
+    got = language_id.languages(d, spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        lang, p = want[("doc", x["doc_id"]) if x["doc_id"] is not None else ("page", x["page_id"])]
+        assert x["posterior"] == pytest.approx(p, abs=2e-3) and (x["language"] == lang or p < 0.52)
+
+
+def test_language_id_odd_input(spark):
+    docs, pages = "doc_id long, text string, lang string, source string, p string, evidence int", "page_id long, url string, html string, host string"
+    d = spark.createDataFrame([(1, "the and", "en", None, "x", 1), (1, "the and", "en", None, "x", 1), (None, None, None, None, None, None), (2, "a" * 300_000, "en", "s", "x", 1)], docs)
+    p = spark.createDataFrame([(None, None, None, None), (1, "http://h.x/", "", "h")], pages)
+    got = language_id.languages(d, p)
+    assert got.count() == 6 and {x["language"] for x in got.collect()} == {"en"}
+    assert language_id.languages(d.where("false"), p).where("language is null").count() == 2 and language_id.languages(d, p.where("false")).count() == 4
+
+
 def test_language_id_many_languages(spark):
     r = random.Random(3)
     names = [f"x{chr(97 + i)}" for i in range(18)]
