@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -115,3 +116,20 @@ def braces_escaped(text: Column) -> Column:
 
 def prefixed_id(prefix: str, number: Column) -> Column:
     return F.concat(F.lit(prefix), number.cast("string"))
+
+
+def jaro_winkler(a: Column, b: Column) -> Column:
+    """Jaro-Winkler similarity, in Arrow batches (Spark has no function for it); null where either is null."""
+    @F.pandas_udf("double")
+    def sim(x: pd.Series, y: pd.Series) -> pd.Series:
+        from ..operators.graphs import jaro_winkler as one
+
+        return pd.Series([None if i is None or j is None else one(i, j) for i, j in zip(x, y, strict=True)], dtype="float64")
+
+    return sim(a, b)
+
+
+def phrase_similarity(a: Column, b: Column, share: float = 0.7) -> Column:
+    """Jaro-Winkler of two phrases with a share, Jaccard of their words with the rest."""
+    both = F.size(F.array_intersect(F.split(a, " "), F.split(b, " "))) / F.size(F.array_union(F.split(a, " "), F.split(b, " ")))
+    return share * jaro_winkler(a, b) + (1 - share) * both

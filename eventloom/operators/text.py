@@ -163,3 +163,73 @@ def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
     rows = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
     share = (F.col("place") - 1) / F.col("__n")
     return rows.withColumns({"linear": 1 - share, "place_weight": F.when((share <= 0.3) | (share >= 0.7), 1.2).otherwise(1.0)}).drop("__n")
+
+
+# English words that carry no topic.
+STOP_WORDS = (
+    "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does doing down "
+    "during each few for from further had has have having he her here hers him his how i if in into is it its just me more most my no nor not now of off "
+    "on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under "
+    "until up very was we were what when where which while who whom why will with would you your"
+).split()
+
+
+def stop_word_phrases(text: Column, stop: Sequence[str] = STOP_WORDS, longest: int = 3) -> Column:
+    """Keywords between stop words and punctuation: lower-cased runs of 1 to longest words, longer runs cut, once each in
+    order. Our own contract, where a package decides elsewhere."""
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}'\s]+", " | ")
+    words = F.filter(F.split(spaced, r"\s+"), lambda x: F.length(x) > 0)
+    kept = F.transform(words, lambda x: F.when(x.isin("|", *stop), F.lit("|")).otherwise(x))
+    runs = F.filter(F.transform(F.split(F.array_join(kept, " "), r"\|"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
+
+    def cut(run):
+        w = F.split(run, " ")
+        return F.transform(F.sequence(F.lit(1), F.size(w), F.lit(longest)), lambda i: F.array_join(F.slice(w, i, longest), " "))
+
+    return F.array_distinct(F.flatten(F.transform(runs, cut)))
+
+
+def word_positions(docs: DataFrame, key: str, words: Column) -> DataFrame:
+    """key, word (lower case), form (as it stands first), times, places (from 0, ascending)."""
+    rows = docs.select(key, F.posexplode(words).alias("p", "form")).withColumn("word", F.lower("form"))
+    return rows.groupBy(key, "word").agg(F.min_by("form", "p").alias("form"), F.count("*").alias("times"), F.array_sort(F.collect_list("p")).alias("places"))
+
+
+def first_category(phrase: Column, categories: Column) -> Column:
+    """The first of categories (array of name and phrases) that lists the phrase; null where none does."""
+    return F.try_element_at(F.transform(F.filter(categories, lambda c: F.array_contains(c["phrases"], phrase)), lambda c: c["name"]), F.lit(1))
+
+
+# Tokens of a morphological analyser, where one is given as a provider: array<struct<surface, base, pos, detail>>.
+
+# Parts of speech and details as the analyser names them.
+NOUN, VERB, ADJECTIVE, SYMBOL = "名詞", "動詞", "形容詞", "記号"
+LESSER_NOUNS, DEPENDENT = ["接続詞的", "数", "非自立", "代名詞"], "非自立"
+
+
+def useful_tokens(tagged: Column, verbs: bool = True, symbols: bool = False) -> Column:
+    """Base forms of nouns that stand alone, adjectives and, if asked for, verbs and symbols; two characters at least."""
+
+    def good(t):
+        ok = (t["pos"] == NOUN) & ~F.coalesce(t["detail"], F.lit("")).isin(*LESSER_NOUNS)
+        free = F.coalesce(t["detail"], F.lit("")) != DEPENDENT
+        ok = ok | (t["pos"] == ADJECTIVE) & free
+        ok = ok | (t["pos"] == VERB) & free if verbs else ok
+        return ok | (t["pos"] == SYMBOL) if symbols else ok
+
+    words = F.transform(F.filter(tagged, good), lambda t: F.coalesce(F.nullif(t["base"], F.lit("")), t["surface"]))
+    return F.filter(words, lambda x: F.length(x) > 1)
+
+
+def noun_phrases(tagged: Column) -> Column:
+    """Phrases of adjectives and nouns in a row: at each noun all of the row so far, two characters at least, once each."""
+    zero = F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc, t):
+        noun = t["pos"].startswith(NOUN) & ~t["pos"].contains("代名詞") & ~t["pos"].contains(DEPENDENT)
+        part = noun | t["pos"].startswith(ADJECTIVE)
+        now = F.when(part, F.concat(acc["now"], t["surface"])).otherwise(F.lit(""))
+        add = noun & (F.length(now) >= 2) & ~F.array_contains(acc["out"], now)
+        return F.struct(now.alias("now"), F.when(add, F.concat(acc["out"], F.array(now))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(tagged, zero, step, lambda acc: acc["out"])

@@ -103,7 +103,9 @@ def similarity_to(tag: Column, text: Column, embed: Callable[[Column], Column])
 
 def interest(events: DataFrame, key: str, words: str, tag: Column, embed: Callable[[Column], Column], mode: str = "concat", pool: str = "max") -> DataFrame:
     """key, sim of events(key, words: array): of the words as one text (concat; blank: 0), or pooled over the words
-    (per_keyword; none: 0)."""
+    (per_keyword; none: 0). legacy: as concat, but blank texts are embedded as well."""
+    if mode == "legacy":
+        return events.select(key, F.greatest(F.lit(0.0), cosine(embed(tag), embed(F.array_join(words, " ")))).alias("sim"))
     if mode == "concat":
         text = joined_keywords(F.col(words))
         return events.select(key, similarity_to(tag, text, embed).alias("sim"))

@@ -440,3 +440,33 @@ def profile_keywords(spark, d):
     rows = read(spark, d, "conversations").where(~F.contains("text", F.lit("、")) & F.col("text").rlike("^[!-~ ]*$"))
     words = providers.profile_keywords(F.array("text"), F.lit(None).cast("array<string>"))
     return rows.select("conv_id", "turn", F.array_join(F.array_sort(words), "|").alias("words"))
+
+
+@query("SELECT count(*) AS total FROM documents WHERE contains(lower(text), 'license')")
+def result_count(spark, d):
+    return read(spark, d, "documents").where(S.has(F.col("text"), "license")).agg(F.count("*").alias("total"))
+
+
+@query("""SELECT event_id, round(coalesce(nullif((props::JSON->>'k')::DOUBLE / 100, 0), 0.5), 6) AS score, round(greatest(0.1, least(coalesce(nullif((props::JSON->>'k')::DOUBLE / 100, 0), 0.5), 1.0)), 6) AS confidence FROM events""")
+def reply_scores(spark, d):
+    """Replies as a model words them, with the numbers of events."""
+    score = F.from_json("props", "k int")["k"] / 100.0
+    reply = F.concat(F.lit('Sure: ```json {"keywords": [{"keyword": "w", "score": '), score.cast("string"), F.lit("}]} ```"))
+    item = providers.confident(providers.parsed(reply, "keywords"), "keyword")[0]
+    return read(spark, d, "events").select("event_id", r6(item["score"]).alias("score"), r6(item["confidence"]).alias("confidence"))
+
+
+@query("""SELECT o_orderkey, user_id, '{"type":"text","text":"Event ' || o_orderkey || ': ' || strftime(o_orderdate, '%Y-%m-%d') || '"}' AS payload FROM orders JOIN events ON event_id = o_orderkey JOIN customer ON c_custkey = user_id
+  WHERE o_orderdate >= TIMESTAMP '1995-06-08' AND o_orderdate < TIMESTAMP '1995-06-09' AND c_name IS NOT NULL""")
+def reminder_payloads(spark, d):
+    due = catalog.on_day(read(spark, d, "orders"), "o_orderdate", "1995-06-01")
+    rows = due.join(read(spark, d, "events"), F.col("o_orderkey") == F.col("event_id")).join(read(spark, d, "customer").where("c_name is not null"), F.col("user_id") == F.col("c_custkey"))
+    message = F.concat(F.lit("Event "), F.col("o_orderkey").cast("string"), F.lit(": "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return rows.select("o_orderkey", "user_id", payloads.text_message(message).alias("payload"))
+
+
+@query("SELECT o_orderkey AS id, len(string_split(o_orderpriority || ' ' || o_orderstatus, ' '))::INT AS n_words, 'タイトル: ' || o_orderpriority || chr(10) || '詳細URL: u' || chr(10) || '概要: ' || o_orderstatus AS page, strftime(o_orderdate, '%Y-%m-%d') AS day, 64 AS dims FROM orders ")
+def vector_store(spark, d):
+    rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("u").alias("url"), F.col("o_orderstatus").alias("description"), F.lit("v").alias("venue"), F.lit("").alias("address"), F.col("o_orderdate").alias("day"))
+    words = F.size(F.split(F.concat_ws(" ", "metadata.title", F.regexp_extract("page", "概要: (.*)$", 1)), " "))
+    return recommend.vector_store(rows).select("id", words.alias("n_words"), "page", F.col("metadata.eventDate").alias("day"), F.size("vec").alias("dims"))

@@ -342,3 +342,36 @@ def word_runs(spark, d):
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(trim(text), '\s+'), lambda x: length(x) > 0)) >= 3 AS valid FROM documents WHERE text IS NOT NULL")
 def valid_documents(spark, d):
     return read(spark, d, "documents").where("text is not null").select("doc_id", S.is_document(F.col("text")).alias("valid"))
+
+
+@query(f"""WITH t AS (SELECT doc_id, unnest({TOKENS_SQL}) AS w, generate_subscripts({TOKENS_SQL}, 1) - 1 AS p FROM documents) SELECT doc_id, lower(w) AS word, arg_min(w, p) AS form, count(*) AS times, string_agg(p::VARCHAR, ',' ORDER BY p) AS places FROM t GROUP BY 1, 2""")
+def word_positions(spark, d):
+    rows = text.word_positions(docs(spark, d), "doc_id", text.tokens(F.col("text"), None))
+    return rows.select("doc_id", "word", "form", "times", F.array_join(F.transform("places", lambda p: p.cast("string")), ",").alias("places"))
+
+
+@query(f"""SELECT doc_id, w AS word, CASE WHEN w IN ('the', 'and') THEN 'en' WHEN w IN ('der', 'und', 'the') THEN 'de' END AS category FROM (SELECT DISTINCT doc_id, unnest({TOKENS_SQL}) AS w FROM documents) WHERE w IN ('the', 'and', 'der', 'und', 'que')""")
+def first_categories(spark, d):
+    lists = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*map(F.lit, w)).alias("phrases")) for n, w in (("en", ["the", "and"]), ("de", ["der", "und", "the"]))])
+    rows = read(spark, d, "documents").select("doc_id", F.explode(text.tokens(F.col("text"), None)).alias("word")).where(F.col("word").isin("the", "and", "der", "und", "que")).distinct()
+    return rows.select("doc_id", "word", text.first_category(F.col("word"), lists).alias("category"))
+
+
+@query()
+def stop_word_keywords(spark, d):
+    found = text.stop_word_phrases(F.coalesce("text", F.lit("")))
+    return read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(found).alias("n"), F.array_join(found, "|").alias("keywords"))
+
+
+@query()
+def name_similarity(spark, d):
+    """No SQL form: half transpositions count as they are here, while DuckDB's function rounds them down."""
+    p = read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    both = p.alias("a").join(p.alias("b"), ["p_brand", "p_type"]).where("a.p_partkey < b.p_partkey")
+    rows = both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), S.jaro_winkler(F.col("a.p_name"), F.col("b.p_name")).alias("sim"))
+    return rows.where("sim > 0.75").withColumn("sim", r6(F.col("sim")))
+
+
+@query("SELECT p_partkey, round(0.7::DOUBLE * 1.0 + 0.3::DOUBLE * 1.0, 6) AS sim FROM part")
+def phrase_similarity(spark, d):
+    return read(spark, d, "part").select("p_partkey", r6(S.phrase_similarity(F.col("p_name"), F.col("p_name"))).alias("sim"))

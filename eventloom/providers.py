@@ -59,3 +59,46 @@ def listed_queries(reply: Column) -> Column:
 def relevance(score: Column, round_first: bool = False) -> Column:
     """Relevance of 0 to 100 from a keyword score, where no model judges."""
     return F.least(F.lit(100), F.floor(score * 10 + 0.5) if round_first else score * 10)
+
+
+# Replies of a language model, where one is given.
+
+REPLY = {
+    "phrases": "refined_keyphrases array<struct<phrase:string,score:double,reason:string>>", "sentences": "key_sentences array<struct<sentence:string,type:string,score:double,reason:string>>",
+    "keywords": "keywords array<struct<keyword:string,category:string,score:double,reason:string>>", "events": "recommendedEvents array<struct<eventId:string,title:string,relevanceScore:double>>",
+}
+
+
+def parsed(reply: Column, kind: str) -> Column:
+    """The items of a reply: of the JSON between its first and last brace; null where there is none. kind: a key of REPLY."""
+    name = REPLY[kind].split()[0]
+    return F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), REPLY[kind])[name]
+
+
+def confident(items: Column, text: str) -> Column:
+    """Structs (text, score, confidence) of items: a missing or zero score is 0.5; confidence is the score within 0.1 and 1."""
+
+    def one(x):
+        score = F.coalesce(F.nullif(x["score"], F.lit(0.0)), F.lit(0.5))
+        return F.struct(F.trim(x[text]).alias("text"), score.alias("score"), F.greatest(F.lit(0.1), F.least(score, F.lit(1.0))).alias("confidence"))
+
+    return F.transform(F.filter(items, lambda x: F.length(F.trim(F.coalesce(x[text], F.lit("")))) > 0), one)
+
+
+def chosen(reply: Column) -> Column:
+    """Ids and reasons of a final choice: the JSON list in a reply; null where there is none."""
+    return F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\[.*\]", 0), F.lit("")), "array<struct<id:string,reason:string>>")
+
+
+def cached(texts, cache, text: str, compute):
+    """(rows with reply, the new cache): replies of texts from cache(key, reply), computed once for each text that it lacks.
+    The key is a hash of the whole text."""
+    keyed = texts.withColumn("key", F.sha2(F.coalesce(text, F.lit("")), 256))
+    new = compute(keyed.select("key", text).dropDuplicates(["key"]).join(cache.select("key"), "key", "left_anti")).select("key", "reply")
+    every = cache.select("key", "reply").unionByName(new)
+    return keyed.join(every, "key", "left").drop("key"), every
+
+
+def no_answer(context: Column) -> Column:
+    """Answers are a model's: without one asking for them is an error."""
+    return F.raise_error(F.lit("answers need a language model provider")).cast("string")

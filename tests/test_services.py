@@ -292,3 +292,38 @@ def test_recommendations(spark):
     assert spark.range(1).select(recommend.message_tag(F.lit("m"), F.array(F.lit("a"), F.lit("")))).first()[0] == "m・a"
     got = recommend.by_profile(users, events.select("id", "page"), ["page"])
     assert got.count() == 0  # three events: all have score 1, relevance 10
+
+
+def test_tagged_tokens(spark):
+    from eventloom.operators import text
+
+    tags = [("新しい", "新しい", "形容詞", "自立"), ("技術", "技術", "名詞", "一般"), ("書", "書", "名詞", "接尾"), ("を", "を", "助詞", ""), ("読み", "読む", "動詞", "自立"), ("それ", "それ", "名詞", "代名詞"), ("!!", "", "記号", "一般"), ("技術", "技術", "名詞", "一般")]
+    df = spark.createDataFrame([(tags,), ([],)], "t array<struct<surface:string,base:string,pos:string,detail:string>>")
+    row = df.select(text.useful_tokens(F.col("t")), text.useful_tokens(F.col("t"), verbs=False), text.useful_tokens(F.col("t"), symbols=True), text.noun_phrases(F.col("t"))).first()
+    assert [list(x) for x in row] == [["新しい", "技術", "読む", "技術"], ["新しい", "技術", "技術"], ["新しい", "技術", "読む", "!!", "技術"], ["新しい技術", "新しい技術書", "それ", "技術"]]
+
+
+def test_stop_word_phrases(spark):
+    from eventloom.operators import text
+
+    row = spark.range(1).select(text.stop_word_phrases(F.lit("The quick brown fox, and a lazy dog of the very old farm house yard gate")), text.stop_word_phrases(F.lit(""))).first()
+    assert list(row[0]) == ["quick brown fox", "lazy dog", "old farm house", "yard gate"] and list(row[1]) == []
+
+
+def test_replies_and_cache(spark):
+    reply = F.lit('text {"refined_keyphrases": [{"phrase": " a ", "score": 0}, {"phrase": ""}, {"phrase": "b", "score": 7}]} more')
+    row = spark.range(1).select(providers.confident(providers.parsed(reply, "phrases"), "phrase"), providers.parsed(F.lit("no json"), "phrases"), providers.chosen(F.lit('x [{"id": "1", "reason": "r"}]'))).first()
+    assert [tuple(x) for x in row[0]] == [("a", 0.5, 0.5), ("b", 7.0, 1.0)] and row[1] is None and row[2][0]["id"] == "1"
+    texts = spark.createDataFrame([(1, "x"), (2, "y"), (3, "x"), (4, None)], "id int, t string")
+    cache = spark.createDataFrame([], "key string, reply string")
+    asked = []
+
+    def compute(rows):
+        asked.append(rows.count())
+        return rows.withColumn("reply", F.concat(F.lit("r"), F.coalesce("t", F.lit(""))))
+
+    rows, cache = providers.cached(texts, cache, "t", compute)
+    rows, cache = providers.cached(texts, cache, "t", compute)
+    assert asked == [3, 0] and {x["id"]: x["reply"] for x in rows.collect()} == {1: "rx", 2: "ry", 3: "rx", 4: "r"}
+    with pytest.raises(Exception, match="provider"):
+        spark.range(1).select(providers.no_answer(F.lit("c"))).collect()
