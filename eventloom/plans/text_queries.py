@@ -44,12 +44,18 @@ def sentence_jaccard(spark, d):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_pairs"), r6(F.sum("sim")).alias("total"))
 
 
-@query(f"""WITH RECURSIVE {sentence_rows(SENTENCE_A)}, {JACCARD_EDGES}, nodes AS (SELECT doc_id, i AS node FROM sd), {page_rank_sql(50)},
+def textrank_sql(share: str = "0.4", source: str = "documents") -> str:
+    """CTEs up to picked (doc_id, i, t, s), the sentences chosen, and listed (doc_id, l, few, s): those in order, and all."""
+    return f"""{sentence_rows(SENTENCE_A).replace("FROM documents", f"FROM {source}")}, {JACCARD_EDGES}, nodes AS (SELECT doc_id, i AS node FROM sd), {page_rank_sql(50)},
   kept AS (SELECT doc_id, count(*) AS n FROM nodes GROUP BY 1),
   best AS (SELECT s.doc_id, node, s, row_number() OVER (PARTITION BY s.doc_id ORDER BY round(s, 9) DESC, node) AS r, n FROM scores s JOIN kept USING (doc_id)),
-  few AS (SELECT sw.doc_id, i, t, row_number() OVER (PARTITION BY sw.doc_id ORDER BY i) AS r FROM sw LEFT JOIN kept USING (doc_id) WHERE coalesce(n, 0) < 2 AND (n_s < 2 OR len(w) > 0))
-  SELECT b.doc_id, node::INT AS ord, t AS sentence, round(s, 6) AS score FROM best b JOIN sw ON sw.doc_id = b.doc_id AND sw.i = b.node WHERE n >= 2 AND r <= least(10, ceil(0.4::DOUBLE * n))
-  UNION ALL SELECT doc_id, i::INT, t, 1.0 FROM few WHERE r <= 5""")
+  fw AS (SELECT sw.doc_id, i, t, row_number() OVER (PARTITION BY sw.doc_id ORDER BY i) AS r FROM sw LEFT JOIN kept USING (doc_id) WHERE coalesce(n, 0) < 2 AND (n_s < 2 OR len(w) > 0)),
+  picked AS (SELECT b.doc_id, node AS i, t, s FROM best b JOIN sw ON sw.doc_id = b.doc_id AND sw.i = b.node WHERE n >= 2 AND r <= least(10, ceil({share}::DOUBLE * n)) UNION ALL SELECT doc_id, i, t, 1.0 FROM fw WHERE r <= 5),
+  pl AS (SELECT doc_id, list(t ORDER BY i) AS l FROM picked GROUP BY 1),
+  listed AS (SELECT sl.doc_id, coalesce(l, []::VARCHAR[]) AS l, coalesce(n, 0) < 2 AS few, coalesce(s, []::VARCHAR[]) AS s FROM sl LEFT JOIN pl USING (doc_id) LEFT JOIN kept USING (doc_id))"""
+
+
+@query(f"WITH RECURSIVE {textrank_sql()} SELECT doc_id, i::INT AS ord, t AS sentence, round(s, 6) AS score FROM picked")
 def textrank_sentences(spark, d):
     rows = extractors.rank_sentences(docs(spark, d), "doc_id", "text").select("doc_id", F.explode("found").alias("x"))
     return rows.select("doc_id", F.col("x.ord").alias("ord"), F.col("x.text").alias("sentence"), r6(F.col("x.score")).alias("score"))
@@ -75,11 +81,13 @@ def textrank_keywords(spark, d):
 ALL_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(text, '[[:punct:]。、！？「」『』（）]', ' ', 'g'), '\s+'), lambda x: length(x) > 0)"
 
 
-@query(f"""WITH RECURSIVE tk AS (SELECT doc_id, unnest({ALL_WORDS}) AS w, generate_subscripts({ALL_WORDS}, 1) AS p FROM documents), tl AS (SELECT doc_id, p, w AS form, lower(w) AS w FROM tk WHERE length(w) >= 2),
+WORD_RANKS = f"""tk AS (SELECT doc_id, unnest({ALL_WORDS}) AS w, generate_subscripts({ALL_WORDS}, 1) AS p FROM documents), tl AS (SELECT doc_id, p, w AS form, lower(w) AS w FROM tk WHERE length(w) >= 2),
   v AS (SELECT doc_id, count(DISTINCT w) AS v FROM tl GROUP BY 1), nodes AS (SELECT doc_id, w AS node, min(p) AS p, arg_min(form, p) AS form, count(*) AS n FROM tl JOIN v USING (doc_id) WHERE v >= 2 GROUP BY 1, 2),
   edges AS (SELECT a.doc_id, a.w AS src, b.w AS dst, count(*)::DOUBLE AS w FROM tl a JOIN tl b ON a.doc_id = b.doc_id AND a.p <> b.p AND b.p BETWEEN a.p - 5 AND a.p + 5 AND a.w <> b.w GROUP BY 1, 2, 3),
-  {page_rank_sql(50)}, best AS (SELECT doc_id, form, s * ln(n + 1) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY round(s * ln(n + 1), 9) DESC, p) AS r FROM scores JOIN nodes USING (doc_id, node))
-  SELECT doc_id, r::INT AS rank, form AS word, round(s, 6) AS score FROM best WHERE r <= 50""")
+  {page_rank_sql(50)}, best AS (SELECT doc_id, form, s * ln(n + 1) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY round(s * ln(n + 1), 9) DESC, p) AS r FROM scores JOIN nodes USING (doc_id, node))"""
+
+
+@query(f"WITH RECURSIVE {WORD_RANKS} SELECT doc_id, r::INT AS rank, form AS word, round(s, 6) AS score FROM best WHERE r <= 50")
 def word_textrank(spark, d):
     return extractors.rows_of(extractors.word_ranks(docs(spark, d), "doc_id", "text"), "doc_id", "word").withColumn("score", r6(F.col("score")))
 
@@ -235,28 +243,50 @@ def _joined(found, name):
     return found.select("doc_id", F.size(name).alias("n"), F.array_join(name, "|").alias(name))
 
 
-@query()
+def clean_sql(x: str) -> str:
+    return rf"list_filter(list_transform({x}, lambda y: trim(regexp_replace(regexp_replace(regexp_replace(y, '<[^>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '\s+', ' ', 'g'))), lambda y: length(y) > 0)"
+
+
+KEY_PHRASES = f"""WITH RECURSIVE {textrank_sql()}, it AS (SELECT doc_id, l FROM listed WHERE NOT few), {refined_sql("it", class_sql(classify.PHRASE_RULES, "other", "t"), classify.PHRASE_WEIGHTS, 0.5, "0.1", 6, 30)},
+  rn AS (SELECT * FROM rw WHERE NOT (category = 'other' AND weighted < 0.25)), {DEDUP.format("dl", "rn", "0.75")}, bl AS (SELECT doc_id, list(x.t ORDER BY x.weighted DESC, o) AS b FROM dd GROUP BY 1),
+  fs AS (SELECT doc_id, CASE WHEN few THEN l ELSE coalesce(b, []::VARCHAR[]) END AS a, CASE WHEN few THEN s ELSE l END AS c FROM listed LEFT JOIN bl USING (doc_id)),
+  pd AS (SELECT doc_id, list_concat(a, list_filter(c, lambda x, i: list_position(c, x) = i AND NOT list_contains(a, x))[1:greatest(0, 3 - len(a))]) AS v FROM fs) SELECT doc_id, {clean_sql("v")} AS v FROM pd"""
+KEY_SENTENCES = f"""WITH RECURSIVE {textrank_sql("0.5")}, it AS (SELECT doc_id, l FROM listed WHERE NOT few), {refined_sql("it", class_sql(classify.SENTENCE_RULES, "contextual", "t"), classify.SENTENCE_WEIGHTS, 1.0, "0.15", 20, 120)},
+  {DEDUP.format("dl", "rw", "0.8")}, wo AS (SELECT doc_id, x, o FROM dd WHERE NOT ({" OR ".join(f"contains(lower(x.t), '{w}')" for w in extractors.STRONG_NOISE)}) AND NOT (x.category = 'actionable' AND x.weighted < 0.7)),
+  bl AS (SELECT doc_id, list(x.t ORDER BY x.weighted DESC, o) AS b FROM wo GROUP BY 1), fs AS (SELECT doc_id, CASE WHEN few THEN l ELSE coalesce(b, []::VARCHAR[]) END AS v FROM listed LEFT JOIN bl USING (doc_id)) SELECT doc_id, {clean_sql("v")} AS v FROM fs"""
+KEY_WORDS = f"""WITH RECURSIVE {WORD_RANKS}, it AS (SELECT doc_id, list(form ORDER BY r) AS l FROM best WHERE r <= 50 GROUP BY 1), {refined_sql("it", class_sql(classify.KEYWORD_RULES, "other", "t"), classify.KEYWORD_WEIGHTS, 1.0, "0.1", 2, 15)},
+  o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY weighted DESC, i) AS r FROM rw), g AS (SELECT doc_id, list(t ORDER BY r) AS v FROM o WHERE r <= 10 GROUP BY 1) SELECT doc_id, coalesce(v, []::VARCHAR[]) AS v FROM documents LEFT JOIN g USING (doc_id)"""
+
+
+def joined_sql(found: str, name: str) -> str:
+    return f"SELECT doc_id, len(v)::INT AS n, coalesce(array_to_string(v, '|'), '') AS {name} FROM ({found})"
+
+
+@query(joined_sql(KEY_PHRASES, "phrases"))
 def key_phrases(spark, d):
     return _joined(extractors.key_phrases(docs(spark, d), "doc_id", "text"), "phrases")
 
 
-@query()
+@query(joined_sql(KEY_SENTENCES, "sentences"))
 def key_sentences(spark, d):
     return _joined(extractors.key_sentences(docs(spark, d), "doc_id", "text"), "sentences")
 
 
-@query()
+@query(joined_sql(KEY_WORDS, "keywords"))
 def key_words(spark, d):
     return _joined(extractors.key_words(docs(spark, d), "doc_id", "text"), "keywords")
 
 
-@query()
+@query(f"SELECT a.doc_id, coalesce(array_to_string(a.v, '|'), '') AS keywords, coalesce(array_to_string(b.v, '|'), '') AS phrases, coalesce(array_to_string(c.v, '|'), '') AS sentences FROM ({KEY_WORDS}) a JOIN ({KEY_PHRASES}) b ON b.doc_id = a.doc_id JOIN ({KEY_SENTENCES}) c ON c.doc_id = a.doc_id")
 def event_key_data(spark, d):
     found = extractors.event_key_data(docs(spark, d), "doc_id", "text")
     return found.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("keywords", "phrases", "sentences")])
 
 
-@query()
+@query(f"""WITH RECURSIVE sm AS (SELECT doc_id, text AS whole, CASE WHEN length(text) > 350 THEN left(text, 350) ELSE text END AS text FROM documents), {textrank_sql(source="sm")},
+  tt AS (SELECT doc_id, list_transform(list_concat({", ".join(f"regexp_extract_all(coalesce(whole, ''), '(?i)(?:{p})')" for p in classify.TECH_TERMS)}), lambda x: lower(x)) AS q FROM sm), tm AS (SELECT doc_id, list_filter(q, lambda x, i: list_position(q, x) = i) AS q FROM tt),
+  fd AS (SELECT doc_id, q, 0 AS k, l AS v FROM listed JOIN tm USING (doc_id) UNION ALL SELECT doc_id, q, k + 1, CASE WHEN len(v) < 6 AND len(list_filter(v, lambda x: contains(lower(x), q[k + 1]))) = 0 THEN list_append(v, q[k + 1] || 'を活用') ELSE v END FROM fd WHERE k < len(q))
+  SELECT doc_id, len(v)::INT AS n, coalesce(array_to_string(v, '|'), '') AS phrases FROM fd WHERE k = len(q)""")
 def summary_phrases(spark, d):
     return _joined(extractors.summary_phrases(docs(spark, d), "doc_id", "text"), "phrases")
 
@@ -293,9 +323,14 @@ def frequent_words(spark, d):
     return extractors.frequent_words(docs(spark, d), "doc_id", "text").select("doc_id", F.array_join("words", ",").alias("words"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE gl AS (SELECT doc_id, {SENTENCE_A} AS l FROM documents), gx AS (SELECT doc_id, len(l) AS n, unnest(l) AS t, generate_subscripts(l, 1) - 1 AS node FROM gl), nodes AS (SELECT doc_id, node FROM gx WHERE n >= 2),
+  gd AS (SELECT doc_id, node, list_distinct(regexp_split_to_array(t, '\s+')) AS w FROM gx WHERE n >= 2), gu AS (SELECT doc_id, node, len(w) AS n, unnest(w) AS x FROM gd),
+  edges AS (SELECT a.doc_id, a.node AS src, b.node AS dst, count(*)::DOUBLE / (a.n + b.n - count(*)) AS w FROM gu a JOIN gu b ON a.doc_id = b.doc_id AND a.x = b.x AND a.node <> b.node GROUP BY a.doc_id, a.node, b.node, a.n, b.n), {page_rank_sql(30)},
+  nm AS (SELECT doc_id, node, CASE WHEN max(s) OVER w > min(s) OVER w THEN (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w) ELSE 0.5 END AS s FROM scores WINDOW w AS (PARTITION BY doc_id)),
+  rk AS (SELECT doc_id, node, s, row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, node) AS r FROM nm)
+  SELECT rk.doc_id, r::INT AS rank, t AS phrase, round(s, 6) AS score FROM rk JOIN gx ON gx.doc_id = rk.doc_id AND gx.node = rk.node WHERE r <= 15 UNION ALL SELECT doc_id, 1, t, 1.0 FROM gx WHERE n = 1""")
 def graph_phrases(spark, d):
-    lists = read(spark, d, "documents").select("doc_id", F.coalesce(F.slice(text.sentences(F.col("text"), "a"), 1, 30), F.array().cast("array<string>")).alias("p")).repartition("doc_id")
+    lists = docs(spark, d).select("doc_id", F.coalesce(text.sentences(F.col("text"), "a"), F.array().cast("array<string>")).alias("p"))
     return extractors.rows_of(extractors.graph_phrases(lists, "doc_id", "p"), "doc_id", "phrase").withColumn("score", r6(F.col("score")))
 
 
@@ -316,7 +351,7 @@ def hybrid_merge(spark, d):
     return found.select("doc_id", F.posexplode("found").alias("p", "x"), "confidence").select("doc_id", (F.col("p") + 1).alias("rank"), F.col("x.text").alias("text"), F.col("x.source").alias("source"), r6(F.col("x.score")).alias("score"), r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
+@query(f"WITH RECURSIVE {textrank_sql()} SELECT doc_id, len(l)::INT AS n, coalesce(array_to_string(l, '|'), '') AS phrases FROM listed")
 def staged_phrases(spark, d):
     return _joined(extractors.staged(docs(spark, d), "doc_id", "text"), "phrases")
 
