@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 #: White space as the catalogue's clients see it: ASCII, the ideographic space, the no-break space, the byte-order mark.
@@ -133,3 +133,10 @@ def phrase_similarity(a: Column, b: Column, share: float = 0.7) -> Column:
     """Jaro-Winkler of two phrases with a share, Jaccard of their words with the rest."""
     both = F.size(F.array_intersect(F.split(a, " "), F.split(b, " "))) / F.size(F.array_union(F.split(a, " "), F.split(b, " ")))
     return share * jaro_winkler(a, b) + (1 - share) * both
+
+
+def scaled(value: Column, *partition: str) -> Column:
+    """A value between its group's least and greatest as 0 to 1; 0.5 where all are the same."""
+    w = Window.partitionBy(*partition)
+    low, high = F.min(value).over(w), F.max(value).over(w)
+    return F.when(high == low, 0.5).otherwise((value - low) / (high - low))

@@ -202,3 +202,42 @@ def ranked_or_few(rows: DataFrame, score: Column, matched: Column, key: str, mos
     if len(rows.limit(most + 1).take(most + 1)) <= most:
         return rows.select("*", F.lit(1).alias("score"), F.array().cast("array<string>").alias("matched"))
     return rows.select("*", score.alias("score"), matched.alias("matched")).orderBy(F.desc("score"), key).limit(most)
+
+
+def having_value(rows: DataFrame, column: str, among: dict[str, Sequence] | None = None) -> DataFrame:
+    """Rows whose column isn't null and whose other columns, where asked for, are in a list."""
+    rows = rows.where(F.col(column).isNotNull())
+    for name, values in (among or {}).items():
+        rows = rows.where(F.col(name).isin(list(values)))
+    return rows
+
+
+def dimension(rows: DataFrame, name: str) -> DataFrame:
+    """A dimension list: names in order, numbered. It is a list that a person picks from, so one task orders it."""
+    return rows.select(name).distinct().orderBy(name).withColumn("ord", F.row_number().over(Window.orderBy(name)))
+
+
+def listed(rows: DataFrame, key: str, column: str, name: str, separator: str = ", ") -> DataFrame:
+    """key, name: a group's different non-blank values in order, as one text."""
+    items = F.filter(F.array_sort(F.collect_set(column)), lambda x: F.length(F.trim(x)) > 0)
+    return rows.groupBy(key).agg(F.array_join(items, separator).alias(name))
+
+
+def alive(spark) -> DataFrame:
+    """One row where queries are answered."""
+    return spark.range(1).select(F.lit(1).alias("ok"))
+
+
+def histogram(rows: DataFrame, label: Column, labels: Sequence[str] = ()) -> DataFrame:
+    """category, n; of labels that are listed, those without rows too."""
+    counts = rows.groupBy(label.alias("category")).agg(F.count("*").alias("n"))
+    if not labels:
+        return counts
+    all_ = rows.sparkSession.createDataFrame([(x, 0) for x in labels], "category string, n long")
+    return counts.unionByName(all_).groupBy("category").agg(F.sum("n").alias("n"))
+
+
+def success(rows: DataFrame, key: str, ok: Column) -> DataFrame:
+    """key, total, found, success_rate (percent, two digits)."""
+    found = F.count_if(ok)
+    return rows.groupBy(key).agg(F.count("*").alias("total"), found.alias("found"), F.round(100.0 * found / F.count("*"), 2).alias("success_rate"))

@@ -122,3 +122,8 @@ def api_event(zone: str = "Asia/Tokyo", organisation: str | None = None, overrid
         F.col("url").alias("detailUrl"), F.lit(organisation).cast("string").alias("organizationId"), event_format(F.coalesce("place", F.lit(""))).alias("format"),
         F.lit("FOR_EVERYONE").alias("difficulty"), F.lit(0).alias("price"), event_type(F.col("title"), F.col("tags")).alias("eventType"),
     ]
+
+
+def level(points: Column) -> Column:
+    """The level that old rows get: beginners have points to their credit."""
+    return F.when(points > 0, "BEGINNER").otherwise("ADVANCED")

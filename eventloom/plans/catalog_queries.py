@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import providers
 from ..functions import semantics as S
 from ..operators import catalog, normalise, text, upsert, vectors
 
@@ -148,17 +149,17 @@ def latest_five(spark, d):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_name IS NOT NULL AND c_nationkey IN (3, 5, 7)")
 def users_with_line_id(spark, d):
-    return read(spark, d, "customer").where(F.col("c_name").isNotNull() & F.col("c_nationkey").isin(3, 5, 7)).select("c_custkey", "c_name")
+    return catalog.having_value(read(spark, d, "customer"), "c_name", {"c_nationkey": [3, 5, 7]}).select("c_custkey", "c_name")
 
 
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name)::INT AS ord FROM nation")
 def dimension_by_name(spark, d):
-    return read(spark, d, "nation").select("n_name", F.row_number().over(Window.orderBy("n_name")).alias("ord"))
+    return catalog.dimension(read(spark, d, "nation"), "n_name")
 
 
 @query("SELECT 1 AS ok")
 def liveness(spark, d):
-    return spark.sql("select 1 as ok")
+    return catalog.alive(spark)
 
 
 @query("""SELECT o_orderkey, concat('Event ', o_orderkey, ' (', o_orderstatus, ')') AS title, strftime(o_orderdate, '%Y-%m-%d') AS day,
@@ -207,7 +208,7 @@ def replace_children(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN 'BEGINNER' ELSE 'ADVANCED' END AS level FROM customer")
 def level_backfill(spark, d):
-    return read(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") > 0, "BEGINNER").otherwise("ADVANCED").alias("level"))
+    return read(spark, d, "customer").select("c_custkey", normalise.level(F.col("c_acctbal")).alias("level"))
 
 
 @query("""SELECT o_orderkey, concat('{"title":"Event ', o_orderkey, '","price":', floor(o_totalprice)::BIGINT, ',"action":"bookmark&eventId=', o_orderkey, '"}') AS payload FROM orders""")
@@ -222,8 +223,7 @@ def payload_json(spark, d):
 
 @query("""SELECT event_type, count(*) AS total, count(*) FILTER (value > 10) AS found, round(100.0 * count(*) FILTER (value > 10) / count(*), 2)::DOUBLE AS success_rate FROM events GROUP BY 1""")
 def run_summary(spark, d):
-    ok = F.count_if(F.col("value") > 10)
-    return read(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("total"), ok.alias("found"), F.round(100.0 * ok / F.count("*"), 2).alias("success_rate"))
+    return catalog.success(read(spark, d, "events"), "event_type", F.col("value") > 10)
 
 
 CATEGORIES = [("technology", ["license", "source"]), ("location", ["north", "south"]), ("other_language", ["quedo", "schein", "elle"])]
@@ -231,23 +231,23 @@ CATEGORIES = [("technology", ["license", "source"]), ("location", ["north", "sou
 
 @query("""SELECT category, count(*) AS n FROM (SELECT CASE WHEN contains(lower(text), 'license') OR contains(lower(text), 'source') THEN 'technology'
   WHEN contains(lower(text), 'north') OR contains(lower(text), 'south') THEN 'location'
-  WHEN contains(lower(text), 'quedo') OR contains(lower(text), 'schein') OR contains(lower(text), 'elle') THEN 'other_language' ELSE 'other' END AS category FROM documents) GROUP BY 1""")
+  WHEN contains(lower(text), 'quedo') OR contains(lower(text), 'schein') OR contains(lower(text), 'elle') THEN 'other_language' ELSE 'other' END AS category FROM documents) GROUP BY 1 UNION ALL SELECT 'none', 0""")
 def category_histogram(spark, d):
-    return read(spark, d, "documents").groupBy(S.first_match(F.col("text"), CATEGORIES, "other").alias("category")).agg(F.count("*").alias("n"))
+    label = S.first_match(F.col("text"), CATEGORIES, "other")
+    return catalog.histogram(read(spark, d, "documents"), label, ["technology", "other", "none"])
 
 
 @query("SELECT o_custkey, string_agg(DISTINCT o_orderpriority, ', ' ORDER BY o_orderpriority) AS labels, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1")
 def string_aggregate(spark, d):
-    return read(spark, d, "orders").groupBy("o_custkey").agg(F.array_join(F.array_sort(F.collect_set("o_orderpriority")), ", ").alias("labels"), F.count_distinct("o_orderstatus").alias("kinds"))
+    rows = read(spark, d, "orders")
+    return catalog.listed(rows, "o_custkey", "o_orderpriority", "labels").join(rows.groupBy("o_custkey").agg(F.count_distinct("o_orderstatus").alias("kinds")), "o_custkey")
 
 
 @query("""SELECT vec_id, label, round(CASE WHEN h = l THEN 0.5 ELSE (v - l) / (h - l) END, 6) AS norm FROM (SELECT vec_id, label, v, min(v) OVER (PARTITION BY label) AS l, max(v) OVER (PARTITION BY label) AS h
   FROM (SELECT vec_id, label, embedding[1]::DOUBLE AS v FROM embeddings))""")
 def minmax_norm(spark, d):
-    w = Window.partitionBy("label")
-    v, low, high = F.col("v"), F.min("v").over(w), F.max("v").over(w)
     rows = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("v"))
-    return rows.select("vec_id", "label", r6(F.when(high == low, 0.5).otherwise((v - low) / (high - low))).alias("norm"))
+    return rows.select("vec_id", "label", r6(S.scaled(F.col("v"), "label")).alias("norm"))
 
 
 # vectors and fusion
@@ -359,9 +359,9 @@ def keyword_match_rank(spark, d):
     return rows.orderBy(F.desc("score"), "doc_id").limit(20)
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: length(x) > 1)[1:5], ',') AS keywords FROM conversations WHERE role = 'user'")
+@query(r"""WITH w AS (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 1)[1:5] AS w FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE WHEN len(w) > 0 THEN array_to_string(w, ',') ELSE coalesce(text, '') END AS keywords FROM w""")
 def keyword_fallback(spark, d):
-    words = F.slice(F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 1), 1, 5)
+    words = providers.question_keywords(F.col("text"))
     return read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(words, ",").alias("keywords"))
 
 
@@ -370,7 +370,7 @@ def keyword_fallback(spark, d):
 def select_fallback(spark, d):
     score = F.size(text.matched_keywords(F.coalesce("text", F.lit("")), WORDS))
     rows = read(spark, d, "documents").select("doc_id", score.alias("s")).orderBy(F.desc("s"), "doc_id").limit(5)
-    return rows.select("doc_id", F.least(F.lit(100), F.col("s") * 10).alias("relevance"))
+    return rows.select("doc_id", providers.relevance(F.col("s")).alias("relevance"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS r FROM conversations), w AS (SELECT *, greatest(0.1::DOUBLE, 1 - 0.1::DOUBLE * (r - 1)) AS s,
@@ -419,24 +419,40 @@ def normalise_event(spark, d):
     return read(spark, d, "documents").select("doc_id", normalise.event_type(F.col("text")).alias("event_type"), normalise.event_format(F.col("text")).alias("format"))
 
 
-PLACES = ["東京都渋谷区", "京都府京都市", "北海道札幌市", "大阪府 online", "Zoom", "somewhere"]
+def prefecture_case(x: str, online_first: bool) -> str:
+    named = "".join(f" WHEN contains(lower({x}), '{p}') THEN '{p}'" for p in normalise.PREFECTURES)
+    net = " WHEN " + " OR ".join(f"contains(lower({x}), '{w}')" for w in normalise.ONLINE_WORDS) + " THEN 'online'"
+    return f"CASE{net + named if online_first else named + net} ELSE '不明' END"
 
 
-@query("""SELECT * FROM (VALUES ('東京都渋谷区', '東京', '東京', '東京', '東京'), ('京都府京都市', '京都', '京都', '', '京都'), ('北海道札幌市', '北海道', '北海道', '北海', '北海道'),
-  ('大阪府 online', '大阪', 'online', '大阪', '大阪'), ('Zoom', 'online', 'online', 'Zoom', 'Zoom'), ('somewhere', '不明', '不明', 'somewhere', 'somewhere')) t(place, named_first, online_first, stem, stem_corrected)
-  WHERE place <> '京都府京都市' UNION ALL SELECT '京都府京都市', '京都', '京都', '京', '京都'""")
+NAMES_SQL = "[" + ", ".join(f"'{p}'" for p in normalise.PREFECTURES) + "]"
+STEM_SQL = "split_part(split_part(split_part(split_part(place, '都', 1), '道', 1), '府', 1), '県', 1)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, ({NAMES_SQL})[p_partkey % 47 + 1] || (['都', '府', '県', '', '道 Zoom', ' online'])[p_partkey % 6 + 1] || (['', '渋谷区', 'x'])[p_partkey % 3 + 1] AS place FROM part)
+  SELECT p_partkey, place, {prefecture_case("place", False)} AS named_first, {prefecture_case("place", True)} AS online_first, {STEM_SQL} AS stem, CASE WHEN starts_with(place, '京都') THEN '京都' WHEN starts_with(place, '北海道') THEN '北海道' ELSE {STEM_SQL} END AS stem_corrected FROM p""")
 def prefecture_lookup(spark, d):
+    def pick(values):
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod("p_partkey", F.lit(len(values))) + 1).cast("int"))
+
+    place = F.concat(pick(normalise.PREFECTURES), pick(["都", "府", "県", "", "道 Zoom", " online"]), pick(["", "渋谷区", "x"]))
     p = F.col("place")
-    return spark.createDataFrame([(x,) for x in PLACES], "place string").select("place", normalise.location(p).alias("named_first"), normalise.location(p, online_first=True).alias("online_first"), normalise.prefecture_stem(p).alias("stem"), normalise.prefecture_stem(p, corrected=True).alias("stem_corrected"))
+    return read(spark, d, "part").select("p_partkey", place.alias("place")).select("p_partkey", "place", normalise.location(p).alias("named_first"), normalise.location(p, online_first=True).alias("online_first"), normalise.prefecture_stem(p).alias("stem"), normalise.prefecture_stem(p, corrected=True).alias("stem_corrected"))
 
 
-@query("""SELECT * FROM (VALUES ('2025/03/04(火)19:00～21:30', TIMESTAMP '2025-03-04 19:00:00', TIMESTAMP '2025-03-04 21:30:00', NULL::VARCHAR, 0, 0), ('2025/03/04(火)19:00', TIMESTAMP '2025-03-04 19:00:00', TIMESTAMP '2025-03-04 19:00:00', NULL, 0, 0),
-  ('受付, 4月5日(土)', NULL, NULL, '2025-04-05', 0, 0), ('12人 ／ 定員30人', NULL, NULL, NULL, 12, 30), ('none', NULL, NULL, NULL, 0, 0)) t(raw, starts, ends, day, current, most)""")
+@query("""WITH r AS (SELECT o_orderkey, o_orderdate::DATE AS day, o_orderkey % 4 AS kind, o_custkey % 90 AS n FROM orders) SELECT o_orderkey, CASE WHEN kind < 2 THEN day + INTERVAL 19 HOUR END AS starts, CASE kind WHEN 0 THEN day + INTERVAL 1290 MINUTE WHEN 1 THEN day + INTERVAL 19 HOUR END AS ends,
+  CASE WHEN kind = 2 THEN '2025-' || strftime(day, '%m-%d') END AS day, CASE WHEN kind = 3 THEN n ELSE 0 END::INT AS current, CASE WHEN kind = 3 THEN n + 5 ELSE 0 END::INT AS most FROM r WHERE NOT (kind = 2 AND strftime(day, '%m-%d') = '02-29')""")
 def date_and_capacity_parse(spark, d):
-    rows = spark.createDataFrame([(x,) for x in ("2025/03/04(火)19:00～21:30", "2025/03/04(火)19:00", "受付, 4月5日(土)", "12人 ／ 定員30人", "none")], "raw string")
+    """Scraped texts as pages word them, with the dates and numbers of orders."""
+    day, n = F.col("o_orderdate"), (F.col("o_custkey") % 90)
+    kind = F.col("o_orderkey") % 4
+    slashed = F.date_format(day, "yyyy/MM/dd")
+    raw = F.when(kind == 0, F.concat(slashed, F.lit("(火)19:00～21:30"))).when(kind == 1, F.concat(slashed, F.lit("(火)19:00")))
+    raw = raw.when(kind == 2, F.concat(F.lit("受付, "), F.date_format(day, "M月d日"), F.lit("(土)"))).otherwise(F.concat(n.cast("string"), F.lit("人 ／ 定員"), (n + 5).cast("string"), F.lit("人")))
+    rows = read(spark, d, "orders").where((kind != 2) | (F.date_format(day, "MM-dd") != "02-29")).select("o_orderkey", raw.alias("raw"))
     low, high = normalise.time_range(F.col("raw"))
     now, most = normalise.capacity(F.col("raw"))
-    return rows.select("raw", low.cast("timestamp_ntz").alias("starts"), high.cast("timestamp_ntz").alias("ends"), normalise.month_day(F.col("raw"), 2025).cast("string").alias("day"), now.alias("current"), most.alias("most"))
+    return rows.select("o_orderkey", low.cast("timestamp_ntz").alias("starts"), high.cast("timestamp_ntz").alias("ends"), normalise.month_day(F.col("raw"), 2025).cast("string").alias("day"), now.alias("current"), most.alias("most"))
 
 
 @query("SELECT event_id, (props::JSON->>'k')::INT AS k FROM events")

@@ -327,3 +327,15 @@ def test_replies_and_cache(spark):
     assert asked == [3, 0] and {x["id"]: x["reply"] for x in rows.collect()} == {1: "rx", 2: "ry", 3: "rx", 4: "r"}
     with pytest.raises(Exception, match="provider"):
         spark.range(1).select(providers.no_answer(F.lit("c"))).collect()
+
+
+def test_defaults_and_sentinels(spark):
+    from eventloom.operators import normalise, vectors
+
+    df = spark.createDataFrame([(1, "A"), (2, "B")], "id int, kind string")
+    assert catalog.by_type(df, "kind", None).count() == catalog.by_type(df, "kind", "すべて").count() == 2 and catalog.by_type(df, "kind", "x", {"x": "B"}).first()["id"] == 2
+    lists = spark.createDataFrame([(1, 0.5, 1), (1, 0.4, 2)], "id int, sim double, rank int")
+    assert vectors.fused(lists, "id", method="what").first()["score"] == pytest.approx(1 / 61 + 1 / 62)
+    row = spark.range(1).select(normalise.event_type(F.lit("results"), F.array(F.lit("x"))), normalise.event_type(F.lit("a"), F.array(F.lit("Contest"))), normalise.event_type(F.lit("a"), F.array(F.lit("contests"))), normalise.event_format(F.lit("Meetup hall")), normalise.event_format(F.lit("ハイブリッド"))).first()
+    assert tuple(row) == ("LIGHTNING_TALK", "CONTEST", "WORKSHOP", "ONLINE", "HYBRID")
+    assert [x["w"] for x in df.limit(1).select(F.explode(normalise.tag_words(F.lit("a, b、a, ,c"))).alias("w")).collect()] == ["a", "b", "c"]
