@@ -11,6 +11,10 @@ common prefixes by increasing length (a boundary between neighbours, extended by
 longer). It stops at LEAST: neighbours without a boundary share LEAST bytes. In each such interval all but the first
 occurrence are removed.
 
+An anchor under which a bounded sample finds many different contexts (the edge of a passage that many texts have) gives way
+to the windows that hold it, each under its own hash, so that its occurrences don't meet in one task; equal windows have
+the same anchor, so it gives way in all of them. The sample decides that only, never a result.
+
 Nulls: a null text is empty; a null doc_id comes after all others and stays null. Repeated rows (same id and text): the
 first keeps its bytes, the others are repeats of it. Rows of one id with different texts go by a 32-bit hash of the text. Texts
 shorter than LEAST bytes are kept. Empty tables give no rows. Other columns are ignored.
@@ -31,6 +35,9 @@ LEAST, GRAM = 100, 32
 #: Anchors that a task combines at a time, and bytes of contexts in one transform (a group of contexts is not cut).
 COMBINE, TRANSFORM_BYTES = 1 << 20, 1 << 18
 LAST = (1 << 63) - 1
+#: Documents, at most about, in the sample that finds anchors of many contexts, how many (and what share of the sample) are
+#: many, and how many such anchors are used at most.
+SAMPLE_DOCS, HOT_CONTEXTS, HOT_SHARE, HOT_KEYS = 4000, 8, 500, 1 << 16
 #: Bits of a place within a text; above them stand 32 bits of the text's hash, which tell texts of one id apart.
 _AT = 31
 
@@ -54,11 +61,12 @@ def _sliding(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[:n], x[width - have : width - have + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
+def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int, hot: np.ndarray | None = None):
     """Of texts laid end to end: hash, context hash, halves, text, place in it, context bytes before and after of each anchor.
 
     halves: 32 bits each of the hashes of the anchor with half of what a window has besides, before and after it; 0 where the
-    text ends within. Texts that share a window around the anchor share a half at least."""
+    text ends within. Texts that share a window around the anchor share a half at least. hot: hashes, ascending, of anchors
+    that the windows they stand in replace."""
     none = [np.zeros(0, C.U64)] * 3 + [np.zeros(0, np.int64)] * 4
     n, width = len(data), least - gram + 1
     if n < least:
@@ -87,7 +95,35 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int, gram: int):
     left, right = np.maximum(chosen - half, 0), np.minimum(chosen + gram + half, n)
     left = np.where(before >= half, C.mix((sums[chosen + gram] - sums[left]) * inverse[left]) >> C.U64(32), C.U64(0))
     right = np.where(after >= gram + half, C.mix((sums[right] - sums[chosen]) * inverse[chosen]) >> C.U64(32), C.U64(0))
-    return h[chosen], context, left << C.U64(32) | right, text, chosen - offsets[text], before, after
+    out = [h[chosen], context, left << C.U64(32) | right, text, chosen - offsets[text], before, after]
+    if hot is not None and len(hot):
+        many = hot[np.minimum(np.searchsorted(hot, out[0]), len(hot) - 1)] == out[0]
+        if many.any():
+            low, high = np.maximum(offsets[text], chosen - width + 1)[many], np.minimum(chosen, offsets[text + 1] - least)[many]
+            n = high - low + 1
+            starts = np.unique(np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum())))
+            window = C.mix((sums[starts + least] - sums[starts]) * inverse[starts] + C.U64(0xD6E8FEB86659FD93))
+            owner = np.searchsorted(offsets, starts, "right") - 1
+            more = [window, window, np.zeros(len(starts), C.U64), owner, starts - offsets[owner], np.zeros(len(starts), np.int64), np.full(len(starts), least)]
+            out = [np.concatenate([x[~many], y]) for x, y in zip(out, more, strict=True)]
+    return out
+
+
+def _hot(docs: DataFrame, least: int, gram: int) -> np.ndarray:
+    """Anchors of many contexts in a bounded sample, ascending."""
+    total = docs.count()
+    sample = docs.select("text").sample(False, min(1.0, SAMPLE_DOCS / max(total, 1)), 11)
+
+    def run(batches):
+        for b in batches:
+            for _, data, offsets in C.text_blocks(b.column(0)):
+                h, context, *_ = anchors(data, offsets, least, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64))], ["h", "context"])
+
+    many = max(HOT_CONTEXTS, min(total, SAMPLE_DOCS) // HOT_SHARE)
+    pairs = sample.mapInArrow(C.tidy(run), "h long, context long").distinct().groupBy("h").count().where(F.col("count") >= many)
+    rows = pairs.orderBy(F.desc("count"), "h").limit(HOT_KEYS).select("h").collect()
+    return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(C.U64))
 
 
 def _firsts(h, context, doc, place):
@@ -129,7 +165,7 @@ def _span_rows(doc, place, length) -> pa.Table:
     return _rows(1, C.mix(doc.view(C.U64) ^ (place.view(C.U64) << C.U64(7))), np.zeros(len(doc)), np.zeros(len(doc)), doc, place, length)
 
 
-def _collect(least: int, gram: int):
+def _collect(least: int, gram: int, hot: np.ndarray):
     """kind 0: anchors, once for each context in a task's share; kind 1: spans that repeat within the share."""
 
     def flush(parts):
@@ -146,7 +182,7 @@ def _collect(least: int, gram: int):
         for b in batches:
             doc, tie = b.column(0).to_numpy(), b.column(1).to_numpy()
             for i, data, offsets in C.text_blocks(b.column(2)):
-                h, context, halves, text, place, before, after = anchors(data, offsets, least, gram)
+                h, context, halves, text, place, before, after = anchors(data, offsets, least, gram, hot)
                 parts.append((h, context, halves, doc[i + text], (tie[i + text] << _AT) + place, before * 4096 + after))
                 count += len(h)
                 if count >= COMBINE:
@@ -254,6 +290,7 @@ def shared_prefixes(codes: np.ndarray, separators: int, least: int) -> tuple[np.
 
 def _transform(least: int):
     """kind 2 rows with their contexts' bytes, by anchor: the spans that repeat an earlier occurrence."""
+    together = TRANSFORM_BYTES
 
     def one(t: pa.Table) -> pa.Table:
         raw = t["bytes"].to_pylist()
@@ -289,7 +326,7 @@ def _transform(least: int):
         sizes = np.concatenate([[0], np.cumsum(t["clip"].to_numpy() % 4096 + t["clip"].to_numpy() // 4096)])
         a = 0
         for s, e in zip(starts, np.append(starts[1:], len(h)), strict=True):
-            if sizes[e] - sizes[a] >= TRANSFORM_BYTES or e == len(h):
+            if sizes[e] - sizes[a] >= together or e == len(h):
                 yield from C.batches_of(one(t.slice(a, e - a)))
                 a = e
 
@@ -342,7 +379,7 @@ def repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     docs = docs.withColumns({"doc": F.coalesce("doc_id", F.lit(LAST)), "tie": F.pmod(F.xxhash64("text"), F.lit(1 << 32))})
-    found = docs.select("doc", "tie", "text").mapInArrow(C.tidy(_collect(least, gram)), ROW)
+    found = docs.select("doc", "tie", "text").mapInArrow(C.tidy(_collect(least, gram, _hot(docs, least, gram))), ROW)
     settled = C.stored(found.repartition("h").mapInArrow(C.tidy(_settle), ROW))
     listed = settled.where("kind = 2").groupBy("doc", F.shiftright("place", _AT).alias("tie")).agg(F.collect_list(F.struct("h", "place", "clip")).alias("wanted"))
     open_ = docs.select("doc", "tie", "text").join(listed, ["doc", "tie"]).select("doc", "text", "wanted")
