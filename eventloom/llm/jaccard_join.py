@@ -192,13 +192,13 @@ class Points:
             ok[x] = (self.num + self.den) * bound >= self.num * (self.n[a[x]] + self.n[b[x]])
 
 
-def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
+def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray, leaf: int = LEAF):
     """Pairs (asking, member), different, that the bound allows, all of an asking point at once; found level by level in an
     R-tree packed over members."""
     order = members[np.lexsort((p.vec[members, 0], p.n[members] // 4))]
     levels = []
     low, high, top = p.n[order], p.n[order], p.counts(order)
-    fan = LEAF
+    fan = leaf
     while True:
         cuts = np.arange(0, len(low), fan)
         low, high, top = np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(top, cuts, axis=0)
@@ -229,6 +229,7 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray):
 
 def _stars(num: int, den: int):
     """(a, b): each member of a tree with the smallest digest of its component in the graph of pairs that the bound allows."""
+    leaf = LEAF
 
     def run(batches):
         t = C.whole(batches)
@@ -251,7 +252,7 @@ def _stars(num: int, den: int):
         rows = np.arange(len(key))
         attached = fits(local[lead_at], local)
         label = united(rows.copy(), rows[attached], lead_at[attached])
-        for s in range(3, LEAF + 1):
+        for s in range(3, leaf + 1):
             for some in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // 1_000_000 + 1):
                 i, j = np.triu_indices(s, 1)
                 a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
@@ -259,7 +260,7 @@ def _stars(num: int, den: int):
                 a, b = a[ok], b[ok]
                 ok = fits(local[a], local[b])
                 label = united(label, a[ok], b[ok])
-        for g in np.flatnonzero(sizes > LEAF):
+        for g in np.flatnonzero(sizes > leaf):
             own = slice(starts[g], starts[g] + sizes[g])
             members = local[own]
             ask = members[~attached[own]]
@@ -269,7 +270,7 @@ def _stars(num: int, den: int):
             inner = np.unique(label[own], return_inverse=True)[1]
             first = np.unique(inner, return_index=True)[1]
             inner = first[inner]
-            for a, b in rtree_pairs(p, members, ask):
+            for a, b in rtree_pairs(p, members, ask, leaf):
                 inner = united(inner, by[np.searchsorted(members[by], a)], by[np.searchsorted(members[by], b)])
             label[own] = starts[g] + inner
         least = np.full(len(key), np.iinfo(np.int64).max)
@@ -282,14 +283,14 @@ def _stars(num: int, den: int):
     return run
 
 
-def links(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, num: int, den: int):
+def links(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, num: int, den: int, bits: int = FINE_BITS):
     """Links (x, y) between members of different components, enough to join all that qualifying pairs with an asking member
     join. A member is bounded against the others of other components, and what passes is verified, the closest first."""
     if len(sets) < 2 or (roots == roots[0]).all():
         return
     comp = np.unique(roots, return_inverse=True)[1]
     n = np.array([len(s) for s in sets])
-    counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - FINE_BITS)).astype(np.int64), minlength=1 << FINE_BITS), 65535) for s in sets]).astype(np.uint16)
+    counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535) for s in sets]).astype(np.uint16)
     order = np.argsort(n, kind="stable")
     sorted_n, done = n[order], np.zeros(len(n), bool)
     for x in np.roll(order, -(len(order) // 2))[asks[np.roll(order, -(len(order) // 2))]].tolist():  # from a member of middle size
@@ -315,12 +316,13 @@ def links(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, num: int,
 
 def _verify(k: int, num: int, den: int):
     """Rows (family, shard, digest, root, ask, text), sorted by the first three: links found within each (family, shard)."""
+    bits = FINE_BITS
 
     def run(batches):
         now, sets, digests, roots, asks = None, [], [], [], []
 
         def solved():
-            found = [(digests[x], digests[y]) for x, y in links(sets, np.array(roots), np.array(asks), num, den)]
+            found = [(digests[x], digests[y]) for x, y in links(sets, np.array(roots), np.array(asks), num, den, bits)]
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:

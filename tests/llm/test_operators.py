@@ -98,7 +98,10 @@ def test_jaccard_join_empty(docs):
     assert jaccard_join.jaccard_join(docs.where("false")).count() == 0
 
 
-def test_repeats(docs, rows):
+@pytest.mark.parametrize(("contexts", "transform"), [(8, 1 << 18), (1, 1 << 18), (2, 64)])
+def test_repeats(docs, rows, monkeypatch, contexts, transform):
+    monkeypatch.setattr(repeats, "HOT_CONTEXTS", contexts)  # down to all anchors giving way to their windows
+    monkeypatch.setattr(repeats, "TRANSFORM_BYTES", transform)
     least, seen, want = 40, set(), {}
     for d, t, *_ in rows:
         b = (t or "").encode()
