@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -359,9 +359,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def thresholds(rows: DataFrame, q: float = QUANTILE) -> dict[str, float]:
-    """model_lang -> threshold, of trusted rows(model_lang, perplexity): a row for each language."""
-    own = rows.where("perplexity is not null").groupBy("model_lang").agg(F.percentile_approx("perplexity", q, 10000).alias("x")).collect()
-    found = {r[0]: r[1] for r in own}
+    """model_lang -> threshold, of trusted rows(model_lang, perplexity): a row for each language. The quantile itself (the
+    smallest value that a share q of values doesn't exceed): counts by fine steps find its step, whose values are ranked."""
+    rows = rows.where("perplexity is not null").withColumn("step", F.floor(F.log("perplexity") * 10_000))
+    steps = rows.groupBy("model_lang", "step").agg(F.count("*").alias("n"))
+    up_to = Window.partitionBy("model_lang").orderBy("step")
+    steps = steps.withColumn("upto", F.sum("n").over(up_to)).withColumn("rank", F.greatest(F.lit(1), F.ceil(q * F.sum("n").over(Window.partitionBy("model_lang")) - 1e-9)))
+    hit = steps.where("upto >= rank and upto - n < rank").select("model_lang", "step", (F.col("rank") - F.col("upto") + F.col("n")).alias("place"))
+    order = Window.partitionBy("model_lang", "step").orderBy("perplexity")
+    near = rows.join(hit, ["model_lang", "step"]).withColumn("r", F.row_number().over(order)).where("r = place")
+    found = {r["model_lang"]: r["perplexity"] for r in near.select("model_lang", "perplexity").collect()}
     if "" not in found and found:
         found[""] = max(found.values())
     return found
