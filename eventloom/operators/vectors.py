@@ -112,3 +112,17 @@ def interest(events: DataFrame, key: str, words: str, tag: Column, embed: Callab
     sims = F.transform(words, lambda w: cosine(embed(tag), embed(w)))
     best = F.array_max(sims) if pool == "max" else F.aggregate(sims, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(sims), F.lit(1))
     return events.select(key, F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))).alias("sim"))
+
+
+def interest_of_tags(tags: DataFrame, events: DataFrame, key: str, words: str, embed: Callable[[Column], Column], mode: str = "concat", pool: str = "max") -> DataFrame:
+    """interest() for a set of tags at once: tag, key, sim. Every text is embedded once, before tags meet events."""
+    asked = tags.select("tag").distinct().withColumn("__t", embed(F.col("tag")))
+    if mode == "per_keyword":
+        rows = events.select(key, F.transform(words, lambda w: embed(w)).alias("__v"))
+    else:
+        text = joined_keywords(F.col(words)) if mode == "concat" else F.array_join(words, " ")
+        rows = events.select(key, F.when(text.isNotNull(), F.array(embed(text))).otherwise(F.array().cast("array<array<double>>")).alias("__v"))
+    both = against(asked, rows, "tag")
+    sims = F.transform("__v", lambda v: cosine(F.col("__t"), v))
+    best = F.array_max(sims) if pool == "max" or mode != "per_keyword" else F.aggregate(sims, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(sims), F.lit(1))
+    return both.select("tag", key, F.greatest(F.lit(0.0), F.coalesce(best, F.lit(0.0))).alias("sim"))

@@ -15,9 +15,9 @@ def by_tags(tags: DataFrame, events: DataFrame, embed: providers.Embedding | Non
     """tag, id, label, score, mean_sim for tags(tag) and events(id, keyPhrases, keySentences): every mode and method, all tags
     in one job. select: a model's final choice; without it the first ten of each tag stay."""
     embed = embed or providers.hashed_embedding()
-    both, out = vectors.against(tags.select("tag").distinct(), events, "tag"), None
+    out = None
     for mode in modes:
-        lists = [vectors.interest(both.withColumn("pair", F.struct("tag", "id")), "pair", words, F.col("tag"), embed, mode).select("pair.tag", "pair.id", "sim") for words in ("keyPhrases", "keySentences")]
+        lists = [vectors.interest_of_tags(tags, events, "id", words, embed, mode) for words in ("keyPhrases", "keySentences")]
         found = vectors.recommend(*lists, "tag", "id", threshold, n, methods, mode)
         out = found if out is None else out.unionByName(found)
     if select:

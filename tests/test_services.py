@@ -278,6 +278,19 @@ def test_webhook_stream(spark, tmp_path):
     assert sorted((x["user"], x["route"]) for x in rows.collect()) == [("u", "bookmark"), ("u", "bookmark"), ("u", "remind"), ("v", "bookmark"), ("v", "unbookmark")]
 
 
+def test_interest_of_one_tag_and_of_many(spark):
+    from eventloom.operators import vectors
+
+    events = spark.createDataFrame([(1, ["python code", "rice"]), (2, []), (3, [" "]), (4, ["go", "code"])], "id long, w array<string>")
+    tags, embed = spark.createDataFrame([("code",), ("rice",), ("",)], "tag string"), providers.hashed_embedding(16)
+    for mode, pool in (("concat", "max"), ("per_keyword", "max"), ("per_keyword", "mean"), ("legacy", "max")):
+        many = {(x["tag"], x["id"]): x["sim"] for x in vectors.interest_of_tags(tags, events, "id", "w", embed, mode, pool).collect()}
+        for t in ("code", "rice", ""):
+            one = {x["id"]: x["sim"] for x in vectors.interest(events, "id", "w", F.lit(t), embed, mode, pool).collect()}
+            assert one == {i: pytest.approx(many[t, i]) for i in one} and one[2] == 0
+    assert spark.range(1).select(vectors.similarity_to(F.lit("code"), F.lit("code"), embed), vectors.similarity_to(F.lit("code"), F.lit(" "), embed)).first()[:] == (pytest.approx(1), 0.0)
+
+
 def test_recommendations(spark):
     events = spark.createDataFrame([(1, ["python code"], ["learn python code"], "python code night", "東京"), (2, ["go"], [], "go meeting", "オンライン"), (3, [], [], "cooking with rice", "大阪")], "id long, keyPhrases array<string>, keySentences array<string>, page string, location string")
     tags = spark.createDataFrame([("python code",), ("rice",)], "tag string")
