@@ -35,9 +35,9 @@ from pyspark.sql import types as T
 from . import common as C
 
 ORDER, QUANTILE = 4, 0.97
-BLOCK_BYTES = 64 << 20
+BLOCK_BYTES = 32 << 20
 #: Different grams that a task holds for a language before it gives them away.
-HELD = 1 << 21
+HELD = 1 << 19
 #: Stands before a text's first character.
 PAD = 2
 #: All trusted text; its half 1, which scores half 0; its half 0, which scores half 1.
