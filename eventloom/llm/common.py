@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Text is worked on in blocks of about this many bytes, so memory doesn't follow the batch size.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
