@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align
+from .centroids import centroids
 from .chat_format import digests, format_conversations
 from .decontaminate import matches
 from .html_text import main_texts
@@ -17,6 +19,7 @@ from .language_id import languages
 from .neighbours import nearest
 from .packing import pack
 from .repeats import repeats
+from .simhash import near_copies
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -76,6 +79,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(_read(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(_read(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_neighbours": op2_neighbours,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_simhash": op11_simhash,
+    "op12_centroids": op12_centroids,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
