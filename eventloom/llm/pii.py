@@ -37,18 +37,83 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WORD = r"\p{L}{3,}+"
 
 
+#: Matches of a text that are folded together; arrays that grow by one are copied within these only.
+FOLD = 128
+
+
+def folded(items: Column, zero: Column, kind: str, step) -> Column:
+    """Folds an array into (at, out): step(at, item) gives the next at and an array of kind to add to out. In chunks, so the
+    time is in proportion to the items and not to their square."""
+    none, parts = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def one(acc, x):
+        at, more = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def chunk(acc, i):
+        own = F.aggregate(F.slice(items, i * FOLD + 1, FOLD), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+        # within transform, own is worked out once
+        return F.transform(F.array(own), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], F.array(x["out"])).alias("out")))[0]
+
+    chunks = F.sequence(F.lit(0), F.floor((F.greatest(F.size(items), F.lit(1)) - 1) / FOLD).cast("int"))
+    return F.aggregate(chunks, F.struct(zero.alias("at"), parts.alias("out")), chunk, lambda acc: F.struct(acc["at"].alias("at"), F.flatten(acc["out"]).alias("out")))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), with value worked out once however often use names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matches(text: Column, pattern: Column | str) -> Column:
     """array<struct<start, end, value>> of the leftmost non-overlapping matches, in code points, end exclusive."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     both = F.arrays_zip(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("h"))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["p"])
+    def step(at, x):
+        start = at + F.length(x["p"])
         end = start + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value")))).alias("out"))
+        return end, F.array(F.struct(start.alias("start"), end.alias("end"), x["h"].alias("value")))
+
+    found = F.filter(both, lambda x: x["h"].isNotNull())
+    return once(found, lambda items: folded(items, F.lit(0), "struct<start:int,end:int,value:string>", step)["out"])
+
+
+#: Code points of the pieces that a text is cut into, so that a place in it is found without counting from its start.
+PIECE = 4096
 
-    return F.aggregate(F.filter(both, lambda x: x["h"].isNotNull()), zero, step, lambda acc: acc["out"])
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def part(pieces_: Column, start: Column, length: Column) -> Column:
+    """length code points from start (from 0) on of a text in pieces()."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + length) / PIECE).cast("int")
+    return F.substring(F.array_join(F.slice(pieces_, first + 1, last - first + 1), ""), start % PIECE + 1, length)
+
+
+def outside(found: Column, base: Column) -> Column:
+    """Those of found (spans that don't overlap, in order) that overlap no span of base: one pass over both, by start. A span
+    of found waits until the next span of base, or of found, shows that none begins within it."""
+    def tagged(spans, own):
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["value"].alias("value")))
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)")
+    every = F.array_sort(F.concat(tagged(base, 0), tagged(found, 1)))
+    state = F.struct(F.lit(0).alias("covered"), none.alias("waiting"))
+
+    def step(at, x):
+        is_base = x["own"] == 0
+        hit = is_base & F.exists(at["waiting"], lambda w: x["start"] < w["end"])
+        kept = F.when(hit, none).otherwise(at["waiting"])
+        span = F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+        covered = F.when(is_base, F.greatest(at["covered"], x["end"])).otherwise(at["covered"])
+        # what waits is settled by a span of found; a span of base leaves it waiting, as the next may begin within it too
+        waiting = F.when(is_base, kept).when(x["start"] < at["covered"], none).otherwise(span)
+        return F.struct(covered.alias("covered"), waiting.alias("waiting")), F.when(is_base, none).otherwise(kept)
+
+    return once(every, lambda items: once(folded(items, state, "struct<start:int,end:int,value:string>", step), lambda done: F.concat(done["out"], done["at"]["waiting"])))
 
 
 def luhn(digits: Column) -> Column:
@@ -77,7 +142,7 @@ def base_spans(text: Column) -> dict[str, Column]:
         return F.length(F.regexp_replace(v, "[^0-9]", ""))
 
     joined = F.regexp_replace(text, r"(?<=[0-9])[\x20-](?=[0-9])", "0")
-    cards = F.transform(matches(joined, CARD), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.substring(text, x["start"] + 1, x["end"] - x["start"]).alias("value")))
+    cards = once(pieces(text), lambda ps: F.transform(matches(joined, CARD), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), part(ps, x["start"], x["end"] - x["start"]).alias("value"))))
 
     def card_ok(x):
         digits = F.regexp_replace(x["value"], "[^0-9]", "")
@@ -96,14 +161,17 @@ def contexts(docs: DataFrame) -> DataFrame:
     def kinded(k):
         return F.transform(F.col(k), lambda x: F.struct(F.lit(k).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
-    every = F.concat(*[kinded(k) for k in KINDS])
-    rows = docs.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select("text", F.xxhash64("text").alias("text_key"), F.explode(every).alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    low = F.greatest(start - CONTEXT, F.lit(0))
-    before = F.substring(F.col("text"), low + 1, start - low)
-    before = F.when(low > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    after = F.regexp_replace(F.substring(F.col("text"), end + 1, F.lit(CONTEXT)), r"\S*$", "")
-    return rows.select("text_key", F.concat_ws(":", "s.kind", F.lower("s.value")).alias("entity"), F.lower(F.concat(before, F.lit(" "), after)).alias("context"))
+    def around(ps, s):
+        low = F.greatest(s["start"] - CONTEXT, F.lit(0))
+        before = part(ps, low, s["start"] - low)
+        before = F.when(low > 0, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
+        after = F.regexp_replace(part(ps, s["end"], F.lit(CONTEXT)), r"\S*$", "")
+        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.lower(F.concat(before, F.lit(" "), after)).alias("context"))
+
+    # contexts first, then a row for each: texts aren't copied by span
+    every = once(pieces(F.col("text")), lambda ps: F.transform(F.concat(*[kinded(k) for k in KINDS]), lambda s: around(ps, s)))
+    rows = docs.where(" or ".join(f"size({k}) > 0" for k in KINDS)).select(F.xxhash64("text").alias("text_key"), F.explode(every).alias("s"))
+    return rows.select("text_key", "s.entity", "s.context")
 
 
 def disclosing(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
@@ -151,8 +219,7 @@ def with_terms(docs: DataFrame, with_spans: DataFrame) -> DataFrame:
     held = of.agg(F.sum(F.length("text_key") + F.length(F.array_join("terms", " ")) + 8 * F.size("terms"))).first()[0] or 0
     rows = with_spans.withColumn("text_key", key).join(F.broadcast(of) if held <= BROADCAST_BYTES else of, "text_key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.sort_array("terms"), "|"), F.lit(r")(?!\p{L})"))
-    base = F.concat(*KINDS)
-    free = F.filter(matches(F.col("text"), pattern), lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    free = outside(matches(F.col("text"), pattern), F.concat(*KINDS))
     return rows.withColumn("term", F.when(F.col("terms").isNotNull(), free).otherwise(none)).drop("text_key", "terms")
 
 
@@ -179,7 +246,7 @@ def spans(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame) -> DataFrame:
     """docs with every span of text generalised to [KIND]; same columns. Overlapping spans become the first one's tag."""
     names = docs.columns
-    inner = docs.select(F.struct(*names).alias("__row"), F.col("text").alias("text"))
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col("text").alias("text"))
     rows = with_terms(docs.select(F.coalesce("text", F.lit("")).alias("text")), _found(inner))
     kinds = (*KINDS, "term")
 
@@ -189,13 +256,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
     every = F.array_sort(F.concat(*[tagged(k) for k in kinds]))
     text = F.col("text")
 
-    def step(acc, x):
-        between = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        fresh = F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(between, x["tag"])).alias("out"))
-        inside = F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["start"] >= acc["at"], fresh).otherwise(inside)
+    def cleaned(ps):
+        def step(at, x):
+            between = part(ps, at, x["start"] - at)
+            return F.greatest(at, x["end"]), F.when(x["start"] >= at, F.array(between, x["tag"])).otherwise(F.expr("cast(array() as array<string>)"))
+
+        def joined_up(done):
+            return F.concat(F.array_join(done["out"], ""), part(ps, done["at"], F.length(text)))
+
+        return once(folded(F.col("__every"), F.lit(0), "string", step), joined_up)
 
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    clean = F.aggregate(F.col("__every"), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = once(pieces(text), cleaned)
     rows = rows.withColumn("__every", every).withColumn("__clean", F.when(F.size("__every") > 0, clean).otherwise(F.col("__row.text")))
-    return rows.select(*[F.col("__clean").alias(c) if c == "text" else F.when(F.col("__row.text").isNull(), F.col("__row.n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in names])
+    return rows.select(*[F.col("__clean").alias(c) if c == "text" else F.when(F.col("__row.text").isNull(), F.col("__row.n_chars")).otherwise(F.length("__clean")).cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("__row").getField(c).alias(c) for c in names])
