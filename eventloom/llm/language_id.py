@@ -34,7 +34,8 @@ FIT_DOCS, LANG_BLOCK = 500, 16
 ORDER, CLASSES = 4, 40
 TEXT_GRAMS, ALPHA, SMOOTHING, FLOOR = 60.0, 0.05, 5.0, 0.5
 
-MARKUP = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>|<[^>]*>", re.S | re.I)
+RAW = re.compile(r"<(script|style)\b", re.I)
+RAW_END = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in ("script", "style")}
 DECLARED = r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?\s*([a-z]{2,3})"
 
 
@@ -82,6 +83,35 @@ def grams(column: pa.Array):
         yield i, codes, n
 
 
+def without_markup(page: str) -> str:
+    """Comments, scripts, styles and tags as a space each. What never ends is looked for once, so time is in proportion to the
+    page."""
+    out, at, open_ended = [], 0, set()
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            break
+        end = -1
+        if page.startswith("<!--", start) and "comment" not in open_ended:
+            end = page.find("-->", start + 4) + 3
+            if end < 3:
+                end = -1
+                open_ended.add("comment")
+        elif (m := RAW.match(page, start)) and (tag := m[1].lower()) not in open_ended:
+            closing = RAW_END[tag].search(page, m.end())
+            end = closing.end() if closing else -1
+            if closing is None:
+                open_ended.add(tag)
+        if end < 0:
+            end = page.find(">", start + 1) + 1
+            if not end:
+                break
+        out += [page[at:start], " "]
+        at = end
+    out.append(page[at:])
+    return "".join(out)
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     return docs.where("lang is not null and lang <> '' and length(text) > 0")
 
@@ -133,7 +163,7 @@ def text_evidence(rows: DataFrame, table: np.ndarray, markup: bool, name: str, l
         for b in batches:
             column = b.column(b.schema.get_field_index("text"))
             if markup:
-                column = pa.array([html.unescape(MARKUP.sub(" ", x)) if x else x for x in column.to_pylist()], pa.string())
+                column = pa.array([html.unescape(without_markup(x)) if x else x for x in column.to_pylist()], pa.string())
             out = np.zeros((b.num_rows, n_langs))
             for i, codes, n in grams(pc.utf8_lower(column)):
                 some = np.flatnonzero(n)
