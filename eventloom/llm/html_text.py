@@ -9,7 +9,7 @@ contracted into the terminals first and max-flow runs on the rest.
 
 Names count by whole class tokens ("sidebar", "post-comments", but not "with-sidebar", "tag-news" or "post-header"). What
 stands round the article can't condemn it: a form, or an element that is named like boilerplate, is neutral when it holds
-most of the text of article and main elements, or, on a page without those, most of all text. Nav, footer and aside always
+most of the text of article and main elements (also within them), or, on a page without those, most of all text. Nav, footer and aside always
 count, and so do reader comments.
 
 Broken markup: an end tag that never comes doesn't take the rest of the page away (but for script and style, as in
@@ -56,6 +56,10 @@ NEGATED = frozenset("no not with without has have hide hidden show is layout pag
 TAXONOMY = frozenset("tag category type status format post author hentry".split())
 OF_ARTICLE = frozenset("post entry article content story main text".split())
 TOP = frozenset("header masthead".split())
+#: Behind a word for boilerplate these name a part of the page; other words (share-price, alert-system) name a topic.
+PARTS = frozenset(
+    "area bar block body box btn button buttons card cards carousel cell center col column container content cta footer form frame grid group head header heading holder icon icons image img inline inner item items label left link links list logo message more nav outer overlay panel panels posts articles stories news pages placeholder popup right row section sections slider slot space strip tab table tabs text this tile title toggle top tower unit units us video view window wrap wrapper zone bottom main middle leaderboard rectangle skyscraper".split()
+)
 CLOSES_P = BLOCK - {"html", "head", "body"}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 EMPTY = frozenset("svg math iframe object".split())
@@ -63,8 +67,9 @@ EMPTY = frozenset("svg math iframe object".split())
 ADJACENT, SIBLING, FAR = 1.0, 0.8, 64
 
 
-def names_kind(names: str, tag: str) -> tuple[bool, bool, bool]:
-    """(like boilerplate, like an article, like comments) of class, id and role names, token by token."""
+def names_kind(names: str, tag: str, inside: bool = False) -> tuple[bool, bool, bool]:
+    """(like boilerplate, like an article, like comments) of class, id and role names, token by token. inside: of an article,
+    where a token's last part has to name a part of a page too."""
     bad = good = remarks = False
     for token in names.lower().split():
         parts = [x for x in re.split(r"[^a-z0-9]+", re.sub(r"side-?bar", "sidebar", token)) if x]
@@ -75,6 +80,9 @@ def names_kind(names: str, tag: str) -> tuple[bool, bool, bool]:
             hits = []
         if parts[0] in OF_ARTICLE or tag in HEADINGS:  # a heading of the article, not the page's
             hits = [x for x in hits if x not in TOP]
+        last = next((x for x in reversed(parts) if not x.isdigit()), "")
+        if inside and len(parts) > 1 and last not in PARTS and not BAD.fullmatch(last):
+            hits = []
         if tag in ("article", "main"):
             hits = [x for x in hits if x.startswith(("comment", "repl"))] if parts[-1] not in ("open", "closed") else []
         bad, remarks = bad or bool(hits), remarks or any(COMMENTS.fullmatch(x) for x in hits)
@@ -93,7 +101,7 @@ class Node:
         if attributes and "=" in attributes and tag not in ("html", "body"):
             names = " ".join(a or b or c for a, b, c in NAMES.findall(attributes))
             if names:
-                self.bad, self.good, self.remarks = names_kind(names, tag)
+                self.bad, self.good, self.remarks = names_kind(names, tag, bool(parent and parent.article))
         self.article = tag in ("article", "main") and not self.bad or bool(parent and parent.article)
         #: Characters of text in it, and those of them in article and main elements; what it adds up to for its text.
         self.chars, self.core, self.bias = 0, 0, 0.0
@@ -103,7 +111,8 @@ class Node:
         if self.tag in ALWAYS or self.remarks:
             return -8.0
         if self.bad or self.tag in OUTSIDE or self.tag == "header" and not self.article:
-            around = self.core * 2 > core if core else self.chars * 2 > total
+            held = self.chars if self.article else self.core
+            around = held * 2 > core if core else self.chars * 2 > total
             return 0.0 if around and self.tag not in ("article", "main") else -8.0
         return (3.0 if self.tag in ("article", "main") else 0.0) + (1.5 if self.good else 0.0)
 
