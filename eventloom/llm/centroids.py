@@ -150,10 +150,12 @@ def centroids(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, dims: int =
         before, now = now, _moved(rows, now)
     last, step = now, Step(now, before)
 
+    fresh = rounds == 0
+
     def run(batches):
         for b in batches:
             x = _vectors(b.column(1), dims)
-            cluster = step.assign(x, *(b.column(c).to_numpy() for c in (2, 3, 4)))[0]
+            cluster = step.scan(x)[0] if fresh else step.assign(x, *(b.column(c).to_numpy() for c in (2, 3, 4)))[0]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cluster, pa.int32()), pa.array(own_squared(x, last, cluster))], ["vec_id", "cluster", "distance"])
 
     found = C.stored(rows.mapInArrow(C.tidy(run), "vec_id long, cluster int, distance long"))

@@ -107,7 +107,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_alignment": op13_alignment,
 }
 
+def _centroids_sql(rounds: int = 5) -> str:
+    """The rounds written out: c<n> are the centroids of a round, a<n> each vector's nearest."""
+    near = "SELECT n, v, arg_min(c, struct_pack(d := d, c := c)) AS c, min(d) AS d FROM (SELECT n, v, c, (list_inner_product(v, v) - 2 * list_inner_product(v, m) + list_inner_product(m, m))::BIGINT AS d FROM v, {}) GROUP BY n, v"
+    parts = [
+        "v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('2:' || vec_id) AS h, v FROM v WHERE vec_id IS NOT NULL) QUALIFY c < 40)",
+    ]
+    for r in range(rounds):
+        parts += [
+            f"a{r} AS MATERIALIZED ({near.format(f'c{r}')})",
+            f"s{r} AS (SELECT c, i, sum(x)::BIGINT AS s, count(*) AS k FROM (SELECT c, unnest(v)::BIGINT AS x, generate_subscripts(v, 1) AS i FROM a{r}) GROUP BY ALL)",
+            f"f{r} AS (SELECT c, list(((s - ((s % k) + k) % k) // k)::DOUBLE ORDER BY i) AS m FROM s{r} GROUP BY c)",
+            f"c{r + 1} AS MATERIALIZED (SELECT c, coalesce(f.m, o.m) AS m FROM c{r} o LEFT JOIN f{r} f USING (c))",
+        ]
+    return f"""WITH {', '.join(parts)}, a AS MATERIALIZED ({near.format(f"c{rounds}")})
+SELECT vec_id, c::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(m, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM a JOIN v USING (n) JOIN c{rounds} USING (c)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_centroids": _centroids_sql(),
     "op4_jaccard_join": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
