@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import named, packed, unpacked
 from ..functions.semantics import any_has
 
 UNKNOWN_PLACE, ALL_TYPES = "不明", "すべて"
@@ -76,8 +77,9 @@ def nested(parents: DataFrame, key: str, children: DataFrame, foreign: str, name
 
 
 def marked(events: DataFrame, key: str, marks: DataFrame, foreign: str, name: str = "is_bookmarked") -> DataFrame:
-    keys = marks.select(F.col(foreign).alias(key)).distinct().withColumn("__hit", F.lit(True))
-    return events.join(keys, key, "left").withColumn(name, F.col("__hit").isNotNull()).drop("__hit")
+    keys = marks.select(named(foreign).alias("key"), F.lit(True).alias("hit")).distinct()
+    rows = events.select(packed(events), named(key).alias("key")).join(keys, "key", "left")
+    return rows.select(*unpacked(c for c in events.columns if c != name), F.col("hit").isNotNull().alias(name))
 
 
 def first_rows(events: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -175,11 +177,11 @@ def candidate_line(number: Column, title: Column, text: Column, day: Column, ven
 
 def spread(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Rows of left with right's columns over them: right wins where it has the key, even with null."""
-    marked_ = right.withColumn("__there", F.lit(True))
-    both = left.alias("l").join(marked_.alias("r"), key, "left")
-    names = [*left.columns, *[c for c in right.columns if c not in left.columns]]
-    cells = [F.col(key) if c == key else F.when(F.col("r.__there"), F.col(f"r.`{c}`")).otherwise(F.col(f"l.`{c}`")).alias(c) if c in left.columns and c in right.columns else F.col(f"{'l' if c in left.columns else 'r'}.`{c}`").alias(c) for c in names]
-    return both.select(*cells)
+    both = left.select(packed(left, "l"), named(key).alias("key")).join(right.select(packed(right, "r"), named(key).alias("key")), "key", "left")
+    there = F.col("r").isNotNull()
+    cells = [F.when(there, F.col("r").getField(c)).otherwise(F.col("l").getField(c)) if c in right.columns and c != key else F.col("l").getField(c) for c in left.columns]
+    more = [F.col("r").getField(c).alias(c) for c in right.columns if c not in left.columns]
+    return both.select(*[x.alias(c) for x, c in zip(cells, left.columns, strict=True)], *more)
 
 
 def enriched(found: DataFrame, rows: DataFrame, key: str) -> DataFrame:

@@ -45,7 +45,9 @@ def _listed(pairs: Sequence[tuple[str, float]]) -> list:
 def split_tokens(docs: DataFrame, key: str, text: str, kind: str, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """key, s (sentences), t (their tokens)."""
     rows = docs.select(key, F.coalesce(sentences(F.col(text), kind), F.array().cast("array<string>")).alias("s"))
-    return rows.withColumn("t", F.transform("s", lambda x: tokenizer(x)))
+    # a tokenizer in Python takes a whole array, as it can't stand within transform
+    whole = getattr(tokenizer, "of_array", None)
+    return rows.withColumn("t", whole(F.col("s")) if whole else F.transform("s", lambda x: tokenizer(x)))
 
 
 # sentences by TextRank and what is made of them

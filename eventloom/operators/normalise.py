@@ -5,29 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.semantics import first_match, has, trimmed
-
-# Words that decide an event's type, format and place, in order.
-TYPE_WORDS = [("HACKATHON", ["ハッカソン", "hackathon"]), ("CONTEST", ["コンテスト", "contest"]), ("LIGHTNING_TALK", ["lt", "ライトニングトーク"])]
+from ..functions.semantics import any_has, first_match, has, trimmed
+
+# Type, words within the title, words that are tags; format and its words; words of online places.
+TYPE_WORDS = [
+    ("HACKATHON", ["ハッカソン"], ["hackathon", "ハッカソン"]),
+    ("CONTEST", ["コンテスト"], ["contest", "コンテスト"]),
+    ("LIGHTNING_TALK", ["lt", "ライトニングトーク"], ["lightning_talk", "lt", "ライトニングトーク"]),
+]
 FORMAT_WORDS = [("ONLINE", ["オンライン", "online", "zoom", "teams", "meet", "virtual"]), ("HYBRID", ["ハイブリッド", "hybrid"])]
-ONLINE_WORDS = ["オンライン", "online", "zoom", "teams"]
+ONLINE_WORDS = ["オンライン", "online", "zoom", "teams", "virtual"]
 PREFECTURES = (
     "北海道 青森 岩手 宮城 秋田 山形 福島 茨城 栃木 群馬 埼玉 千葉 東京 神奈川 新潟 富山 石川 福井 山梨 長野 岐阜 静岡 愛知 三重 "
     "滋賀 京都 大阪 兵庫 奈良 和歌山 鳥取 島根 岡山 広島 山口 徳島 香川 愛媛 高知 福岡 佐賀 長崎 熊本 大分 宮崎 鹿児島 沖縄"
 ).split()
+#: Formal names that aren't the stem and 県.
+SPECIAL_NAMES = {"北海道": "北海道", "東京": "東京都", "京都": "京都府", "大阪": "大阪府"}
+
+
+def formal_name(stem: str) -> str:
+    return SPECIAL_NAMES.get(stem, stem + "県")
 
 
 def event_type(title: Column, tags: Column | None = None, rules=TYPE_WORDS, default: str = "WORKSHOP") -> Column:
-    """Words within the title, or equal to a tag."""
-    out = None
-    for label, words in rules:
-        hit = F.lit(False)
-        for w in words:
+    """The first type one of whose title words the title contains, or one of whose tags is a tag; case doesn't matter."""
+    out = F.lit(default)
+    for label, words, names in reversed(rules):
+        hit = any_has([title], words[0])
+        for w in words[1:]:
             hit = hit | has(title, w)
-            if tags is not None:
-                hit = hit | F.coalesce(F.array_contains(F.transform(tags, F.lower), w), F.lit(False))
-        out = F.when(hit, label) if out is None else out.when(hit, label)
-    return out.otherwise(default)
+        if tags is not None:
+            hit = hit | F.coalesce(F.arrays_overlap(F.transform(tags, F.lower), F.array(*map(F.lit, names))), F.lit(False))
+        out = F.when(hit, label).otherwise(out)
+    return out
 
 
 def event_format(place: Column, rules=FORMAT_WORDS, default: str = "OFFLINE") -> Column:
@@ -35,9 +45,9 @@ def event_format(place: Column, rules=FORMAT_WORDS, default: str = "OFFLINE") ->
 
 
 def location(text: Column, places=PREFECTURES, online=ONLINE_WORDS, online_first: bool = False, unknown: str = "不明") -> Column:
-    """The first place of the list that the text contains, or online; either order."""
-    named = [(p, [p]) for p in places]
-    net = [("online", online)]
+    """The formal name of the first prefecture of the list whose stem the text contains, or オンライン; either order."""
+    named = [(formal_name(p), [p]) for p in places]
+    net = [("オンライン", online)]
     return first_match(text, net + named if online_first else named + net, unknown)
 
 
@@ -93,17 +103,20 @@ def page_text(html: Column) -> Column:
 
 
 # Codes of the prefectures, in the order in which they are tried.
-CODES = (
-    "東京 tokyo 大阪 osaka 京都 kyoto 兵庫 hyogo 福岡 fukuoka 北海道 hokkaido 愛知 aichi 神奈川 kanagawa 埼玉 saitama 千葉 chiba 静岡 shizuoka 広島 hiroshima "
-    "宮城 miyagi 沖縄 okinawa 茨城 ibaraki 栃木 tochigi 群馬 gunma 新潟 niigata 富山 toyama 石川 ishikawa 福井 fukui 山梨 yamanashi 長野 nagano 岐阜 gifu "
-    "三重 mie 滋賀 shiga 奈良 nara 和歌山 wakayama 鳥取 tottori 島根 shimane 岡山 okayama 山口 yamaguchi 徳島 tokushima 香川 kagawa 愛媛 ehime 高知 kochi "
-    "佐賀 saga 長崎 nagasaki 熊本 kumamoto 大分 oita 宮崎 miyazaki 鹿児島 kagoshima 青森 aomori 岩手 iwate 秋田 akita 山形 yamagata 福島 fukushima"
-).split()
+CODES = [
+    ("東京", "tokyo"), ("大阪", "osaka"), ("京都", "kyoto"), ("兵庫", "hyogo"), ("福岡", "fukuoka"), ("北海道", "hokkaido"), ("愛知", "aichi"),
+    ("神奈川", "kanagawa"), ("埼玉", "saitama"), ("千葉", "chiba"), ("静岡", "shizuoka"), ("広島", "hiroshima"), ("宮城", "miyagi"), ("沖縄", "okinawa"),
+    ("茨城", "ibaraki"), ("栃木", "tochigi"), ("群馬", "gunma"), ("新潟", "niigata"), ("富山", "toyama"), ("石川", "ishikawa"), ("福井", "fukui"),
+    ("山梨", "yamanashi"), ("長野", "nagano"), ("岐阜", "gifu"), ("三重", "mie"), ("滋賀", "shiga"), ("奈良", "nara"), ("和歌山", "wakayama"),
+    ("鳥取", "tottori"), ("島根", "shimane"), ("岡山", "okayama"), ("山口", "yamaguchi"), ("徳島", "tokushima"), ("香川", "kagawa"), ("愛媛", "ehime"),
+    ("高知", "kochi"), ("佐賀", "saga"), ("長崎", "nagasaki"), ("熊本", "kumamoto"), ("大分", "oita"), ("宮崎", "miyazaki"), ("鹿児島", "kagoshima"),
+    ("青森", "aomori"), ("岩手", "iwate"), ("秋田", "akita"), ("山形", "yamagata"), ("福島", "fukushima"),
+]
 
 
 def prefecture_code(place: Column, default: str = "online") -> Column:
     """The code of the first prefecture of the list that a place contains."""
-    return first_match(place, [(code, [name]) for name, code in zip(CODES[::2], CODES[1::2], strict=True)], default)
+    return first_match(place, [(code, [name]) for name, code in CODES], default)
 
 
 def api_event(zone: str = "Asia/Tokyo", organisation: str | None = None, override: Column | None = None) -> list[Column]:
@@ -112,8 +125,7 @@ def api_event(zone: str = "Asia/Tokyo", organisation: str | None = None, overrid
     Times of day are those of a zone. override: a place that wins over the one found."""
     started, ended = (F.to_timestamp(F.col(c)) for c in ("started_at", "ended_at"))
     venue = F.coalesce(F.nullif(F.col("place"), F.lit("")), F.lit("未定"))
-    where = location(F.concat_ws(" ", venue, F.coalesce("address", F.lit(""))), online=[*ONLINE_WORDS, "virtual"])
-    where = F.when(where == "online", F.lit("オンライン")).otherwise(where)
+    where = location(F.concat_ws(" ", venue, F.coalesce("address", F.lit(""))))
     return [
         F.concat(F.lit("connpass_"), F.col("id").cast("string")).alias("id"), "title",
         F.coalesce(F.nullif(F.col("description"), F.lit("")), F.nullif(F.col("catch"), F.lit("")), F.lit("")).alias("description"),

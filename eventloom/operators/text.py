@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import packed, unpacked
 from ..functions.semantics import edit_similarity, trimmed
 from . import graphs
 
@@ -81,25 +82,30 @@ def rank_words(docs: DataFrame, key: str, text: str, n: int = 20) -> DataFrame:
 
 def chunk_tfidf(docs: DataFrame, key: str, text: str, size: int = 15, n: int = 20) -> DataFrame:
     """TF-IDF of words over chunks of so many words of a text (three at least): tf is the count, idf 1 + ln(N / (1 + df)).
-    Of each chunk the ten best; a word's score is its best; key, rank, word, score of the n best. No shuffle."""
+    Of each chunk the ten best; a word's score is its best; key, rank, word, score of the n best. A text of fewer than ten
+    words gives its first ten, one of fewer than two chunks its first n, as they stand and without scores. No shuffle."""
+
+    def best_of(words: list[str]) -> list[tuple[str, float | None]]:
+        chunks = [x for x in (words[i : i + size] for i in range(0, len(words), size)) if len(x) >= 3]
+        if len(words) < 10 or len(chunks) < 2:
+            return [(w, None) for w in words[: 10 if len(words) < 10 else n]]
+        counts = [Counter(x) for x in chunks]
+        df = Counter(w for c in counts for w in c)
+        best: dict[str, float] = {}
+        for c in counts:
+            scored = sorted((-round(tf * (1 + math.log(len(chunks) / (1 + df[w]))), 9), w) for w, tf in c.items())
+            for s, w in scored[:10]:
+                best[w] = max(best.get(w, -math.inf), -s)
+        return sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for k, t in zip(b[key], b["t"], strict=True):
-                chunks = [x for x in ([] if t is None else (t[i : i + size] for i in range(0, len(t), size))) if len(x) >= 3]
-                counts = [Counter(x.tolist()) for x in chunks]
-                df = Counter(w for c in counts for w in c)
-                best: dict[str, float] = {}
-                for c in counts:
-                    scored = sorted((-round(tf * (1 + math.log(len(chunks) / (1 + df[w]))), 9), w) for w, tf in c.items())
-                    for s, w in scored[:10]:
-                        best[w] = max(best.get(w, -math.inf), -s)
-                out += [(k, r + 1, w, s) for r, (w, s) in enumerate(sorted(best.items(), key=lambda x: (-x[1], x[0]))[:n])]
-            yield pd.DataFrame(out, columns=[key, "rank", "word", "score"])
+            out = [(k, r + 1, w, s) for k, t in zip(b[key], b["t"], strict=True) for r, (w, s) in enumerate([] if t is None else best_of(t.tolist()))]
+            yield pd.DataFrame(out, columns=[key, "rank", "word", "score"]).astype({"score": "float64"})
 
     rows = docs.select(key, F.transform(tokens(F.col(text), None), F.lower).alias("t"))
-    return rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, rank int, word string, score double")
+    out = rows.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, rank int, word string, score double")
+    return out.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
 def keep_first(items: Column, alike, n: int | None = None) -> Column:
@@ -159,10 +165,11 @@ def foreign_words(words: Column) -> Column:
 def placed(rows: DataFrame, key: str, *order: str) -> DataFrame:
     """rows with place (from 1) in their group's order, linear (1 - earlier share) and place_weight (1.2 in the first and last
     three tenths)."""
-    w = Window.partitionBy(key)
-    rows = rows.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count("*").over(w))
-    share = (F.col("place") - 1) / F.col("__n")
-    return rows.withColumns({"linear": 1 - share, "place_weight": F.when((share <= 0.3) | (share >= 0.7), 1.2).otherwise(1.0)}).drop("__n")
+    w, names = Window.partitionBy(key), ("place", "linear", "place_weight")
+    found = rows.select(packed(rows), F.row_number().over(w.orderBy(*order)).alias("place"), F.count("*").over(w).alias("n"))
+    share = (F.col("place") - 1) / F.col("n")
+    weight = F.when((share <= 0.3) | (share >= 0.7), 1.2).otherwise(1.0)
+    return found.select(*unpacked(c for c in rows.columns if c not in names), "place", (1 - share).alias("linear"), weight.alias("place_weight"))
 
 
 # English words that carry no topic.

@@ -1,33 +1,65 @@
-"""Writes as plans: a new state of a table is a DataFrame; a caller writes it to a new directory and swaps."""
+"""Writes as plans: a new state of a table is a DataFrame, or several are a mapping of them; sources.tables writes what belongs
+together as one. Rows are carried whole, so callers' columns may have any names."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.rows import named, packed, unpacked
+
+
+def _numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """row, key (a struct), n: each row's place among those of its key."""
+    keys = [named(k) for k in keys]
+    return rows.select(packed(rows), F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"), F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).alias("n"))
+
+
+def _keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Different keys without a null; as a struct like that of _numbered()."""
+    return table.dropna(subset=list(keys)).select(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")).distinct()
+
 
 def insert_if_absent(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of new whose key is not in table; the first of equal keys by all columns."""
-    order = [F.col(c) for c in new.columns]
-    one = new.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")
-    return one.join(table.select(*keys).distinct(), list(keys), "left_anti").select(*new.columns)
+    """Rows of new whose key is not in table; the first of equal keys by all columns. A null is in no table."""
+    one = _numbered(new, keys, [named(c) for c in new.columns]).where("n = 1")
+    return one.join(_keys(table, keys), "key", "left_anti").select(*unpacked(new.columns))
 
 
 def upsert(table: DataFrame, new: DataFrame, key: str, update: Sequence[str] | None = None) -> DataFrame:
     """New state: rows of new win for the columns to update (all but the key by default), others keep what they have."""
     update = [c for c in table.columns if c != key] if update is None else list(update)
-    n = new.select(F.col(key), *[F.col(c).alias(f"__{c}") for c in table.columns if c != key], F.lit(True).alias("__new"))
-    t = table.withColumn("__old", F.lit(True))
-    both = t.join(n, key, "full_outer")
-    fresh = F.col("__old").isNull()
-    cells = [F.when(F.col("__new") & (fresh | F.lit(c in update)), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c != key else F.col(key) for c in table.columns]
-    return both.select(*cells)
+    both = table.select(packed(table, "old"), named(key).alias("key")).join(new.select(packed(new, "new"), named(key).alias("key")), "key", "full_outer")
+    old, fresh = F.col("old"), F.col("new")
+
+    def cell(c: str) -> Column:
+        if c == key:
+            return F.col("key").alias(c)
+        if c not in new.columns:
+            return old.getField(c).alias(c)
+        wins = fresh.isNotNull() if c in update else old.isNull()
+        return F.when(wins, fresh.getField(c)).otherwise(old.getField(c)).alias(c)
+
+    return both.select(*[cell(c) for c in table.columns])
+
+
+def save_batch(tables: dict[str, DataFrame], new: DataFrame, update: Sequence[str], extract: Callable[[DataFrame], DataFrame], children: dict[str, tuple[str, DataFrame]] | None = None, table: str = "Event", key: str = "id") -> dict[str, DataFrame]:
+    """New states, to be committed as one, for a batch of rows: key data is extracted anew from each (extract: rows with the
+    derived columns), known ids take the columns in update, unknown ones come whole, of a repeated id the first row counts;
+    children (name -> its foreign key, new rows) of the batch's rows are replaced."""
+    rows = _numbered(new, [key], [named(c) for c in new.columns]).where("n = 1").select(*unpacked(new.columns))
+    out = {table: upsert(tables[table], extract(rows), key, update)}
+    for name, (foreign, child_rows) in (children or {}).items():
+        parents = rows.select(named(key).alias(foreign))
+        mine = child_rows.join(parents, foreign, "left_semi").select(*[named(c) for c in child_rows.columns])
+        out[name] = without(tables[name], parents, [foreign]).unionByName(mine)
+    return out
 
 
 def keep_newest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("__n = 1").drop("__n")
+    return _numbered(rows, [key], order).where("n = 1").select(*unpacked(rows.columns))
 
 
 def without(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -48,10 +80,9 @@ def valid_split(rows: DataFrame, valid: Column) -> tuple[DataFrame, DataFrame]:
 
 def inserted(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of new with is_new: whether insert_if_absent would add them (of equal keys the first does)."""
-    order = [F.col(c) for c in new.columns]
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
-    there = table.select(*keys).distinct().withColumn("__there", F.lit(True))
-    return new.withColumn("__first", first).join(there, list(keys), "left").select(*new.columns, (F.col("__first") & F.col("__there").isNull()).alias("is_new"))
+    rows = _numbered(new, keys, [named(c) for c in new.columns])
+    there = _keys(table, keys).withColumn("there", F.lit(True))
+    return rows.join(there, "key", "left").select(*unpacked(new.columns), ((F.col("n") == 1) & F.col("there").isNull()).alias("is_new"))
 
 
 def save_counts(table: DataFrame, new: DataFrame, keys: Sequence[str], valid: Column) -> DataFrame:
@@ -79,9 +110,9 @@ def delete_count(table: DataFrame, condition: Column) -> tuple[DataFrame, DataFr
 
 def update_supplied(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New state: of the rows in new only what it supplies (not null) changes; rows it lacks stay; it adds none."""
-    names = [c for c in new.columns if c != key]
-    both = table.join(new.select(key, *[F.col(c).alias(f"__{c}") for c in names]), key, "left")
-    return both.select(*[F.coalesce(f"__{c}", F.col(c)).alias(c) if c in names else F.col(c) for c in table.columns])
+    both = table.select(packed(table, "old"), named(key).alias("key")).join(new.select(packed(new, "new"), named(key).alias("key")), "key", "left")
+    old, fresh = F.col("old"), F.col("new")
+    return both.select(*[(F.coalesce(fresh.getField(c), old.getField(c)) if c in new.columns and c != key else old.getField(c)).alias(c) for c in table.columns])
 
 
 def with_dimension(rows: DataFrame, name: str, dimension: DataFrame, blank: str = "Unknown Company") -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,17 +15,23 @@ from ..functions.semantics import cosine
 RRF_K, HYBRID_SHARE = 60, 0.5
 #: Rows of a query set that are sent to every task at a time.
 QUERY_ROWS = 10_000
+CORPUS_PARTS = 64
+#: Rows of queries and of the corpus that meet as one matrix product, and queries whose products are held at a time.
+QUERY_BLOCK, CORPUS_BLOCK, QUERY_STEP = 8192, 65536, 64
 
 
 def against(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
-    """Each row of a stated query set with each row of the corpus. Up to QUERY_ROWS queries are broadcast; a larger set is met
-    in blocks, by a join on a block number (key: a column of queries that tells its rows apart)."""
+    """Each row of a stated query set with each row of the corpus, for operators that need all of them. Up to QUERY_ROWS
+    queries are broadcast; a larger set is met in blocks: the rows of a block of queries (key: a column of queries that
+    tells its rows apart) with each of CORPUS_PARTS parts of the corpus, so that no task holds either side."""
     n = queries.count()
     if n <= QUERY_ROWS:
         return corpus.crossJoin(F.broadcast(queries))
-    blocks = -(-n // QUERY_ROWS)
-    q = queries.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks)))
-    return corpus.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(q, "__block").drop("__block")
+    blocks, parts = -(-n // QUERY_ROWS), CORPUS_PARTS
+    number = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    q = queries.withColumn("__block", F.pmod(F.xxhash64(key), F.lit(blocks))).withColumn("__part", number(parts))
+    rows = corpus.withColumn("__part", F.floor(F.rand(1) * parts)).withColumn("__block", number(blocks))
+    return rows.join(q, ["__block", "__part"]).drop("__block", "__part")
 
 
 def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -31,6 +40,68 @@ def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return both.withColumn("sim", cosine(F.col("v"), F.col("q"))).drop("v", "q")
 
 
+def _best_of_block(k: int):
+    """cogroup function: the k nearest corpus rows of a block to each query row of a block."""
+
+    def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
+        carried = [f for f in corpus.schema if f.name not in ("a", "b", "v")]
+        names = pa.schema([queries.schema.field("query_id"), *carried, pa.field("sim", pa.float64())])
+        if not queries.num_rows or not corpus.num_rows:
+            return names.empty_table()
+        at = pa.compute.sort_indices(corpus["id"])  # ties go to the smaller id
+        corpus = corpus.take(at)
+        q, v = (_matrix(t[c]) for t, c in ((queries, "q"), (corpus, "v")))
+        if q.shape[1] != v.shape[1]:
+            raise ValueError("vectors of different dimensions")
+        nq, nv = (np.sqrt((x * x).sum(1)) for x in (q, v))
+        own, near, sims = [], [], []
+        for low in range(0, len(q), QUERY_STEP):
+            part = q[low : low + QUERY_STEP]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough = (part @ v.T) / (nq[low : low + QUERY_STEP, None] * nv)
+            rough = np.where(np.isfinite(rough), rough, 0.0)
+            for i, row in enumerate(rough):
+                # those that may be among the k best when summed in one order, row by row
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                maybe = np.flatnonzero(row >= least - 1e-9)
+                size = nq[low + i] * nv[maybe]
+                sim = np.where(size == 0, 0.0, (v[maybe] * part[i]).sum(1) / np.where(size == 0, 1.0, size))
+                best = np.argsort(-sim, kind="stable")[:k]
+                own.append(np.full(len(best), low + i))
+                near.append(maybe[best])
+                sims.append(sim[best])
+        near = pa.array(np.concatenate(near))
+        return pa.Table.from_arrays([queries["query_id"].take(pa.array(np.concatenate(own))), *(corpus[f.name].take(near) for f in carried), pa.array(np.concatenate(sims))], schema=names)
+
+    return run
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    sizes = whole.value_lengths().unique()
+    if len(sizes) != 1 or whole.null_count:
+        raise ValueError("vectors of different dimensions")
+    return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    """query_id, id, ..., sim, rank: the k largest cosines of each row of queries(query_id, q) among corpus(id, v, ...), exact,
+    ties to the smaller id. Null vectors take no part; rows of a repeated id count each.
+
+    Both sides are dealt into blocks; a pair of blocks is one matrix product, of which each query keeps its k best, so what
+    is shuffled is the corpus for each block of queries, the queries for each block of the corpus, and k rows of each query
+    for each block of the corpus. No task holds more than a pair of blocks."""
+    queries, corpus = queries.where("q is not null").select("query_id", "q"), corpus.where("v is not null")
+    other = [c for c in corpus.columns if c != "v"]
+    nq, nv = (max(1, -(-x.count() // size)) for x, size in ((queries, QUERY_BLOCK), (corpus, CORPUS_BLOCK)))
+    nv = max(nv, min(8, nq * nv * 8))  # a small corpus is dealt too, so that more than one task works
+    asks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("b"), "query_id", "q")
+    rows = corpus.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nv)).alias("b"), *other, "v")
+    kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, names in ((queries, ["query_id"]), (corpus, other)) for c in names)
+    found = asks.groupBy("a", "b").cogroup(rows.groupBy("a", "b")).applyInArrow(_best_of_block(k), f"{kinds}, sim double")
+    return top(found, "query_id", "sim", "id", k)
+
+
 def ranked(rows: DataFrame, by: str, score: str, tie: str, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)))
 
@@ -85,7 +156,12 @@ def rerank(sentences: DataFrame, keywords: DataFrame, tag: str, key: str, k: int
 
 def retrieve(rows: DataFrame, query: str, key: str, k: int = 50, least: float = 0.8, near: Column | None = None) -> DataFrame:
     """query, key, sim, rank: the k nearest of each query, then those of at least so much, then those near (a condition)."""
-    found = top(rows, query, "sim", key, k).where(F.col("sim") >= least)
+    return retrieved(top(rows, query, "sim", key, k), least, near)
+
+
+def retrieved(nearest_rows: DataFrame, least: float = 0.8, near: Column | None = None) -> DataFrame:
+    """Of a query's nearest (with sim), those of at least so much, then those near (a condition)."""
+    found = nearest_rows.where(F.col("sim") >= least)
     return found if near is None else found.where(near)
 
 

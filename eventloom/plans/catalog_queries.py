@@ -264,9 +264,17 @@ def similarities(spark, d, rest: int = 0) -> DataFrame:
     return vectors.scored(q, rows.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))).select("query_id", "id", "label", "user", "sim")
 
 
+def nearest(spark, d, k: int) -> DataFrame:
+    """The k most similar of every twentieth vector, with the user that a query's vector has."""
+    rows = read(spark, d, "embeddings")
+    q = rows.where("vec_id % 20 = 0")
+    found = vectors.nearest(q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), k)
+    return found.join(q.select(F.col("vec_id").alias("query_id"), F.col("label").alias("user")), "query_id")
+
+
 @query(f"WITH {SIMS} SELECT query_id, id, r::INT AS rank, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s) WHERE r <= 50")
 def cosine_topk(spark, d):
-    return vectors.top(similarities(spark, d), "query_id", "sim", "id", 50).select("query_id", "id", "rank", r6(F.col("sim")).alias("sim"))
+    return nearest(spark, d, 50).select("query_id", "id", "rank", r6(F.col("sim")).alias("sim"))
 
 
 @query(f"WITH {SIMS} SELECT query_id, label, round(greatest(0, max(sim)), 6) AS sim FROM s GROUP BY 1, 2")
@@ -317,7 +325,7 @@ def keydata_recommend(spark, d):
 @query(f"""WITH {SIMS}, l AS (SELECT query_id, id, user, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s), t AS (SELECT * FROM l WHERE r <= 10),
   m AS (SELECT user, id, min(query_id * 1000 + r) AS o FROM t GROUP BY 1, 2) SELECT user, id, row_number() OVER (PARTITION BY user ORDER BY o, id)::INT AS ord FROM m""")
 def ordered_union_distinct(spark, d):
-    return catalog.distinct_ordered(vectors.top(similarities(spark, d), "query_id", "sim", "id", 10), "user", "id", "query_id", "rank")
+    return catalog.distinct_ordered(nearest(spark, d, 10), "user", "id", "query_id", "rank")
 
 
 # text
@@ -411,31 +419,43 @@ def page_text(spark, d):
     return read(spark, d, "pages").select("page_id", normalise.page_text(F.col("html")).alias("body"))
 
 
-@query("""SELECT doc_id, CASE WHEN contains(lower(text), 'ハッカソン') OR contains(lower(text), 'hackathon') THEN 'HACKATHON' WHEN contains(lower(text), 'コンテスト') OR contains(lower(text), 'contest') THEN 'CONTEST'
-  WHEN contains(lower(text), 'lt') OR contains(lower(text), 'ライトニングトーク') THEN 'LIGHTNING_TALK' ELSE 'WORKSHOP' END AS event_type,
-  CASE WHEN contains(lower(text), 'オンライン') OR contains(lower(text), 'online') OR contains(lower(text), 'zoom') OR contains(lower(text), 'teams') OR contains(lower(text), 'meet') OR contains(lower(text), 'virtual') THEN 'ONLINE'
-  WHEN contains(lower(text), 'ハイブリッド') OR contains(lower(text), 'hybrid') THEN 'HYBRID' ELSE 'OFFLINE' END AS format FROM documents""")
-def normalise_event(spark, d):
-    return read(spark, d, "documents").select("doc_id", normalise.event_type(F.col("text")).alias("event_type"), normalise.event_format(F.col("text")).alias("format"))
+TITLE_WORDS = ["Tokyo Hackathon", "ハッカソン", "Coding Contest", "コンテスト", "Results", "LT大会", "ライトニングトーク", "Salt", "Meetup"]
+TAG_WORDS = ["hackathon", "ハッカソン", "Contest", "コンテスト", "lightning_talk", "LT", "ライトニングトーク", "contests", "x", None]
 
 
-def prefecture_case(x: str, online_first: bool) -> str:
-    named = "".join(f" WHEN contains(lower({x}), '{p}') THEN '{p}'" for p in normalise.PREFECTURES)
-    net = " WHEN " + " OR ".join(f"contains(lower({x}), '{w}')" for w in normalise.ONLINE_WORDS) + " THEN 'online'"
-    return f"CASE{net + named if online_first else named + net} ELSE '不明' END"
+def _picked(values, number):
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(number, F.lit(len(values))) + 1).cast("int"))
 
 
-NAMES_SQL = "[" + ", ".join(f"'{p}'" for p in normalise.PREFECTURES) + "]"
-STEM_SQL = "split_part(split_part(split_part(split_part(place, '都', 1), '道', 1), '府', 1), '県', 1)"
+@query("""WITH r AS (SELECT doc_id, coalesce(source, '') || ' ' || (['Tokyo Hackathon', 'ハッカソン', 'Coding Contest', 'コンテスト', 'Results', 'LT大会', 'ライトニングトーク', 'Salt', 'Meetup'])[doc_id % 9 + 1] AS title,
+  lower((['hackathon', 'ハッカソン', 'Contest', 'コンテスト', 'lightning_talk', 'LT', 'ライトニングトーク', 'contests', 'x', NULL])[doc_id // 9 % 10 + 1]) AS tag, text FROM documents)
+  SELECT doc_id, CASE WHEN contains(title, 'ハッカソン') OR tag = 'hackathon' OR tag = 'ハッカソン' THEN 'HACKATHON' WHEN contains(title, 'コンテスト') OR tag = 'contest' OR tag = 'コンテスト' THEN 'CONTEST'
+  WHEN contains(lower(title), 'lt') OR contains(title, 'ライトニングトーク') OR tag = 'lightning_talk' OR tag = 'lt' OR tag = 'ライトニングトーク' THEN 'LIGHTNING_TALK' ELSE 'WORKSHOP' END AS event_type,
+  CASE WHEN contains(lower(text), 'オンライン') OR contains(lower(text), 'online') OR contains(lower(text), 'zoom') OR contains(lower(text), 'teams') OR contains(lower(text), 'meet') OR contains(lower(text), 'virtual') THEN 'ONLINE'
+  WHEN contains(lower(text), 'ハイブリッド') OR contains(lower(text), 'hybrid') THEN 'HYBRID' ELSE 'OFFLINE' END AS format FROM r""")
+def normalise_event(spark, d):
+    title = F.concat_ws(" ", F.coalesce("source", F.lit("")), _picked(TITLE_WORDS, F.col("doc_id")))
+    tags = F.array(_picked(TAG_WORDS, F.floor(F.col("doc_id") / 9)))
+    return read(spark, d, "documents").select("doc_id", normalise.event_type(title, tags).alias("event_type"), normalise.event_format(F.col("text")).alias("format"))
 
 
-@query(f"""WITH p AS (SELECT p_partkey, ({NAMES_SQL})[p_partkey % 47 + 1] || (['都', '府', '県', '', '道 Zoom', ' online'])[p_partkey % 6 + 1] || (['', '渋谷区', 'x'])[p_partkey % 3 + 1] AS place FROM part)
-  SELECT p_partkey, place, {prefecture_case("place", False)} AS named_first, {prefecture_case("place", True)} AS online_first, {STEM_SQL} AS stem, CASE WHEN starts_with(place, '京都') THEN '京都' WHEN starts_with(place, '北海道') THEN '北海道' ELSE {STEM_SQL} END AS stem_corrected FROM p""")
+STEM_SQL = "split_part(split_part(split_part(split_part(place, '都', 1), '道', 1), '府', 1), '県', 1)"
+# The places of the SQL form, written out by hand: number, stem, formal name.
+PLACES_SQL = """pl(n, stem, formal) AS (VALUES (1, '北海道', '北海道'), (2, '青森', '青森県'), (3, '岩手', '岩手県'), (4, '宮城', '宮城県'), (5, '秋田', '秋田県'), (6, '山形', '山形県'), (7, '福島', '福島県'), (8, '茨城', '茨城県'),
+  (9, '栃木', '栃木県'), (10, '群馬', '群馬県'), (11, '埼玉', '埼玉県'), (12, '千葉', '千葉県'), (13, '東京', '東京都'), (14, '神奈川', '神奈川県'), (15, '新潟', '新潟県'), (16, '富山', '富山県'), (17, '石川', '石川県'), (18, '福井', '福井県'),
+  (19, '山梨', '山梨県'), (20, '長野', '長野県'), (21, '岐阜', '岐阜県'), (22, '静岡', '静岡県'), (23, '愛知', '愛知県'), (24, '三重', '三重県'), (25, '滋賀', '滋賀県'), (26, '京都', '京都府'), (27, '大阪', '大阪府'), (28, '兵庫', '兵庫県'),
+  (29, '奈良', '奈良県'), (30, '和歌山', '和歌山県'), (31, '鳥取', '鳥取県'), (32, '島根', '島根県'), (33, '岡山', '岡山県'), (34, '広島', '広島県'), (35, '山口', '山口県'), (36, '徳島', '徳島県'), (37, '香川', '香川県'), (38, '愛媛', '愛媛県'),
+  (39, '高知', '高知県'), (40, '福岡', '福岡県'), (41, '佐賀', '佐賀県'), (42, '長崎', '長崎県'), (43, '熊本', '熊本県'), (44, '大分', '大分県'), (45, '宮崎', '宮崎県'), (46, '鹿児島', '鹿児島県'), (47, '沖縄', '沖縄県'))"""
+ONLINE_SQL = "regexp_matches(lower({}), 'オンライン|online|zoom|teams|virtual')"
+
+
+@query(f"""WITH {PLACES_SQL}, p AS (SELECT p_partkey, s.stem || (['都', '府', '県', '', '道 Zoom', ' online', ' VIRTUAL'])[p_partkey % 7 + 1] || (['', '渋谷区', 'x'])[p_partkey % 3 + 1] AS place FROM part JOIN (SELECT n, stem FROM pl UNION ALL SELECT 48, 'Teams' UNION ALL SELECT 49, 'somewhere') s ON s.n = p_partkey % 49 + 1),
+  f AS (SELECT p_partkey, arg_min(formal, n) AS formal FROM p JOIN pl ON contains(place, pl.stem) GROUP BY 1)
+  SELECT p_partkey, place, coalesce(formal, CASE WHEN {ONLINE_SQL.format("place")} THEN 'オンライン' END, '不明') AS named_first, CASE WHEN {ONLINE_SQL.format("place")} THEN 'オンライン' ELSE coalesce(formal, '不明') END AS online_first,
+  {STEM_SQL} AS stem, CASE WHEN starts_with(place, '京都') THEN '京都' WHEN starts_with(place, '北海道') THEN '北海道' ELSE {STEM_SQL} END AS stem_corrected FROM p LEFT JOIN f USING (p_partkey)""")
 def prefecture_lookup(spark, d):
-    def pick(values):
-        return F.element_at(F.array(*map(F.lit, values)), (F.pmod("p_partkey", F.lit(len(values))) + 1).cast("int"))
-
-    place = F.concat(pick(normalise.PREFECTURES), pick(["都", "府", "県", "", "道 Zoom", " online"]), pick(["", "渋谷区", "x"]))
+    n = F.col("p_partkey")
+    place = F.concat(_picked([*normalise.PREFECTURES, "Teams", "somewhere"], n), _picked(["都", "府", "県", "", "道 Zoom", " online", " VIRTUAL"], n), _picked(["", "渋谷区", "x"], n))
     p = F.col("place")
     return read(spark, d, "part").select("p_partkey", place.alias("place")).select("p_partkey", "place", normalise.location(p).alias("named_first"), normalise.location(p, online_first=True).alias("online_first"), normalise.prefecture_stem(p).alias("stem"), normalise.prefecture_stem(p, corrected=True).alias("stem_corrected"))
 

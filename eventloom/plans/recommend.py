@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..operators import catalog, text, vectors
+from ..operators.keywords import occurrences
 
 
 def by_tags(tags: DataFrame, events: DataFrame, embed: providers.Embedding | None = None, modes: Sequence[str] = ("concat",), methods: Sequence[str] = ("weighted",), threshold: float = 0.35, n: int = 5, select: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -40,9 +41,9 @@ def by_queries(queries: DataFrame, events: DataFrame, embed: providers.Embedding
     """user, id, ord for queries(user, query_no, query, place) and events(id, page, location): each query's k nearest of at least
     so much near the user's place, united in order, the first n."""
     embed = embed or providers.hashed_embedding()
-    q = queries.select("user", "query_no", "place", embed(F.col("query")).alias("q"), F.xxhash64("user", "query_no").alias("query_id"))
-    rows = events.select("id", "location", embed(F.col("page")).alias("v"))
-    found = vectors.retrieve(vectors.scored(q, rows), "query_id", "id", k, least)
+    q = queries.select("query", embed(F.col("query")).alias("q")).dropDuplicates(["query"]).withColumnRenamed("query", "query_id")
+    best = vectors.nearest(q, events.select("id", "location", embed(F.col("page")).alias("v")), k)
+    found = queries.join(vectors.retrieved(best, least).withColumnRenamed("query_id", "query"), "query")
     near = F.col("place").isNull() | (F.col("place") == "") | F.contains(F.coalesce("location", F.lit("")), F.col("place"))
     for w in catalog.ONLINE_PLACE:
         near = near | F.contains(F.lower(F.coalesce("location", F.lit(""))), F.lit(w))
@@ -60,17 +61,30 @@ def hyde(users: DataFrame, database: DataFrame, api: DataFrame | None = None, ge
 def by_keywords(users: DataFrame, events: DataFrame, keywords: Callable[[DataFrame], Column], fields: Sequence[str], most: int = 10, n: int = 5, least: int = 70, round_first: bool = False) -> DataFrame:
     """user, id, score, relevance, matched: events ranked for each user by how many of the user's keywords their fields
     contain; the most best go on (ten or fewer events in all: all of them, with score 1), the first n are judged, those of at
-    least so much relevance stay. Without a model's judgement, relevance is ten times the score."""
-    asked = users.select("user", keywords(users).alias("keywords"))
-    whole = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
-    few = len(events.limit(most + 1).take(most + 1)) <= most
-    both = vectors.against(asked, events.select("id", whole.alias("whole")), "user")
-    matched = F.filter("keywords", lambda w: F.contains(F.col("whole"), F.lower(w)))
-    rows = both.select("user", "id", F.lit(few).alias("few"), matched.alias("matched"))
-    rows = rows.select("user", "id", F.when(F.col("few"), 1).otherwise(F.size("matched")).alias("score"), F.when(F.col("few"), F.slice("matched", 1, 0)).otherwise(F.col("matched")).alias("matched"))
-    best = vectors.top(rows, "user", "score", "id", most).where(F.col("rank") <= n)
-    judged = best.withColumn("relevance", providers.relevance(F.col("score"), round_first).cast("int"))
-    return judged.where(F.col("relevance") >= least).select("user", "id", "score", "relevance", F.array_join("matched", ",").alias("matched"))
+    least so much relevance stay. Without a model's judgement, relevance is ten times the score.
+
+    All users' different keywords are looked for in one pass over the events; each different list of keywords is ranked
+    once, for all users that have it."""
+    asked = users.select("user", keywords(users).alias("keywords")).where("keywords is not null")
+    lists = asked.select("keywords").distinct()
+    if len(events.limit(most + 1).take(most + 1)) <= most:
+        rows = lists.join(F.broadcast(events.select("id"))).select("keywords", "id", F.lit(1).alias("score"), F.slice("keywords", 1, 0).alias("matched"))
+        best = vectors.top(rows, "keywords", "score", "id", most)
+    else:
+        each = lists.select("keywords", F.posexplode("keywords").alias("at", "own")).withColumn("word", F.lower("own"))
+        whole = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
+        found = occurrences(events.select("id", whole.alias("whole")), "id", "whole", each)
+        hits = found.join(each, "word").groupBy("keywords", "id").agg(F.count("*").cast("int").alias("score"), F.array_sort(F.collect_list(F.struct("at", "own"))).alias("hits"))
+        rows = hits.select("keywords", "id", "score", F.col("hits.own").alias("matched"))
+        best = vectors.top(rows, "keywords", "score", "id", most)
+        if least <= 0:  # events without a match fill up what others leave, in order of id
+            have = lists.join(best.groupBy("keywords").agg(F.count("*").alias("have")), "keywords", "left").where(f"coalesce(have, 0) < {most}").select("keywords")
+            rest = have.join(F.broadcast(events.select("id").orderBy("id").limit(2 * most))).join(best.select("keywords", "id"), ["keywords", "id"], "left_anti")
+            rest = rest.select("keywords", "id", F.lit(0).alias("score"), F.slice("keywords", 1, 0).alias("matched"))
+            best = vectors.top(best.drop("rank").unionByName(rest), "keywords", "score", "id", most)
+    judged = best.where(F.col("rank") <= n).withColumn("relevance", providers.relevance(F.col("score"), round_first).cast("int"))
+    kept = judged.where(F.col("relevance") >= least).select("keywords", "id", "score", "relevance", F.array_join("matched", ",").alias("matched"))
+    return asked.join(kept, "keywords").select("user", "id", "score", "relevance", "matched")
 
 
 def by_profile(users: DataFrame, events: DataFrame, fields: Sequence[str], **options) -> DataFrame:
@@ -87,8 +101,7 @@ def context(questions: DataFrame, events: DataFrame, embed: providers.Embedding
     """query_id, context: the pages of the k nearest events of questions(query_id, question), best first, as an answer's context. No
     answer is generated offline."""
     embed = embed or providers.hashed_embedding()
-    rows = vectors.scored(questions.select("query_id", embed(F.col("question")).alias("q")), events.select("id", "page", embed(F.col("page")).alias("v")))
-    best = vectors.top(rows, "query_id", "sim", "id", k)
+    best = vectors.nearest(questions.select("query_id", embed(F.col("question")).alias("q")), events.select("id", "page", embed(F.col("page")).alias("v")), k)
     return best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "page"))), lambda x: x["page"]), "\n\n").alias("context"))
 
 

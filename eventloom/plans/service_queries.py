@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import semantics as S
-from ..operators import catalog, normalise, payloads, text, upsert, vectors
+from ..operators import catalog, fuzzy, normalise, payloads, text, upsert, vectors
 from ..sources import pages as scraped
 from ..streaming import webhook
 from . import recommend
-from .catalog_queries import SIMS, nested_events, query, r6, read, similarities
+from .catalog_queries import SIMS, nearest, nested_events, query, r6, read, similarities
 
 LISTS_SQL = """(SELECT l_orderkey, string_agg(l_returnflag, ', ' ORDER BY l_linenumber, l_returnflag) AS skills, string_agg(p_brand, ', ' ORDER BY l_linenumber, p_brand) AS categories,
   string_agg(s_name, ', ' ORDER BY l_linenumber, s_name) AS speakers, string_agg(l_linestatus, ', ' ORDER BY l_linenumber, l_linestatus) AS goals
@@ -105,7 +105,7 @@ def spread_merge(spark, d):
 
 @query(f"WITH {SIMS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s) SELECT query_id, id, p_name AS title, concat('rank ', r) AS reason FROM t JOIN part ON p_partkey = id WHERE r <= 10")
 def recommendations_enriched(spark, d):
-    best = vectors.top(similarities(spark, d), "query_id", "sim", "id", 10).select("query_id", "id", "rank")
+    best = nearest(spark, d, 10).select("query_id", "id", "rank")
     answers = best.select(F.struct("query_id", "id").alias("pair"), F.concat(F.lit("rank "), "rank").alias("reason"))
     rows = catalog.enriched(best, read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title")), "id")
     return catalog.with_reasons(rows.withColumn("pair", F.struct("query_id", "id")), answers, "pair").select("query_id", "id", "title", "reason")
@@ -119,8 +119,8 @@ def union_all(spark, d):
 
 @query(f"WITH {SIMS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s) SELECT DISTINCT user, id FROM t WHERE r <= 5")
 def ids_by_tags(spark, d):
-    best = vectors.top(similarities(spark, d), "query_id", "sim", "id", 5)
-    tags = similarities(spark, d).select("user", F.col("query_id").alias("tag")).distinct()
+    best = nearest(spark, d, 5)
+    tags = read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("label").alias("user"), F.col("vec_id").alias("tag"))
     return recommend.user_ids(best.select(F.col("query_id").alias("tag"), "id"), tags)
 
 
@@ -317,23 +317,20 @@ def token_filter(spark, d):
 # ingestion
 
 
-def location_sql(x: str) -> str:
-    out = "CASE " + " ".join(f"WHEN contains(lower({x}), '{p}') THEN '{p}'" for p in normalise.PREFECTURES)
-    return out + f" WHEN contains(lower({x}), 'オンライン') OR contains(lower({x}), 'online') OR contains(lower({x}), 'zoom') OR contains(lower({x}), 'teams') OR contains(lower({x}), 'virtual') THEN 'オンライン' ELSE '不明' END"
-
-
-@query(f"""WITH r AS (SELECT doc_id AS id, coalesce(source, '') AS title, text AS description, (['東京都渋谷区', 'Zoom', '', '京都 meetup', 'online 札幌', NULL])[doc_id % 6 + 1] AS place, CASE WHEN doc_id % 2 = 0 THEN '北海道' END AS address, (['lt', 'contest', 'x'])[doc_id % 3 + 1] AS tag FROM documents)
-  SELECT 'connpass_' || id AS id, title, coalesce(description, '') AS description, coalesce(nullif(place, ''), '未定') AS venue, {location_sql("coalesce(nullif(place, ''), '未定') || ' ' || coalesce(address, '')")} AS location, '03:00' AS start_time,
-  CASE WHEN contains(lower(coalesce(place, '')), 'online') OR contains(lower(coalesce(place, '')), 'zoom') OR contains(lower(coalesce(place, '')), 'meet') THEN 'ONLINE' ELSE 'OFFLINE' END AS format,
-  CASE WHEN tag = 'contest' THEN 'CONTEST' WHEN tag = 'lt' OR contains(lower(title), 'lt') THEN 'LIGHTNING_TALK' ELSE 'WORKSHOP' END AS event_type FROM r""")
+@query("""WITH r AS (SELECT doc_id AS id, coalesce(source, '') AS title, text AS description, (['東京都渋谷区', 'Zoom', '', '京都 meetup', 'online 札幌', NULL, 'virtual', '大阪'])[doc_id % 8 + 1] AS place, CASE WHEN doc_id % 3 = 0 THEN '北海道' WHEN doc_id % 3 = 1 THEN '青森市' END AS address,
+  (['lt', 'contest', 'x', 'lightning_talk', 'Hackathon'])[doc_id % 5 + 1] AS tag FROM documents), p AS (SELECT *, coalesce(nullif(place, ''), '未定') AS venue, coalesce(nullif(place, ''), '未定') || ' ' || coalesce(address, '') AS spot FROM r)
+  SELECT 'connpass_' || id AS id, title, coalesce(description, '') AS description, venue,
+  CASE WHEN contains(spot, '北海道') THEN '北海道' WHEN contains(spot, '青森') THEN '青森県' WHEN contains(spot, '東京') THEN '東京都' WHEN contains(spot, '京都') THEN '京都府' WHEN contains(spot, '大阪') THEN '大阪府' WHEN regexp_matches(lower(spot), 'zoom|online|virtual') THEN 'オンライン' ELSE '不明' END AS location, '03:00' AS start_time,
+  CASE WHEN regexp_matches(lower(coalesce(place, '')), 'online|zoom|meet|virtual') THEN 'ONLINE' ELSE 'OFFLINE' END AS format,
+  CASE WHEN tag = 'Hackathon' THEN 'HACKATHON' WHEN tag = 'contest' THEN 'CONTEST' WHEN tag IN ('lt', 'lightning_talk') OR contains(lower(title), 'lt') THEN 'LIGHTNING_TALK' ELSE 'WORKSHOP' END AS event_type FROM p""")
 def api_events(spark, d):
     def pick(values, by):
         return F.element_at(F.array(*map(F.lit, values)), (F.pmod("doc_id", F.lit(by)) + 1).cast("int"))
 
     rows = read(spark, d, "documents").select(
         F.col("doc_id").alias("id"), F.coalesce("source", F.lit("")).alias("title"), F.lit(None).cast("string").alias("catch"), F.col("text").alias("description"), F.lit("u").alias("url"),
-        F.lit("2025-03-03T18:00:00Z").alias("started_at"), F.lit(None).cast("string").alias("ended_at"), pick(["東京都渋谷区", "Zoom", "", "京都 meetup", "online 札幌", None], 6).alias("place"),
-        F.when(F.col("doc_id") % 2 == 0, "北海道").alias("address"), F.array(pick(["lt", "contest", "x"], 3)).alias("tags"),
+        F.lit("2025-03-03T18:00:00Z").alias("started_at"), F.lit(None).cast("string").alias("ended_at"), pick(["東京都渋谷区", "Zoom", "", "京都 meetup", "online 札幌", None, "virtual", "大阪"], 8).alias("place"),
+        F.when(F.col("doc_id") % 3 == 0, "北海道").when(F.col("doc_id") % 3 == 1, "青森市").alias("address"), F.array(pick(["lt", "contest", "x", "lightning_talk", "Hackathon"], 5)).alias("tags"),
     )
     rows = rows.select(*normalise.api_event())
     return rows.select("id", "title", "description", "venue", "location", F.col("startTime").alias("start_time"), "format", F.col("eventType").alias("event_type"))
@@ -388,7 +385,9 @@ def rrf_rerank(spark, d):
 
 @query(f"WITH {SIMS}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS r FROM s) SELECT query_id, id, round(sim, 6) AS sim FROM t WHERE r <= 50 AND sim >= 0.2 AND label <> 3")
 def retrieve(spark, d):
-    return vectors.retrieve(similarities(spark, d), "query_id", "id", 50, 0.2, F.col("label") != 3).select("query_id", "id", r6(F.col("sim")).alias("sim"))
+    labels = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    found = nearest(spark, d, 50).join(labels, "id")
+    return vectors.retrieved(found, 0.2, F.col("label") != 3).select("query_id", "id", r6(F.col("sim")).alias("sim"))
 
 
 def profiles(spark, d):
@@ -404,11 +403,11 @@ def recommend_by_profile(spark, d):
     return recommend.by_profile(profiles(spark, d), events, ["text", "source"], least=30)
 
 
-@query(r"""WITH q AS (SELECT conv_id AS user, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 1)[1:5] AS w, text FROM conversations WHERE conv_id % 20 = 0 AND turn = 0 AND length(trim(text)) > 0), u AS (SELECT user, CASE WHEN len(w) > 0 THEN w ELSE [text] END AS k FROM q),
+@query(r"""WITH q AS (SELECT conv_id || '/' || turn AS user, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) > 1)[1:5] AS w, text FROM conversations WHERE conv_id % 20 = 0 AND length(trim(text)) > 0), u AS (SELECT user, CASE WHEN len(w) > 0 THEN w ELSE [text] END AS k FROM q),
   e AS (SELECT doc_id AS id, lower(coalesce(text, '')) AS t FROM documents), m AS (SELECT user, id, list_filter(k, lambda w: contains(t, lower(w))) AS m FROM u, e), r AS (SELECT *, row_number() OVER (PARTITION BY user ORDER BY len(m) DESC, id) AS r FROM m)
   SELECT user, id, len(m)::INT AS score, least(100, len(m) * 10)::INT AS relevance, coalesce(array_to_string(m, ','), '') AS matched FROM r WHERE r <= 5 AND len(m) * 10 >= 20""")
 def recommend_by_question(spark, d):
-    questions = read(spark, d, "conversations").where("conv_id % 20 = 0 and turn = 0 and length(trim(text)) > 0").select(F.col("conv_id").alias("user"), F.col("text").alias("question"))
+    questions = read(spark, d, "conversations").where("conv_id % 20 = 0 and length(trim(text)) > 0").select(F.concat_ws("/", "conv_id", "turn").alias("user"), F.col("text").alias("question"))
     return recommend.by_question(questions, read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["text"], least=20)
 
 
@@ -423,7 +422,7 @@ def recommend_hyde(spark, d):
 @query()
 def recommend_by_tags(spark, d):
     events = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.split("p_name", " ").alias("keyPhrases"), F.array("p_type", "p_brand").alias("keySentences"))
-    tags = read(spark, d, "part").where("p_partkey % 200 = 0").select(F.col("p_type").alias("tag"))
+    tags = read(spark, d, "part").where("p_partkey % 20 = 0").select(F.col("p_type").alias("tag"))
     rows = recommend.by_tags(tags, events, modes=("concat", "per_keyword"), methods=("rrf", "weighted", "hybrid"), threshold=0.2)
     return rows.select("tag", "id", "label", r6(F.col("score")).alias("score"), r6(F.col("mean_sim")).alias("mean_sim"))
 
@@ -435,11 +434,13 @@ def rag_context(spark, d):
     return recommend.context(questions, events)
 
 
-@query("SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(text, ','), lambda x: trim(x)), lambda x: length(x) > 0))), '|'), '') AS words FROM conversations WHERE NOT contains(text, '、') AND regexp_matches(text, '^[!-~ ]*$')")
+@query(r"""WITH c AS (SELECT conv_id, turn, coalesce(text, '') || (['', '、b', ',c 、 d', '、'])[conv_id % 4 + 1] AS t FROM conversations), w AS (SELECT *, CASE WHEN contains(t, ',') THEN string_split(t, ',') WHEN contains(t, '、') THEN string_split(t, '、') ELSE [t] END AS w FROM c)
+  SELECT conv_id, turn, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(w, lambda x: trim(x)), lambda x: length(x) > 0))), '|'), '') AS words FROM w""")
 def profile_keywords(spark, d):
-    rows = read(spark, d, "conversations").where(~F.contains("text", F.lit("、")) & F.col("text").rlike("^[!-~ ]*$"))
-    words = providers.profile_keywords(F.array("text"), F.lit(None).cast("array<string>"))
-    return rows.select("conv_id", "turn", F.array_join(F.array_sort(words), "|").alias("words"))
+    """Texts as profiles' tags, some with a comma of either script behind them."""
+    tags = F.concat(F.coalesce("text", F.lit("")), F.element_at(F.array(*map(F.lit, ["", "、b", ",c 、 d", "、"])), (F.col("conv_id") % 4 + 1).cast("int")))
+    words = providers.profile_keywords(F.array(tags), F.lit(None).cast("array<string>"))
+    return read(spark, d, "conversations").select("conv_id", "turn", F.array_join(F.array_sort(words), "|").alias("words"))
 
 
 @query("SELECT count(*) AS total FROM documents WHERE contains(lower(text), 'license')")
@@ -470,3 +471,11 @@ def vector_store(spark, d):
     rows = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("title"), F.lit("u").alias("url"), F.col("o_orderstatus").alias("description"), F.lit("v").alias("venue"), F.lit("").alias("address"), F.col("o_orderdate").alias("day"))
     words = F.size(F.split(F.concat_ws(" ", "metadata.title", F.regexp_extract("page", "概要: (.*)$", 1)), " "))
     return recommend.vector_store(rows).select("id", words.alias("n_words"), "page", F.col("metadata.eventDate").alias("day"), F.size("vec").alias("dims"))
+
+
+@query("""WITH n AS (SELECT p_partkey, p_name || ' ' || p_brand AS name FROM part), u AS (SELECT name, min(p_partkey) AS first FROM n GROUP BY 1), s AS (SELECT a.name AS a, b.first, 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) AS sim FROM u a JOIN u b ON a.name <> b.name),
+  r AS (SELECT a, first, sim, row_number() OVER (PARTITION BY a ORDER BY sim DESC, first) AS r FROM s WHERE sim > 0.7) SELECT p_partkey, first AS match, round(sim, 6) AS sim FROM n JOIN r ON a = name WHERE r = 1""")
+def best_name_match(spark, d):
+    """The name most like each part's own, of all other names; no blocking column."""
+    rows = read(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("match"), F.concat_ws(" ", "p_name", "p_brand").alias("name"))
+    return fuzzy.best_matches(rows, "p_partkey", "name", rows, "match", "name").withColumn("sim", r6(F.col("sim")))

@@ -96,8 +96,10 @@ def word_textrank(spark, d):
   k AS (SELECT doc_id, chunk FROM c GROUP BY 1, 2 HAVING count(*) >= 3), x AS (SELECT c.* FROM c JOIN k USING (doc_id, chunk)), f AS (SELECT doc_id, chunk, w, count(*) AS tf FROM x GROUP BY 1, 2, 3),
   n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY 1), g AS (SELECT f.*, count(*) OVER (PARTITION BY f.doc_id, w) AS df FROM f),
   s AS (SELECT g.doc_id, chunk, w, round(tf * (1 + ln(n.n / (1 + df))), 9) AS s FROM g JOIN n USING (doc_id)), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk ORDER BY s DESC, w) AS r FROM s),
-  m AS (SELECT doc_id, w, max(s) AS score FROM b WHERE r <= 10 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM m)
-  SELECT doc_id, r::INT AS rank, w AS word, round(score, 6) AS score FROM o WHERE r <= 20""")
+  m AS (SELECT doc_id, w, max(s) AS score FROM b WHERE r <= 10 GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, w) AS r FROM m),
+  z AS (SELECT doc_id, count(*) AS words FROM t GROUP BY 1), few AS (SELECT z.doc_id, words FROM z LEFT JOIN n USING (doc_id) WHERE words < 10 OR coalesce(n, 0) < 2)
+  SELECT doc_id, r::INT AS rank, w AS word, round(score, 6) AS score FROM o WHERE r <= 20 AND doc_id NOT IN (SELECT doc_id FROM few)
+  UNION ALL SELECT doc_id, (p + 1)::INT, lower(w), NULL FROM t JOIN few USING (doc_id) WHERE p < CASE WHEN words < 10 THEN 10 ELSE 20 END""")
 def tfidf_keywords(spark, d):
     return text.chunk_tfidf(docs(spark, d), "doc_id", "text").withColumn("score", r6(F.col("score")))
 

@@ -17,12 +17,14 @@ TABLES = {
     "Account": "id string, userId string, provider string, providerAccountId string",
     "Session": "id string, sessionToken string, userId string, expires timestamp",
 }
-UNIQUE = {"User": [["email"], ["lineId"]], "Bookmark": [["userId", "eventId"]], "Account": [["provider", "providerAccountId"]], "Session": [["sessionToken"]]}
+UNIQUE = {"User": [["email"], ["lineId"]], "Category": [["name"]], "Bookmark": [["userId", "eventId"]], "Account": [["provider", "providerAccountId"]], "Session": [["sessionToken"]]}
 REFERENCES = {
     "Event": {"organizationId": "Organization"}, "EventCategory": {"eventId": "Event", "categoryId": "Category"}, "EventGoal": {"eventId": "Event"},
     "EventSkill": {"eventId": "Event"}, "EventSpeaker": {"eventId": "Event", "speakerId": "Speaker"}, "Bookmark": {"userId": "User", "eventId": "Event"},
     "Account": {"userId": "User"}, "Session": {"userId": "User"},
 }
+#: References that forbid a delete; all others pass it on.
+RESTRICTED = [("Event", "organizationId")]
 ENUMS = {
     "format": ["ONLINE", "OFFLINE", "HYBRID"], "difficulty": ["BEGINNER", "INTERMEDIATE", "ADVANCED", "FOR_EVERYONE"],
     "eventType": ["HACKATHON", "WORKSHOP", "CONTEST", "LIGHTNING_TALK", "OTHER"],
@@ -34,4 +36,4 @@ API_EVENT = (
     "`group` struct<id:bigint,title:string,url:string>, tags array<string>"
 )
 API_PAGE = f"total int, count int, offset int, events array<struct<{API_EVENT}>>"
-WEBHOOK = "events array<struct<type:string,source:struct<userId:string>,postback:struct<data:string>,message:struct<type:string,text:string>>>"
+WEBHOOK = "events array<struct<type:string,timestamp:bigint,source:struct<userId:string>,postback:struct<data:string>,message:struct<type:string,text:string>>>"

@@ -3,8 +3,9 @@
     spark.dataSource.register(EventApi)
     spark.read.format("event_api").options(url=..., key=..., keyword="a,b", ymd="20250101", count=100, limit=300).load()
 
-A page is a partition; pages are read one after another per partition with a pause. Rows are told apart by id afterwards
-(distinct_pages), as pages can move between requests. Lists go as comma-joined text; options that are missing aren't sent."""
+Pages are read one after another with pauses, until one is empty; readStream goes on where it was. Rows are told apart by id
+afterwards (distinct_pages), as pages can move between requests. Lists go as comma-joined text; options that are missing
+aren't sent."""
 
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 from ..operators.catalog import ONLINE_ADDRESS, reachable
 from ..operators.normalise import prefecture_code, prefecture_stem
@@ -33,9 +34,11 @@ def search_options(keywords: Sequence[str] = (), any_of: Sequence[str] = (), sta
     return {k: str(v) for k, v in values.items() if v not in (None, "")}
 
 
-class Page(InputPartition):
-    def __init__(self, start: int, count: int, extra: dict[str, str]):
-        self.start, self.count, self.extra = start, count, extra
+class Walk(InputPartition):
+    """Places to be read one after another."""
+
+    def __init__(self, places: list[str | None]):
+        self.places = places
 
 
 class EventApi(DataSource):
@@ -46,31 +49,55 @@ class EventApi(DataSource):
     def schema(self) -> str:
         return API_EVENT
 
-    def reader(self, schema) -> DataSourceReader:
+    def _reader(self, schema) -> EventApiReader:
         return EventApiReader({k.lower(): v for k, v in self.options.items()}, [f.name for f in schema.fields])
 
+    def reader(self, schema) -> DataSourceReader:
+        return self._reader(schema)
+
+    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+        return EventApiStream(self._reader(schema))
+
 
 class EventApiReader(DataSourceReader):
-    """Options besides those sent: url, key (both needed), count (rows of a page), limit (rows in all), pause (seconds before
-    each request but the first of a partition), tries, places (prefecture codes: pages of each)."""
+    """Options besides those sent: url, key (both needed), count (rows of a page), limit (rows of a place), pause and
+    place_pause (seconds before each page and each place but the first), tries, places (prefecture codes, read in turn).
+
+    An API takes so many requests a second from one key, however many machines ask, so all requests are made one after
+    another by one task. A place ends at an empty page or at its limit."""
 
     def __init__(self, options: dict[str, str], names: list[str]):
         if not options.get("url") or not options.get("key"):
             raise ValueError("event_api needs the options url and key")
         self.options, self.names = options, names
-
-    def partitions(self) -> list[Page]:
-        count, limit = int(self.options.get("count", 100)), int(self.options.get("limit", self.options.get("count", 100)))
-        places = [{"prefectures": p} for p in self.options["places"].split(",")] if self.options.get("places") else [{}]
-        return [Page(s + 1, min(count, limit - s), extra) for extra in places for s in range(0, limit, count)]
-
-    def read(self, partition: Page) -> Iterator[tuple]:
+        self.count = int(options.get("count", 100))
+        self.limit = int(options.get("limit", self.count))
+        self.places: list[str | None] = [p for p in options.get("places", "").split(",") if p] or [None]
+
+    def partitions(self) -> list[Walk]:
+        return [Walk(self.places)]
+
+    def read(self, partition: Walk) -> Iterator[tuple]:
+        for k, place in enumerate(partition.places):
+            if k:
+                time.sleep(float(self.options.get("place_pause", 2)))
+            start = 1
+            while start <= self.limit:
+                if start > 1:
+                    time.sleep(float(self.options.get("pause", 0.8)))
+                rows = self.page(place, start)
+                if not rows:
+                    break
+                yield from rows
+                start += self.count
+
+    def page(self, place: str | None, start: int) -> list[tuple]:
+        """The rows of one page, after a few tries."""
         o = self.options
-        sent = {k: o[k] for k in SENT if o.get(k)} | partition.extra | {"start": str(partition.start), "count": str(partition.count)}
+        sent = {k: o[k] for k in SENT if o.get(k)} | ({"prefectures": place} if place else {})
+        sent |= {"start": str(start), "count": str(min(self.count, self.limit - start + 1))}
         request = urllib.request.Request(f"{o['url']}?{urllib.parse.urlencode(sent)}", headers={"X-API-Key": o["key"]})
         tries = int(o.get("tries", 3))
-        if partition.start > 1:
-            time.sleep(float(o.get("pause", 0.8)))
         for t in range(tries):
             try:
                 with urllib.request.urlopen(request, timeout=float(o.get("timeout", 30))) as got:
@@ -80,12 +107,59 @@ class EventApiReader(DataSourceReader):
                 if t == tries - 1:
                     raise
                 time.sleep(2**t)
+        out = []
         for e in body.get("events") or []:
             row = {k: e.get(k) for k in self.names}
             for k in ("owner", "group"):
                 if k in row:
                     row[k] = tuple(row[k].get(x) for x in (("id", "nickname", "display_name") if k == "owner" else ("id", "title", "url"))) if row[k] else None
-            yield tuple(row[k] for k in self.names)
+            out.append(tuple(row[k] for k in self.names))
+        return out
+
+
+class EventApiStream(SimpleDataSourceStreamReader):
+    """The same walk as a stream: an offset is a place's number and the page it goes on with, so a pull that was stopped goes
+    on where it was. A micro-batch makes at most as many requests as the option budget says (so many pages of count rows are
+    what the driver passes on), with the same pauses."""
+
+    def __init__(self, source: EventApiReader):
+        self.source = source
+        self.budget = int(source.options.get("budget", 10))
+        self.asked = False
+
+    def initialOffset(self) -> dict:
+        return {"place": 0, "start": 1}
+
+    def _pages(self, at: dict):
+        """(rows, offset behind them), page by page, until the places are done."""
+        place, start = at["place"], at["start"]
+        while place < len(self.source.places):
+            if self.asked:
+                time.sleep(float(self.source.options.get("pause", 0.8) if start > 1 else self.source.options.get("place_pause", 2)))
+            self.asked = True
+            rows = self.source.page(self.source.places[place], start)
+            start += self.source.count
+            if not rows or start > self.source.limit:
+                place, start = place + 1, 1
+            yield rows, {"place": place, "start": start}
+
+    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
+        out, end = [], start
+        for n, (rows, after) in enumerate(self._pages(start), 1):
+            out, end = out + rows, after
+            if n >= self.budget:
+                break
+        return iter(out), end
+
+    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
+        if start != end:
+            for rows, after in self._pages(start):
+                yield from rows
+                if after == end:
+                    break
+
+    def commit(self, end: dict) -> None:
+        pass
 
 
 def recorded(spark: SparkSession, path: str) -> DataFrame:
@@ -142,9 +216,12 @@ def upcoming(as_of: str, days: int = 30, count: int = 20, keyword: str | None =
     return search_options([keyword] if keyword else [], start=str(low), end=str(low + dt.timedelta(days)), count=count, order=2)
 
 
-def by_id(events: DataFrame, number: int) -> DataFrame:
-    """Asked for by its id, so old events are found as well."""
-    return searched(events, {"event_id": str(number)})
+def by_id(events: DataFrame, number: int, overfetch: int | None = None) -> DataFrame:
+    """Asked for by its id, so old events are found as well. overfetch: as the catalogue does it, looked for among the first
+    so many (100 there) that an unfiltered search gives, which misses events that aren't among them."""
+    if overfetch is None:
+        return searched(events, {"event_id": str(number)})
+    return searched(events, search_options(count=overfetch)).where(F.col("id") == number)
 
 
 def for_place(events: DataFrame, place: str | None, as_of: str, days: int = 14) -> DataFrame:

@@ -17,7 +17,6 @@ from eventloom.functions import semantics as S
 from eventloom.operators import catalog, classify, extractors, graphs, payloads, upsert
 from eventloom.plans import recommend
 from eventloom.sources import event_api, pages
-from eventloom.streaming import webhook
 
 
 def slow_linkage(sim, least):
@@ -262,22 +261,6 @@ def test_scalars(spark):
     assert list(reply) == ["a b", "d"]
 
 
-def test_webhook_stream(spark, tmp_path):
-    def post(kind, user, action=None, event=None, text=None):
-        return {"type": kind, "source": {"userId": user}, "postback": {"data": f"action={action}&eventId={event or ''}"} if action else None, "message": {"type": "text", "text": text} if text else None}
-
-    source, table = tmp_path / "in", str(tmp_path / "marks")
-    source.mkdir()
-    (source / "1.json").write_text(json.dumps({"events": [post("postback", "u", "bookmark", "1"), post("postback", "u", "bookmark", "1"), post("postback", "v", "bookmark", "2"), post("message", "u", text="リマインド"), post("postback", None, "bookmark", "3"), post("postback", "u", "bookmark")]}))
-    for _ in range(2):
-        webhook.bookmark_job(spark, str(source), table, str(tmp_path / "cp")).awaitTermination(120)
-    (source / "2.json").write_text(json.dumps({"events": [post("postback", "v", "unbookmark", "2"), post("follow", "w")]}))
-    webhook.bookmark_job(spark, str(source), table, str(tmp_path / "cp")).awaitTermination(120)
-    assert [tuple(x) for x in webhook.bookmarks(spark, table).collect()] == [("u", "1")]
-    rows = webhook.routed(webhook.exploded(spark.read.schema(schemas.WEBHOOK).json(str(source))))
-    assert sorted((x["user"], x["route"]) for x in rows.collect()) == [("u", "bookmark"), ("u", "bookmark"), ("u", "remind"), ("v", "bookmark"), ("v", "unbookmark")]
-
-
 def test_interest_of_one_tag_and_of_many(spark):
     from eventloom.operators import vectors
 
