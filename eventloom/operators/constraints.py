@@ -10,6 +10,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rows import named
 from ..schemas import REFERENCES, RESTRICTED, UNIQUE
 
 References = Mapping[str, Mapping[str, str]]
@@ -86,8 +87,10 @@ def unique_violations(tables: Mapping[str, DataFrame], unique: Mapping[str, Sequ
     out = None
     for table, all_keys in unique.items():
         for columns in all_keys if table in tables else []:
-            some = tables[table].dropna(subset=list(columns)).groupBy(*columns).agg(F.count("*").alias("__times")).where("__times > 1")
-            name = f"{table}({', '.join(columns)})"
-            rows = some.select(F.lit(name).alias("constraint"), F.concat_ws("|", *[F.col(c).cast("string") for c in columns]).alias("key"), F.col("__times").alias("times"))
+            values = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(columns)]).alias("values")
+            full = tables[table].select(values).where(" and ".join(f"values.c{i} is not null" for i in range(len(columns))))
+            some = full.groupBy("values").agg(F.count("*").alias("times")).where("times > 1")
+            text = F.concat_ws("|", *[F.col(f"values.c{i}").cast("string") for i in range(len(columns))])
+            rows = some.select(F.lit(f"{table}({', '.join(columns)})").alias("constraint"), text.alias("key"), "times")
             out = rows if out is None else out.unionByName(rows)
     return out

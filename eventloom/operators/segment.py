@@ -2,7 +2,7 @@
 expectation maximisation, and the most probable cut of a text is found by Viterbi's algorithm.
 
 Each round is a pass over the texts that sums expected counts within each task, and one grouped sum; what is broadcast is the
-list of pieces, whose number is a parameter. Pieces never cross white space or marks, and runs of ASCII letters and digits are
+list of pieces, whose number is a parameter. A piece stays if it shortens the description of the corpus by more than its own. Pieces never cross white space or marks, and runs of ASCII letters and digits are
 pieces as they stand, as they need no cutting."""
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ PIECES, LONGEST, LEAST, ROUNDS = 20_000, 6, 3, 4
 RUN = re.compile(r"[A-Za-z0-9_]+|[^\W\x00-\x7F]+")
 #: Log-probability of a character that the model hasn't seen.
 UNSEEN = -25.0
+#: Nats that a character of a piece costs to name.
+PRICE = 4.0
 #: Different runs that a task counts before it hands them on.
 HELD = 200_000
 
@@ -102,24 +104,44 @@ def substrings(run: str, longest: int = LONGEST) -> dict[str, float]:
     return Counter(run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + longest) + 1))
 
 
-def _model(counts: DataFrame, pieces: int) -> dict[str, float]:
-    """Log-probabilities of the most expected pieces (ties by piece) and of all single characters."""
+def _model(counts: DataFrame, pieces: int) -> tuple[dict[str, float], dict[str, float]]:
+    """Log-probabilities and counts of the most expected pieces (ties by piece) and of all single characters."""
     long = counts.where("length(piece) > 1 and n > 0").orderBy(F.desc("n"), "piece").limit(pieces)
     rows = long.unionByName(counts.where("length(piece) = 1 and n > 0")).collect()  # pieces and the alphabet at most
-    total = math.fsum(r["n"] for r in rows)
-    return {r["piece"]: math.log(r["n"] / total) for r in sorted(rows, key=lambda r: r["piece"])}
+    numbers = {r["piece"]: r["n"] for r in sorted(rows, key=lambda r: r["piece"])}
+    return _logs(numbers), numbers
+
+
+def _logs(numbers: dict[str, float]) -> dict[str, float]:
+    total = math.fsum(numbers.values())
+    return {piece: math.log(n / total) for piece, n in numbers.items()}
+
+
+def pruned(model: dict[str, float], numbers: dict[str, float], pieces: int, longest: int = LONGEST, price: float = PRICE) -> dict[str, float]:
+    """Counts of the pieces that are worth their place: those whose occurrences would cost more by their best other cut than
+    the piece itself costs to name (price a character), the dearest first. What a compound's parts say as well goes."""
+    worth = {}
+    for piece, n in numbers.items():
+        if len(piece) > 1:
+            others = {piece[i:j]: model[piece[i:j]] for i in range(len(piece)) for j in range(i + 1, len(piece) + 1) if j - i < len(piece) and piece[i:j] in model}
+            other = sum(others.get(x, UNSEEN) for x in best_cut(piece, others, longest))
+            worth[piece] = n * (model[piece] - other) - price * len(piece)
+    kept = sorted((x for x, w in worth.items() if w > 0), key=lambda x: (-worth[x], x))[:pieces]
+    return {x: numbers[x] for x in sorted([*kept, *(x for x in numbers if len(x) == 1)])}
 
 
 def fit(texts: DataFrame, column: str, pieces: int = PIECES, rounds: int = ROUNDS, least: int = LEAST) -> dict[str, float]:
-    """The pieces of texts(column) with their log-probabilities: seeds are substrings that occur often enough, weighed by
-    count and length; each round expects counts over all cuts and drops what is hardly used. No text: no pieces."""
+    """The pieces of texts(column) with their log-probabilities: seeds are substrings that occur often enough; each round
+    expects counts over all cuts and drops pieces that aren't worth their place. No text: no pieces."""
     seeds = _counted(texts, column, substrings).where(f"n >= {least} or length(piece) = 1")
-    model = _model(seeds.withColumn("n", F.col("n") * F.length("piece")), 4 * pieces)
+    model, _ = _model(seeds, 4 * pieces)
     for k in range(rounds):
         sent = texts.sparkSession.sparkContext.broadcast(model)
         counts = _counted(texts, column, lambda r, sent=sent: expected(r, sent.value)[0])
         kept = counts.where("n >= 0.5 or length(piece) = 1").withColumn("n", F.greatest("n", F.lit(1e-6)))
-        model = _model(kept, pieces if k == rounds - 1 else 2 * pieces)
+        model, numbers = _model(kept, 4 * pieces)
+        if model:
+            model = _logs(pruned(model, numbers, pieces if k == rounds - 1 else 2 * pieces))
         sent.destroy()
     return model
 

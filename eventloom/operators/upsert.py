@@ -19,7 +19,10 @@ def _numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) ->
 
 def _keys(table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Different keys without a null; as a struct like that of _numbered()."""
-    return table.dropna(subset=list(keys)).select(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")).distinct()
+    there = F.lit(True)
+    for k in keys:
+        there = there & named(k).isNotNull()
+    return table.where(there).select(F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key")).distinct()
 
 
 def insert_if_absent(table: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,8 +66,9 @@ def keep_newest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def without(table: DataFrame, gone: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Deletes by key."""
-    return table.join(gone.select(*keys).distinct(), list(keys), "left_anti")
+    """Deletes by key; a null key is never deleted."""
+    rows = table.select(packed(table), F.struct(*[named(k).alias(f"k{i}") for i, k in enumerate(keys)]).alias("key"))
+    return rows.join(_keys(gone, keys), "key", "left_anti").select(*unpacked(table.columns))
 
 
 def replace_children(children: DataFrame, foreign: str, new: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ def sentence_rows(kind: str) -> str:
 
 #: scores (doc_id, node, s) of nodes (doc_id, node) by edges (doc_id, src, dst, w), stopping as the operator does.
 def page_rank_sql(rounds: int, tolerance: str = "1e-4") -> str:
-    return f"""sh AS (SELECT doc_id, src, dst, w / sum(w) OVER (PARTITION BY doc_id, src) AS share FROM edges),
+    return f"""sh AS MATERIALIZED (SELECT doc_id, src, dst, w / sum(w) OVER (PARTITION BY doc_id, src) AS share FROM edges),
   pr AS (SELECT doc_id, node, 1.0::DOUBLE AS s, 0 AS it, false AS done FROM nodes UNION ALL
     SELECT doc_id, node, s2, it + 1, max(abs(s2 - s)) OVER (PARTITION BY doc_id) < {tolerance} FROM (
-      SELECT n.doc_id, n.node, n.s, n.it, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(sum(sh.share * p.s), 0) AS s2 FROM pr n LEFT JOIN sh ON sh.doc_id = n.doc_id AND sh.dst = n.node
-      LEFT JOIN pr p ON p.doc_id = sh.doc_id AND p.node = sh.src WHERE NOT n.done AND n.it < {rounds} GROUP BY ALL)),
+      SELECT n.doc_id, n.node, n.s, n.it, 0.15::DOUBLE + 0.85::DOUBLE * coalesce(g.g, 0) AS s2 FROM pr n
+      LEFT JOIN (SELECT p.doc_id, sh.dst AS node, sum(sh.share * p.s) AS g FROM pr p JOIN sh ON sh.doc_id = p.doc_id AND sh.src = p.node WHERE NOT p.done GROUP BY 1, 2) g ON g.doc_id = n.doc_id AND g.node = n.node WHERE NOT n.done AND n.it < {rounds})),
   scores AS (SELECT doc_id, node, arg_max(s, it) AS s FROM pr GROUP BY 1, 2)"""
 
 
@@ -81,9 +81,12 @@ def textrank_keywords(spark, d):
 ALL_WORDS = r"list_filter(regexp_split_to_array(regexp_replace(text, '[[:punct:]。、！？「」『』（）]', ' ', 'g'), '\s+'), lambda x: length(x) > 0)"
 
 
-WORD_RANKS = f"""tk AS (SELECT doc_id, unnest({ALL_WORDS}) AS w, generate_subscripts({ALL_WORDS}, 1) AS p FROM documents), tl AS (SELECT doc_id, p, w AS form, lower(w) AS w FROM tk WHERE length(w) >= 2),
-  v AS (SELECT doc_id, count(DISTINCT w) AS v FROM tl GROUP BY 1), nodes AS (SELECT doc_id, w AS node, min(p) AS p, arg_min(form, p) AS form, count(*) AS n FROM tl JOIN v USING (doc_id) WHERE v >= 2 GROUP BY 1, 2),
-  edges AS (SELECT a.doc_id, a.w AS src, b.w AS dst, count(*)::DOUBLE AS w FROM tl a JOIN tl b ON a.doc_id = b.doc_id AND a.p <> b.p AND b.p BETWEEN a.p - 5 AND a.p + 5 AND a.w <> b.w GROUP BY 1, 2, 3),
+# Words within five places meet by equal places, shifted; nodes are numbers, as PageRank joins them round by round.
+WORD_RANKS = f"""tk AS (SELECT doc_id, unnest({ALL_WORDS}) AS w, generate_subscripts({ALL_WORDS}, 1) AS p FROM documents),
+  tl AS MATERIALIZED (SELECT doc_id, p, w AS form, dense_rank() OVER (ORDER BY doc_id, lower(w)) AS w FROM tk WHERE length(w) >= 2),
+  v AS (SELECT doc_id, count(DISTINCT w) AS v FROM tl GROUP BY 1), nodes AS MATERIALIZED (SELECT doc_id, w AS node, min(p) AS p, arg_min(form, p) AS form, count(*) AS n FROM tl JOIN v USING (doc_id) WHERE v >= 2 GROUP BY 1, 2),
+  ahead AS (SELECT a.doc_id, a.w AS x, b.w AS y FROM (SELECT doc_id, p, w, unnest([1, 2, 3, 4, 5]) AS d FROM tl) a JOIN tl b ON b.doc_id = a.doc_id AND b.p = a.p + a.d WHERE a.w <> b.w),
+  edges AS MATERIALIZED (SELECT doc_id, src, dst, count(*)::DOUBLE AS w FROM (SELECT doc_id, x AS src, y AS dst FROM ahead UNION ALL SELECT doc_id, y, x FROM ahead) GROUP BY 1, 2, 3),
   {page_rank_sql(50)}, best AS (SELECT doc_id, form, s * ln(n + 1) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY round(s * ln(n + 1), 9) DESC, p) AS r FROM scores JOIN nodes USING (doc_id, node))"""
 
 

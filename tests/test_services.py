@@ -5,6 +5,7 @@ import json
 import math
 import random
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, HTTPServer
 from urllib.parse import parse_qs, urlparse
 
@@ -164,13 +165,15 @@ def test_merge_and_weights(spark):
 
 class Api(BaseHTTPRequestHandler):
     asked: list = []
+    times: list = []
 
     def do_GET(self):
         q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
         Api.asked.append((q, self.headers["X-API-Key"]))
+        Api.times.append(time.time())
         start, count = int(q["start"]), int(q["count"])
         events = [{"id": i, "title": f"t{i}", "started_at": "2025-01-01T10:00:00+09:00", "place": "東京", "owner": {"id": 1, "nickname": "n", "display_name": "d"}, "group": None, "tags": ["a"]} for i in range(start, min(start + count, 8))]
-        if start > 1:
+        if start > 1 and events:
             events.append({"id": 1, "title": "t1"})  # a row that moved between pages
         body = json.dumps({"total": 7, "events": events}).encode()
         self.send_response(200)
@@ -199,6 +202,46 @@ def test_event_api(spark):
         spark.read.format("event_api").load().count()
 
 
+def test_a_pull_stops_and_waits(spark, tmp_path):
+    server = HTTPServer(("127.0.0.1", 0), Api)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    options = {"url": f"http://127.0.0.1:{server.server_port}/events", "key": "k", "count": "3", "limit": "30", "places": "tokyo,online", "pause": "0.2", "place_pause": "0.4"}
+    # 7 events a place: three pages, and an empty one that ends it
+    want = [(p, str(s)) for p in ("tokyo", "online") for s in (1, 4, 7, 10)]
+    try:
+        spark.dataSource.register(event_api.EventApi)
+        Api.asked.clear(), Api.times.clear()
+        rows = spark.read.format("event_api").options(**options).load().select("id").collect()
+        assert [(q["prefectures"], q["start"]) for q, _ in Api.asked] == want and sorted({r["id"] for r in rows}) == [1, 2, 3, 4, 5, 6, 7]
+        gaps = np.diff(Api.times)
+        assert (gaps >= 0.19).all() and gaps[3] >= 0.39
+        # as a stream: three requests a batch, from where the last one ended
+        Api.asked.clear(), Api.times.clear()
+        got, batches = [], []
+
+        def keep(df, n):
+            ids = [r["id"] for r in df.select("id").collect()]
+            got.extend(ids)
+            batches.append(len(ids))
+
+        stream = spark.readStream.format("event_api").options(**options, budget="3").load()
+        job = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="0 seconds").start()
+        end = time.time() + 90
+        while time.time() < end and not (len(got) >= 18 and len(Api.asked) >= 8):
+            time.sleep(0.2)
+        job.stop()
+        assert [(q["prefectures"], q["start"]) for q, _ in Api.asked[:8]] == want and len(Api.asked) == 8
+        assert sorted(set(got)) == [1, 2, 3, 4, 5, 6, 7] and (np.diff(Api.times) >= 0.19).all() and len(batches) >= 3
+    finally:
+        server.shutdown()
+
+
+def test_by_id_as_the_catalogue_does(spark):
+    kind = "id bigint, title string, catch string, description string, address string, started_at string, updated_at string"
+    rows = spark.createDataFrame([(i, "t", "", "", "", "2025-01-01", f"2025-01-{10 + i}") for i in range(1, 6)], kind)
+    assert event_api.by_id(rows, 2).count() == 1 and event_api.by_id(rows, 4, 2).count() == 1 and event_api.by_id(rows, 2, 2).count() == 0
+
+
 def test_recorded_pages(spark, tmp_path):
     def record(i, place, day, title="Python night"):
         return {"id": i, "title": title, "catch": "c", "description": "<p>d</p>", "url": f"u{i}", "started_at": f"{day}T19:00:00+09:00", "ended_at": None, "place": place, "address": "京都府京都市" if i == 3 else None, "tags": ["hackathon"] if i == 2 else [], "owner": {"id": 1, "nickname": "o"}, "group": {"id": 5}}
