@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, Window
@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 WHITE = r"[\s\x{3000}\x{00A0}\x{FEFF}]"
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once however often use names it, also within the lambdas of higher-order functions,
+    where Spark shares no subexpressions."""
+    return F.transform(F.array(value), use)[0]
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WHITE}+|{WHITE}+$", "")
 

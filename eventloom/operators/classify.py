@@ -112,11 +112,8 @@ def keyword_category(text: Column) -> Column:
 
 def weight(label: Column, weights: dict[str, float], missing: float, strict_zero: bool = False) -> Column:
     """A class's weight. As executed, a weight of 0 counts as missing; strict_zero keeps it."""
-    out = None
-    for name, x in weights.items():
-        x = F.lit(float(x) if x or strict_zero else float(missing))
-        out = F.when(label == name, x) if out is None else out.when(label == name, x)
-    return out.otherwise(F.lit(float(missing)))
+    values = [F.lit(v) for name, x in weights.items() for v in (name, float(x) if x or strict_zero else float(missing))]
+    return F.coalesce(F.try_element_at(F.create_map(*values), label), F.lit(float(missing)))
 
 
 def tech_terms(text: Column) -> Column:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.semantics import edit_similarity, half_up
+from ..functions.semantics import edit_similarity, half_up, once
 from . import classify as K
 from . import graphs as G
 from .text import sentences, tokens
@@ -53,27 +53,30 @@ def split_tokens(docs: DataFrame, key: str, text: str, kind: str, tokenizer: Cal
 # sentences by TextRank and what is made of them
 
 
+def ranked_sentences(s: Sequence[str], t: Sequence[Sequence[str]], shares: Sequence[float], most: int = 10) -> list[list[dict]]:
+    """TextRank of one text's sentences s with their tokens t: for each share, that share of them, the best, in order."""
+    kept = [i for i in range(len(s)) if len(t[i])]
+    if len(kept) < 2:
+        first = kept if len(s) > 1 else range(len(s))
+        return [[{"ord": i, "text": s[i], "score": 1.0} for i in list(first)[:5]] for _ in shares]
+    i, j, w = G.overlaps([set(t[k]) for k in kept])
+    scores = G.page_rank(len(kept), i, j, w)
+    order = G.descending(scores)
+    best = [sorted(order[: min(most, int(np.ceil(share * len(kept))))]) for share in shares]
+    return [[{"ord": kept[b], "text": s[kept[b]], "score": float(scores[b])} for b in some] for some in best]
+
+
 def rank_sentences(docs: DataFrame, key: str, text: str, share: float = 0.4, most: int = 10, tokenizer: Callable[[Column], Column] = tokens) -> DataFrame:
     """TextRank: key, s (all sentences), found: the best ceil(share n) of those with tokens, at most so many, in the text's
     order (ord: place in the text); fewer than two such: the first five of them with score 1, and few is true."""
 
-    def rank(s, t):
-        kept = [i for i in range(len(s)) if len(t[i])]
-        if len(kept) < 2:
-            first = kept if len(s) > 1 else range(len(s))
-            return [{"ord": i, "text": s[i], "score": 1.0} for i in list(first)[:5]]
-        i, j, w = G.overlaps([set(t[k]) for k in kept])
-        scores = G.page_rank(len(kept), i, j, w)
-        best = sorted(G.descending(scores)[: min(most, int(np.ceil(share * len(kept))))])
-        return [{"ord": kept[b], "text": s[kept[b]], "score": float(scores[b])} for b in best]
-
     rows = split_tokens(docs, key, text, "a", tokenizer)
     few = F.size(F.filter("t", lambda x: F.size(x) > 0)) < 2
     both = rows.select(key, "s", "t", few.alias("few"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({key: b[key], "s": b["s"], "few": b["few"], "found": [rank(s, t) for s, t in zip(b["s"], b["t"], strict=True)]})
+            yield pd.DataFrame({key: b[key], "s": b["s"], "few": b["few"], "found": [ranked_sentences(s, t, (share,), most)[0] for s, t in zip(b["s"], b["t"], strict=True)]})
 
     return both.mapInPandas(run, f"{key} {docs.schema[key].dataType.simpleString()}, s array<string>, few boolean, found {RANKED}")
 
@@ -82,12 +85,16 @@ def drop_alike(items: Column, least: float) -> Column:
     """Greedy deduplication of an array of structs (text, weighted, ...): a later one alike to one that stayed takes its place
     if it weighs more, else it goes."""
 
-    def step(acc, x):
-        at = F.array_position(F.transform(acc, lambda y: edit_similarity(F.lower(x["text"]), F.lower(y["text"])) >= least), F.lit(True)).cast("int")
-        heavier = (x["weighted"] > 0) & (F.try_element_at(acc, at) ["weighted"] > 0) & (x["weighted"] > F.try_element_at(acc, at)["weighted"])
+    def placed(acc, x, at):
+        other = F.try_element_at(acc, at)["weighted"]
+        heavier = (x["weighted"] > 0) & (other > 0) & (x["weighted"] > other)
         swapped = F.transform(acc, lambda y, i: F.when(i + 1 == at, x).otherwise(y))
         return F.when(at == 0, F.concat(acc, F.array(x))).when(heavier, swapped).otherwise(acc)
 
+    def step(acc, x):
+        alike = F.transform(acc, lambda y: edit_similarity(F.lower(x["text"]), F.lower(y["text"])) >= least)
+        return once(F.array_position(alike, F.lit(True)).cast("int"), lambda at: placed(acc, x, at))
+
     return F.aggregate(items, F.slice(items, 1, 0), lambda acc, x: step(acc, x))
 
 
@@ -103,8 +110,7 @@ def weighted(texts: Column, label: Callable[[Column], Column], weights: dict[str
 
     def one(x, i):
         score = F.greatest(F.lit(0.1), 1.0 - step * i)
-        category = label(x)
-        return F.struct(x.alias("text"), category.alias("category"), score.alias("score"), (score * K.weight(category, weights, missing, strict_zero)).alias("weighted"))
+        return once(label(x), lambda c: F.struct(x.alias("text"), c.alias("category"), score.alias("score"), (score * K.weight(c, weights, missing, strict_zero)).alias("weighted")))
 
     return F.transform(texts, one)
 
@@ -156,66 +162,101 @@ def _texts(c: Column) -> Column:
     return F.transform(c, lambda x: x["text"])
 
 
+def _phrases(own: Column, few: Column, s: Column, refine: bool) -> Column:
+    better = _texts(refine_phrases(own)) if refine else own
+    second = F.when(few, s).otherwise(own if refine else s)
+    return without_markup(pad(F.when(few, own).otherwise(better), second))
+
+
+def _sentences(own: Column, few: Column, refine: bool) -> Column:
+    better = _texts(refine_sentences(own)) if refine else own
+    return without_markup(F.when(few, own).otherwise(better))
+
+
+def _words(own: Column, refine: bool, most: int = 10) -> Column:
+    return _texts(refine_keywords(own, most)) if refine else F.slice(own, 1, most)
+
+
 def key_phrases(docs: DataFrame, key: str, text: str, refine: bool = True) -> DataFrame:
     """key, phrases: TextRank's sentences refined (or as they are), at least three where the text has them, without markup."""
-    ranked = rank_sentences(docs, key, text)
-    own = _texts(F.col("found"))
-    better = _texts(refine_phrases(own)) if refine else own
-    second = F.when(F.col("few"), F.col("s")).otherwise(own if refine else F.col("s"))
-    return ranked.select(key, without_markup(pad(F.when(F.col("few"), own).otherwise(better), second)).alias("phrases"))
+    return rank_sentences(docs, key, text).select(key, _phrases(_texts(F.col("found")), F.col("few"), F.col("s"), refine).alias("phrases"))
 
 
 def key_sentences(docs: DataFrame, key: str, text: str, refine: bool = True) -> DataFrame:
     """key, sentences: the better half of TextRank's sentences, refined or as they are, without markup."""
-    ranked = rank_sentences(docs, key, text, 0.5)
-    own = _texts(F.col("found"))
-    better = _texts(refine_sentences(own)) if refine else own
-    return ranked.select(key, without_markup(F.when(F.col("few"), own).otherwise(better)).alias("sentences"))
+    return rank_sentences(docs, key, text, 0.5).select(key, _sentences(_texts(F.col("found")), F.col("few"), refine).alias("sentences"))
+
+
+def all_words(text: Column) -> Column:
+    """Everything between punctuation and white space."""
+    return F.filter(F.split(F.regexp_replace(text, r"[\p{Punct}。、！？「」『』（）]", " "), r"\s+"), lambda x: F.length(x) > 0)
+
+
+def ranked_words(t: Sequence[str], window: int = 5, most: int = 50) -> list[dict]:
+    """TextRank of one text's tokens, see word_ranks()."""
+    index: dict[str, int] = {}
+    forms: list[str] = []
+    at = np.full(len(t), -1)
+    for p, w in enumerate(t):
+        if len(w) >= 2:
+            low = w.lower()
+            if low not in index:
+                index[low] = len(index)
+                forms.append(w)
+            at[p] = index[low]
+    v = len(index)
+    if v < 2:
+        return []
+    codes = [np.zeros(0, np.int64)]
+    for d in range(1, min(window, len(at) - 1) + 1):
+        a, b = at[:-d], at[d:]
+        ok = (a >= 0) & (b >= 0) & (a != b)
+        codes += [a[ok] * v + b[ok], b[ok] * v + a[ok]]
+    code, n = np.unique(np.concatenate(codes), return_counts=True)
+    scores = G.page_rank(v, code // v, code % v, n.astype(float)) * np.log(np.bincount(at[at >= 0], minlength=v) + 1)
+    return [{"ord": int(i), "text": forms[i], "score": float(scores[i])} for i in G.descending(scores)[:most]]
 
 
 def word_ranks(docs: DataFrame, key: str, text: str, window: int = 5, most: int = 50, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """TextRank of a text's words (lower-cased, two characters at least): key, found of the best by score times ln(frequency
     + 1). Words at most window places apart, counted over all tokens, are neighbours; each pair of places counts. The text
     is a word's first form; fewer than two words give nothing."""
-    whole = tokenizer or (lambda c: F.filter(F.split(F.regexp_replace(c, r"[\p{Punct}。、！？「」『』（）]", " "), r"\s+"), lambda x: F.length(x) > 0))
-
-    def rank(t):
-        index: dict[str, int] = {}
-        forms: list[str] = []
-        at = np.full(len(t), -1)
-        for p, w in enumerate(t):
-            if len(w) >= 2:
-                low = w.lower()
-                if low not in index:
-                    index[low] = len(index)
-                    forms.append(w)
-                at[p] = index[low]
-        v = len(index)
-        if v < 2:
-            return []
-        codes = [np.zeros(0, np.int64)]
-        for d in range(1, min(window, len(at) - 1) + 1):
-            a, b = at[:-d], at[d:]
-            ok = (a >= 0) & (b >= 0) & (a != b)
-            codes += [a[ok] * v + b[ok], b[ok] * v + a[ok]]
-        code, n = np.unique(np.concatenate(codes), return_counts=True)
-        scores = G.page_rank(v, code // v, code % v, n.astype(float)) * np.log(np.bincount(at[at >= 0], minlength=v) + 1)
-        return [{"ord": int(i), "text": forms[i], "score": float(scores[i])} for i in G.descending(scores)[:most]]
-
+    whole = tokenizer or all_words
     rows = docs.select(key, F.coalesce(whole(F.col(text)), F.array().cast("array<string>")).alias("t"))
-    return per_text(rows, key, rank, RANKED)
+    return per_text(rows, key, lambda t: ranked_words(t, window, most), RANKED)
 
 
 def key_words(docs: DataFrame, key: str, text: str, refine: bool = True, most: int = 10) -> DataFrame:
     """key, keywords: the ranked words refined, or the first so many."""
-    own = _texts(F.col("found"))
-    return word_ranks(docs, key, text).select(key, (_texts(refine_keywords(own, most)) if refine else F.slice(own, 1, most)).alias("keywords"))
+    return word_ranks(docs, key, text).select(key, _words(_texts(F.col("found")), refine, most).alias("keywords"))
 
 
 def event_key_data(docs: DataFrame, key: str, text: str, refine: bool = True) -> DataFrame:
-    """key, keywords, phrases, sentences of each text: the three live extractors; key identifies a row."""
-    words = key_words(docs, key, text, refine)
-    return words.join(key_phrases(docs, key, text, refine), key).join(key_sentences(docs, key, text, refine), key)
+    """key, keywords, phrases, sentences of each text: the three live extractors in one pass over the texts, without a
+    shuffle. A text on which an extractor breaks has empty lists, and the others theirs."""
+    none = F.array().cast("array<string>")
+    rows = docs.select(key, F.coalesce(sentences(F.col(text), "a"), none).alias("s"), F.coalesce(all_words(F.col(text)), none).alias("words"))
+    rows = rows.withColumn("t", F.transform("s", lambda x: tokens(x)))
+    few = F.size(F.filter("t", lambda x: F.size(x) > 0)) < 2
+    both = rows.select(key, "s", "t", "words", few.alias("few"))
+    names = ["phrases", "sentences", "keywords"]
+
+    def one(s, t, words) -> tuple:
+        try:
+            ranked = ranked_sentences(s, t, (0.4, 0.5))
+            return *([x["text"] for x in found] for found in (*ranked, ranked_words(words))), False
+        except Exception:  # that text's lists are empty; a job of many goes on
+            return [], [], [], True
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [one(*([] if x is None else x for x in row)) for row in zip(b["s"], b["t"], b["words"], strict=True)]
+            yield pd.DataFrame({key: b[key], "s": b["s"], "few": b["few"]} | {n: [f[k] for f in found] for k, n in enumerate([*names, "broken"])})
+
+    kind = docs.schema[key].dataType.simpleString()
+    ranked = both.mapInPandas(run, f"{key} {kind}, s array<string>, few boolean, phrases array<string>, sentences array<string>, keywords array<string>, broken boolean")
+    cells = {"keywords": _words(F.col("keywords"), refine), "phrases": _phrases(F.col("phrases"), F.col("few"), F.col("s"), refine), "sentences": _sentences(F.col("sentences"), F.col("few"), refine)}
+    return ranked.select(key, *[F.when(F.col("broken"), none).otherwise(c).alias(n) for n, c in cells.items()])
 
 
 # sentences by term weights

@@ -403,15 +403,34 @@ def stop_word_keywords(spark, d):
     return read(spark, d, "documents").where("lang = 'en'").select("doc_id", F.size(found).alias("n"), F.array_join(found, "|").alias("keywords"))
 
 
-@query()
+JARO_SQL = """n AS (SELECT p_partkey, p_name AS a, coalesce(lead(p_name) OVER (ORDER BY p_partkey), p_name) AS b FROM part), d AS (SELECT DISTINCT a, b FROM n),
+  m AS (SELECT a, b, 0 AS i, []::INT[] AS taken, ''::VARCHAR AS mine FROM d UNION ALL
+    SELECT a, b, i + 1, CASE WHEN j IS NULL THEN taken ELSE list_append(taken, j) END, CASE WHEN j IS NULL THEN mine ELSE mine || a[i + 1] END FROM (
+      SELECT *, list_min(list_filter(range(greatest(1, i + 1 - r), least(length(b), i + 1 + r) + 1)::INT[], lambda k: b[k] = a[i + 1] AND NOT list_contains(taken, k))) AS j FROM (SELECT *, greatest(length(a), length(b)) // 2 - 1 AS r FROM m WHERE i < length(a)))),
+  f AS (SELECT a, b, mine, list_reduce(list_prepend('', list_transform(list_sort(taken), lambda k: b[k])), lambda x, y: x || y) AS theirs FROM m WHERE i = length(a)),
+  o AS (SELECT a, b, length(mine) AS k, len(list_filter(range(1, length(mine) + 1), lambda x: mine[x] <> theirs[x])) / 2 AS t FROM f),
+  j AS (SELECT a, b, CASE WHEN a = b THEN 1.0::DOUBLE WHEN k = 0 THEN 0.0::DOUBLE ELSE (k / length(a) + k / length(b) + (k - t) / k) / 3 END AS jaro FROM o),
+  w AS (SELECT a, b, jaro + 0.1::DOUBLE * len(list_filter([1, 2, 3, 4], lambda x: x <= least(length(a), length(b)) AND a[1:x] = b[1:x])) * (1 - jaro) AS sim FROM j)"""
+
+
+def name_sql() -> str:
+    pairs = "n AS (SELECT DISTINCT a.p_name AS a, b.p_name AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey)"
+    ranked = JARO_SQL[JARO_SQL.index("d AS"):]
+    return f"""WITH RECURSIVE {pairs}, {ranked} SELECT a.p_partkey AS a, b.p_partkey AS b, round(sim, 6) AS sim FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey JOIN w ON w.a = a.p_name AND w.b = b.p_name WHERE sim > 0.75"""
+
+
+@query(name_sql())
 def name_similarity(spark, d):
-    """No SQL form: half transpositions count as they are here, while DuckDB's function rounds them down."""
+    """Half transpositions count as they are (DuckDB's own function rounds them down, so the SQL form matches letters itself)."""
     p = read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     both = p.alias("a").join(p.alias("b"), ["p_brand", "p_type"]).where("a.p_partkey < b.p_partkey")
     rows = both.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), S.jaro_winkler(F.col("a.p_name"), F.col("b.p_name")).alias("sim"))
     return rows.where("sim > 0.75").withColumn("sim", r6(F.col("sim")))
 
 
-@query("SELECT p_partkey, round(0.7::DOUBLE * 1.0 + 0.3::DOUBLE * 1.0, 6) AS sim FROM part")
+@query(f"""WITH RECURSIVE {JARO_SQL} SELECT p_partkey, round(0.7::DOUBLE * sim + 0.3::DOUBLE * len(list_intersect(list_distinct(string_split(n.a, ' ')), list_distinct(string_split(n.b, ' ')))) / len(list_distinct(list_concat(string_split(n.a, ' '), string_split(n.b, ' ')))), 6) AS sim FROM n JOIN w ON w.a = n.a AND w.b = n.b""")
 def phrase_similarity(spark, d):
-    return read(spark, d, "part").select("p_partkey", r6(S.phrase_similarity(F.col("p_name"), F.col("p_name"))).alias("sim"))
+    """Each part's name with the next one's, words in another place and all."""
+    p = read(spark, d, "part")
+    both = p.join(p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next")), "p_partkey", "left")
+    return both.select("p_partkey", r6(S.phrase_similarity(F.col("p_name"), F.coalesce("next", "p_name"))).alias("sim"))
