@@ -223,6 +223,18 @@ def modest(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, rows)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Rows go to Python workers in batches of so many bytes at most; for jobs that run within."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def whole(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     """All rows of a task; for shuffle partitions of narrow rows only."""
     got = [b for b in batches if b.num_rows]

@@ -271,14 +271,24 @@ class Answers:
     """What a block has been told: by language, its grams' log p and log g for each model."""
 
     def __init__(self, parts: list):
-        lang, gram, *self.values = (np.concatenate(x) for x in zip(*parts, strict=True))
-        self.place = {x: (at := np.flatnonzero(lang == x), pd.Index(gram[at])) for x in np.unique(lang).tolist()}
+        """parts: lists of a batch's columns (language, gram, values), each column given up as it is joined; by language."""
+        lang = np.concatenate([p.pop(0) for p in parts])
+        order = None if (lang[1:] >= lang[:-1]).all() else np.argsort(lang, kind="stable")
+        columns = []
+        while parts and parts[0]:
+            whole = np.concatenate([p.pop(0) for p in parts])
+            columns.append(whole if order is None else whole[order])
+        lang = lang if order is None else lang[order]
+        gram, *self.values = columns
+        names = np.unique(lang)
+        cuts = np.searchsorted(lang, np.append(names, np.iinfo(lang.dtype).max)).tolist()
+        self.place = {x: (a, pd.Index(gram[a:b])) for x, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True)}
 
     def find(self, lang: int, gram: np.ndarray, column: int) -> np.ndarray:
         """The values of a column; nan where there is none."""
-        at, index = self.place.get(lang, (np.zeros(0, np.int64), pd.Index([], dtype=np.int64)))
+        first, index = self.place.get(lang, (0, pd.Index([], dtype=np.int64)))
         found, out = index.get_indexer(gram.view(np.int64)), np.full(len(gram), np.nan)
-        out[found >= 0] = self.values[column][at[found[found >= 0]]]
+        out[found >= 0] = self.values[column][first + found[found >= 0]]
         return out
 
     def costs(self, codes: np.ndarray, at: np.ndarray, lang: int, model: int) -> np.ndarray:
@@ -347,7 +357,7 @@ def _perplexities(docs: DataFrame, model: Model) -> DataFrame:
     asked = _asks(placed).distinct().join(model.table, ["lang", "gram"], "left").where("lang = -1 or " + " or ".join(f"{x} is not null" for x in cols))
     told = asked.select("block", "lang", "gram", *cols, none.cast("binary").alias("blob"))
     rows = told.unionByName(_packed(placed).select("block", none.cast("int").alias("lang"), none.cast("long").alias("gram"), *[none.cast("float").alias(x) for x in cols], "blob"))
-    rows = rows.repartition("block").sortWithinPartitions("block", F.col("blob").isNotNull())
+    rows = rows.repartition("block").sortWithinPartitions("block", F.col("blob").isNotNull(), "lang")
     kinds = [f for f in placed.schema.fields if f.name != "lang_id" and not f.name.startswith("__")]
     schema = T.StructType([*kinds, T.StructField("perplexity", T.DoubleType()), T.StructField("held_out", T.DoubleType())])
     return rows.mapInArrow(C.tidy(_scored([f.name for f in kinds])), schema)
@@ -377,12 +387,14 @@ def thresholds(rows: DataFrame, q: float = QUANTILE) -> dict[str, float]:
 def verdicts(docs: DataFrame, labels: DataFrame, columns: list[str], q: float = QUANTILE) -> DataFrame:
     """columns (of docs, computed from doc_id, lang and text), perplexity, threshold and keep for each row of docs."""
     docs = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    model = fit(docs, labels)
+    with C.small_batches(docs.sparkSession):
+        model = fit(docs, labels)
     if model is None:
         none = F.lit(None).cast("double")
         return docs.select("*", none.alias("perplexity"), none.alias("threshold"), F.coalesce(F.length("text") > 0, F.lit(False)).alias("keep")).selectExpr(*columns, "perplexity", "threshold", "keep")
     # a trusted row is told by its text's having a held-out score, or no other half to have it from
-    rows = C.stored(_perplexities(docs, model).join(C.sized(model.trusted).withColumn("trusted", F.lit(True)), "doc_id", "left").selectExpr(*columns, "model_lang", "perplexity", "held_out", "trusted"))
+    with C.small_batches(docs.sparkSession):
+        rows = C.stored(_perplexities(docs, model).join(C.sized(model.trusted).withColumn("trusted", F.lit(True)), "doc_id", "left").selectExpr(*columns, "model_lang", "perplexity", "held_out", "trusted"))
     limits = thresholds(rows.where("trusted").select("model_lang", F.coalesce("held_out", "perplexity").alias("perplexity")), q)
     model.discard()
     limit = F.try_element_at(F.create_map(*[F.lit(x) for pair in limits.items() for x in pair]), F.col("model_lang")) if limits else F.lit(None).cast("double")
