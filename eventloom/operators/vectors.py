@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.semantics import cosine
+from ..sources.lineage import cut
 
 RRF_K, HYBRID_SHARE = 60, 0.5
 #: Rows of a query set that are sent to every task at a time.
@@ -18,6 +19,8 @@ QUERY_ROWS = 10_000
 CORPUS_PARTS = 64
 #: Rows of queries and of the corpus that meet as one matrix product, and queries whose products are held at a time.
 QUERY_BLOCK, CORPUS_BLOCK, QUERY_STEP = 8192, 65536, 64
+#: Bounds and scores closer than this aren't told apart.
+CLOSE = 1e-9
 
 
 def against(queries: DataFrame, corpus: DataFrame, key: str) -> DataFrame:
@@ -40,7 +43,7 @@ def scored(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return both.withColumn("sim", cosine(F.col("v"), F.col("q"))).drop("v", "q")
 
 
-def _best_of_block(k: int):
+def _best_of_block(k: int, floor: float):
     """cogroup function: the k nearest corpus rows of a block to each query row of a block."""
 
     def run(queries: pa.Table, corpus: pa.Table) -> pa.Table:
@@ -59,13 +62,13 @@ def _best_of_block(k: int):
             part = q[low : low + QUERY_STEP]
             with np.errstate(divide="ignore", invalid="ignore"):
                 rough = (part @ v.T) / (nq[low : low + QUERY_STEP, None] * nv)
-            rough = np.where(np.isfinite(rough), rough, 0.0)
+            rough = np.maximum(np.where(np.isfinite(rough), rough, 0.0), floor)
             for i, row in enumerate(rough):
                 # those that may be among the k best when summed in one order, row by row
                 least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
                 maybe = np.flatnonzero(row >= least - 1e-9)
                 size = nq[low + i] * nv[maybe]
-                sim = np.where(size == 0, 0.0, (v[maybe] * part[i]).sum(1) / np.where(size == 0, 1.0, size))
+                sim = np.maximum(np.where(size == 0, 0.0, (v[maybe] * part[i]).sum(1) / np.where(size == 0, 1.0, size)), floor)
                 best = np.argsort(-sim, kind="stable")[:k]
                 own.append(np.full(len(best), low + i))
                 near.append(maybe[best])
@@ -84,9 +87,9 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return whole.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(whole), -1)
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """query_id, id, ..., sim, rank: the k largest cosines of each row of queries(query_id, q) among corpus(id, v, ...), exact,
-    ties to the smaller id. Null vectors take no part; rows of a repeated id count each.
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, floor: float = -2.0) -> DataFrame:
+    """query_id, id, ..., sim, rank: the k largest cosines (those under floor count as floor) of each row of
+    queries(query_id, q) among corpus(id, v, ...), exact, ties to the smaller id. Null vectors take no part; rows of a repeated id count each.
 
     Both sides are dealt into blocks; a pair of blocks is one matrix product, of which each query keeps its k best, so what
     is shuffled is the corpus for each block of queries, the queries for each block of the corpus, and k rows of each query
@@ -98,15 +101,15 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     asks = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(nq)).alias("a"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))).alias("b"), "query_id", "q")
     rows = corpus.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))).alias("a"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(nv)).alias("b"), *other, "v")
     kinds = ", ".join(f"{c} {x.schema[c].dataType.simpleString()}" for x, names in ((queries, ["query_id"]), (corpus, other)) for c in names)
-    found = asks.groupBy("a", "b").cogroup(rows.groupBy("a", "b")).applyInArrow(_best_of_block(k), f"{kinds}, sim double")
+    found = asks.groupBy("a", "b").cogroup(rows.groupBy("a", "b")).applyInArrow(_best_of_block(k, floor), f"{kinds}, sim double")
     return top(found, "query_id", "sim", "id", k)
 
 
-def ranked(rows: DataFrame, by: str, score: str, tie: str, name: str = "rank") -> DataFrame:
+def ranked(rows: DataFrame, by: str | Sequence[str], score: str, tie: str, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(F.desc(score), tie)))
 
 
-def top(rows: DataFrame, by: str, score: str, tie: str, k: int) -> DataFrame:
+def top(rows: DataFrame, by: str | Sequence[str], score: str, tie: str, k: int) -> DataFrame:
     return ranked(rows, by, score, tie).where(F.col("rank") <= k)
 
 
@@ -116,12 +119,16 @@ def pooled(rows: DataFrame, *keys: str, how: str = "max") -> DataFrame:
     return rows.groupBy(*keys).agg(F.greatest(F.lit(0.0), F.coalesce(f("sim"), F.lit(0.0))).alias("sim"))
 
 
+def share_of(method: str, sim: Column, rank: Column, k: int = RRF_K, share: float = HYBRID_SHARE) -> Column:
+    """What a place in a ranked list adds to a row's fused score. rrf: 1 / (k + rank); weighted: sim over it; hybrid: a share
+    of sim beside it. An unknown method is rrf."""
+    place = k + rank
+    return {"weighted": sim / place, "hybrid": share * sim + (1 - share) / place}.get(method, 1 / place)
+
+
 def fused(lists: DataFrame, *keys: str, method: str = "rrf", k: int = RRF_K, share: float = HYBRID_SHARE) -> DataFrame:
-    """Sum over ranked lists(keys, sim, rank). rrf: 1 / (k + rank); weighted: sim over it; hybrid: a share of sim beside it.
-    An unknown method is rrf."""
-    place = k + F.col("rank")
-    part = {"weighted": F.col("sim") / place, "hybrid": share * F.col("sim") + (1 - share) / place}.get(method, 1 / place)
-    return lists.groupBy(*keys).agg(F.sum(part).alias("score"))
+    """Sum of share_of() over ranked lists(keys, sim, rank)."""
+    return lists.groupBy(*keys).agg(F.sum(share_of(method, F.col("sim"), F.col("rank"), k, share)).alias("score"))
 
 
 def mean_of_two(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
@@ -136,13 +143,64 @@ def recommend(phrases: DataFrame, sentences: DataFrame, tag: str, key: str, thre
     def listed(x):
         return ranked(x.select(tag, key, F.greatest(F.lit(0.0), F.col("sim")).alias("sim")), tag, "sim", key)
 
-    a, b = listed(phrases), listed(sentences)
-    mean, out = mean_of_two(a, b, tag, key).where(F.col("mean_sim") >= threshold), None
-    for method in methods:
-        best = top(fused(a.unionByName(b), tag, key, method=method).join(mean, [tag, key]), tag, "score", key, n)
-        best = best.select(tag, key, F.lit(f"[mode:{mode}][fuse:{method}]").alias("label"), "score", "mean_sim")
-        out = best if out is None else out.unionByName(best)
-    return out
+    both = listed(phrases).unionByName(listed(sentences))
+    scores = [F.sum(share_of(m, F.col("sim"), F.col("rank"))).alias(f"score{i}") for i, m in enumerate(methods)]
+    found = both.groupBy(tag, key).agg((F.sum("sim") / 2).alias("mean_sim"), *scores).where(F.col("mean_sim") >= threshold)
+    return _labelled(top(_by_method(found, methods, tag, key, "mean_sim"), ["tag_method"], "score", key, n), tag, key, mode)
+
+
+def _by_method(rows: DataFrame, methods: Sequence[str], tag: str, *columns: str) -> DataFrame:
+    """A row for each method with its score, of rows with score0, score1, ...; tag_method tells a tag's methods apart."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"score{i}").alias("score")) for i, m in enumerate(methods)]))
+    rows = rows.select(tag, *columns, each.alias("x")).select(tag, *columns, "x.method", "x.score")
+    return rows.withColumn("tag_method", F.struct(F.col(tag), F.col("method")))
+
+
+def _labelled(rows: DataFrame, tag: str, key: str, mode: str) -> DataFrame:
+    return rows.select(tag, key, F.concat(F.lit(f"[mode:{mode}][fuse:"), "method", F.lit("]")).alias("label"), "score", "mean_sim")
+
+
+def recommend_nearest(tags: DataFrame, events: DataFrame, threshold: float = 0.35, n: int = 5, methods: Sequence[str] = ("weighted",), mode: str = "concat", depth: int = 256) -> DataFrame:
+    """recommend() of tags(tag, qa, qb) and events(id, va, vb), whose lists are cosines of qa with va and of qb with vb,
+    without ranking either list in full: the threshold algorithm, all tags at once.
+
+    Round by round the lists are read down to a depth. An event that both have shown has its exact score; one that a single
+    list has shown has its exact similarities (they are computed) and, as its other rank lies beyond the depth, a bound; no
+    other event can beat what the last places of both lists would give. A tag is done when its n-th exact score beats all
+    bounds, for every method; the others go on four times as deep. At full depth everything is exact."""
+    total, found, asked, wide = events.count(), None, cut(tags.select("tag", "qa", "qb")), len(methods)
+    while total and not asked.isEmpty():
+        depth = min(depth, total)
+        lists = []
+        for x in "ab":
+            best = nearest(asked.select(F.col("tag").alias("query_id"), F.col(f"q{x}").alias("q")), events.select("id", F.col(f"v{x}").alias("v")), depth, 0.0)
+            lists.append(best.select(F.col("query_id").alias("tag"), "id", F.col("sim").alias(f"sim_{x}"), F.col("rank").alias(f"rank_{x}")))
+        seen = cut(lists[0].join(lists[1], ["tag", "id"], "full_outer"))
+        ends = seen.groupBy("tag").agg(*[F.max(F.when(F.col(f"rank_{x}") == depth, F.col(f"sim_{x}"))).alias(f"last_{x}") for x in "ab"])
+        part = seen.where("rank_a is null or rank_b is null").select("tag", "id").join(asked, "tag").join(events, "id")
+        known = part.select("tag", "id", *[F.greatest(F.lit(0.0), cosine(F.col(f"v{x}"), F.col(f"q{x}"))).alias(f"own_{x}") for x in "ab"])
+        rows = seen.join(known, ["tag", "id"], "left").select("tag", "id", *[F.coalesce(f"sim_{x}", f"own_{x}", F.lit(0.0)).alias(f"sim_{x}") for x in "ab"], "rank_a", "rank_b")
+        rows = rows.withColumn("exact", F.col("rank_a").isNotNull() & F.col("rank_b").isNotNull()).withColumn("mean_sim", (F.col("sim_a") + F.col("sim_b")) / 2)
+        score = [sum(share_of(m, F.col(f"sim_{x}"), F.coalesce(f"rank_{x}", F.lit(depth + 1))) for x in "ab").alias(f"score{i}") for i, m in enumerate(methods)]
+        rows = rows.where(F.col("mean_sim") >= threshold - F.when(F.col("exact"), 0.0).otherwise(CLOSE)).select("tag", "id", "exact", "mean_sim", *score)
+        order = Window.partitionBy("tag", "method").orderBy(F.desc("exact"), F.desc("score"), "id")
+        placed = cut(_by_method(rows, methods, "tag", "id", "exact", "mean_sim").withColumn("place", F.row_number().over(order)))
+        # what no list has shown yet
+        beyond = F.when((F.lit(depth < total)) & ((F.col("last_a") + F.col("last_b")) / 2 >= threshold - CLOSE), F.array(*[sum(share_of(m, F.col(f"last_{x}"), F.lit(depth + 1)) for x in "ab") for m in methods]))
+        bounds = ends.select("tag", F.posexplode(F.coalesce(beyond, F.array_repeat(F.lit(-1.0), wide))).alias("p", "beyond"))
+        bounds = bounds.select("tag", F.element_at(F.array(*map(F.lit, methods)), F.col("p") + 1).alias("method"), "beyond")
+        nth = placed.groupBy("tag", "method").agg(F.max(F.when(F.col("exact") & (F.col("place") == n), F.col("score"))).alias("nth"), F.max(F.when(~F.col("exact"), F.col("score"))).alias("open"))
+        state = bounds.join(nth, ["tag", "method"], "left")
+        rest = F.greatest(F.coalesce("open", F.lit(-1.0)), F.col("beyond"))
+        settled = (rest < 0) | F.coalesce(F.col("nth") > rest + CLOSE, F.lit(False))
+        done = cut(state.groupBy("tag").agg(F.bool_and(settled).alias("done")).where("done").select("tag"))
+        best = placed.where(F.col("exact") & (F.col("place") <= n)).join(done, "tag", "left_semi")
+        found = best if found is None else found.unionByName(best)
+        asked, depth = cut(asked.join(done, "tag", "left_anti")), depth * 4
+    if found is None:
+        empty = tags.select("tag").join(events.select("id")).limit(0)
+        found = empty.select("tag", "id", F.lit("").alias("method"), F.lit(0.0).alias("score"), F.lit(0.0).alias("mean_sim"))
+    return _labelled(found, "tag", "id", mode)
 
 
 def rerank(sentences: DataFrame, keywords: DataFrame, tag: str, key: str, k: int = RRF_K) -> DataFrame:

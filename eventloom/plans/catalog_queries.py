@@ -315,10 +315,10 @@ def rrf_hybrid(spark, d):
   f AS (SELECT tag, id, unnest([sum(1.0::DOUBLE / (60 + r)), sum(sim / (60 + r)), sum(0.5::DOUBLE * sim + 0.5::DOUBLE / (60 + r))]) AS score, unnest(['rrf', 'weighted', 'hybrid']) AS m, sum(sim) / 2 AS mean_sim FROM l GROUP BY 1, 2 HAVING sum(sim) / 2 >= 0.2),
   o AS (SELECT *, row_number() OVER (PARTITION BY tag, m ORDER BY score DESC, id) AS r FROM f) SELECT tag, id, concat('[mode:concat][fuse:', m, ']') AS label, round(score, 6) AS score, round(mean_sim, 6) AS mean_sim FROM o WHERE r <= 5""")
 def keydata_recommend(spark, d):
-    def of(rest):
-        return similarities(spark, d, rest).select((F.col("query_id") - rest).alias("tag"), "id", "sim")
-
-    rows = vectors.recommend(of(0), of(1), "tag", "id", threshold=0.2, methods=("rrf", "weighted", "hybrid"))
+    rows = read(spark, d, "embeddings").select("vec_id", "embedding")
+    tags = [rows.where(F.col("vec_id") % 20 == rest).select((F.col("vec_id") - rest).alias("tag"), F.col("embedding").alias(q)) for rest, q in ((0, "qa"), (1, "qb"))]
+    events = rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("va"), F.col("embedding").alias("vb"))
+    rows = vectors.recommend_nearest(tags[0].join(tags[1], "tag"), events, threshold=0.2, methods=("rrf", "weighted", "hybrid"))
     return rows.select("tag", "id", "label", r6(F.col("score")).alias("score"), r6(F.col("mean_sim")).alias("mean_sim"))
 
 

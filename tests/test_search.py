@@ -153,3 +153,22 @@ def test_words_are_found_again(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "。".join("".join(r.choice(words) for _ in range(6)) for _ in range(6)))], "id int, t string")
     assert len(extractors.rank_sentences(docs, "id", "t", tokenizer=cut).collect()) >= 1
     assert extractors.word_ranks(docs, "id", "t", tokenizer=cut).count() >= 1
+
+
+@pytest.mark.parametrize(("depth", "threshold"), [(2, 0.3), (5, 0.0), (4, 0.95), (1000, 0.3)])
+def test_threshold_fusion_is_the_whole_ranking(spark, depth, threshold):
+    r = np.random.default_rng(9)
+    vec = lambda n: [r.normal(size=3).tolist() for _ in range(n)]
+    pairs = list(zip(vec(50), vec(50), strict=True))
+    events = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate([*pairs, *pairs[:9]])] + [(100, [0.0] * 3, [0.0] * 3)], "id int, va array<double>, vb array<double>")
+    tags = spark.createDataFrame([(f"t{i}", a, b) for i, (a, b) in enumerate(zip(vec(9), vec(9), strict=True))], "tag string, qa array<double>, qb array<double>")
+    methods = ("rrf", "weighted", "hybrid")
+    both = vectors.against(tags, events, "tag")
+    lists = [both.select("tag", "id", vectors.cosine(F.col(f"v{x}"), F.col(f"q{x}")).alias("sim")) for x in "ab"]
+
+    def said(rows):
+        return sorted((x["tag"], x["label"], x["id"], round(x["score"], 9), round(x["mean_sim"], 9)) for x in rows.collect())
+
+    got = said(vectors.recommend_nearest(tags, events, threshold, 4, methods, depth=depth))
+    assert got == said(vectors.recommend(*lists, "tag", "id", threshold, 4, methods)) and (threshold > 0.9 or len(got) > 60)
+    assert vectors.recommend_nearest(tags.limit(0), events).count() == vectors.recommend_nearest(tags, events.limit(0)).count() == 0
