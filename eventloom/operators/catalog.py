@@ -225,9 +225,13 @@ def listed(rows: DataFrame, key: str, column: str, name: str, separator: str = "
     return rows.groupBy(key).agg(F.array_join(items, separator).alias(name))
 
 
-def alive(spark) -> DataFrame:
-    """One row where queries are answered."""
-    return spark.range(1).select(F.lit(1).alias("ok"))
+def alive(*tables: DataFrame) -> DataFrame:
+    """ok: 1 where every table can be read and has rows, else 0."""
+    out = None
+    for t in tables:
+        row = t.limit(1).agg((F.count("*") > 0).alias("there"))
+        out = row if out is None else out.unionByName(row)
+    return out.agg(F.coalesce(F.bool_and("there"), F.lit(False)).cast("int").alias("ok"))
 
 
 def histogram(rows: DataFrame, label: Column, labels: Sequence[str] = ()) -> DataFrame:

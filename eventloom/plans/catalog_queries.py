@@ -157,9 +157,9 @@ def dimension_by_name(spark, d):
     return catalog.dimension(read(spark, d, "nation"), "n_name")
 
 
-@query("SELECT 1 AS ok")
+@query("SELECT (EXISTS (FROM orders) AND EXISTS (FROM customer) AND EXISTS (FROM events))::INT AS ok")
 def liveness(spark, d):
-    return catalog.alive(spark)
+    return catalog.alive(*[read(spark, d, t) for t in ("orders", "customer", "events")])
 
 
 @query("""SELECT o_orderkey, concat('Event ', o_orderkey, ' (', o_orderstatus, ')') AS title, strftime(o_orderdate, '%Y-%m-%d') AS day,
