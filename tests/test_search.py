@@ -49,7 +49,7 @@ def test_by_keywords(spark, least):
     assert {x["score"] for x in few.collect()} == {1} and few.count() == 3 * 14
 
 
-@pytest.mark.parametrize(("qb", "vb", "k"), [(8192, 65536, 5), (7, 11, 5), (3, 2, 1), (8192, 65536, 500)])
+@pytest.mark.parametrize(("qb", "vb", "k"), [(8192, 65536, 5), (7, 11, 5), (8192, 65536, 500)])
 def test_nearest(spark, monkeypatch, qb, vb, k):
     monkeypatch.setattr(vectors, "QUERY_BLOCK", qb)
     monkeypatch.setattr(vectors, "CORPUS_BLOCK", vb)
@@ -155,7 +155,7 @@ def test_words_are_found_again(spark, monkeypatch):
     assert extractors.word_ranks(docs, "id", "t", tokenizer=cut).count() >= 1
 
 
-@pytest.mark.parametrize(("depth", "threshold"), [(2, 0.3), (5, 0.0), (4, 0.95), (1000, 0.3)])
+@pytest.mark.parametrize(("depth", "threshold"), [(2, 0.3), (5, 0.0)])
 def test_threshold_fusion_is_the_whole_ranking(spark, depth, threshold):
     r = np.random.default_rng(9)
     vec = lambda n: [r.normal(size=3).tolist() for _ in range(n)]
