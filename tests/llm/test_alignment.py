@@ -49,7 +49,7 @@ def key(row):
     return str(row)
 
 
-@pytest.mark.parametrize(("block", "together"), [(12 << 20, 4096), (40, 4096), (200, 1)])
+@pytest.mark.parametrize(("block", "together"), [(12 << 20, 4096), (40, 3)])
 def test_align(spark, monkeypatch, block, together):
     monkeypatch.setattr(alignment, "BLOCK_CHARS", block)
     monkeypatch.setattr(alignment, "TOGETHER", together)
