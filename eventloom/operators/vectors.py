@@ -160,7 +160,7 @@ def _labelled(rows: DataFrame, tag: str, key: str, mode: str) -> DataFrame:
     return rows.select(tag, key, F.concat(F.lit(f"[mode:{mode}][fuse:"), "method", F.lit("]")).alias("label"), "score", "mean_sim")
 
 
-def recommend_nearest(tags: DataFrame, events: DataFrame, threshold: float = 0.35, n: int = 5, methods: Sequence[str] = ("weighted",), mode: str = "concat", depth: int = 256) -> DataFrame:
+def recommend_nearest(tags: DataFrame, events: DataFrame, threshold: float = 0.35, n: int = 5, methods: Sequence[str] = ("weighted",), mode: str = "concat", depth: int = 1024) -> DataFrame:
     """recommend() of tags(tag, qa, qb) and events(id, va, vb), whose lists are cosines of qa with va and of qb with vb,
     without ranking either list in full: the threshold algorithm, all tags at once.
 

@@ -43,8 +43,7 @@ def test_by_keywords(spark, least):
     u, e = spark.createDataFrame(users, "user int, k array<string>"), spark.createDataFrame(events, "id int, a string, b string")
     got = recommend.by_keywords(u, e, lambda x: F.col("k"), ["a", "b"], 6, 4, least)
     assert sorted(tuple(x) for x in got.collect()) == ranked(users, events, 6, 4, least)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert least == 0 or "NestedLoop" not in plan.split("Initial Plan")[0].replace("BroadcastNestedLoopJoin BuildRight, Cross", "", 1) or plan.count("NestedLoopJoin") <= 2
+    assert least == 0 or "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
     few = recommend.by_keywords(u, e.limit(3), lambda x: F.col("k"), ["a"], 6, 4, least)
     assert {x["score"] for x in few.collect()} == {1} and few.count() == 3 * 14
 
