@@ -73,13 +73,24 @@ def blocked(tables: Mapping[str, DataFrame], lost: Mapping[str, DataFrame], refe
 
 
 def delete_cascade(tables: Mapping[str, DataFrame], gone: Mapping[str, DataFrame], references: References = REFERENCES, restricted: Iterable[tuple[str, str]] = RESTRICTED, keys: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
-    """The tables that a delete changes, without the rows it takes; an error where a restricted reference forbids it."""
+    """The tables that a delete changes, without the rows it takes; an error where a restricted reference forbids it.
+
+    A row goes by its own key and references: where a table's key repeats, other rows of that key stay."""
     restricted = list(restricted)
     lost = deleted(tables, gone, references, restricted, keys)
     for name, rows in blocked(tables, lost, references, restricted, keys).items():
         if not rows.isEmpty():
             raise ValueError(f"rows of {name} refer to what is to be deleted")
-    return {t: tables[t].join(k, _key(t, keys), "left_anti").select(*[F.col(f"`{c}`") for c in tables[t].columns]) for t, k in lost.items()}
+    out = {}
+    for t in lost:
+        rows = tables[t]
+        if t in gone:
+            rows = rows.join(gone[t].select(_key(t, keys)), _key(t, keys), "left_anti")
+        for column, parent in references.get(t, {}).items():
+            if parent in lost and (t, column) not in restricted:
+                rows = rows.join(lost[parent].select(F.col(_key(parent, keys)).alias("__parent")), F.col(column) == F.col("__parent"), "left_anti")
+        out[t] = rows.select(*[F.col(f"`{c}`") for c in tables[t].columns])
+    return out
 
 
 def unique_violations(tables: Mapping[str, DataFrame], unique: Mapping[str, Sequence[Sequence[str]]] = UNIQUE) -> DataFrame | None:

@@ -79,6 +79,15 @@ def test_deletes_reach_children(spark):
         constraints.parents_first({"a": {"x": "b"}, "b": {"y": "a"}})
 
 
+def test_deletes_with_repeated_keys(spark):
+    """Rows are told apart by their own references, not by a key that others share."""
+    rows = {"parent": spark.createDataFrame([(1,), (2,)], "id int"), "child": spark.createDataFrame([(7, 1, "a"), (7, 2, "b"), (7, None, "c"), (8, 2, "d")], "id int, of int, name string")}
+    left = constraints.delete_cascade(rows, {"parent": spark.createDataFrame([(1,)], "id int")}, {"child": {"of": "parent"}}, [])
+    assert sorted(r["name"] for r in left["child"].collect()) == ["b", "c", "d"] and [r[0] for r in left["parent"].collect()] == [2]
+    left = constraints.delete_cascade(rows, {"child": spark.createDataFrame([(7,)], "id int")}, {"child": {"of": "parent"}}, [])
+    assert [r["name"] for r in left["child"].collect()] == ["d"] and list(left) == ["child"]
+
+
 def test_unique(spark):
     rows = [tuple(r) for r in constraints.unique_violations(catalogue(spark) | {"Category": spark.createDataFrame([("c",)] * 3, "name string")}, {"User": [["email"], ["id"]], "Category": [["name"]], "Speaker": [["x"]]}).collect()]
     assert sorted(rows) == [("Category(name)", "c", 3), ("User(email)", "a", 2)]
