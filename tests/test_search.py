@@ -171,3 +171,27 @@ def test_threshold_fusion_is_the_whole_ranking(spark, depth, threshold):
     got = said(vectors.recommend_nearest(tags, events, threshold, 4, methods, depth=depth))
     assert got == said(vectors.recommend(*lists, "tag", "id", threshold, 4, methods)) and (threshold > 0.9 or len(got) > 60)
     assert vectors.recommend_nearest(tags.limit(0), events).count() == vectors.recommend_nearest(tags, events.limit(0)).count() == 0
+
+
+def test_whole_lists_in_groups(spark, monkeypatch):
+    """Ranked, fused and pooled lists that no join makes: against the operators on rows, with ties, zero and missing vectors."""
+    monkeypatch.setattr(vectors, "POOL_QUERIES", 2)
+    spin = random.Random(4)
+    own = [[spin.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)] for _ in range(40)] + [[0.0, 0.0, 0.0]]
+    rows = [(i, spin.choice(["x", "y", None]), own[spin.randrange(len(own))]) for i in range(90)] + [(90, "x", None), (91, "z", None)]
+    corpus = spark.createDataFrame(rows, "id long, label string, v0 array<float>")
+    queries = spark.createDataFrame([(i, own[i]) for i in range(7)], "query_id long, q0 array<float>")
+    sims = vectors.scored(queries.withColumnRenamed("q0", "q"), corpus.withColumnRenamed("v0", "v")).cache()
+    lists = vectors.ranked(sims, "query_id", "sim", "id")
+
+    def said(x):
+        return sorted((tuple(None if v is None else round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect()), key=str)
+
+    plans = vectors.fused_nearest(queries, corpus.select("id", "v0"))
+    assert "BroadcastNestedLoopJoin" not in (plan := plans._jdf.queryExecution().toString()) and "Window" not in plan
+    for method in ("rrf", "weighted", "hybrid"):
+        assert said(vectors.fused_nearest(queries, corpus.select("id", "v0"), method)) == said(vectors.fused(lists, "id", method=method))
+    for how in ("max", "mean"):
+        assert said(vectors.pooled_nearest(queries, corpus, "label", how)) == said(vectors.pooled(sims, "query_id", "label", how=how))
+    with pytest.raises(Exception, match="different dimensions"):
+        vectors.pooled_nearest(queries, spark.createDataFrame([(1, "x", [1.0])], "id long, label string, v0 array<float>"), "label").collect()
