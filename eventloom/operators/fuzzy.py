@@ -9,11 +9,16 @@ rows of a join that Spark can split, never in one task's memory."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import edit_similarity
 
+#: Parts that rows are dealt into before they meet those of like names.
+JOIN_PARTS = 240
+
 
 def _farthest(length: Column, least: float) -> Column:
     """The largest distance that a pair with this longer length may have."""
@@ -62,6 +67,20 @@ def similar_texts(left: DataFrame, right: DataFrame, least: float = 0.7) -> Data
     return near.withColumn("sim", edit_similarity(F.col("a"), F.col("b"))).where(F.col("sim") > least)
 
 
+def similar_within(rows: DataFrame, key: str, name: str, blocks: Sequence[str], similarity: Callable[[Column, Column], Column], least: float) -> DataFrame:
+    """a, b, sim: pairs of rows(key, name, blocks) of the same block, a the smaller key, with similarity over least.
+
+    The different names of a block are compared once each way, across all blocks once; a row then meets only the rows whose
+    name is like its own."""
+    names = rows.where(F.col(name).isNotNull()).select(*blocks, name).distinct()
+    both = names.withColumnRenamed(name, "__a").join(names.withColumnRenamed(name, "__b"), list(blocks))
+    alike = both.select("__a", "__b").distinct().withColumn("sim", similarity(F.col("__a"), F.col("__b"))).where(F.col("sim") > least)
+    left = rows.select(*blocks, F.col(name).alias("__a"), F.col(key).alias("a")).join(alike, "__a")
+    right = rows.select(*blocks, F.col(name).alias("__b"), F.col(key).alias("b"))
+    left = left.repartition(JOIN_PARTS, *blocks, "__b")  # a small table makes many pairs, so its rows are dealt out first
+    return left.join(right.hint("merge"), [*blocks, "__b"]).where("a < b").select("a", "b", "sim")
+
+
 def best_matches(left: DataFrame, key: str, text: str, right: DataFrame, other: str, name: str, least: float = 0.7, same: bool = False) -> DataFrame:
     """key, other, sim: for each row of left(key, text) the most similar row of right(other, name) over least; ties go to the
     smaller other. Rows without a match are left out. same: equal texts count too."""

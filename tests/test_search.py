@@ -209,3 +209,21 @@ def test_best_texts_are_kept_by_tasks(spark):
         for n, words in lists:
             want = sorted((-len(at), i, at) for i, t in texts if t is not None for at in [[k for k, w in enumerate(words) if w is not None and w in t]] if at)[:4]
             assert sorted((-x["score"], x["id"], x["at"]) for x in got if x["list"] == n)[:4] == want
+
+
+def test_pairs_of_rows_with_like_names(spark):
+    """Pairs within blocks against brute force; names are compared once, however many rows have them."""
+    r = random.Random(6)
+    rows = [(i, r.choice(["red bolt", "red bolts", "blue bolt", "ring", "", None]), r.choice("xy"), r.choice(["p", None])) for i in range(80)]
+    parts = spark.createDataFrame(rows, "id int, name string, one string, two string")
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def alike(a, b):
+        calls.add(1)
+        return float(a[:1] == b[:1])
+
+    got = fuzzy.similar_within(parts, "id", "name", ["one", "two"], lambda a, b: alike(a, b), 0.5)
+    want = [(x[0], y[0], 1.0) for x in rows for y in rows if x[0] < y[0] and x[2:] == y[2:] and x[3] and None not in (x[1], y[1]) and x[1][:1] == y[1][:1]]
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 50
+    assert calls.value <= 3 * 25
