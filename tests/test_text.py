@@ -22,3 +22,12 @@ def test_semantics(spark):
     rows = df.select(S.trimmed(F.col("a")), S.falsy_or(F.col("b"), F.lit("d")), S.has(F.col("a"), "A")).collect()
     assert [tuple(r) for r in rows] == [("a b", "d", True), (None, "x", False)]
     assert spark.range(1).select(S.half_up(F.lit(-2.5))).first()[0] == -2
+
+
+def test_words_are_not_shuffled_one_by_one(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c"), (1, "b")], "id int, t string")
+    words = F.split("t", " ")
+    for rows in (text.word_runs(docs, "id", words, 2), text.word_positions(docs, "id", words), text.forward_pairs(docs, "id", words)):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
+    assert sorted(tuple(r) for r in text.word_runs(docs, "id", words, 1).collect()) == [(1, 1, "a", 0, 2), (1, 1, "b", 0, 2), (2, 1, "c", 0, 1)]
