@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -269,13 +269,24 @@ def components(edges: DataFrame) -> DataFrame:
 FILTER_WORDS = 1 << 17
 
 
-def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """The rows of df whose hashed key (a long column) is among those of wanted(key), and a few others: a bitmap of at most
-    FILTER_WORDS rows is broadcast, so that a shuffle join behind it moves little. Never loses a row."""
+def _marked(df: DataFrame, key: str, wanted: DataFrame, how: str) -> tuple[DataFrame, Column]:
+    """df with a bitmap of the hashed keys of wanted, and the test of a row's own bit."""
     bit = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(FILTER_WORDS * 64))
     word, mask = F.shiftright(bit, 6), F.expr(f"shiftleft(1L, cast({key}__bit as int))")
     bits = wanted.select(key).withColumn("__word", word).withColumn(f"{key}__bit", F.pmod(bit, F.lit(64)))
     bits = bits.groupBy("__word").agg(F.bit_or(mask).alias("__bits"))
     rows = df.withColumn("__word", word).withColumn(f"{key}__bit", F.pmod(bit, F.lit(64)))
-    rows = rows.join(F.broadcast(bits), "__word").where(F.col("__bits").bitwiseAND(mask) != 0)
-    return rows.drop("__word", "__bits", f"{key}__bit")
+    return rows.join(F.broadcast(bits), "__word", how), F.coalesce(F.col("__bits").bitwiseAND(mask) != 0, F.lit(False))
+
+
+def likely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose hashed key (a long column) is among those of wanted(key), and a few others: a bitmap of at most
+    FILTER_WORDS rows is broadcast, so that a shuffle join behind it moves little. Never loses a row."""
+    rows, hit = _marked(df, key, wanted, "inner")
+    return rows.where(hit).drop("__word", "__bits", f"{key}__bit")
+
+
+def unlikely(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df that likely() leaves out: none of them has a key of wanted."""
+    rows, hit = _marked(df, key, wanted, "left")
+    return rows.where(~hit).drop("__word", "__bits", f"{key}__bit")

@@ -84,6 +84,26 @@ def test_distinct_stage(spark, docs, rows, sf_dir):
         assert kept[g][0][0] == (min(ids) if ids else None) and kept[g][0] in own
 
 
+def test_distinct_stage_shuffles_no_text_that_is_alone(spark, docs, rows, sf_dir, monkeypatch):
+    monkeypatch.setattr(P.common, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = P._distinct(spark, docs, sf_dir)
+        plan = got._jdf.queryExecution().sparkPlan().toString().split("SortMergeJoin")
+        assert len(plan) > 1 and all("__bits" in x for x in plan[1:])
+        assert bag(map(tuple, got.collect())) == bag(map(tuple, P._distinct(spark, docs, sf_dir).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_likely_and_unlikely_share_out_the_rows(spark):
+    df = spark.range(1000).selectExpr("id", "xxhash64(id) as h")
+    wanted = df.where("id % 7 = 0")
+    maybe, sure = (f(df, "h", wanted) for f in (P.common.likely, P.common.unlikely))
+    assert sorted(r.id for r in maybe.unionByName(sure).collect()) == list(range(1000))
+    assert not [r for r in sure.collect() if r.id % 7 == 0] and maybe.count() < 200
+
+
 def test_decontamination_stage(spark, docs, rows, sf_dir):
     item = " ".join(words(random.Random(1), 40))
     assert bag(P._decontaminated(spark, docs, sf_dir).collect()) == bag(x for x in rows if not (x[1] and item in x[1]))
