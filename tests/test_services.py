@@ -378,3 +378,22 @@ def test_defaults_and_sentinels(spark):
     row = spark.range(1).select(normalise.event_type(F.lit("results"), F.array(F.lit("x"))), normalise.event_type(F.lit("a"), F.array(F.lit("Contest"))), normalise.event_type(F.lit("a"), F.array(F.lit("contests"))), normalise.event_format(F.lit("Meetup hall")), normalise.event_format(F.lit("ハイブリッド"))).first()
     assert tuple(row) == ("LIGHTNING_TALK", "CONTEST", "WORKSHOP", "ONLINE", "HYBRID")
     assert [x["w"] for x in df.limit(1).select(F.explode(normalise.tag_words(F.lit("a, b、a, ,c"))).alias("w")).collect()] == ["a", "b", "c"]
+
+
+def test_jaro_winkler_of_all_pairs_is_that_of_each():
+    r = random.Random(3)
+    for n in [0, 1, 2, *[12] * 40]:
+        texts = ["".join(r.choice("ab é"[: r.randint(1, 4)]) for _ in range(r.choice([0, 1, 3, 8, 62, 63, 64, 70]))) for _ in range(n)]
+        got = graphs.jaro_winkler_pairs(texts)
+        assert all(got[i, j] == got[j, i] == graphs.jaro_winkler(texts[j], texts[i]) for i in range(n) for j in range(i))
+
+
+def test_topic_rank_takes_no_time_for_each_pair():
+    """A hundred candidates have 4,950 pairs, which were compared one by one."""
+    words = random.Random(5).choices([f"word{i}{'xyz' * (i % 5)}" for i in range(80)], k=400)
+    calls = []
+    before, graphs.jaro_winkler = graphs.jaro_winkler, lambda a, b: calls.append(1) or before(a, b)
+    try:
+        assert len(graphs.topic_rank(words, joiner=" ")) > 1 and len(calls) < 1000
+    finally:
+        graphs.jaro_winkler = before
