@@ -7,7 +7,10 @@ import pyarrow.parquet as pq
 import pytest
 import xxhash
 
-from eventloom.plans import QUERIES
+from pyspark.sql import functions as F
+
+from eventloom import providers
+from eventloom.plans import QUERIES, recommend
 
 SF = "/root/testdata/sf0.001"
 PUNCTUATION = re.compile(r"[!-/:-@\[-`{-~。、！？「」『』（）]")
@@ -84,3 +87,22 @@ def test_by_tags(spark):
     got = [(x["tag"], x["id"], x["label"], x["score"], x["mean_sim"]) for x in QUERIES["recommend_by_tags"](spark, SF).collect()]
     assert [x[:3] for x in sorted(got)] == [x[:3] for x in sorted(want)]
     assert [x[3:] for x in sorted(got)] == [pytest.approx(x[3:], abs=2e-6) for x in sorted(want)]
+
+
+def test_embeddings_of_texts_and_of_arrays(spark):
+    rows = [(0, "Rice rice, b code"), (1, ""), (2, None), (3, "code"), (4, "ÄÖ 日本")]
+    df = spark.createDataFrame([(i, t, None if i == 4 else [t, "code", None]) for i, t in rows], "i int, t string, a array<string>")
+    for n in (8, 64):
+        given = providers.hashed_embedding(n)
+        for r in df.select("i", given(F.col("t")).alias("v"), given.of_array(F.col("a")).alias("w")).collect():
+            text = rows[r["i"]][1]
+            assert r["v"] == list(embed(text or "", n))
+            assert r["w"] == (None if r["i"] == 4 else [list(embed(x or "", n)) for x in (text, "code", None)])
+
+
+def test_only_the_smallest_ids_of_a_page_are_embedded(spark):
+    events = spark.createDataFrame([(i, f"page {i % 3}") for i in range(60)], "id long, page string")
+    assert sorted(r["id"] for r in recommend.first_of_each(events, 2).collect()) == list(range(6))
+    asked = spark.createDataFrame([(1, "page 2"), (2, "page 2"), (3, None)], "query_id long, question string")
+    found = {r["query_id"]: r["context"] for r in recommend.context(asked, events, k=4).collect()}
+    assert found[1] == found[2] == "page 0\n\npage 1\n\npage 2\n\npage 0" and found.keys() == {1, 2, 3}
