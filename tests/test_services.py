@@ -397,3 +397,17 @@ def test_topic_rank_takes_no_time_for_each_pair():
         assert graphs.topic_rank(words, joiner=" ") and len(calls) < 1000
     finally:
         graphs.jaro_winkler = before
+
+
+def test_ranking_takes_texts_in_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "A first sentence of words. A second sentence of words.")], "doc_id int, text string")
+        assert extractors.rank_sentences(docs, "doc_id", "text").count() == 1 and int(spark.conf.get(name)) == extractors.TEXTS
+        spark.conf.set(name, "77")
+        extractors.word_ranks(docs, "doc_id", "text")
+        assert spark.conf.get(name) == "77"
+    finally:
+        spark.conf.set(name, before)
