@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from eventloom.functions import semantics as S
-from eventloom.operators import text
+from eventloom.operators import classify, text
 
 
 def test_page_rank_isolated_and_fixed_point():
@@ -31,3 +31,27 @@ def test_words_are_not_shuffled_one_by_one(spark):
         plan = rows._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange ") == 1 and "REPARTITION_BY_NUM" in plan
     assert sorted(tuple(r) for r in text.word_runs(docs, "id", words, 1).collect()) == [(1, 1, "a", 0, 2), (1, 1, "b", 0, 2), (2, 1, "c", 0, 1)]
+
+
+def test_words_of_a_rule_share_their_beginnings(spark):
+    lists = [words for rules in (classify.PHRASE_RULES, classify.SENTENCE_RULES, classify.KEYWORD_RULES) for _, words in rules]
+    lists += [["c++", "c#", "a.b", "[x", "-]", "^q", "a b", "\\d", "|"], ["é", "日本", "日"], ["x"]]
+    every = sorted({w for words in lists for w in words})
+    texts = [*every, *(w[1:] for w in every), *(w[:-1] for w in every), *(f"za {w}z" for w in every), "", "java", "日 本", "1行ず", "\n"]
+    df = spark.createDataFrame([(t,) for t in dict.fromkeys(texts)], "t string").coalesce(1)
+    got = df.select("t", *[classify.matches_any(F.col("t"), words).alias(f"c{i}") for i, words in enumerate(lists)]).collect()
+    for r in got:
+        assert list(r[1:]) == [any(w in r["t"] for w in words) for words in lists], r["t"]
+    assert classify.any_of(["java", "javascript", "jam"]) == r"(?=[\x{6a}-\x{6a}])ja(?:m|va)"
+
+
+def test_white_space_before_a_line_separator_stays(spark):
+    rows = ["\u3000 a b\u00a0 \x0b\ufeff\n", "a \u2028", "  ", "", None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "a string").coalesce(1).select(S.trimmed(F.col("a"))).collect()]
+    assert got == ["a b", "a \u2028", "", "", None]
+
+
+def test_sentences_of_ten_characters_without_marks(spark):
+    rows = ["a b-c, d e f g h i. abcdefghij! 「あいうえお」か きくけ。", "1234567890.123456789?  　abcde　fghi😀 . ", None, ""]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "a string").coalesce(1).select(text.sentences(F.col("a"))).collect()]
+    assert got == [["abcdefghij!"], ["1234567890.", "abcde　fghi😀 ."], None, []]
