@@ -411,3 +411,58 @@ def test_ranking_takes_texts_in_small_batches(spark, monkeypatch):
         assert spark.conf.get(name) == "77"
     finally:
         spark.conf.set(name, before)
+
+
+def test_overlaps_in_pieces_are_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [set(rng.integers(0, 12, k).tolist()) for k in rng.integers(0, 6, 40)]
+    want = {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets) if i != j and a & b}
+    for square, pairs in ((4000, 1 << 20), (4000, 7), (0, 7), (0, 1 << 20)):
+        monkeypatch.setattr(graphs, "SQUARE", square)
+        monkeypatch.setattr(graphs, "PAIRS", pairs)
+        i, j, x = graphs.overlaps(sets)
+        assert dict(zip(zip(i.tolist(), j.tolist(), strict=True), x.tolist(), strict=True)) == want
+        assert (np.diff(i * len(sets) + j) > 0).all()
+    assert [len(c) for c in graphs.overlaps([])] == [len(c) for c in graphs.overlaps([{"a"}, set()])] == [0, 0, 0]
+
+
+def test_central_sentences_hold_no_table_of_sentences_by_words():
+    """400 sentences of ten words of their own: a dense table took 13 MB, and was copied for each sentence that stayed."""
+    import tracemalloc
+
+    lists = [[f"w{i}x{k}" for k in range(10)] for i in range(400)]
+    tracemalloc.start()
+    row, word, weight = graphs.term_weights([*lists, ["a", "a", "b"]])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 4e6 and len(row) == 4002 and abs(weight[-2] - 2 / 5**0.5) < 1e-12 and abs(weight[0] - 0.1**0.5) < 1e-12
+
+
+def test_sentence_pairs_come_in_batches_of_many_texts(spark, monkeypatch):
+    from eventloom.operators import text
+
+    class Runs:
+        """A table whose mapInPandas() gives back the function."""
+
+        schema = spark.createDataFrame([], "id int, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    t = [[f"number{k}a", "common", "words"] for k in (1, 2)], None, [], [["x"]], [["y"], ["y"]]
+    batch = text.pd.DataFrame({"id": range(5), "t": t})
+    whole = list(text.sentence_pairs(Runs(), "id", "text")(iter([batch])))
+    assert [tuple(x) for f in whole for x in f.itertuples(index=False)] == [(0, 0, 1, 0.5), (0, 1, 0, 0.5), (4, 0, 1, 1.0), (4, 1, 0, 1.0)]
+    assert len(whole) == 1
+    monkeypatch.setattr(text, "PAIRS", 1)
+    assert [len(f) for f in text.sentence_pairs(Runs(), "id", "text")(iter([batch]))] == [2, 2]
+
+
+def test_inserted_lists_need_no_parts(spark):
+    from eventloom.plans import QUERIES
+
+    plan = QUERIES["insert_nested"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "p_partkey" not in plan and "s_suppkey" not in plan
