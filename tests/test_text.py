@@ -55,3 +55,13 @@ def test_sentences_of_ten_characters_without_marks(spark):
     rows = ["a b-c, d e f g h i. abcdefghij! 「あいうえお」か きくけ。", "1234567890.123456789?  　abcde　fghi😀 . ", None, ""]
     got = [r[0] for r in spark.createDataFrame([(x,) for x in rows], "a string").coalesce(1).select(text.sentences(F.col("a"))).collect()]
     assert got == [["abcdefghij!"], ["1234567890.", "abcde　fghi😀 ."], None, []]
+
+
+def test_marks_are_those_of_the_regular_expression(spark):
+    every = "".join(chr(c) for c in [*range(1, 0x300), *range(0x2000, 0x2070), *range(0x3000, 0x3020), *range(0xFF00, 0xFF60), 0x1F600])
+    df = spark.createDataFrame([(every,)], "t string").coalesce(1)
+    x = F.col("t")
+    r = df.select(text.spaced(x), F.regexp_replace(x, r"[\p{Punct}。、！？「」『』（）]", " "), F.translate(x, text.MARKS + text.SPACES, ""), F.regexp_replace(x, r"[\p{Punct}\s。、！？「」『』（）]", "")).first()
+    assert r[0] == r[1] != every and r[2] == r[3] != every
+    plan = df.select(text.sentences(x).alias("s"), text.tokens(x).alias("w"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_replace") == 1  # where sentences end
