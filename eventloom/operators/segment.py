@@ -10,8 +10,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -49,6 +50,68 @@ def expected(run: str, model: dict[str, float], longest: int = LONGEST) -> tuple
     return out, ahead[n]
 
 
+#: Characters of runs that are worked on together.
+BLOCK = 200_000
+
+
+def expected_of(held: Mapping[str, float], model: dict[str, float], longest: int = LONGEST) -> dict[str, float]:
+    """The sum of times * expected(run) over runs with their times: all runs of a block go ahead together, place by place."""
+    number = {piece: i for i, piece in enumerate(model)}
+    out: dict[str, float] = {}
+    block, size = [], 0
+    for run in held:
+        block.append(run)
+        size += len(run)
+        if size >= BLOCK:
+            _expected_of(block, held, model, dict(number), longest, out)
+            block, size = [], 0
+    if block:
+        _expected_of(block, held, model, dict(number), longest, out)
+    return out
+
+
+def _expected_of(runs: list[str], held: Mapping[str, float], model: dict[str, float], number: dict[str, int], longest: int, out: dict[str, float]) -> None:
+    runs = sorted(runs, key=len, reverse=True)
+    text, size = "".join(runs), np.array([len(r) for r in runs], np.int64)
+    total = len(text)
+    start = np.cumsum(size) - size
+    own = np.repeat(np.arange(len(runs)), size)
+    place = np.arange(total) - start[own] + 1
+    names = np.full((longest, total + longest), -1, np.int64)  # of the piece of k + 1 characters that ends there
+    names[0, :total] = [number.setdefault(c, len(number)) for c in text]
+    for k in range(2, longest + 1):
+        names[k - 1, k - 1 : total] = [number.get(text[i - k : i], -1) for i in range(k, total + 1)]
+        names[k - 1, :total][place < k] = -1
+    logs = np.array([*model.values(), *[UNSEEN] * (len(number) - len(model)), -np.inf])
+    p = logs[names]
+    node = start + np.arange(len(runs))  # a run of n characters has n + 1 places
+    ahead, behind = np.zeros(total + len(runs)), np.zeros(total + len(runs) + longest)
+    for j in range(1, int(size[0]) + 1):
+        m = int(np.searchsorted(-size, -j, "right"))
+        x = np.stack([ahead[node[:m] + j - k] + p[k - 1, start[:m] + j - 1] for k in range(1, min(longest, j) + 1)])
+        ahead[node[:m] + j] = _logsums(x)
+        at = size[:m] - j
+        x = np.stack([behind[node[:m] + at + k] + p[k - 1, start[:m] + at + k - 1] for k in range(1, min(longest, j) + 1)])
+        behind[node[:m] + at] = _logsums(x)
+    end = node[own] + place
+    times = np.array([held[r] for r in runs], float)[own]
+    sums = np.zeros(len(number))
+    for k in range(1, longest + 1):
+        at = np.flatnonzero(names[k - 1, :total] >= 0)
+        x = ahead[end[at] - k] + p[k - 1, at] + behind[end[at]] - ahead[node + size][own[at]]
+        sums += np.bincount(names[k - 1, at], times[at] * np.exp(x), len(number))
+    there = np.zeros(len(number), bool)
+    there[names[names >= 0]] = True
+    for piece, i in number.items():
+        if there[i]:
+            out[piece] = out.get(piece, 0.0) + float(sums[i])
+
+
+def _logsums(x: np.ndarray) -> np.ndarray:
+    most = x.max(0)  # a single character is always a piece, so it is finite
+    return most + np.log(np.exp(x - most).sum(0))
+
+
 def _logsum(a: float, b: float) -> float:
     if a < b:
         a, b = b, a
@@ -77,16 +140,13 @@ def words_of(text: str, model: dict[str, float]) -> list[str]:
 
 
 def _counted(texts: DataFrame, column: str, of) -> DataFrame:
-    """piece, n: sums of of(run) -> {piece: number} over all runs; runs that repeat in a task are worked on once."""
+    """piece, n: sums of of(runs with their times) -> {piece: number} over all runs; runs that repeat in a task are worked on once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: Counter = Counter()
 
         def handed() -> pd.DataFrame:
-            out: dict[str, float] = {}
-            for r, times in held.items():
-                for piece, n in of(r).items():
-                    out[piece] = out.get(piece, 0.0) + times * n
+            out = of(held)
             held.clear()
             return pd.DataFrame(list(out.items()), columns=["piece", "n"])
 
@@ -100,8 +160,15 @@ def _counted(texts: DataFrame, column: str, of) -> DataFrame:
     return texts.select(column).mapInPandas(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def substrings(run: str, longest: int = LONGEST) -> dict[str, float]:
-    return Counter(run[i:j] for i in range(len(run)) for j in range(i + 1, min(len(run), i + longest) + 1))
+def substrings(held: Mapping[str, float], longest: int = LONGEST) -> dict[str, float]:
+    """How often each substring occurs in runs with their times."""
+    out: dict[str, float] = {}
+    for run, times in held.items():
+        for i in range(len(run)):
+            for j in range(i + 1, min(len(run), i + longest) + 1):
+                piece = run[i:j]
+                out[piece] = out.get(piece, 0.0) + times
+    return out
 
 
 def _model(counts: DataFrame, pieces: int) -> tuple[dict[str, float], dict[str, float]]:
@@ -137,7 +204,7 @@ def fit(texts: DataFrame, column: str, pieces: int = PIECES, rounds: int = ROUND
     model, _ = _model(seeds, 4 * pieces)
     for k in range(rounds):
         sent = texts.sparkSession.sparkContext.broadcast(model)
-        counts = _counted(texts, column, lambda r, sent=sent: expected(r, sent.value)[0])
+        counts = _counted(texts, column, lambda held, sent=sent: expected_of(held, sent.value))
         kept = counts.where("n >= 0.5 or length(piece) = 1").withColumn("n", F.greatest("n", F.lit(1e-6)))
         model, numbers = _model(kept, 4 * pieces)
         if model:

@@ -227,3 +227,18 @@ def test_pairs_of_rows_with_like_names(spark):
     want = [(x[0], y[0], 1.0) for x in rows for y in rows if x[0] < y[0] and x[2:] == y[2:] and x[3] and None not in (x[1], y[1]) and x[1][:1] == y[1][:1]]
     assert sorted(tuple(x) for x in got.collect()) == sorted(want) and len(want) > 50
     assert calls.value <= 3 * 25
+
+
+def test_runs_expected_together_are_expected_one_by_one(monkeypatch):
+    r = random.Random(5)
+    model = {x: -r.random() * 5 - 0.1 for x in {"".join(r.choice("あいう") for _ in range(r.randint(1, 4))) for _ in range(40)}}
+    held = {"".join(r.choice("あいうえお") for _ in range(n)): r.randint(1, 3) for n in [1, 1, 2, 3, 3, 4, 5, 8, 13, 13, 40]}
+    want: dict = {}
+    for run, times in held.items():
+        for piece, n in segment.expected(run, model, 4)[0].items():
+            want[piece] = want.get(piece, 0.0) + times * n
+    for block in (1, 10, 1000):
+        monkeypatch.setattr(segment, "BLOCK", block)
+        assert segment.expected_of(held, model, 4) == pytest.approx(want, rel=1e-9, abs=1e-30)
+    assert segment.expected_of({}, model) == {}
+    assert segment.substrings({"aab": 2, "a": 1}, 2) == {"a": 5, "b": 2, "aa": 2, "ab": 2}
