@@ -245,6 +245,39 @@ def batches_of(table: pa.Table, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     yield from table.to_batches(max_chunksize=rows)
 
 
+#: Rows and bytes of a block that by_key() makes, at most about.
+KEY_ROWS, KEY_BYTES = 200_000, 6 << 20
+
+
+def by_key(f: Callable[[pa.Table], Iterator[pa.RecordBatch]], rows: int | None = None):
+    """f over a task's rows, which are sorted by their first column (long, never null), in blocks of whole groups of it: memory
+    follows KEY_ROWS, KEY_BYTES and the largest group, not the partition."""
+    most = rows or KEY_ROWS
+
+    def run(batches):
+        held, n, size, wait = [], 0, 0, 1
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n, size = n + b.num_rows, size + b.nbytes
+            if n < wait * most and size < wait * KEY_BYTES:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t.column(0).to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+            rest = t.take(pa.array(np.arange(cut, n)))
+            if cut:
+                yield from f(t.slice(0, cut))
+            held, n, size = rest.to_batches(), n - cut, rest.nbytes
+            del t, key, rest
+            wait = 2 * max(n / most, size / KEY_BYTES) if n >= most or size >= KEY_BYTES else 1
+        if held:
+            yield from f(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of undirected edges (a, b): root is the smallest node reachable. Alternating large and small stars;
     every round ends in a written table, so a lost executor costs a round at most."""

@@ -40,6 +40,8 @@ LEAF, FAN = 32, 8
 SAMPLE_DOCS, HOT_KEYS, HOT_SHARE = 4000, 1 << 16, 500
 #: Weight (shingles, and MEMBER for each member) that one task verifies together.
 WHOLE, MEMBER = 6_000_000, 200
+#: Pairs, and counts of pairs, that a task bounds at a time.
+PAIRS, CELLS = 250_000, 1_000_000
 #: Groups, as a power of two, of the counts that bound pairs within a family.
 FINE_BITS = 8
 
@@ -114,12 +116,9 @@ def points(docs: DataFrame, k: int, num: int, den: int, hot: np.ndarray) -> Data
     return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(C.tidy(run), "doc_id long, text_hash long, n long, digest long, prefix array<long>, point binary")
 
 
-def _trees(batches):
-    """Of a partition's (key, digest): the rows whose key another digest has as well. The key gives way to a hash of all its
+def _trees(t: pa.Table):
+    """Of the (key, digest) of some keys: the rows whose key another digest has as well. The key gives way to a hash of all its
     members, so that keys of the same members name one tree (a collision only makes a tree larger)."""
-    t = C.whole(batches)
-    if t is None:
-        return
     key, digest = t["key"].to_numpy(), t["digest"].to_numpy()
     order = np.lexsort((digest, key))
     key, digest = key[order], digest[order]
@@ -187,7 +186,7 @@ class Points:
         return ok
 
     def _bounded(self, ok, a, b, vec, ra, rb, at) -> None:
-        for x in np.array_split(at, len(at) * vec.shape[1] // 3_000_000 + 1):
+        for x in np.array_split(at, len(at) * vec.shape[1] // CELLS + 1):
             bound = np.minimum(vec[ra[x]], vec[rb[x]]).sum(1)
             ok[x] = (self.num + self.den) * bound >= self.num * (self.n[a[x]] + self.n[b[x]])
 
@@ -206,7 +205,7 @@ def rtree_pairs(p: Points, members: np.ndarray, asking: np.ndarray, leaf: int =
         if len(low) == 1:
             break
         fan = FAN
-    for block in np.array_split(asking, len(asking) * len(members) // 1_000_000 + 1):  # so many pairs at a time at most
+    for block in np.array_split(asking, len(asking) * len(members) // PAIRS + 1):  # so many pairs at a time at most
         q, node = block, np.zeros(len(block), np.int64)
         for depth in range(len(levels) - 1, -1, -1):
             low, high, top, fan = levels[depth]
@@ -231,10 +230,7 @@ def _stars(num: int, den: int):
     """(a, b): each member of a tree with the smallest digest of its component in the graph of pairs that the bound allows."""
     leaf = LEAF
 
-    def run(batches):
-        t = C.whole(batches)
-        if t is None:
-            return
+    def run(t: pa.Table):
         digests, at, local = np.unique(t["digest"].to_numpy(), return_index=True, return_inverse=True)
         one = t.take(pa.array(at))
         p = Points(one["n"].to_numpy(), one["point"].to_pylist(), num, den)
@@ -253,7 +249,7 @@ def _stars(num: int, den: int):
         attached = fits(local[lead_at], local)
         label = united(rows.copy(), rows[attached], lead_at[attached])
         for s in range(3, leaf + 1):
-            for some in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // 1_000_000 + 1):
+            for some in np.array_split(starts[sizes == s], int((sizes == s).sum()) * s * s // PAIRS + 1):
                 i, j = np.triu_indices(s, 1)
                 a, b = (some[:, None] + i).ravel(), (some[:, None] + j).ravel()
                 ok = label[a] != label[b]
@@ -290,7 +286,9 @@ def links(sets: list[np.ndarray], roots: np.ndarray, asks: np.ndarray, num: int,
         return
     comp = np.unique(roots, return_inverse=True)[1]
     n = np.array([len(s) for s in sets])
-    counts = np.stack([np.minimum(np.bincount((C.mix(s) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535) for s in sets]).astype(np.uint16)
+    counts = np.zeros((len(sets), 1 << bits), np.uint16)
+    for i, s in enumerate(sets):
+        counts[i] = np.minimum(np.bincount((C.mix(s) >> C.U64(64 - bits)).astype(np.int64), minlength=1 << bits), 65535)
     order = np.argsort(n, kind="stable")
     sorted_n, done = n[order], np.zeros(len(n), bool)
     for x in np.roll(order, -(len(order) // 2))[asks[np.roll(order, -(len(order) // 2))]].tolist():  # from a member of middle size
@@ -403,13 +401,18 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) ->
 def labelled(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """jaccard_join() with text_hash (of the text, null without) and root, which names a row's component by its texts."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    with C.small_batches(docs.sparkSession):  # texts of a large family may all be long
+        return _labelled(docs, k, num, den)
+
+
+def _labelled(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     hot = _frequent(docs.select("text"), k)
     table = C.stored(points(docs, k, num, den, hot))
     new = table.where("point is not null")
-    keys = C.stored(new.select(F.explode("prefix").alias("key"), "digest").repartition("key").mapInArrow(C.tidy(_trees), "key long, digest long"))
+    keys = C.stored(new.select(F.explode("prefix").alias("key"), "digest").repartition("key").sortWithinPartitions("key").mapInArrow(C.tidy(C.by_key(_trees)), "key long, digest long"))
     place = new.groupBy("digest").agg(F.first("n").alias("n"), F.first("point").alias("point"))
-    tree = keys.repartition("digest").dropDuplicates(["key", "digest"]).join(place, "digest")
-    stars = C.stored(tree.repartition("key").mapInArrow(C.tidy(_stars(num, den)), "a long, b long").distinct())
+    tree = keys.repartition("digest").dropDuplicates(["key", "digest"]).join(place, "digest").select("key", "digest", "n", "point")
+    stars = C.stored(tree.repartition("key").sortWithinPartitions("key").mapInArrow(C.tidy(C.by_key(_stars(num, den))), "a long, b long").distinct())
     C.discard(keys)
     family = C.components(stars).toDF("digest", "family")
     text = table.where("digest is not null").groupBy("digest").agg(F.min(F.struct("text_hash", F.coalesce("doc_id", F.lit(C.NO_ID)).alias("want_id"), "n")).alias("x"))
